@@ -91,3 +91,106 @@ SYMBOLS = [
 def symbols(spark: SparkSession) -> DataFrame:
     rows = [(n, p, ln, i + 1) for i, (n, p, ln) in enumerate(SYMBOLS)]
     return spark.createDataFrame(rows, "name string, path string, line int, seq int")
+
+
+# ------------------------------------------------------------ rendered text
+
+# Fixed values of the rendered text fixture.
+TEXT_TIME_FORMAT = "yy-MM-dd'T'HH:mm:ss.SSSSSS"
+ORPHAN_AFTER_BAD = "  orphan line after a bad record"
+ORPHAN_AT_START = "orphan line before the first record of "
+
+
+def _multiline(logs: DataFrame) -> Column:
+    """Message rows of CommitBatch carry two continuation lines."""
+    cont = (F.col("function") == "CommitBatch") & ~F.col("message").isin("BEG", "END")
+    return F.when(cont, F.concat(F.col("message"), F.lit("\n    at "), F.col("fileline"),
+                                 F.lit("\n    tid "), F.col("tid").cast("string"))).otherwise(F.col("message"))
+
+
+def text_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows the rendered text must parse back to."""
+    lg = logs(spark, sf_dir)
+    return lg.withColumn("message", _multiline(lg))
+
+
+def _header(level: Column, tid_text: Column, time_text: Column, fileline: Column, function_text: Column) -> Column:
+    return F.concat(F.lit("["), level, F.lit("]["), tid_text, F.lit("]["), time_text, F.lit("]["),
+                    fileline, F.lit("]["), function_text)
+
+
+def render_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, grp, puttime, id, sub, line) -- every record as text in file
+    order, with bad records and orphan lines injected:
+
+    * after each WARNING END row a bad record whose kind cycles with tid:
+      too few fields, five fields, non-numeric tid -- each followed by an
+      orphan line;
+    * an orphan line at the start of every file.
+    """
+    lg = text_logs(spark, sf_dir)
+    t = F.date_format("puttime", TEXT_TIME_FORMAT)
+    good = lg.select(
+        "node", F.lit(1).alias("grp"), "puttime", "id", F.lit(0).alias("sub"),
+        F.concat(_header(F.col("level"), F.lpad(F.col("tid").cast("string"), 5, " "), t, F.col("fileline"),
+                         F.format_string("%-20s", F.col("function"))),
+                 F.lit("] "), F.col("message")).alias("line"))
+    kind = F.col("tid") % 3
+    bad_text = (F.when(kind == 0, F.concat(F.lit("[bad line "), F.col("function")))
+                .when(kind == 1, F.concat(_header(F.col("level"), F.lpad(F.col("tid").cast("string"), 5, " "), t,
+                                                  F.col("fileline"), F.col("function")),
+                                          F.lit(" header cut short")))
+                .otherwise(F.concat(_header(F.col("level"), F.concat(F.lit("t"), F.col("tid").cast("string")), t,
+                                            F.col("fileline"), F.col("function")),
+                                    F.lit("] tid is not a number"))))
+    bad = lg.where((F.col("level") == "WARNING") & (F.col("message") == "END")).select(
+        "node", F.lit(1).alias("grp"), "puttime", "id", F.lit(1).alias("sub"),
+        F.concat(bad_text, F.lit("\n" + ORPHAN_AFTER_BAD)).alias("line"))
+    starts = lg.select("node").distinct().select(
+        "node", F.lit(0).alias("grp"), F.lit(None).cast("timestamp_ntz").alias("puttime"),
+        F.lit(None).cast("long").alias("id"), F.lit(0).alias("sub"),
+        F.concat(F.lit(ORPHAN_AT_START), F.col("node")).alias("line"))
+    return good.unionByName(bad).unionByName(starts)
+
+
+def render_log_files(spark: SparkSession, sf_dir: str, out_dir: str) -> list[str]:
+    """Write one ``<node>.txt`` per node under ``out_dir``; returns the files.
+
+    A node's file is one ordered stream, so each node is written by one task;
+    this only builds test input and is not used by the operators.
+    """
+    from urllib.parse import unquote
+
+    recs = render_records(spark, sf_dir)
+    staging = out_dir.rstrip("/") + "/_staging"
+    (recs.repartition("node").sortWithinPartitions("node", "grp", "puttime", "id", "sub")
+     .select("node", "line").write.partitionBy("node").mode("overwrite").text(staging))
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(out_dir).getFileSystem(conf)
+    files = []
+    for st in fs.globStatus(Path(staging + "/node=*/part-*")):
+        p = st.getPath()
+        node = unquote(p.getParent().getName().split("=", 1)[1])
+        dst = Path(f"{out_dir.rstrip('/')}/{node}.txt")
+        fs.rename(p, dst)
+        files.append(dst.toString())
+    fs.delete(Path(staging), True)
+    return sorted(files)
+
+
+_RENDERED: dict[str, str] = {}
+
+
+def rendered_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Directory of rendered ``<node>.txt`` files for ``sf_dir`` (made once
+    per session, below the shared checkpoint folder)."""
+    from ..session import scratch_path
+
+    d = _RENDERED.get(sf_dir)
+    if d is None:
+        d = scratch_path(spark, "rendered-logs")
+        render_log_files(spark, sf_dir, d)
+        _RENDERED[sf_dir] = d
+    return d
