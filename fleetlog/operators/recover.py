@@ -85,3 +85,18 @@ def recover_logs(logs: DataFrame, symbols: DataFrame,
         F.col("name").alias("rec_function"), F.col("path").alias("rec_path"), F.col("line").alias("rec_line"))
     cond = (logs["function"].eqNullSafe(res["__fl_fn"])) & (logs["fileline"].eqNullSafe(res["__fl_fl"]))
     return logs.join(res, cond, "left").drop("__fl_fn", "__fl_fl")
+
+
+def list_functions(logs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Per node, every function entered (BEG rows) with its recovered name
+    and location: the name shows its first 20 characters and the rest in
+    brackets, padded to 55, then ``path:line``."""
+    beg = logs.where(F.col("message") == "BEG").select("node", "function", "fileline").distinct()
+    keys = beg.select("function", "fileline").distinct()
+    res = resolve_keys(keys, symbols)
+    j = beg.join(res, ["function", "fileline"])
+    name = F.col("name")
+    shown = F.when(F.length(name) > 20, F.concat(F.substring(name, 1, 20), F.lit("["),
+                                                 F.substring(name, 21, 1 << 30), F.lit("]"))).otherwise(name)
+    loc = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"))
+    return j.select("node", F.format_string("%-55s  %s", shown, loc).alias("line"))

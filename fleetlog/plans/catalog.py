@@ -46,3 +46,226 @@ def q_call_mismatches(spark, sf_dir):
 @query("function_time")
 def q_function_time(spark, sf_dir):
     return stacks.function_time(fixtures.logs(spark, sf_dir))
+
+
+# ------------------------------------------------------------------- ingest
+
+def _parsed(spark, sf_dir):
+    from ..sources import logtext
+    return logtext.parse_records(logtext.scan_records(spark, fixtures.rendered_dir(spark, sf_dir)))
+
+
+@query("scan_records")
+def q_scan_records(spark, sf_dir):
+    from ..sources import logtext
+    return logtext.scan_records(spark, fixtures.rendered_dir(spark, sf_dir)).select("node", "text")
+
+
+@query("parse_header")
+def q_parse_header(spark, sf_dir):
+    from ..sources import logtext
+    return logtext.good_rows(_parsed(spark, sf_dir)).drop("id")
+
+
+@query("quarantine")
+def q_quarantine(spark, sf_dir):
+    from ..sources import logtext
+    return logtext.quarantine(_parsed(spark, sf_dir)).select("node", "reason", "text")
+
+
+@query("arrival_order")
+def q_arrival_order(spark, sf_dir):
+    from ..operators.ordered import running_count
+    from ..sources import logtext
+    good = logtext.good_rows(_parsed(spark, sf_dir))
+    # Arrival keys of one file grow with the split offset: chunk by 256 MiB of file.
+    chunk = F.shiftright(F.col("id"), 40)
+    return running_count(good, ["node"], ["id"], "seq", chunk).select("node", "seq", "level", "tid", "puttime")
+
+
+@query("scan_nodes")
+def q_scan_nodes(spark, sf_dir):
+    from ..sources import logtext
+    return logtext.rows_per_node(logtext.good_rows(_parsed(spark, sf_dir)))
+
+
+@query("max_message")
+def q_max_message(spark, sf_dir):
+    from ..sources import logtext
+    return logtext.max_message(logtext.good_rows(_parsed(spark, sf_dir)))
+
+
+def _stored(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sources import store
+    root = scratch_path(spark, "log-table")
+    store.write_logs(fixtures.logs(spark, sf_dir), root)
+    return store.read_stored(spark, root)
+
+
+@query("write_read_back")
+def q_write_read_back(spark, sf_dir):
+    return _stored(spark, sf_dir)
+
+
+@query("layout_roundtrip")
+def q_layout_roundtrip(spark, sf_dir):
+    from ..operators import select
+    st = _stored(spark, sf_dir)
+    return select.time_range(st.where(F.col("tid") == 3), "2024-01-08 00:00:00", "2024-01-22 12:00:00")
+
+
+@query("items_catalog")
+def q_items_catalog(spark, sf_dir):
+    from ..sources import store
+    return store.items_catalog(fixtures.logs(spark, sf_dir))
+
+
+@query("list_items")
+def q_list_items(spark, sf_dir):
+    from ..sources import store
+    return store.list_items(store.items_catalog(fixtures.logs(spark, sf_dir)), "node-1", "tid")
+
+
+@query("list_nodes")
+def q_list_nodes(spark, sf_dir):
+    from ..sources import store
+    return store.list_nodes(fixtures.logs(spark, sf_dir))
+
+
+@query("node_select")
+def q_node_select(spark, sf_dir):
+    from ..sources import store
+    return store.node_select(fixtures.logs(spark, sf_dir), "node-2")
+
+
+@query("load_symbols")
+def q_load_symbols(spark, sf_dir):
+    from ..sources import symbols
+    d = symbols.render_ctags_from_parts(spark, sf_dir)
+    return symbols.load_ctags(spark, d).select("name", "path", "line")
+
+
+# ------------------------------------------------------------------ select
+
+RANGE_NODE, RANGE_START, RANGE_END = "node-1", "2024-01-10 06:30:00.9", "2024-01-20 18:45:10.5"
+PREDICATE = "level <> 'INFO' AND (tid IN (1, 5, 9) OR function LIKE 'Commit%')"
+CLAUSE = "level = 'WARNING' ORDER BY puttime DESC, id LIMIT 100"
+ANCHOR = ("node-2", 7, "ProcessOrderBatchFromDisk", "2024-01-15 12:00:00")
+
+
+@query("time_range")
+def q_time_range(spark, sf_dir):
+    from ..operators import select
+    lg = fixtures.logs(spark, sf_dir).where(F.col("node") == RANGE_NODE)
+    return select.time_range(lg, RANGE_START, RANGE_END)
+
+
+@query("time_range_default")
+def q_time_range_default(spark, sf_dir):
+    from ..operators import select
+    return select.time_range(fixtures.logs(spark, sf_dir).where(F.col("node") == "node-3"))
+
+
+@query("where_expr")
+def q_where_expr(spark, sf_dir):
+    from ..operators import select
+    return select.where_expr(fixtures.logs(spark, sf_dir), PREDICATE)
+
+
+@query("where_order_limit")
+def q_where_order_limit(spark, sf_dir):
+    from ..operators import select
+    return select.where_clause(fixtures.logs(spark, sf_dir), CLAUSE)
+
+
+@query("task_entries")
+def q_task_entries(spark, sf_dir):
+    from ..operators import select
+    return select.task_entries(fixtures.logs(spark, sf_dir), 3, "ProcessOrderBatchFromQueue")
+
+
+@query("nearest_entry")
+def q_nearest_entry(spark, sf_dir):
+    from ..operators import select
+    node, tid, task, at = ANCHOR
+    return select.nearest_entry(fixtures.logs(spark, sf_dir), node, tid, task, at)
+
+
+def probes_from_events(spark, sf_dir):
+    """One probe per error event: 90 minutes after it, for the task its
+    thread runs on even / odd users."""
+    from ..session import read_table
+    ev = read_table(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    return ev.select(
+        F.col("event_id").alias("probe_id"),
+        F.concat(F.lit("node-"), (F.col("user_id") % 5).cast("string")).alias("node"),
+        (F.col("user_id") % 12).alias("tid"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("CommitBatch")).otherwise(F.lit("ProcessOrderBatchFromQueue")).alias("task"),
+        (F.col("ts") + F.expr("INTERVAL 90 MINUTES")).alias("at"))
+
+
+@query("nearest_entry_many")
+def q_nearest_entry_many(spark, sf_dir):
+    from ..operators import select
+    return select.nearest_entries(fixtures.logs(spark, sf_dir), probes_from_events(spark, sf_dir))
+
+
+@query("rows_from")
+def q_rows_from(spark, sf_dir):
+    from ..operators import select
+    lg = fixtures.logs(spark, sf_dir)
+    node, tid, task, at = ANCHOR
+    a = select.nearest_entry(lg, node, tid, task, at).collect()[0]
+    return select.rows_from(lg, node, tid, a["puttime"], a["id"])
+
+
+@query("fleet_range")
+def q_fleet_range(spark, sf_dir):
+    from ..operators import select
+    return select.fleet_range(fixtures.logs(spark, sf_dir), "2024-01-05 00:00:00", "2024-01-05 06:00:00")
+
+
+# ---------------------------------------------------------------- recovery
+
+@query("recover_symbols")
+def q_recover_symbols(spark, sf_dir):
+    from ..operators import recover
+    keys = fixtures.logs(spark, sf_dir).select("function", "fileline").distinct()
+    return recover.resolve_keys(keys, fixtures.symbols(spark))
+
+
+def cut_keys(logs):
+    """Logged keys with the function cut to 1, 6 and 11 characters too."""
+    base = logs.select("function", "fileline")
+    cuts = [base.select(F.substring("function", 1, n).alias("function"), "fileline") for n in (1, 6, 11)]
+    out = base
+    for c in cuts:
+        out = out.unionByName(c)
+    return out.distinct()
+
+
+@query("recover_ties")
+def q_recover_ties(spark, sf_dir):
+    from ..operators import recover
+    return recover.resolve_keys(cut_keys(fixtures.logs(spark, sf_dir)), fixtures.symbols(spark))
+
+
+@query("recover_logs")
+def q_recover_logs(spark, sf_dir):
+    from ..operators import recover
+    r = recover.recover_logs(fixtures.logs(spark, sf_dir), fixtures.symbols(spark))
+    return r.select("node", "id", "rec_function", "rec_path", "rec_line")
+
+
+@query("render_rows")
+def q_render_rows(spark, sf_dir):
+    from ..operators import recover, select
+    lg = fixtures.logs(spark, sf_dir)
+    return select.render_rows(lg, recover.recover_logs(lg, fixtures.symbols(spark)))
+
+
+@query("list_functions")
+def q_list_functions(spark, sf_dir):
+    from ..operators import recover
+    return recover.list_functions(fixtures.logs(spark, sf_dir), fixtures.symbols(spark))

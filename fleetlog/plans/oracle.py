@@ -83,3 +83,172 @@ SELECT node, function, count(*) AS calls,
        round(sum((epoch_us(end_time) - epoch_us(puttime)) / 1e6), 6) AS total_s,
        round(max((epoch_us(end_time) - epoch_us(puttime)) / 1e6), 6) AS max_s
 FROM w WHERE message = 'BEG' AND end_time IS NOT NULL GROUP BY node, function"""))
+
+
+# ------------------------------------------------------------------- ingest
+
+TEXT_LOGS = """, tl AS (SELECT id, node, level, tid, puttime, fileline, function,
+       CASE WHEN function = 'CommitBatch' AND message NOT IN ('BEG', 'END')
+            THEN message || chr(10) || '    at ' || fileline || chr(10) || '    tid ' || CAST(tid AS VARCHAR)
+            ELSE message END AS message,
+       strftime(puttime, '%y-%m-%dT%H:%M:%S.%f') AS t
+FROM logs)"""
+
+BAD_TEXT = """CASE tid % 3
+  WHEN 0 THEN 'bad line ' || function
+  WHEN 1 THEN level || '][' || printf('%5d', tid) || '][' || t || '][' || fileline || '][' || function || ' header cut short'
+  ELSE level || '][t' || CAST(tid AS VARCHAR) || '][' || t || '][' || fileline || '][' || function || '] tid is not a number'
+END || chr(10) || '  orphan line after a bad record'"""
+
+BAD_REASON = "CASE tid % 3 WHEN 0 THEN 'too_few_fields' WHEN 1 THEN 'five_fields' ELSE 'bad_tid' END"
+
+sql("scan_records", with_logs(TEXT_LOGS + f"""
+SELECT node, level || '][' || printf('%5d', tid) || '][' || t || '][' || fileline || '][' || printf('%-20s', function)
+             || '] ' || message AS text FROM tl
+UNION ALL
+SELECT node, {BAD_TEXT} AS text FROM tl WHERE level = 'WARNING' AND message = 'END'
+UNION ALL
+SELECT DISTINCT node, 'orphan line before the first record of ' || node AS text FROM logs"""))
+
+sql("parse_header", with_logs(TEXT_LOGS + """
+SELECT node, level, tid, puttime, fileline, function, message FROM tl"""))
+
+sql("quarantine", with_logs(TEXT_LOGS + f"""
+SELECT node, {BAD_REASON} AS reason, {BAD_TEXT} AS text FROM tl WHERE level = 'WARNING' AND message = 'END'
+UNION ALL
+SELECT DISTINCT node, 'too_few_fields' AS reason, 'orphan line before the first record of ' || node AS text FROM logs"""))
+
+sql("arrival_order", with_logs("""
+SELECT node, row_number() OVER (PARTITION BY node ORDER BY puttime, id) AS seq, level, tid, puttime FROM logs"""))
+
+sql("scan_nodes", with_logs("SELECT node, count(*) AS rows FROM logs GROUP BY node"))
+
+sql("max_message", with_logs(TEXT_LOGS + """
+SELECT node, CAST(max(length(message)) AS BIGINT) AS max_msg FROM tl GROUP BY node"""))
+
+sql("write_read_back", with_logs("SELECT * FROM logs"))
+
+sql("layout_roundtrip", with_logs("""
+SELECT * FROM logs WHERE tid = 3
+  AND puttime >= TIMESTAMP '2024-01-08 00:00:00' AND puttime < TIMESTAMP '2024-01-22 12:00:00'"""))
+
+sql("items_catalog", with_logs("""
+SELECT DISTINCT node, 'level' AS field, level AS value FROM logs
+UNION
+SELECT DISTINCT node, 'tid' AS field, CAST(tid AS VARCHAR) AS value FROM logs"""))
+
+sql("list_items", with_logs("SELECT DISTINCT CAST(tid AS VARCHAR) AS value FROM logs WHERE node = 'node-1'"))
+
+sql("list_nodes", with_logs("SELECT DISTINCT node FROM logs"))
+
+sql("node_select", with_logs("SELECT * FROM logs WHERE node = 'node-2'"))
+
+# Kept ctags lines follow from the rule that rendered them from `part`.
+sql("load_symbols", """
+SELECT CASE WHEN p_type = 'PROMO' THEN split_part(p_name, ' ', 1) ELSE p_name END AS name,
+       'src/' || lower(replace(p_brand, '#', '')) || '/' || lower(p_type) || '.cpp' AS path,
+       CAST(p_size AS INTEGER) AS line
+FROM part WHERE p_type NOT IN ('SMALL', 'LARGE')""")
+
+# ------------------------------------------------------------------ select
+
+sql("time_range", with_logs("""
+SELECT * FROM logs WHERE node = 'node-1'
+  AND puttime >= TIMESTAMP '2024-01-10 06:30:00' AND puttime < TIMESTAMP '2024-01-20 18:45:10'"""))
+
+sql("time_range_default", with_logs("""
+SELECT * FROM logs WHERE node = 'node-3'
+  AND puttime >= TIMESTAMP '1970-01-01 00:00:00' AND puttime < CAST(date_trunc('second', now()) AS TIMESTAMP)"""))
+
+sql("where_expr", with_logs("""
+SELECT * FROM logs WHERE level <> 'INFO' AND (tid IN (1, 5, 9) OR function LIKE 'Commit%')"""))
+
+sql("where_order_limit", with_logs("""
+SELECT * FROM logs WHERE level = 'WARNING' ORDER BY puttime DESC, id LIMIT 100"""))
+
+sql("task_entries", with_logs("""
+SELECT * FROM logs WHERE tid = 3 AND function = 'ProcessOrderBatchFro' AND message = 'BEG'"""))
+
+ANCHOR_SQL = """SELECT * FROM logs WHERE node = 'node-2' AND tid = 7 AND function = 'ProcessOrderBatchFro'
+  AND message = 'BEG'
+ORDER BY abs(epoch_us(puttime) - epoch_us(TIMESTAMP '2024-01-15 12:00:00')), id LIMIT 1"""
+
+sql("nearest_entry", with_logs(ANCHOR_SQL))
+
+sql("nearest_entry_many", with_logs("""
+, pr AS (SELECT event_id AS probe_id, concat('node-', user_id % 5) AS node, user_id % 12 AS tid,
+                substr(CASE WHEN user_id % 2 = 0 THEN 'CommitBatch' ELSE 'ProcessOrderBatchFromQueue' END, 1, 20) AS task,
+                ts + INTERVAL 90 MINUTE AS at
+         FROM events WHERE event_type = 'error'),
+c AS (SELECT pr.probe_id, pr.node, pr.tid, pr.task, l.id, l.puttime,
+             row_number() OVER (PARTITION BY pr.probe_id
+                                ORDER BY abs(epoch_us(l.puttime) - epoch_us(pr.at)), l.id) AS rk
+      FROM pr LEFT JOIN logs l ON l.node = pr.node AND l.tid = pr.tid AND l.function = pr.task AND l.message = 'BEG')
+SELECT probe_id, node, tid, task, id, puttime FROM c WHERE rk = 1"""))
+
+sql("rows_from", with_logs(f"""
+, a AS ({ANCHOR_SQL})
+SELECT l.* FROM logs l, a WHERE l.node = 'node-2' AND l.tid = 7
+  AND (l.puttime > a.puttime OR (l.puttime = a.puttime AND l.id >= a.id))"""))
+
+sql("fleet_range", with_logs("""
+SELECT * FROM logs WHERE puttime >= TIMESTAMP '2024-01-05 00:00:00' AND puttime < TIMESTAMP '2024-01-05 06:00:00'"""))
+
+# ---------------------------------------------------------------- recovery
+
+
+def resolve_sql(keys_cte: str) -> str:
+    """CTEs ending in ``res(function, fileline, name, path, line)`` for the
+    keys of ``keys_cte`` (a CTE named ``keys``)."""
+    return f""", {SYMBOLS_SQL},
+keys AS ({keys_cte}),
+k AS (SELECT function, fileline, rtrim(function, '()') AS f,
+             CASE WHEN len(string_split(fileline, ':')) = 2 THEN split_part(fileline, ':', 1) ELSE fileline END AS lpath,
+             CASE WHEN len(string_split(fileline, ':')) = 2 THEN TRY_CAST(split_part(fileline, ':', 2) AS INTEGER) END AS lline
+      FROM keys),
+m AS (SELECT k.*, s.name, s.path, s.line AS sline, s.seq FROM k LEFT JOIN symbols s ON starts_with(s.name, k.f)),
+n AS (SELECT function, fileline, count(name) AS n FROM m GROUP BY function, fileline),
+o AS (SELECT function, fileline, name, path,
+             row_number() OVER (PARTITION BY function, fileline ORDER BY seq) AS rk
+      FROM m WHERE name IS NOT NULL),
+b AS (SELECT function, fileline, name, path,
+             row_number() OVER (PARTITION BY function, fileline ORDER BY abs(lline - sline), seq) AS rk
+      FROM m WHERE name IS NOT NULL AND ends_with(path, lpath)),
+res AS (SELECT k.function, k.fileline,
+          CASE WHEN k.lline IS NOT NULL AND n.n = 1 THEN o.name
+               WHEN k.lline IS NOT NULL AND n.n > 1 AND b.name IS NOT NULL THEN b.name ELSE k.function END AS name,
+          CASE WHEN k.lline IS NOT NULL AND n.n = 1 THEN o.path
+               WHEN k.lline IS NOT NULL AND n.n > 1 AND b.name IS NOT NULL THEN b.path ELSE k.lpath END AS path,
+          k.lline AS line
+        FROM k JOIN n ON n.function = k.function AND n.fileline = k.fileline
+        LEFT JOIN o ON o.function = k.function AND o.fileline = k.fileline AND o.rk = 1
+        LEFT JOIN b ON b.function = k.function AND b.fileline = k.fileline AND b.rk = 1)"""
+
+
+LOG_KEYS = "SELECT DISTINCT function, fileline FROM logs"
+CUT_KEYS = """SELECT function, fileline FROM logs
+  UNION SELECT substr(function, 1, 1), fileline FROM logs
+  UNION SELECT substr(function, 1, 6), fileline FROM logs
+  UNION SELECT substr(function, 1, 11), fileline FROM logs"""
+
+sql("recover_symbols", with_logs(resolve_sql(LOG_KEYS) + "\nSELECT * FROM res"))
+
+sql("recover_ties", with_logs(resolve_sql(CUT_KEYS) + "\nSELECT * FROM res"))
+
+sql("recover_logs", with_logs(resolve_sql(LOG_KEYS) + """
+SELECT l.node, l.id, r.name AS rec_function, r.path AS rec_path, r.line AS rec_line
+FROM logs l LEFT JOIN res r ON l.function = r.function AND l.fileline = r.fileline"""))
+
+sql("render_rows", with_logs(resolve_sql(LOG_KEYS) + """
+SELECT l.node, l.id,
+       concat_ws('  ', l.level, printf('%5d', l.tid), strftime(l.puttime, '%Y-%m-%d %H:%M:%S.%f'),
+                 printf('%-50s:%-4s', r.path, CAST(r.line AS VARCHAR)), printf('%-40s', r.name), l.message) AS line
+FROM logs l LEFT JOIN res r ON l.function = r.function AND l.fileline = r.fileline"""))
+
+sql("list_functions", with_logs(resolve_sql("SELECT DISTINCT function, fileline FROM logs WHERE message = 'BEG'") + """,
+f AS (SELECT DISTINCT node, function, fileline FROM logs WHERE message = 'BEG')
+SELECT f.node,
+       printf('%-55s  %s', CASE WHEN length(r.name) > 20 THEN substr(r.name, 1, 20) || '[' || substr(r.name, 21) || ']'
+                                ELSE r.name END,
+              r.path || ':' || CAST(r.line AS VARCHAR)) AS line
+FROM f JOIN res r ON f.function = r.function AND f.fileline = r.fileline"""))
