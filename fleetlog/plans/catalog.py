@@ -269,3 +269,141 @@ def q_render_rows(spark, sf_dir):
 def q_list_functions(spark, sf_dir):
     from ..operators import recover
     return recover.list_functions(fixtures.logs(spark, sf_dir), fixtures.symbols(spark))
+
+
+# -------------------------------------------------------------------- text
+
+def _docs(spark, sf_dir):
+    from ..session import read_table
+    return read_table(spark, sf_dir, "documents")
+
+
+def _doc_search(spark, sf_dir, pred_fn):
+    from ..operators import search
+    d = search.with_tokens(_docs(spark, sf_dir), "text")
+    return d.where(pred_fn(search)).select("doc_id", "source")
+
+
+@query("tokens_porter")
+def q_tokens_porter(spark, sf_dir):
+    from ..operators import search
+    p = search.postings(_docs(spark, sf_dir), ["doc_id"], "text", "porter")
+    return p.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("term").alias("token"))
+
+
+@query("tokens_words")
+def q_tokens_words(spark, sf_dir):
+    from ..functions import text as tx
+    return _docs(spark, sf_dir).select("doc_id", F.explode(tx.word_tokens("text")).alias("token")).distinct()
+
+
+@query("tokens_sub")
+def q_tokens_sub(spark, sf_dir):
+    from ..operators import search
+    p = search.postings(_docs(spark, sf_dir), ["doc_id"], "text", "words")
+    return p.select("doc_id", F.col("term").alias("token"))
+
+
+@query("path_tokens")
+def q_path_tokens(spark, sf_dir):
+    from ..functions import text as tx
+    from ..session import read_table
+    return read_table(spark, sf_dir, "pages").select("page_id", F.explode(tx.path_tokens("url")).alias("token"))
+
+
+@query("postings")
+def q_postings(spark, sf_dir):
+    from ..operators import search
+    return search.log_postings(fixtures.logs(spark, sf_dir))
+
+
+@query("posting_lookup")
+def q_posting_lookup(spark, sf_dir):
+    """Document postings of every word of the benchmark passages."""
+    from ..functions import text as tx
+    from ..operators import search
+    from ..session import read_table
+    post = search.postings(_docs(spark, sf_dir), ["doc_id"], "text", "porter")
+    words = read_table(spark, sf_dir, "benchmark").select(F.explode(tx.porter_tokens("text")).alias("word"))
+    return (search.lookup(post, words)
+            .groupBy("term").agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("occurrences")))
+
+
+@query("search_term")
+def q_search_term(spark, sf_dir):
+    return _doc_search(spark, sf_dir, lambda s: s.term("license"))
+
+
+@query("search_prefix")
+def q_search_prefix(spark, sf_dir):
+    return _doc_search(spark, sf_dir, lambda s: s.prefix("Licen"))
+
+
+@query("search_and")
+def q_search_and(spark, sf_dir):
+    return _doc_search(spark, sf_dir, lambda s: s.term("mit") & s.term("license"))
+
+
+@query("search_or")
+def q_search_or(spark, sf_dir):
+    return _doc_search(spark, sf_dir, lambda s: s.term("stupid") | s.term("worthless"))
+
+
+@query("search_not")
+def q_search_not(spark, sf_dir):
+    return _doc_search(spark, sf_dir, lambda s: s.term("license") & ~s.term("mit"))
+
+
+@query("search_phrase")
+def q_search_phrase(spark, sf_dir):
+    return _doc_search(spark, sf_dir, lambda s: s.phrase(["thtionea", "from", "eainan"]))
+
+
+@query("search_near")
+def q_search_near(spark, sf_dir):
+    return _doc_search(spark, sf_dir, lambda s: s.near("thtionea", "ertionnd", 3))
+
+
+@query("search_semi")
+def q_search_semi(spark, sf_dir):
+    """Labels of the documents holding a word, via postings + semi-join."""
+    from ..operators import search
+    from ..session import read_table
+    post = search.postings(_docs(spark, sf_dir), ["doc_id"], "text", "porter")
+    return search.semi(read_table(spark, sf_dir, "labels"), search.hits(post, ["doc_id"], "stupid"), ["doc_id"])
+
+
+@query("search_porter")
+def q_search_porter(spark, sf_dir):
+    """Stemmed search: documents with a word stemming like 'licensing'."""
+    from ..operators import search
+    post = search.postings(_docs(spark, sf_dir), ["doc_id"], "text", "porter", stem="porter")
+    return search.hits(post, ["doc_id"], "licensing", stem="porter")
+
+
+@query("stem_vocabulary")
+def q_stem_vocabulary(spark, sf_dir):
+    from ..functions import stem as stm
+    from ..functions import text as tx
+    words = _docs(spark, sf_dir).select(F.explode(tx.word_tokens("text")).alias("word"))
+    return stm.stem_vocabulary(words, "word", "english")
+
+
+@query("stem_vocabulary_porter")
+def q_stem_vocabulary_porter(spark, sf_dir):
+    from ..functions import stem as stm
+    from ..functions import text as tx
+    words = _docs(spark, sf_dir).select(F.explode(tx.porter_tokens("text")).alias("word"))
+    return stm.stem_vocabulary(words.where(F.col("word").rlike(tx.STEMMABLE_RE)), "word", "porter")
+
+
+@query("fuzzy_functions")
+def q_fuzzy_functions(spark, sf_dir):
+    """Part-name words against the identifier-like words of the documents
+    (what log function names look like), edit distance <= 2."""
+    from ..functions import text as tx
+    from ..operators import fuzzy
+    from ..session import read_table
+    a = read_table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    b = _docs(spark, sf_dir).select(F.explode(tx.porter_tokens("text")).alias("target"))
+    return fuzzy.fuzzy_match(a, b.where(F.col("target").rlike(fuzzy.IDENTIFIER_RE)), 2)

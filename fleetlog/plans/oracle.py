@@ -252,3 +252,93 @@ SELECT f.node,
                                 ELSE r.name END,
               r.path || ':' || CAST(r.line AS VARCHAR)) AS line
 FROM f JOIN res r ON f.function = r.function AND f.fileline = r.fileline"""))
+
+
+# -------------------------------------------------------------------- text
+
+PORTER_RE = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+"
+PORTER_TOKS = (r"list_transform(regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+               r"'abcdefghijklmnopqrstuvwxyz'), '" + PORTER_RE + r"'), lambda x: CASE "
+               r"WHEN regexp_full_match(x, '[a-z]{{3,20}}') THEN x "
+               r"WHEN regexp_matches(x, '[0-9]') AND length(x) > 6 THEN left(x, 3) || right(x, 3) "
+               r"WHEN NOT regexp_matches(x, '[0-9]') AND length(x) > 20 THEN left(x, 10) || right(x, 10) "
+               r"ELSE x END)")
+WS_RE = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+         r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
+STOPS = ("'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'can', 'for', 'from', 'have', 'if', 'in', 'is', "
+         "'it', 'may', 'not', 'of', 'on', 'or', 'tbd', 'that', 'the', 'this', 'to', 'us', 'we', 'when', "
+         "'will', 'with', 'yet', 'you', 'your', 'beg', 'end'")
+PUNCT = r"[!-/:-@\[-`{-~]"
+ALNUM = r"[\p{L}\p{N}]+"
+
+
+def words_sql(src: str, ids: str, text: str) -> str:
+    """CTEs ``wm`` (main tokens) and ``wset`` (expanded set) of a words
+    analysis of ``src``."""
+    return f""", wa AS (SELECT {ids}, unnest(regexp_split_to_array(lower({text}), '{WS_RE}')) AS p FROM {src}),
+wb AS (SELECT {ids}, unnest(regexp_split_to_array(p, '[=,]+')) AS q FROM wa),
+wc AS (SELECT {ids}, regexp_replace(q, '^{PUNCT}+|{PUNCT}+$', '', 'g') AS t FROM wb),
+wm AS (SELECT DISTINCT {ids}, t FROM wc WHERE length(t) >= 3 AND t NOT IN ({STOPS})),
+ws AS (SELECT {ids}, unnest(regexp_extract_all(t, '(?s)(.[^[:punct:]]*)[[:punct:]]?', 1)) AS s
+       FROM wm WHERE NOT regexp_full_match(t, '{ALNUM}')),
+wset AS (SELECT {ids}, t AS term FROM wm
+         UNION SELECT {ids}, s AS term FROM ws WHERE length(s) >= 3 AND s NOT IN ({STOPS})
+         UNION SELECT {ids}, substr(t, 3) AS term FROM wm WHERE regexp_full_match(t, '{ALNUM}') AND starts_with(t, '0x'))"""
+
+
+DOC_TOKS = "WITH d AS MATERIALIZED (SELECT doc_id, source, " + PORTER_TOKS.format(t="text") + " AS toks FROM documents)"
+
+sql("tokens_porter", DOC_TOKS + """
+SELECT doc_id, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS token FROM d""")
+
+sql("tokens_words", "WITH x AS (SELECT 1)" + words_sql("documents", "doc_id", "text") + """
+SELECT doc_id, t AS token FROM wm""")
+
+sql("tokens_sub", "WITH x AS (SELECT 1)" + words_sql("documents", "doc_id", "text") + """
+SELECT doc_id, term AS token FROM wset""")
+
+sql("path_tokens", r"""
+SELECT DISTINCT page_id, token FROM (
+  SELECT page_id, unnest(string_split(replace(lower(url), '\', '/'), '/')) AS token FROM pages) WHERE token <> ''""")
+
+sql("postings", with_logs(", msgs AS (SELECT * FROM logs WHERE message NOT IN ('BEG', 'END'))"
+                          + words_sql("msgs", "node, id", "message") + """
+SELECT node, id, term AS word, 0 AS type FROM wset"""))
+
+sql("posting_lookup", DOC_TOKS + """,
+p AS (SELECT doc_id, unnest(toks) AS term FROM d),
+w AS (SELECT DISTINCT unnest(""" + PORTER_TOKS.format(t="text") + """) AS term FROM benchmark)
+SELECT p.term, count(DISTINCT p.doc_id) AS docs, count(*) AS occurrences FROM p JOIN w ON p.term = w.term GROUP BY p.term""")
+
+sql("search_term", DOC_TOKS + "\nSELECT doc_id, source FROM d WHERE list_contains(toks, 'license')")
+sql("search_prefix", DOC_TOKS + """
+SELECT doc_id, source FROM d WHERE len(list_filter(toks, lambda x: starts_with(x, 'licen'))) > 0""")
+sql("search_and", DOC_TOKS + """
+SELECT doc_id, source FROM d WHERE list_contains(toks, 'mit') AND list_contains(toks, 'license')""")
+sql("search_or", DOC_TOKS + """
+SELECT doc_id, source FROM d WHERE list_contains(toks, 'stupid') OR list_contains(toks, 'worthless')""")
+sql("search_not", DOC_TOKS + """
+SELECT doc_id, source FROM d WHERE list_contains(toks, 'license') AND NOT list_contains(toks, 'mit')""")
+sql("search_phrase", DOC_TOKS + """,
+p AS MATERIALIZED (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM d),
+pa AS MATERIALIZED (SELECT doc_id, pos FROM p WHERE tok = 'thtionea'),
+pb AS MATERIALIZED (SELECT doc_id, pos FROM p WHERE tok = 'from'),
+pc AS MATERIALIZED (SELECT doc_id, pos FROM p WHERE tok = 'eainan'),
+h AS (SELECT DISTINCT pa.doc_id FROM pa JOIN pb ON pa.doc_id = pb.doc_id AND pb.pos = pa.pos + 1
+      JOIN pc ON pc.doc_id = pa.doc_id AND pc.pos = pa.pos + 2)
+SELECT d.doc_id, d.source FROM d JOIN h ON d.doc_id = h.doc_id""")
+sql("search_near", DOC_TOKS + """,
+p AS MATERIALIZED (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM d),
+pa AS MATERIALIZED (SELECT doc_id, pos FROM p WHERE tok = 'thtionea'),
+pb AS MATERIALIZED (SELECT doc_id, pos FROM p WHERE tok = 'ertionnd'),
+h AS (SELECT DISTINCT pa.doc_id FROM pa JOIN pb ON pa.doc_id = pb.doc_id AND abs(pa.pos - pb.pos) <= 4 AND pa.pos <> pb.pos)
+SELECT d.doc_id, d.source FROM d JOIN h ON d.doc_id = h.doc_id""")
+sql("search_semi", DOC_TOKS + """
+SELECT * FROM labels WHERE doc_id IN (SELECT doc_id FROM d WHERE list_contains(toks, 'stupid'))""")
+
+sql("fuzzy_functions", DOC_TOKS + """,
+a AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
+b AS (SELECT DISTINCT target FROM (SELECT unnest(toks) AS target FROM d)
+       WHERE regexp_full_match(target, '[a-z_][a-z0-9_]*'))
+SELECT word, target, CAST(levenshtein(word, target) AS BIGINT) AS distance FROM a, b
+WHERE levenshtein(word, target) <= 2""")
