@@ -119,3 +119,100 @@ def function_time(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
 def task_key(task: str) -> str:
     """The logger cuts function names, so a task is looked up by its prefix."""
     return task[:FUNCTION_WIDTH]
+
+
+# ------------------------------------------------------ one task's stack
+
+def callstack(logs: DataFrame, node: str, tid: int, task: str, at: str | None = None,
+              order: Sequence[str] = DEFAULT_ORDER, chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
+              strict: bool = False) -> DataFrame:
+    """Rows of one task's call: from the BEG of ``task`` nearest to ``at``
+    up to the END that empties the stack again (or to the end of the thread
+    while the call is open), with ``depth`` counted from the task (1 = the
+    task's own frame).  Strict mode fails on a mismatched END in that range.
+    """
+    from .select import nearest_entry
+
+    thread = logs.where((F.col("node") == node) & (F.col("tid") == F.lit(tid)))
+    anchor = nearest_entry(thread, node, tid, task, at).collect()
+    if not anchor:
+        raise ValueError("Stack entry not found")
+    a = anchor[0]
+    t0, i0 = F.lit(a["puttime"]).cast("timestamp_ntz"), F.lit(a["id"])
+    from_anchor = (F.col(order[0]) > t0) | ((F.col(order[0]) == t0) & (F.col(order[1]) >= i0))
+    # the anchor's END: next marker of the anchor's level
+    sp = paired(thread, order, chunk_seconds).where(F.col("id") == a["id"]).select(
+        "lvl", "end_id", "end_time").collect()[0]
+    rows = depth_all_rows(thread.where(from_anchor), order, chunk_seconds)
+    if sp["end_time"] is not None:
+        t1, i1 = F.lit(sp["end_time"]).cast("timestamp_ntz"), F.lit(sp["end_id"])
+        rows = rows.where((F.col(order[0]) < t1) | ((F.col(order[0]) == t1) & (F.col(order[1]) <= i1)))
+    if strict:
+        seg = thread.where(from_anchor)
+        assert_no_mismatch(seg, order=order, chunk_seconds=chunk_seconds)
+    return rows
+
+
+def call_messages(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
+                  chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """Every message row with the stack depth it is logged at and the
+    innermost open call (the last BEG at that level before it)."""
+    from .ordered import nearest_marked
+
+    d = depth_all_rows(logs, order, chunk_seconds).where(
+        (F.col("message") == BEGIN_MARK) | ~is_marker())
+    payload = F.struct(F.col("function"), F.col("id"))
+    r = nearest_marked(d, [*THREAD, "depth"], order, F.col("message") == BEGIN_MARK, payload, "__fl_frame",
+                       time_chunk(order[0], chunk_seconds), "prev")
+    return r.where(~is_marker()).select(
+        "node", "tid", "id", "depth", F.col("__fl_frame.function").alias("frame_function"),
+        F.col("__fl_frame.id").alias("frame_id"))
+
+
+# ---------------------------------------------------------------- render
+
+def indent(text: Column, n: Column) -> Column:
+    """Four spaces per level, and ``| `` once the level is above 0, before
+    every line of ``text``."""
+    pad = F.concat(F.repeat(F.lit("    "), n), F.when(n > 0, F.lit("| ")).otherwise(F.lit("")))
+    return F.regexp_replace(text, "(?m)^", F.replace(pad, F.lit("\\"), F.lit("\\\\")))
+
+
+def short_time(t: Column | str) -> Column:
+    """HH:MM:SS.ffffff without trailing zeros (a whole second keeps its dot)."""
+    c = F.col(t) if isinstance(t, str) else t
+    return F.rtrim(F.date_format(c, "HH:mm:ss.SSSSSS"), F.lit("0"))
+
+
+def seconds_2dp(micros: Column) -> Column:
+    """A non-negative duration in microseconds as seconds with two
+    decimals, half up."""
+    c = F.floor((micros + F.lit(5000)) / F.lit(10000)).cast("long")
+    return F.concat((c / 100).cast("long").cast("string"), F.lit("."),
+                    F.lpad((c % 100).cast("string"), 2, "0"))
+
+
+def render_tree(logs: DataFrame, recovered: DataFrame | None = None, order: Sequence[str] = DEFAULT_ORDER,
+                chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """Call-tree text of every thread: a ``BEGIN f()`` line per BEG and an
+    ``END f() [duration: ...]`` line per END that closes one, indented by
+    level.  ``recovered`` (from :func:`fleetlog.operators.recover.recover_logs`)
+    supplies full names and locations."""
+    src = recovered if recovered is not None else logs.select(
+        "*", F.col("function").alias("rec_function"), path_of("fileline").alias("rec_path"),
+        F.split_part(F.col("fileline"), F.lit(":"), F.lit(2)).alias("rec_line"))
+    d = with_depth(src, order, chunk_seconds)
+    cols = ["message", "puttime"]
+    p = prev_in_group(d, [*THREAD, "lvl"], order, cols, ["beg_message", "beg_time"],
+                      time_chunk(order[0], chunk_seconds))
+    loc = F.concat(F.lit("["), F.col("rec_path"), F.lit(":"), F.col("rec_line").cast("string"), F.lit("]"))
+    fn = F.concat(F.col("rec_function"), F.lit("()"))
+    begin = F.concat(F.lit("BEGIN  "), fn, F.lit("        ["), short_time("puttime"), F.lit("]  "), loc)
+    dur = epoch_micros("puttime") - epoch_micros("beg_time")
+    end = F.concat(F.lit("END  "), fn, F.lit("        [duration:"), seconds_2dp(dur), F.lit("s  "),
+                   short_time("puttime"), F.lit("]  "), loc)
+    is_beg = F.col("message") == BEGIN_MARK
+    closes = (F.col("message") == END_MARK) & (F.col("beg_message") == BEGIN_MARK)
+    return (p.where(is_beg | closes)
+            .select("node", "tid", "id",
+                    indent(F.when(is_beg, begin).otherwise(end), F.col("lvl") - 1).alias("text")))

@@ -407,3 +407,38 @@ def q_fuzzy_functions(spark, sf_dir):
     a = read_table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
     b = _docs(spark, sf_dir).select(F.explode(tx.porter_tokens("text")).alias("target"))
     return fuzzy.fuzzy_match(a, b.where(F.col("target").rlike(fuzzy.IDENTIFIER_RE)), 2)
+
+
+# ------------------------------------------------------- more call stacks
+
+@query("call_spans_lenient")
+def q_call_spans_lenient(spark, sf_dir):
+    from ..operators import lenient
+    spans, _ = lenient.lenient_fold(fixtures.logs(spark, sf_dir, mismatched=True))
+    return spans
+
+
+@query("call_mismatches_lenient")
+def q_call_mismatches_lenient(spark, sf_dir):
+    from ..operators import lenient
+    _, mism = lenient.lenient_fold(fixtures.logs(spark, sf_dir, mismatched=True))
+    return mism
+
+
+@query("callstack_one")
+def q_callstack_one(spark, sf_dir):
+    node, tid, task, at = ANCHOR
+    return stacks.callstack(fixtures.logs(spark, sf_dir), node, tid, task, at).select(
+        "node", "tid", "id", "message", "depth")
+
+
+@query("call_messages")
+def q_call_messages(spark, sf_dir):
+    return stacks.call_messages(fixtures.logs(spark, sf_dir))
+
+
+@query("render_callstack")
+def q_render_callstack(spark, sf_dir):
+    from ..operators import recover
+    lg = fixtures.logs(spark, sf_dir)
+    return stacks.render_tree(lg, recover.recover_logs(lg, fixtures.symbols(spark)))

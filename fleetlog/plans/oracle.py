@@ -342,3 +342,62 @@ b AS (SELECT DISTINCT target FROM (SELECT unnest(toks) AS target FROM d)
        WHERE regexp_full_match(target, '[a-z_][a-z0-9_]*'))
 SELECT word, target, CAST(levenshtein(word, target) AS BIGINT) AS distance FROM a, b
 WHERE levenshtein(word, target) <= 2""")
+
+
+# ------------------------------------------------------- more call stacks
+
+LP = """, lp AS (SELECT l.*, p.pos, p.cyc FROM logs l JOIN p ON l.id = p.event_id)"""
+
+sql("call_spans_lenient", with_logs(LP + """,
+b AS (SELECT * FROM lp WHERE message = 'BEG'),
+e AS (SELECT * FROM lp WHERE message = 'END')
+SELECT b.node, b.tid, b.id, b.function,
+       CAST(2 * floor((b.cyc + 5) / 11) + CASE b.pos WHEN 0 THEN 1 WHEN 1 THEN 2
+            ELSE CASE WHEN b.cyc % 11 = 5 THEN 3 ELSE 2 END END AS INTEGER) AS depth,
+       e.id AS end_id, e.puttime AS end_time
+FROM b LEFT JOIN e ON e.node = b.node AND e.tid = b.tid AND e.cyc = b.cyc
+  AND e.pos = CASE b.pos WHEN 0 THEN 7 WHEN 1 THEN 3 ELSE 5 END
+  AND NOT (b.pos IN (0, 1) AND b.cyc % 11 = 5)""", mismatched=True))
+
+sql("call_mismatches_lenient", with_logs(LP + """
+SELECT node, tid, id, puttime, function FROM lp WHERE message = 'END' AND cyc % 11 = 5 AND pos IN (3, 7)""",
+                                        mismatched=True))
+
+sql("callstack_one", with_logs(f"""
+, a AS ({ANCHOR_SQL}),
+t AS (SELECT l.*, CAST(sum(CASE l.message WHEN 'BEG' THEN 1 WHEN 'END' THEN -1 ELSE 0 END)
+               OVER (ORDER BY l.puttime, l.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth
+      FROM logs l, a WHERE l.node = 'node-2' AND l.tid = 7
+        AND (l.puttime > a.puttime OR (l.puttime = a.puttime AND l.id >= a.id)))
+SELECT node, tid, id, message, depth FROM t
+WHERE NOT EXISTS (SELECT 1 FROM t z WHERE z.depth = 0
+                  AND (z.puttime < t.puttime OR (z.puttime = t.puttime AND z.id < t.id)))"""))
+
+sql("call_messages", with_logs("""
+, d AS (SELECT *, CAST(sum(CASE message WHEN 'BEG' THEN 1 WHEN 'END' THEN -1 ELSE 0 END) OVER (PARTITION BY node, tid
+             ORDER BY puttime, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth FROM logs),
+m AS (SELECT *,
+        last_value(CASE WHEN message = 'BEG' THEN function END IGNORE NULLS) OVER q AS frame_function,
+        last_value(CASE WHEN message = 'BEG' THEN id END IGNORE NULLS) OVER q AS frame_id
+      FROM d WHERE message <> 'END'
+      WINDOW q AS (PARTITION BY node, tid, depth ORDER BY puttime, id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT node, tid, id, depth, frame_function, frame_id FROM m WHERE message <> 'BEG'"""))
+
+sql("render_callstack", with_logs(resolve_sql(LOG_KEYS) + DEPTH_CTE.replace("FROM logs WHERE", "FROM rl WHERE").replace(
+    ", d AS (", """, rl AS (SELECT l.*, r.name AS rec_function, r.path AS rec_path, r.line AS rec_line
+             FROM logs l LEFT JOIN res r ON l.function = r.function AND l.fileline = r.fileline),
+d AS (""") + """,
+w AS (SELECT *, lag(message) OVER q AS beg_message, lag(puttime) OVER q AS beg_time FROM l
+      WINDOW q AS (PARTITION BY node, tid, lvl ORDER BY puttime, id)),
+x AS (SELECT *, (epoch_us(puttime) - epoch_us(beg_time) + 5000) // 10000 AS c,
+             repeat('    ', lvl - 1) || CASE WHEN lvl - 1 > 0 THEN '| ' ELSE '' END AS pad,
+             '[' || rec_path || ':' || CAST(rec_line AS VARCHAR) || ']' AS loc,
+             rtrim(strftime(puttime, '%H:%M:%S.%f'), '0') AS st
+      FROM w WHERE message = 'BEG' OR beg_message = 'BEG')
+SELECT node, tid, id,
+       pad || CASE WHEN message = 'BEG'
+                   THEN 'BEGIN  ' || rec_function || '()        [' || st || ']  ' || loc
+                   ELSE 'END  ' || rec_function || '()        [duration:' || CAST(c // 100 AS VARCHAR) || '.'
+                        || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || 's  ' || st || ']  ' || loc END AS text
+FROM x"""))
