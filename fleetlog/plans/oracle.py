@@ -350,13 +350,13 @@ LP = """, lp AS (SELECT l.*, p.pos, p.cyc FROM logs l JOIN p ON l.id = p.event_i
 
 sql("call_spans_lenient", with_logs(LP + """,
 b AS (SELECT * FROM lp WHERE message = 'BEG'),
-e AS (SELECT * FROM lp WHERE message = 'END')
+en AS (SELECT * FROM lp WHERE message = 'END')
 SELECT b.node, b.tid, b.id, b.function,
        CAST(2 * floor((b.cyc + 5) / 11) + CASE b.pos WHEN 0 THEN 1 WHEN 1 THEN 2
             ELSE CASE WHEN b.cyc % 11 = 5 THEN 3 ELSE 2 END END AS INTEGER) AS depth,
-       e.id AS end_id, e.puttime AS end_time
-FROM b LEFT JOIN e ON e.node = b.node AND e.tid = b.tid AND e.cyc = b.cyc
-  AND e.pos = CASE b.pos WHEN 0 THEN 7 WHEN 1 THEN 3 ELSE 5 END
+       en.id AS end_id, en.puttime AS end_time
+FROM b LEFT JOIN en ON en.node = b.node AND en.tid = b.tid AND en.cyc = b.cyc
+  AND en.pos = CASE b.pos WHEN 0 THEN 7 WHEN 1 THEN 3 ELSE 5 END
   AND NOT (b.pos IN (0, 1) AND b.cyc % 11 = 5)""", mismatched=True))
 
 sql("call_mismatches_lenient", with_logs(LP + """
