@@ -61,7 +61,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
             .rowsBetween(Window.unboundedPreceding, frame_end))
     local = d.withColumn("__fl_local", F.coalesce(F.sum(val).over(w_in), F.lit(0)))
 
-    totals = d.groupBy(*keys, _CHUNK).agg(F.sum(val).alias("__fl_tot"))
+    # Aggregated from the windowed rows: they are already clustered by
+    # (keys, chunk), so the totals need no shuffle of their own.
+    totals = local.groupBy(*keys, _CHUNK).agg(F.sum(val).alias("__fl_tot"))
     w_c = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, _CHUNK,
                             F.coalesce(F.sum("__fl_tot").over(w_c), F.lit(0)).alias("__fl_off"))
@@ -87,8 +89,9 @@ def next_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     nxt = "__fl_nxt"
     local = d.withColumn(nxt, F.lead(F.struct(*[F.col(c) for c in cols])).over(w_in))
 
-    # First row of every chunk, then the first row of the following chunk.
-    firsts = d.groupBy(*keys, _CHUNK).agg(
+    # First row of every chunk (from the windowed rows, already clustered by
+    # (keys, chunk)), then the first row of the following chunk.
+    firsts = local.groupBy(*keys, _CHUNK).agg(
         F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*_cols(order))).alias("__fl_first"))
     w_c = Window.partitionBy(*keys).orderBy(_CHUNK)
     following = firsts.select(*keys, _CHUNK, F.lead("__fl_first").over(w_c).alias("__fl_follow"))
@@ -110,7 +113,7 @@ def prev_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     prv = "__fl_prv"
     local = d.withColumn(prv, F.lag(F.struct(*[F.col(c) for c in cols])).over(w_in))
 
-    lasts = d.groupBy(*keys, _CHUNK).agg(
+    lasts = local.groupBy(*keys, _CHUNK).agg(
         F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*_cols(order))).alias("__fl_last"))
     w_c = Window.partitionBy(*keys).orderBy(_CHUNK)
     preceding = lasts.select(*keys, _CHUNK, F.lag("__fl_last").over(w_c).alias("__fl_prec"))
@@ -139,13 +142,13 @@ def nearest_marked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     if direction == "prev":
         local = d.withColumn("__fl_loc", F.last(pay, ignorenulls=True).over(
             w_in.rowsBetween(Window.unboundedPreceding, -1)))
-        edge = d.groupBy(*keys, _CHUNK).agg(F.max_by(pay, summary_ord).alias("__fl_edge"))
+        edge = local.groupBy(*keys, _CHUNK).agg(F.max_by(pay, summary_ord).alias("__fl_edge"))
         w_c = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         carry = edge.select(*keys, _CHUNK, F.last("__fl_edge", ignorenulls=True).over(w_c).alias("__fl_carry"))
     else:
         local = d.withColumn("__fl_loc", F.first(pay, ignorenulls=True).over(
             w_in.rowsBetween(1, Window.unboundedFollowing)))
-        edge = d.groupBy(*keys, _CHUNK).agg(F.min_by(pay, summary_ord).alias("__fl_edge"))
+        edge = local.groupBy(*keys, _CHUNK).agg(F.min_by(pay, summary_ord).alias("__fl_edge"))
         w_c = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(1, Window.unboundedFollowing)
         carry = edge.select(*keys, _CHUNK, F.first("__fl_edge", ignorenulls=True).over(w_c).alias("__fl_carry"))
     j = local.join(carry, [*keys, _CHUNK], "left")

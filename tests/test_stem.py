@@ -1,0 +1,39 @@
+"""Stemmers: Porter against SQLite's tokenizer, English Snowball samples."""
+
+import sqlite3
+
+from fleetlog.functions.stem import english_stem, porter_stem, stem_vocabulary
+
+PORTER_WORDS = ("caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled "
+                "sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional "
+                "rational valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli "
+                "vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti "
+                "sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness "
+                "revival allowance inference airliner gyroscopic adjustable defensible irritant replacement "
+                "adjustment dependent adoption homologou communism activate angulariti homologous effective "
+                "bowdlerize probate rate cease controll roll generalization oscillators archaeology").split()
+
+
+def test_porter_matches_sqlite():
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE tok USING fts3tokenize(porter)")
+    for w in PORTER_WORDS:
+        (s,), = db.execute("SELECT token FROM tok WHERE input = ?", (w,)).fetchall()
+        assert porter_stem(w) == s, w
+
+
+def test_english_samples():
+    cases = {"stored": "store", "storing": "store", "processing": "process", "running": "run",
+             "epochs": "epoch", "generously": "generous", "communication": "communic", "arsenal": "arsenal",
+             "caresses": "caress", "ponies": "poni", "ties": "tie", "cats": "cat", "agreed": "agre",
+             "hopping": "hop", "hoping": "hope", "sky": "sky", "dying": "die", "skies": "sky",
+             "innings": "inning", "proceeding": "proceed", "happiness": "happi", "traditional": "tradit",
+             "national": "nation", "hopefully": "hope", "meetings": "meet", "disabled": "disabl"}
+    for w, s in cases.items():
+        assert english_stem(w) == s, w
+
+
+def test_vocabulary_job_is_distinct(spark):
+    df = spark.createDataFrame([("running",), ("running",), ("stored",)], "word string")
+    v = stem_vocabulary(df, "word", "english").collect()
+    assert sorted((r["word"], r["stem"]) for r in v) == [("running", "run"), ("stored", "store")]
