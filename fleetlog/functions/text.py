@@ -58,11 +58,26 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(_c(text), ASCII_UPPER, ASCII_LOWER)
 
 
+def _only_chars(tok: Column, chars: str) -> Column:
+    """True when tok consists of the given characters only (no regex)."""
+    return F.length(F.translate(tok, chars, "")) == 0
+
+
+def _has_any(tok: Column, chars: str) -> Column:
+    return F.length(F.translate(tok, chars, "")) < F.length(tok)
+
+
+def is_stemmable(tok: Column) -> Column:
+    """3..20 lower-case ASCII letters: the tokens Porter stems."""
+    n = F.length(tok)
+    return (n >= 3) & (n <= 20) & _only_chars(tok, ASCII_LOWER)
+
+
 def porter_cut(tok: Column) -> Column:
     """The copy rule for tokens the Porter stemmer does not take."""
     n = F.length(tok)
-    digit = tok.rlike("[0-9]")
-    return (F.when(tok.rlike(STEMMABLE_RE), tok)
+    digit = _has_any(tok, "0123456789")
+    return (F.when(is_stemmable(tok), tok)
             .when(digit & (n > 6), F.concat(F.substring(tok, 1, 3), F.substring(tok, -3, 3)))
             .when(~digit & (n > 20), F.concat(F.substring(tok, 1, 10), F.substring(tok, -10, 10)))
             .otherwise(tok))

@@ -53,23 +53,52 @@ def _arr(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def term(word: str, col: str | Column = TOKENS, **kw) -> Column:
-    return F.array_contains(_arr(col), F.lit(query_term(word, **kw)))
+def _seen(text: str | Column | None, needle: str, pred: Column) -> Column:
+    """Guard ``pred`` with a substring test on the case-folded raw text:
+    a token can only be there if its characters are.  AND evaluates left
+    to right, so rows without the substring are never tokenized."""
+    if text is None or not needle:
+        return pred
+    t = F.col(text) if isinstance(text, str) else text
+    return (F.instr(tx.ascii_lower(t), needle) > 0) & pred
+
+
+def _raw(word: str) -> str:
+    """The part of an analyzed query word that must appear verbatim in the
+    case-folded text: a token may have been cut to its first and last 3
+    (with a digit) or 10 (20 characters long) characters, so only that
+    first part is certain."""
+    if any(c in "0123456789" for c in word):
+        return word[:3]
+    if len(word) >= 20:
+        return word[:10]
+    return word
+
+
+def term(word: str, col: str | Column = TOKENS, text: str | Column | None = None, **kw) -> Column:
+    """Token equal to the analyzed word.  ``text``: the raw text column, to
+    skip tokenizing rows that cannot match."""
+    q = query_term(word, **kw)
+    needle = _raw(q) if not kw.get("stem") else ""
+    return _seen(text, needle, F.array_contains(_arr(col), F.lit(q)))
 
 
-def prefix(p: str, col: str | Column = TOKENS, **kw) -> Column:
+def prefix(p: str, col: str | Column = TOKENS, text: str | Column | None = None, **kw) -> Column:
     """``p*``: any token starting with the analyzed ``p``."""
     q = query_term(p, **kw)
-    return F.exists(_arr(col), lambda x: x.startswith(q))
+    needle = _raw(q) if not kw.get("stem") else ""
+    return _seen(text, needle, F.exists(_arr(col), lambda x: x.startswith(q)))
 
 
-def phrase(words: Sequence[str], col: str | Column = TOKENS, **kw) -> Column:
+def phrase(words: Sequence[str], col: str | Column = TOKENS, text: str | Column | None = None,
+           **kw) -> Column:
     """The words as consecutive tokens.  Tokens never hold an ASCII space,
     so this is a substring test on the space-joined token list (the token
     array is built once per row)."""
     qs = [query_term(w, **kw) for w in words]
     joined = F.concat(F.lit(" "), F.array_join(_arr(col), " "), F.lit(" "))
-    return F.instr(joined, " " + " ".join(qs) + " ") > 0
+    needle = max((_raw(q) for q in qs), key=len) if not kw.get("stem") else ""
+    return _seen(text, needle, F.instr(joined, " " + " ".join(qs) + " ") > 0)
 
 
 def positions(word: str, col: str | Column = TOKENS, **kw) -> Column:
@@ -79,9 +108,13 @@ def positions(word: str, col: str | Column = TOKENS, **kw) -> Column:
     return F.filter(idx, lambda p: p.isNotNull())
 
 
-def near(a_word: str, b_word: str, k: int = NEAR_DEFAULT, col: str | Column = TOKENS, **kw) -> Column:
+def near(a_word: str, b_word: str, k: int = NEAR_DEFAULT, col: str | Column = TOKENS,
+         text: str | Column | None = None, **kw) -> Column:
     """``a NEAR/k b``: an ``a`` and a ``b`` with at most k tokens between
     them, in either order."""
+    if text is not None and not kw.get("stem"):
+        guard = _seen(text, _raw(query_term(a_word, **kw)), F.lit(True))
+        return guard & near(a_word, b_word, k, col, None, **kw)
     pa = positions(a_word, col, **kw)
     pb = positions(b_word, col, **kw)
     # every position within k+1 of an ``a`` (the ``a`` itself excluded)
@@ -103,7 +136,7 @@ def postings(df: DataFrame, ids: Sequence[str], text: str, analyzer: str = "port
     if analyzer == "porter":
         p = df.select(*ids, F.posexplode(tx.porter_tokens(text)).alias("pos", "term"))
         if stem == "porter":
-            p = stm.stem_tokens(p, "term", "porter", only=F.col("term").rlike(tx.STEMMABLE_RE))
+            p = stm.stem_tokens(p, "term", "porter", only=tx.is_stemmable(F.col("term")))
         return p
     if analyzer == "words":
         main = df.select(*ids, F.explode(tx.word_tokens(text)).alias("term"))

@@ -331,37 +331,37 @@ def q_posting_lookup(spark, sf_dir):
 
 @query("search_term")
 def q_search_term(spark, sf_dir):
-    return _doc_search(spark, sf_dir, lambda s: s.term("license"))
+    return _doc_search(spark, sf_dir, lambda s: s.term("license", text="text"))
 
 
 @query("search_prefix")
 def q_search_prefix(spark, sf_dir):
-    return _doc_search(spark, sf_dir, lambda s: s.prefix("Licen"))
+    return _doc_search(spark, sf_dir, lambda s: s.prefix("Licen", text="text"))
 
 
 @query("search_and")
 def q_search_and(spark, sf_dir):
-    return _doc_search(spark, sf_dir, lambda s: s.term("mit") & s.term("license"))
+    return _doc_search(spark, sf_dir, lambda s: s.term("mit", text="text") & s.term("license", text="text"))
 
 
 @query("search_or")
 def q_search_or(spark, sf_dir):
-    return _doc_search(spark, sf_dir, lambda s: s.term("stupid") | s.term("worthless"))
+    return _doc_search(spark, sf_dir, lambda s: s.term("stupid", text="text") | s.term("worthless", text="text"))
 
 
 @query("search_not")
 def q_search_not(spark, sf_dir):
-    return _doc_search(spark, sf_dir, lambda s: s.term("license") & ~s.term("mit"))
+    return _doc_search(spark, sf_dir, lambda s: s.term("license", text="text") & ~s.term("mit", text="text"))
 
 
 @query("search_phrase")
 def q_search_phrase(spark, sf_dir):
-    return _doc_search(spark, sf_dir, lambda s: s.phrase(["thtionea", "from", "eainan"]))
+    return _doc_search(spark, sf_dir, lambda s: s.phrase(["thtionea", "from", "eainan"], text="text"))
 
 
 @query("search_near")
 def q_search_near(spark, sf_dir):
-    return _doc_search(spark, sf_dir, lambda s: s.near("thtionea", "ertionnd", 3))
+    return _doc_search(spark, sf_dir, lambda s: s.near("thtionea", "ertionnd", 3, text="text"))
 
 
 @query("search_semi")
@@ -394,7 +394,7 @@ def q_stem_vocabulary_porter(spark, sf_dir):
     from ..functions import stem as stm
     from ..functions import text as tx
     words = _docs(spark, sf_dir).select(F.explode(tx.porter_tokens("text")).alias("word"))
-    return stm.stem_vocabulary(words.where(F.col("word").rlike(tx.STEMMABLE_RE)), "word", "porter")
+    return stm.stem_vocabulary(words.where(tx.is_stemmable(F.col("word"))), "word", "porter")
 
 
 @query("fuzzy_functions")

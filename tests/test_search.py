@@ -92,3 +92,15 @@ def test_words_analyzer_literals(spark):
                     "a::b::cde", "foo", "bar", "baz"]
     full = set(df.select(tx.expand_tokens(tx.word_tokens("text")).alias("t")).first()["t"])
     assert {"02081dcd", "m_blockhash", "blockhash", "46667", "218", ":cde"} <= full
+
+
+def test_prefilter_keeps_cut_tokens(spark):
+    """A cut token is not a substring of the text; the guard must not lose it."""
+    df = search.with_tokens(spark.createDataFrame(
+        [(1, "hash 9536a3d7f4a5e504f30fa882cd8d98b4994a here"),
+         (2, "Internationalizationprocessing is long")], "doc_id long, text string"), "text")
+    assert _ids(df, search.term("9536a3d7f4a5e504f30fa882cd8d98b4994a", text="text")) == [1]
+    assert _ids(df, search.term("95394a", text="text")) == [1]
+    assert _ids(df, search.term("internationalizationprocessing", text="text")) == [2]
+    assert _ids(df, search.phrase(["is", "long"], text="text")) == [2]
+    assert _ids(df, ~search.term("here", text="text")) == [2]
