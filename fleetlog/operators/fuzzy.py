@@ -46,6 +46,12 @@ def fuzzy_match(words: DataFrame, targets: DataFrame, k: int = 2,
     """(word, target, distance) for every pair within edit distance k."""
     a = words.select(F.col(word_col).alias("word")).where(F.col("word").isNotNull()).distinct()
     b = targets.select(F.col(target_col).alias("target")).where(F.col("target").isNotNull()).distinct()
+    # Exact length band: edit distance is at least the length difference.
+    lo, hi = a.agg(F.min(F.length("word")), F.max(F.length("word"))).first()
+    if lo is None:
+        return a.select("word", F.lit(None).cast("string").alias("target"),
+                        F.lit(None).cast("long").alias("distance")).limit(0)
+    b = b.where(F.length("target").between(max(lo - k, 0), hi + k))
     av = a.select("word", F.explode(deletion_variants(F.col("word"), k)).alias("v"))
     bv = b.select("target", F.explode(deletion_variants(F.col("target"), k)).alias("v"))
     # Size check: broadcast the word side's variants only when small.
