@@ -30,27 +30,33 @@ def stored_nodes(spark: SparkSession, root: str) -> list[str]:
     return sorted(out)
 
 
-def write_logs(logs: DataFrame, root: str, num_partitions: int | None = None) -> list[str]:
+def write_logs(logs: DataFrame, root: str, range_partition: bool = False,
+               num_partitions: int | None = None, bloom: bool = True) -> list[str]:
     """Append ``logs`` to the table at ``root``, partitioned by node.
 
     Nodes already stored are refused (their rows are skipped and the node
-    names returned), so a node is never indexed twice.  Rows are range
-    partitioned by (node, puttime) and sorted by puttime inside every file:
-    each file then covers a narrow time range and its row-group statistics
-    let time-range filters skip data; bloom filters serve equality lookups.
-    The write job commits all-or-nothing.
+    names returned), so a node is never indexed twice.  Every output file is
+    sorted by puttime, so row-group statistics let time-range filters skip
+    data; bloom filters serve equality lookups.  The job commits
+    all-or-nothing.
+
+    Rows from the text scan are already time-local (one split = a stretch
+    of one node's log), so the default sorts inside each task and writes
+    without a shuffle.  ``range_partition`` first range-partitions by
+    (node, puttime) -- one extra sampling pass and a full shuffle -- for
+    inputs whose tasks mix all times (e.g. the output of a join).
     """
     spark = logs.sparkSession
     skipped = stored_nodes(spark, root)
     if skipped:
         logs = logs.where(~F.col("node").isin(skipped))
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    w = (logs.select(*LOG_COLUMNS)
-         .repartitionByRange(n, "node", "puttime")
-         .sortWithinPartitions("node", "puttime", "id")
-         .write.mode("append").partitionBy("node"))
+    out = logs.select(*LOG_COLUMNS)
+    if range_partition:
+        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        out = out.repartitionByRange(n, "node", "puttime")
+    w = out.sortWithinPartitions("node", "puttime", "id").write.mode("append").partitionBy("node")
     w = w.option("parquet.bloom.filter.enabled", "false")
-    for c in BLOOM_COLUMNS:
+    for c in BLOOM_COLUMNS if bloom else ():
         w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
     w.parquet(root)
     return skipped
