@@ -15,9 +15,12 @@ but not one task per thread.  Two phases:
    frames, one row per chunk) are composed in chunk order, which settles
    the deferred ENDs and gives every chunk its incoming stack size.
 
-The per-row results are joined back.  Phase 1 is bounded by the chunk size;
-phase 2 by the frames that stay open across chunk borders plus one row per
-chunk.
+The per-row results are joined back.  Phase 1 is bounded by the chunk size.
+Phase 2 sees, per thread, one row per chunk, the frames a chunk leaves open
+(at most the stack growth inside that chunk: they are its local stack at
+the chunk end) and the ENDs that reach below a chunk's own frames (at most
+the stack depth at the chunk start, plus mismatches) -- bounded by the time
+span and the stack depth, not by the thread's row count.
 """
 
 from __future__ import annotations

@@ -160,9 +160,19 @@ def log_postings(logs: DataFrame, stem: str | None = None) -> DataFrame:
             .select("node", "id", F.col("term").alias("word"), F.lit(0).alias("type")))
 
 
-def lookup(post: DataFrame, words: DataFrame, word_col: str = "word") -> DataFrame:
-    """Postings of every query word (equi-join on the term)."""
-    return post.join(words.select(F.col(word_col).alias("term")).distinct(), "term")
+# Broadcast the query word list only below this many distinct words.
+LOOKUP_BROADCAST_WORDS = 1_000_000
+
+
+def lookup(post: DataFrame, words: DataFrame, word_col: str = "word",
+           broadcast_words: int = LOOKUP_BROADCAST_WORDS) -> DataFrame:
+    """Postings of every query word (equi-join on the term).  A hot term
+    holds a large share of the postings, so the word list is broadcast when
+    its counted size allows and the postings are never shuffled by term."""
+    w = words.select(F.col(word_col).alias("term")).distinct()
+    if w.count() <= broadcast_words:
+        w = F.broadcast(w)
+    return post.join(w, "term")
 
 
 def hits(post: DataFrame, ids: Sequence[str], word: str, **kw) -> DataFrame:
