@@ -35,6 +35,15 @@ def epoch_micros(c: Column | str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
 
 
+def ntz_literal(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a Python datetime or text, without going
+    through any time zone."""
+    import datetime as _dt
+    if isinstance(value, _dt.datetime):
+        value = value.strftime("%Y-%m-%d %H:%M:%S.%f")
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def time_chunk(c: Column | str, seconds: int = DEFAULT_CHUNK_SECONDS) -> Column:
     """Order-preserving bucket of a timestamp, ``seconds`` wide."""
     return F.floor(epoch_micros(c) / F.lit(int(seconds) * 1_000_000)).cast("long")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BEGIN_MARK, DEFAULT_ORDER, LOG_COLUMNS
-from .ordered import DEFAULT_CHUNK_SECONDS, epoch_micros, nearest_marked, time_chunk
+from .ordered import DEFAULT_CHUNK_SECONDS, epoch_micros, nearest_marked, ntz_literal, time_chunk
 from .stacks import task_key
 
 DEFAULT_START = "1970-01-01"
@@ -88,8 +88,8 @@ def nearest_entry(logs: DataFrame, node: str, tid: int, task: str, at: str | Non
 def _at_literal(at: str | None, now: dt.datetime | None) -> Column:
     if at is None or at.strip().lower() == "now":
         t = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        return F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
-    return F.lit(at).cast("timestamp_ntz")
+        return ntz_literal(t)
+    return ntz_literal(at)
 
 
 def nearest_entries(logs: DataFrame, probes: DataFrame,
@@ -132,7 +132,7 @@ def nearest_entries(logs: DataFrame, probes: DataFrame,
 def rows_from(logs: DataFrame, node: str, tid: int, start_time, start_id,
               order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
     """Rows of one thread from a row on (in row order)."""
-    t = F.lit(start_time).cast("timestamp_ntz") if not isinstance(start_time, Column) else start_time
+    t = start_time if isinstance(start_time, Column) else ntz_literal(start_time)
     after = (F.col(order[0]) > t) | ((F.col(order[0]) == t) & (F.col(order[1]) >= F.lit(start_id)))
     return logs.where((F.col("node") == node) & (F.col("tid") == F.lit(tid)) & after)
 

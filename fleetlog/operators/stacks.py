@@ -138,14 +138,15 @@ def callstack(logs: DataFrame, node: str, tid: int, task: str, at: str | None =
     if not anchor:
         raise ValueError("Stack entry not found")
     a = anchor[0]
-    t0, i0 = F.lit(a["puttime"]).cast("timestamp_ntz"), F.lit(a["id"])
+    from .ordered import ntz_literal
+    t0, i0 = ntz_literal(a["puttime"]), F.lit(a["id"])
     from_anchor = (F.col(order[0]) > t0) | ((F.col(order[0]) == t0) & (F.col(order[1]) >= i0))
     # the anchor's END: next marker of the anchor's level
     sp = paired(thread, order, chunk_seconds).where(F.col("id") == a["id"]).select(
         "lvl", "end_id", "end_time").collect()[0]
     rows = depth_all_rows(thread.where(from_anchor), order, chunk_seconds)
     if sp["end_time"] is not None:
-        t1, i1 = F.lit(sp["end_time"]).cast("timestamp_ntz"), F.lit(sp["end_id"])
+        t1, i1 = ntz_literal(sp["end_time"]), F.lit(sp["end_id"])
         rows = rows.where((F.col(order[0]) < t1) | ((F.col(order[0]) == t1) & (F.col(order[1]) <= i1)))
     if strict:
         seg = thread.where(from_anchor)
