@@ -45,6 +45,7 @@ WHITESPACE_RE = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a
 DELIMITER_RE = "[=,]+"
 # ASCII punctuation (Python's string.punctuation) as a character class.
 PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
+PUNCT_CHARS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 STRIP_PUNCT_RE = f"^{PUNCT_CLASS}+|{PUNCT_CLASS}+$"
 ALNUM_RE = r"^[\p{L}\p{N}]+$"
 SUBTOKEN_RE = r"(?s)(.\P{Punct}*)\p{Punct}?"
@@ -116,7 +117,7 @@ def word_tokens(text: Column | str) -> Column:
     """Main tokens of the words analyzer, unstemmed, in order (may repeat)."""
     parts = F.split(F.lower(_c(text)), WHITESPACE_RE)
     pieces = F.flatten(F.transform(parts, lambda p: F.split(p, DELIMITER_RE)))
-    stripped = F.transform(pieces, lambda p: F.regexp_replace(p, STRIP_PUNCT_RE, ""))
+    stripped = F.transform(pieces, lambda p: F.btrim(p, F.lit(PUNCT_CHARS)))
     return F.filter(stripped, _keep)
 
 

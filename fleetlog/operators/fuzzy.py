@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 
 # Identifier-like words (function names): what the matcher is meant for.
 IDENTIFIER_RE = "^[a-z_][a-z0-9_]*$"
+
+
+def is_identifier(w: Column) -> Column:
+    """``IDENTIFIER_RE`` without a regex: only [a-z0-9_], not starting with
+    a digit."""
+    rest = F.translate(w, "abcdefghijklmnopqrstuvwxyz0123456789_", "")
+    return (F.length(w) > 0) & (F.length(rest) == 0) & ~F.substring(w, 1, 1).isin(*"0123456789")
 # Broadcast the variant table of the smaller list only below this size.
 VARIANT_BROADCAST_ROWS = 2_000_000
 

@@ -1,0 +1,17 @@
+"""Parallelism guard for CPU-heavy per-row work (text analysis)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster's cores when its input has fewer
+    partitions than that (a few large files or row groups).  Large inputs
+    already have more splits than cores and are returned unchanged, so no
+    shuffle is added at scale."""
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import stem as stm
 from ..functions import text as tx
 from ..schema import BEGIN_MARK, END_MARK
+from .parallel import spread
 
 TOKENS = "tokens"
 NEAR_DEFAULT = 10
@@ -31,6 +32,7 @@ NEAR_DEFAULT = 10
 
 def with_tokens(df: DataFrame, text: str, analyzer: str = "porter", out: str = TOKENS) -> DataFrame:
     """Add the ordered (unstemmed) token array of ``text``."""
+    df = spread(df)
     if analyzer == "porter":
         return df.withColumn(out, tx.porter_tokens(text))
     if analyzer == "words":
@@ -133,6 +135,7 @@ def postings(df: DataFrame, ids: Sequence[str], text: str, analyzer: str = "port
     words: (ids..., term) -- the distinct analyzed set, no positions.
     """
     ids = list(ids)
+    df = spread(df)
     if analyzer == "porter":
         p = df.select(*ids, F.posexplode(tx.porter_tokens(text)).alias("pos", "term"))
         if stem == "porter":

@@ -275,8 +275,9 @@ def q_list_functions(spark, sf_dir):
 # -------------------------------------------------------------------- text
 
 def _docs(spark, sf_dir):
+    from ..operators.parallel import spread
     from ..session import read_table
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def _doc_search(spark, sf_dir, pred_fn):
@@ -407,7 +408,7 @@ def q_fuzzy_functions(spark, sf_dir):
     from ..session import read_table
     a = read_table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
     b = _docs(spark, sf_dir).select(F.explode(tx.porter_tokens("text")).alias("target"))
-    return fuzzy.fuzzy_match(a, b.where(F.col("target").rlike(fuzzy.IDENTIFIER_RE)), 2)
+    return fuzzy.fuzzy_match(a, b.where(fuzzy.is_identifier(F.col("target"))), 2)
 
 
 # ------------------------------------------------------- more call stacks
