@@ -49,12 +49,21 @@ def time_chunk(c: Column | str, seconds: int = DEFAULT_CHUNK_SECONDS) -> Column:
     return F.floor(epoch_micros(c) / F.lit(int(seconds) * 1_000_000)).cast("long")
 
 
+def _with_chunk(df: DataFrame, chunk: Column | str) -> tuple[DataFrame, str, bool]:
+    """Use an existing chunk column (by name) or add one.  Reusing the
+    column of an earlier scan keeps Spark aware that the rows are already
+    clustered by it, so chained scans share one shuffle."""
+    if isinstance(chunk, str):
+        return df, chunk, False
+    return df.withColumn(_CHUNK, chunk), _CHUNK, True
+
+
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                value: Column, out: str, chunk: Column,
+                value: Column, out: str, chunk: Column | str,
                 inclusive: bool = True) -> DataFrame:
     """Add ``out`` = running sum of ``value`` within ``keys`` in ``order``.
 
@@ -64,22 +73,22 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     """
     keys = list(keys)
     val = "__fl_val"
-    d = df.withColumn(_CHUNK, chunk).withColumn(val, value)
+    d, ch, added = _with_chunk(df, chunk)
+    d = d.withColumn(val, value)
     frame_end = 0 if inclusive else -1
-    w_in = (Window.partitionBy(*keys, _CHUNK).orderBy(*_cols(order))
+    w_in = (Window.partitionBy(*keys, ch).orderBy(*_cols(order))
             .rowsBetween(Window.unboundedPreceding, frame_end))
     local = d.withColumn("__fl_local", F.coalesce(F.sum(val).over(w_in), F.lit(0)))
 
-    # Aggregated from the windowed rows: they are already clustered by
-    # (keys, chunk), so the totals need no shuffle of their own.
-    totals = local.groupBy(*keys, _CHUNK).agg(F.sum(val).alias("__fl_tot"))
-    w_c = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, _CHUNK,
+    totals = local.groupBy(*keys, ch).agg(F.sum(val).alias("__fl_tot"))
+    w_c = Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, ch,
                             F.coalesce(F.sum("__fl_tot").over(w_c), F.lit(0)).alias("__fl_off"))
 
-    return (local.join(offsets, [*keys, _CHUNK])
-            .withColumn(out, F.col("__fl_off") + F.col("__fl_local"))
-            .drop(_CHUNK, val, "__fl_local", "__fl_off"))
+    out_df = (local.join(offsets, [*keys, ch])
+              .withColumn(out, F.col("__fl_off") + F.col("__fl_local"))
+              .drop(val, "__fl_local", "__fl_off"))
+    return out_df.drop(ch) if added else out_df
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
@@ -89,49 +98,51 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 
 def next_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                  cols: Sequence[str], names: Sequence[str], chunk: Column) -> DataFrame:
+                  cols: Sequence[str], names: Sequence[str], chunk: Column | str) -> DataFrame:
     """Add ``names[i]`` = ``cols[i]`` of the next row of the same key group
     (``lead(col) over (partition by keys order by order)``)."""
     keys = list(keys)
-    d = df.withColumn(_CHUNK, chunk)
-    w_in = Window.partitionBy(*keys, _CHUNK).orderBy(*_cols(order))
+    d, _ch, added = _with_chunk(df, chunk)
+    w_in = Window.partitionBy(*keys, _ch).orderBy(*_cols(order))
     nxt = "__fl_nxt"
     local = d.withColumn(nxt, F.lead(F.struct(*[F.col(c) for c in cols])).over(w_in))
 
     # First row of every chunk (from the windowed rows, already clustered by
     # (keys, chunk)), then the first row of the following chunk.
-    firsts = local.groupBy(*keys, _CHUNK).agg(
+    firsts = local.groupBy(*keys, _ch).agg(
         F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*_cols(order))).alias("__fl_first"))
-    w_c = Window.partitionBy(*keys).orderBy(_CHUNK)
-    following = firsts.select(*keys, _CHUNK, F.lead("__fl_first").over(w_c).alias("__fl_follow"))
+    w_c = Window.partitionBy(*keys).orderBy(_ch)
+    following = firsts.select(*keys, _ch, F.lead("__fl_first").over(w_c).alias("__fl_follow"))
 
-    j = local.join(following, [*keys, _CHUNK], "left")
+    j = local.join(following, [*keys, _ch], "left")
     j = j.withColumn(nxt, F.coalesce(F.col(nxt), F.col("__fl_follow")))
     for c, n in zip(cols, names):
         j = j.withColumn(n, F.col(f"{nxt}.{c}"))
-    return j.drop(_CHUNK, nxt, "__fl_follow")
+    j = j.drop(nxt, "__fl_follow")
+    return j.drop(_ch) if added else j
 
 
 def prev_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                  cols: Sequence[str], names: Sequence[str], chunk: Column) -> DataFrame:
+                  cols: Sequence[str], names: Sequence[str], chunk: Column | str) -> DataFrame:
     """Add ``names[i]`` = ``cols[i]`` of the previous row of the same key
     group (``lag``)."""
     keys = list(keys)
-    d = df.withColumn(_CHUNK, chunk)
-    w_in = Window.partitionBy(*keys, _CHUNK).orderBy(*_cols(order))
+    d, _ch, added = _with_chunk(df, chunk)
+    w_in = Window.partitionBy(*keys, _ch).orderBy(*_cols(order))
     prv = "__fl_prv"
     local = d.withColumn(prv, F.lag(F.struct(*[F.col(c) for c in cols])).over(w_in))
 
-    lasts = local.groupBy(*keys, _CHUNK).agg(
+    lasts = local.groupBy(*keys, _ch).agg(
         F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*_cols(order))).alias("__fl_last"))
-    w_c = Window.partitionBy(*keys).orderBy(_CHUNK)
-    preceding = lasts.select(*keys, _CHUNK, F.lag("__fl_last").over(w_c).alias("__fl_prec"))
+    w_c = Window.partitionBy(*keys).orderBy(_ch)
+    preceding = lasts.select(*keys, _ch, F.lag("__fl_last").over(w_c).alias("__fl_prec"))
 
-    j = local.join(preceding, [*keys, _CHUNK], "left")
+    j = local.join(preceding, [*keys, _ch], "left")
     j = j.withColumn(prv, F.coalesce(F.col(prv), F.col("__fl_prec")))
     for c, n in zip(cols, names):
         j = j.withColumn(n, F.col(f"{prv}.{c}"))
-    return j.drop(_CHUNK, prv, "__fl_prec")
+    j = j.drop(prv, "__fl_prec")
+    return j.drop(_ch) if added else j
 
 
 def nearest_marked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],

@@ -38,12 +38,17 @@ def seconds_between(a: Column | str, b: Column | str) -> Column:
     return (epoch_micros(b) - epoch_micros(a)) / F.lit(1e6)
 
 
+TCHUNK = "__fl_tchunk"
+
+
 def with_depth(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
                chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """Marker rows with ``depth`` (stack size after the row) and ``lvl``."""
-    m = logs.where(is_marker())
+    """Marker rows with ``depth`` (stack size after the row), ``lvl`` and
+    the time-chunk column ``__fl_tchunk`` (kept so that scans chained on
+    the result reuse its clustering instead of shuffling again)."""
+    m = logs.where(is_marker()).withColumn(TCHUNK, time_chunk(order[0], chunk_seconds))
     delta = F.when(F.col("message") == BEGIN_MARK, F.lit(1)).otherwise(F.lit(-1))
-    d = running_sum(m, THREAD, order, delta, "depth", time_chunk(order[0], chunk_seconds))
+    d = running_sum(m, THREAD, order, delta, "depth", TCHUNK)
     d = d.withColumn("depth", F.col("depth").cast("int"))
     return d.withColumn("lvl", F.when(F.col("message") == BEGIN_MARK, F.col("depth"))
                         .otherwise(F.col("depth") + 1))
@@ -67,7 +72,7 @@ def paired(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
     cols = ["message", "id", "puttime", "function", "fileline"]
     return next_in_group(d, [*THREAD, "lvl"], order, cols,
                          ["end_message", "end_id", "end_time", "end_function", "end_fileline"],
-                         time_chunk(order[0], chunk_seconds))
+                         TCHUNK).drop(TCHUNK)
 
 
 def call_spans(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
@@ -86,7 +91,7 @@ def call_mismatches(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
     cols = ["message", "id", "puttime", "function", "fileline"]
     p = prev_in_group(d, [*THREAD, "lvl"], order, cols,
                       ["beg_message", "beg_id", "beg_time", "beg_function", "beg_fileline"],
-                      time_chunk(order[0], chunk_seconds))
+                      TCHUNK).drop(TCHUNK)
     bad = ((F.col("message") == END_MARK) & (F.col("beg_message") == BEGIN_MARK)
            & ((F.col("function") != F.col("beg_function"))
               | (path_of("fileline") != path_of("beg_fileline"))))
@@ -204,8 +209,7 @@ def render_tree(logs: DataFrame, recovered: DataFrame | None = None, order: Sequ
         F.split_part(F.col("fileline"), F.lit(":"), F.lit(2)).alias("rec_line"))
     d = with_depth(src, order, chunk_seconds)
     cols = ["message", "puttime"]
-    p = prev_in_group(d, [*THREAD, "lvl"], order, cols, ["beg_message", "beg_time"],
-                      time_chunk(order[0], chunk_seconds))
+    p = prev_in_group(d, [*THREAD, "lvl"], order, cols, ["beg_message", "beg_time"], TCHUNK).drop(TCHUNK)
     loc = F.concat(F.lit("["), F.col("rec_path"), F.lit(":"), F.col("rec_line").cast("string"), F.lit("]"))
     fn = F.concat(F.col("rec_function"), F.lit("()"))
     begin = F.concat(F.lit("BEGIN  "), fn, F.lit("        ["), short_time("puttime"), F.lit("]  "), loc)
