@@ -87,11 +87,14 @@ def recover_logs(logs: DataFrame, symbols: DataFrame,
     return logs.join(res, cond, "left").drop("__fl_fn", "__fl_fl")
 
 
-def list_functions(logs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Per node, every function entered (BEG rows) with its recovered name
-    and location: the name shows its first 20 characters and the rest in
-    brackets, padded to 55, then ``path:line``."""
+def list_functions(logs: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """Per node, every function entered (BEG rows), padded to 55, then its
+    location.  With ``symbols`` the recovered name and ``path:line`` are
+    shown, the name as its first 20 characters with the rest in brackets;
+    without, the logged function and fileline."""
     beg = logs.where(F.col("message") == "BEG").select("node", "function", "fileline").distinct()
+    if symbols is None:
+        return beg.select("node", F.format_string("%-55s  %s", F.col("function"), F.col("fileline")).alias("line"))
     keys = beg.select("function", "fileline").distinct()
     res = resolve_keys(keys, symbols)
     j = beg.join(res, ["function", "fileline"])

@@ -221,3 +221,45 @@ def render_tree(logs: DataFrame, recovered: DataFrame | None = None, order: Sequ
     return (p.where(is_beg | closes)
             .select("node", "tid", "id",
                     indent(F.when(is_beg, begin).otherwise(end), F.col("lvl") - 1).alias("text")))
+
+
+def callstack_text(logs: DataFrame, recovered: DataFrame, node: str, tid: int, task: str,
+                   at: str | None = None, show_msg: bool = True, order: Sequence[str] = DEFAULT_ORDER,
+                   chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """One task's call stack as text, one row per log row of the call:
+
+    * BEG: ``BEGIN  f()        [time]  [path:line]`` at the frame's level
+      (the task's own BEG is preceded by ``Start at <puttime>``);
+    * END: ``END  f()        [duration:S.SSs  time]  [path:line]``;
+    * with ``show_msg``, a message row: ``[LEVEL]  f()        [time]  [path:line]``
+      followed by the message, both at the current depth.
+
+    ``recovered`` is the log table with ``rec_function`` / ``rec_path`` /
+    ``rec_line`` (see :func:`fleetlog.operators.recover.recover_logs`).
+    """
+    rows = callstack(recovered, node, tid, task, at, order, chunk_seconds)
+    if not show_msg:
+        rows = rows.where(is_marker())
+    is_beg, is_end = F.col("message") == BEGIN_MARK, F.col("message") == END_MARK
+    # level of every row: BEG -> depth - 1, END -> depth after the pop, message -> depth
+    lvl_m = F.when(is_beg, F.col("depth")).when(is_end, F.col("depth") + 1).otherwise(F.lit(None))
+    rows = rows.withColumn("lvl", lvl_m).withColumn(TCHUNK, time_chunk(order[0], chunk_seconds))
+    markers = rows.where(is_marker())
+    paired_ends = prev_in_group(markers, [*THREAD, "lvl"], order, ["message", "puttime"],
+                                ["beg_message", "beg_time"], TCHUNK).select("id", "beg_time")
+    r = rows.join(paired_ends, "id", "left")
+    loc = F.concat(F.lit("["), F.col("rec_path"), F.lit(":"), F.col("rec_line").cast("string"), F.lit("]"))
+    fn = F.concat(F.col("rec_function"), F.lit("()"))
+    t = short_time("puttime")
+    begin = F.concat(F.lit("BEGIN  "), fn, F.lit("        ["), t, F.lit("]  "), loc)
+    dur = epoch_micros("puttime") - epoch_micros("beg_time")
+    end = F.concat(F.lit("END  "), fn, F.lit("        [duration:"), seconds_2dp(dur), F.lit("s  "), t,
+                   F.lit("]  "), loc)
+    msg_head = F.concat(F.lit("["), F.col("level"), F.lit("]  "), fn, F.lit("        ["), t, F.lit("]  "), loc)
+    msg = F.concat(msg_head, F.lit("\n"), indent(F.col("message"), F.col("depth")))
+    text = (F.when(is_beg, indent(begin, F.col("depth") - 1))
+            .when(is_end, indent(end, F.col("depth")))
+            .otherwise(indent(msg, F.col("depth"))))
+    start = F.when(is_beg & (F.col("depth") == 1),
+                   F.concat(F.lit("Start at "), F.date_format("puttime", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("\n")))
+    return r.select("node", "tid", "id", F.concat(F.coalesce(start, F.lit("")), text).alias("text"))

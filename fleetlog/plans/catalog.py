@@ -444,3 +444,17 @@ def q_render_callstack(spark, sf_dir):
     from ..operators import recover
     lg = fixtures.logs(spark, sf_dir)
     return stacks.render_tree(lg, recover.recover_logs(lg, fixtures.symbols(spark)))
+
+
+@query("render_callstack_one")
+def q_render_callstack_one(spark, sf_dir):
+    from ..operators import recover
+    lg = fixtures.logs(spark, sf_dir)
+    node, tid, task, at = ANCHOR
+    return stacks.callstack_text(lg, recover.recover_logs(lg, fixtures.symbols(spark)), node, tid, task, at)
+
+
+@query("list_functions_raw")
+def q_list_functions_raw(spark, sf_dir):
+    from ..operators import recover
+    return recover.list_functions(fixtures.logs(spark, sf_dir))

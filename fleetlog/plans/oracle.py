@@ -401,3 +401,41 @@ SELECT node, tid, id,
                    ELSE 'END  ' || rec_function || '()        [duration:' || CAST(c // 100 AS VARCHAR) || '.'
                         || lpad(CAST(c % 100 AS VARCHAR), 2, '0') || 's  ' || st || ']  ' || loc END AS text
 FROM x"""))
+
+
+sql("list_functions_raw", with_logs("""
+SELECT DISTINCT node, printf('%-55s  %s', function, fileline) AS line FROM logs WHERE message = 'BEG'"""))
+
+
+def _indent_sql(text: str, n: str) -> str:
+    pad = f"(repeat('    ', {n}) || CASE WHEN {n} > 0 THEN '| ' ELSE '' END)"
+    return f"regexp_replace({text}, '(^|\\n)', '\\1' || {pad}, 'g')"
+
+
+sql("render_callstack_one", with_logs(resolve_sql(LOG_KEYS) + f"""
+, a AS ({ANCHOR_SQL}),
+rl AS (SELECT l.*, r.name AS rec_function, r.path AS rec_path, r.line AS rec_line
+       FROM logs l LEFT JOIN res r ON l.function = r.function AND l.fileline = r.fileline),
+t AS (SELECT rl.*, CAST(sum(CASE rl.message WHEN 'BEG' THEN 1 WHEN 'END' THEN -1 ELSE 0 END)
+               OVER (ORDER BY rl.puttime, rl.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth
+      FROM rl, a WHERE rl.node = 'node-2' AND rl.tid = 7
+        AND (rl.puttime > a.puttime OR (rl.puttime = a.puttime AND rl.id >= a.id))),
+c AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM t z WHERE z.depth = 0
+                  AND (z.puttime < t.puttime OR (z.puttime = t.puttime AND z.id < t.id)))),
+cm AS (SELECT *, CASE message WHEN 'BEG' THEN depth WHEN 'END' THEN depth + 1 END AS lvl FROM c),
+cp AS (SELECT *, lag(message) OVER q AS beg_message, lag(puttime) OVER q AS beg_time FROM cm
+      WHERE message IN ('BEG', 'END') WINDOW q AS (PARTITION BY lvl ORDER BY puttime, id)),
+x AS (SELECT cm.*, cp.beg_time,
+             '[' || cm.rec_path || ':' || CAST(cm.rec_line AS VARCHAR) || ']' AS loc,
+             cm.rec_function || '()' AS fn,
+             rtrim(strftime(cm.puttime, '%H:%M:%S.%f'), '0') AS st,
+             (epoch_us(cm.puttime) - epoch_us(cp.beg_time) + 5000) // 10000 AS cc
+      FROM cm LEFT JOIN cp ON cm.id = cp.id)
+SELECT node, tid, id,
+  CASE WHEN message = 'BEG' AND depth = 1
+       THEN 'Start at ' || strftime(puttime, '%Y-%m-%d %H:%M:%S.%f') || chr(10) ELSE '' END ||
+  CASE WHEN message = 'BEG' THEN {_indent_sql("'BEGIN  ' || fn || '        [' || st || ']  ' || loc", "depth - 1")}
+       WHEN message = 'END' THEN {_indent_sql("'END  ' || fn || '        [duration:' || CAST(cc // 100 AS VARCHAR) || '.' || lpad(CAST(cc % 100 AS VARCHAR), 2, '0') || 's  ' || st || ']  ' || loc", "depth")}
+       ELSE {_indent_sql("'[' || level || ']  ' || fn || '        [' || st || ']  ' || loc || chr(10) || " + _indent_sql("message", "depth"), "depth")}
+  END AS text
+FROM x"""))
