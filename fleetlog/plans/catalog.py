@@ -100,7 +100,7 @@ def _stored(spark, sf_dir):
     from ..sources import store
     root = scratch_path(spark, "log-table")
     # the derived table comes out of joins, so its tasks mix all times
-    store.write_logs(fixtures.logs(spark, sf_dir), root, range_partition=True)
+    store.write_logs(fixtures.derive_logs(spark, sf_dir), root, range_partition=True)
     return store.read_stored(spark, root)
 
 

@@ -71,11 +71,36 @@ def logs_from_positions(p: DataFrame, mismatched: bool = False) -> DataFrame:
         message.alias("message"))
 
 
-def logs(spark: SparkSession, sf_dir: str, mismatched: bool = False) -> DataFrame:
-    """The log table derived from ``events`` (see module doc)."""
+def derive_logs(spark: SparkSession, sf_dir: str, mismatched: bool = False) -> DataFrame:
+    """The log table derived from ``events`` (see module doc), as a plan."""
     return logs_from_positions(events_positions(read_table(spark, sf_dir, "events")), mismatched)
 
 
+_STORED: dict[tuple[str, bool], str] = {}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def logs(spark: SparkSession, sf_dir: str, mismatched: bool = False) -> DataFrame:
+    """The log table derived from ``events``, stored once per session the
+    way ingested logs are (node-partitioned parquet below the shared
+    checkpoint folder) and read back from there."""
+    from ..session import scratch_path
+    from . import store
+
+    key = (sf_dir, mismatched)
+    path = _STORED.get(key)
+    if path is None or not _exists(spark, path):
+        path = scratch_path(spark, "logs-table")
+        store.write_logs(derive_logs(spark, sf_dir, mismatched), path, range_partition=True)
+        _STORED[key] = path
+    return store.read_stored(spark, path)
+
+
 # The symbol table used by the recovery tests, (name, path, line),
 # in table order.
 SYMBOLS = [
