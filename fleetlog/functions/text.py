@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 # Characters that separate porter tokens are the ASCII
 # characters other than letters, digits and underscore.
 PORTER_TOKEN_RE = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+"
+PORTER_DELIM_RE = r"[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 STEMMABLE_RE = "^[a-z]{3,20}$"
@@ -75,19 +76,23 @@ def is_stemmable(tok: Column) -> Column:
 
 
 def porter_cut(tok: Column) -> Column:
-    """The copy rule for tokens the Porter stemmer does not take."""
+    """The copy rule for tokens the Porter stemmer does not take: a token
+    with a digit longer than 6 keeps its first and last 3 characters, one
+    longer than 20 its first and last 10.  Tokens the stemmer takes (3..20
+    letters) never meet either condition."""
     n = F.length(tok)
     digit = _has_any(tok, "0123456789")
-    return (F.when(is_stemmable(tok), tok)
-            .when(digit & (n > 6), F.concat(F.substring(tok, 1, 3), F.substring(tok, -3, 3)))
-            .when(~digit & (n > 20), F.concat(F.substring(tok, 1, 10), F.substring(tok, -10, 10)))
+    return (F.when(n <= 6, tok)
+            .when(digit, F.concat(F.substring(tok, 1, 3), F.substring(tok, -3, 3)))
+            .when(n > 20, F.concat(F.substring(tok, 1, 10), F.substring(tok, -10, 10)))
             .otherwise(tok))
 
 
 def porter_tokens(text: Column | str) -> Column:
     """Ordered token array (positions matter for phrase / near), before
-    stemming; the copy rule is already applied."""
-    raw = F.regexp_extract_all(ascii_lower(text), F.lit(PORTER_TOKEN_RE), 0)
+    stemming; the copy rule is already applied.  Tokens are the non-empty
+    pieces between runs of delimiters."""
+    raw = F.filter(F.split(ascii_lower(text), PORTER_DELIM_RE), lambda x: x != "")
     return F.transform(raw, porter_cut)
 
 
