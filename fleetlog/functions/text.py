@@ -44,6 +44,9 @@ MIN_TOKEN_SIZE = 3
 WHITESPACE_RE = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
                  r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
 DELIMITER_RE = "[=,]+"
+# Splitting on whitespace and then on runs of = and , gives the same
+# non-empty pieces as one split on either.
+WORD_SPLIT_RE = WHITESPACE_RE[:-2] + "=,]+"
 # ASCII punctuation (Python's string.punctuation) as a character class.
 PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
 PUNCT_CHARS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -120,8 +123,7 @@ def _keep(tok: Column) -> Column:
 
 def word_tokens(text: Column | str) -> Column:
     """Main tokens of the words analyzer, unstemmed, in order (may repeat)."""
-    parts = F.split(F.lower(_c(text)), WHITESPACE_RE)
-    pieces = F.flatten(F.transform(parts, lambda p: F.split(p, DELIMITER_RE)))
+    pieces = F.split(F.lower(_c(text)), WORD_SPLIT_RE)
     stripped = F.transform(pieces, lambda p: F.btrim(p, F.lit(PUNCT_CHARS)))
     return F.filter(stripped, _keep)
 
