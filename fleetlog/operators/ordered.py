@@ -146,7 +146,7 @@ def prev_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 
 def nearest_marked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                   is_candidate: Column, payload: Column, out: str, chunk: Column,
+                   is_candidate: Column, payload: Column, out: str, chunk: Column | str,
                    direction: str = "prev") -> DataFrame:
     """Add ``out`` = ``payload`` of the nearest candidate row before
     (``prev``) or after (``next``) each row of the same key group, not
@@ -154,23 +154,24 @@ def nearest_marked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     probes are one sorted stream, no pair of rows is ever formed."""
     keys = list(keys)
     cand, pay = "__fl_cand", "__fl_pay"
-    d = df.withColumn(_CHUNK, chunk).withColumn(cand, is_candidate).withColumn(
-        pay, F.when(F.col(cand), payload))
+    d, ch, added = _with_chunk(df, chunk)
+    d = d.withColumn(cand, is_candidate).withColumn(pay, F.when(F.col(cand), payload))
     ordc = _cols(order)
-    w_in = Window.partitionBy(*keys, _CHUNK).orderBy(*ordc)
+    w_in = Window.partitionBy(*keys, ch).orderBy(*ordc)
     summary_ord = F.when(F.col(cand), F.struct(*ordc))
     if direction == "prev":
         local = d.withColumn("__fl_loc", F.last(pay, ignorenulls=True).over(
             w_in.rowsBetween(Window.unboundedPreceding, -1)))
-        edge = local.groupBy(*keys, _CHUNK).agg(F.max_by(pay, summary_ord).alias("__fl_edge"))
-        w_c = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carry = edge.select(*keys, _CHUNK, F.last("__fl_edge", ignorenulls=True).over(w_c).alias("__fl_carry"))
+        edge = local.groupBy(*keys, ch).agg(F.max_by(pay, summary_ord).alias("__fl_edge"))
+        w_c = Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
+        carry = edge.select(*keys, ch, F.last("__fl_edge", ignorenulls=True).over(w_c).alias("__fl_carry"))
     else:
         local = d.withColumn("__fl_loc", F.first(pay, ignorenulls=True).over(
             w_in.rowsBetween(1, Window.unboundedFollowing)))
-        edge = local.groupBy(*keys, _CHUNK).agg(F.min_by(pay, summary_ord).alias("__fl_edge"))
-        w_c = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(1, Window.unboundedFollowing)
-        carry = edge.select(*keys, _CHUNK, F.first("__fl_edge", ignorenulls=True).over(w_c).alias("__fl_carry"))
-    j = local.join(carry, [*keys, _CHUNK], "left")
-    return (j.withColumn(out, F.coalesce(F.col("__fl_loc"), F.col("__fl_carry")))
-            .drop(_CHUNK, cand, pay, "__fl_loc", "__fl_carry"))
+        edge = local.groupBy(*keys, ch).agg(F.min_by(pay, summary_ord).alias("__fl_edge"))
+        w_c = Window.partitionBy(*keys).orderBy(ch).rowsBetween(1, Window.unboundedFollowing)
+        carry = edge.select(*keys, ch, F.first("__fl_edge", ignorenulls=True).over(w_c).alias("__fl_carry"))
+    j = local.join(carry, [*keys, ch], "left")
+    j = (j.withColumn(out, F.coalesce(F.col("__fl_loc"), F.col("__fl_carry")))
+         .drop(cand, pay, "__fl_loc", "__fl_carry"))
+    return j.drop(ch) if added else j

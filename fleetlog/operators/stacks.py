@@ -133,9 +133,13 @@ def callstack(logs: DataFrame, node: str, tid: int, task: str, at: str | None =
               strict: bool = False) -> DataFrame:
     """Rows of one task's call: from the BEG of ``task`` nearest to ``at``
     up to the END that empties the stack again (or to the end of the thread
-    while the call is open), with ``depth`` counted from the task (1 = the
-    task's own frame).  Strict mode fails on a mismatched END in that range.
+    while the call stays open), with ``depth`` counted from the task (1 =
+    the task's own frame) and ``unmatched`` for ENDs unlike the frame on
+    top.  Lenient by default: an unmatched END does not pop.  ``strict``
+    fails on the first unmatched END instead.
     """
+    from .lenient import lenient_fold
+    from .ordered import ntz_literal
     from .select import nearest_entry
 
     thread = logs.where((F.col("node") == node) & (F.col("tid") == F.lit(tid)))
@@ -143,19 +147,21 @@ def callstack(logs: DataFrame, node: str, tid: int, task: str, at: str | None =
     if not anchor:
         raise ValueError("Stack entry not found")
     a = anchor[0]
-    from .ordered import ntz_literal
     t0, i0 = ntz_literal(a["puttime"]), F.lit(a["id"])
-    from_anchor = (F.col(order[0]) > t0) | ((F.col(order[0]) == t0) & (F.col(order[1]) >= i0))
-    # the anchor's END: next marker of the anchor's level
-    sp = paired(thread, order, chunk_seconds).where(F.col("id") == a["id"]).select(
-        "lvl", "end_id", "end_time").collect()[0]
-    rows = depth_all_rows(thread.where(from_anchor), order, chunk_seconds)
-    if sp["end_time"] is not None:
-        t1, i1 = ntz_literal(sp["end_time"]), F.lit(sp["end_id"])
-        rows = rows.where((F.col(order[0]) < t1) | ((F.col(order[0]) == t1) & (F.col(order[1]) <= i1)))
+    seg = thread.where((F.col(order[0]) > t0) | ((F.col(order[0]) == t0) & (F.col(order[1]) >= i0)))
     if strict:
-        seg = thread.where(from_anchor)
         assert_no_mismatch(seg, order=order, chunk_seconds=chunk_seconds)
+    spans, mism = lenient_fold(seg, order, chunk_seconds)
+    end = spans.where(F.col("id") == a["id"]).select("end_id", "end_time").collect()[0]
+    rows = seg.join(mism.select("id", F.lit(True).alias("unmatched")), "id", "left").withColumn(
+        "unmatched", F.coalesce(F.col("unmatched"), F.lit(False)))
+    delta = (F.when(F.col("message") == BEGIN_MARK, F.lit(1))
+             .when((F.col("message") == END_MARK) & ~F.col("unmatched"), F.lit(-1)).otherwise(F.lit(0)))
+    rows = running_sum(rows, THREAD, order, delta, "depth", time_chunk(order[0], chunk_seconds))
+    rows = rows.withColumn("depth", F.col("depth").cast("int"))
+    if end["end_time"] is not None:
+        t1, i1 = ntz_literal(end["end_time"]), F.lit(end["end_id"])
+        rows = rows.where((F.col(order[0]) < t1) | ((F.col(order[0]) == t1) & (F.col(order[1]) <= i1)))
     return rows
 
 
@@ -237,28 +243,35 @@ def callstack_text(logs: DataFrame, recovered: DataFrame, node: str, tid: int, t
     ``recovered`` is the log table with ``rec_function`` / ``rec_path`` /
     ``rec_line`` (see :func:`fleetlog.operators.recover.recover_logs`).
     """
+    from .ordered import nearest_marked
+
     rows = callstack(recovered, node, tid, task, at, order, chunk_seconds)
     if not show_msg:
         rows = rows.where(is_marker())
-    is_beg, is_end = F.col("message") == BEGIN_MARK, F.col("message") == END_MARK
-    # level of every row: BEG -> depth - 1, END -> depth after the pop, message -> depth
-    lvl_m = F.when(is_beg, F.col("depth")).when(is_end, F.col("depth") + 1).otherwise(F.lit(None))
+    is_beg = F.col("message") == BEGIN_MARK
+    is_end = (F.col("message") == END_MARK) & ~F.col("unmatched")
+    is_bad = (F.col("message") == END_MARK) & F.col("unmatched")
+    # frame level: a BEG lives at its depth, a matched END at depth + 1
+    lvl_m = F.when(is_beg, F.col("depth")).when(is_end, F.col("depth") + 1)
     rows = rows.withColumn("lvl", lvl_m).withColumn(TCHUNK, time_chunk(order[0], chunk_seconds))
-    markers = rows.where(is_marker())
-    paired_ends = prev_in_group(markers, [*THREAD, "lvl"], order, ["message", "puttime"],
-                                ["beg_message", "beg_time"], TCHUNK).select("id", "beg_time")
-    r = rows.join(paired_ends, "id", "left")
+    paired_ends = prev_in_group(rows.where(is_beg | is_end), [*THREAD, "lvl"], order, ["puttime"],
+                                ["beg_time"], TCHUNK).select("id", "beg_time")
+    # an unmatched END is timed against the frame on top: the last BEG at its depth
+    tops = nearest_marked(rows.where(is_beg | is_bad), [*THREAD, "depth"], order, is_beg, F.col("puttime"),
+                          "top_time", TCHUNK, "prev").where(is_bad).select("id", "top_time")
+    r = rows.join(paired_ends, "id", "left").join(tops, "id", "left")
     loc = F.concat(F.lit("["), F.col("rec_path"), F.lit(":"), F.col("rec_line").cast("string"), F.lit("]"))
     fn = F.concat(F.col("rec_function"), F.lit("()"))
     t = short_time("puttime")
     begin = F.concat(F.lit("BEGIN  "), fn, F.lit("        ["), t, F.lit("]  "), loc)
-    dur = epoch_micros("puttime") - epoch_micros("beg_time")
+    dur = epoch_micros("puttime") - epoch_micros(F.coalesce("beg_time", "top_time"))
     end = F.concat(F.lit("END  "), fn, F.lit("        [duration:"), seconds_2dp(dur), F.lit("s  "), t,
                    F.lit("]  "), loc)
     msg_head = F.concat(F.lit("["), F.col("level"), F.lit("]  "), fn, F.lit("        ["), t, F.lit("]  "), loc)
     msg = F.concat(msg_head, F.lit("\n"), indent(F.col("message"), F.col("depth")))
     text = (F.when(is_beg, indent(begin, F.col("depth") - 1))
             .when(is_end, indent(end, F.col("depth")))
+            .when(is_bad, indent(F.concat(F.lit("Unmatched function end:\n"), end), F.col("depth")))
             .otherwise(indent(msg, F.col("depth"))))
     start = F.when(is_beg & (F.col("depth") == 1),
                    F.concat(F.lit("Start at "), F.date_format("puttime", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("\n")))

@@ -458,3 +458,23 @@ def q_render_callstack_one(spark, sf_dir):
 def q_list_functions_raw(spark, sf_dir):
     from ..operators import recover
     return recover.list_functions(fixtures.logs(spark, sf_dir))
+
+
+BAD_ANCHOR = ("node-2", 7, "CommitBatch", "2024-01-17 16:22:00")
+
+
+@query("callstack_lenient")
+def q_callstack_lenient(spark, sf_dir):
+    """One task's stack on logs with unlike ENDs: they are kept as
+    ``unmatched`` and do not pop, so the task may stay open to the end."""
+    node, tid, task, at = BAD_ANCHOR
+    return stacks.callstack(fixtures.logs(spark, sf_dir, mismatched=True), node, tid, task, at).select(
+        "node", "tid", "id", "message", "depth", "unmatched")
+
+
+@query("render_callstack_lenient")
+def q_render_callstack_lenient(spark, sf_dir):
+    from ..operators import recover
+    lg = fixtures.logs(spark, sf_dir, mismatched=True)
+    node, tid, task, at = BAD_ANCHOR
+    return stacks.callstack_text(lg, recover.recover_logs(lg, fixtures.symbols(spark)), node, tid, task, at)

@@ -37,3 +37,27 @@ def test_vocabulary_job_is_distinct(spark):
     df = spark.createDataFrame([("running",), ("running",), ("stored",)], "word string")
     v = stem_vocabulary(df, "word", "english").collect()
     assert sorted((r["word"], r["stem"]) for r in v) == [("running", "run"), ("stored", "store")]
+
+
+# Published outputs of the English stemmer on a slice of its sample vocabulary.
+SNOWBALL_SAMPLES = dict(
+    consign="consign", consigned="consign", consigning="consign", consignment="consign", consist="consist",
+    consisted="consist", consistency="consist", consistent="consist", consistently="consist", consisting="consist",
+    consists="consist", consolation="consol", consolations="consol", consolatory="consolatori", console="consol",
+    consoled="consol", consoles="consol", consolidate="consolid", consolidated="consolid", consolidating="consolid",
+    consoling="consol", consolingly="consol", consols="consol", consonant="conson", consort="consort",
+    consorted="consort", consorting="consort", conspicuous="conspicu", conspicuously="conspicu",
+    conspiracy="conspiraci", conspirator="conspir", conspirators="conspir", conspire="conspir",
+    conspired="conspir", conspiring="conspir", constable="constabl", constables="constabl",
+    constance="constanc", constancy="constanc", constant="constant", knack="knack", knackeries="knackeri",
+    knacks="knack", knave="knave", knaves="knave", knavish="knavish", kneaded="knead", kneading="knead",
+    knee="knee", kneel="kneel", kneeled="kneel", kneeling="kneel", kneels="kneel", knees="knee", knell="knell",
+    knelt="knelt", knew="knew", knife="knife", knight="knight", knightly="knight", knights="knight", knit="knit",
+    knits="knit", knitted="knit", knitting="knit", knives="knive", knob="knob", knobs="knob", knock="knock",
+    knocked="knock", knocker="knocker", knockers="knocker", knocking="knock", knocks="knock", knot="knot",
+    knots="knot")
+
+
+def test_english_published_samples():
+    for w, s in SNOWBALL_SAMPLES.items():
+        assert english_stem(w) == s, w
