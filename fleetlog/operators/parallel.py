@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+_SPREAD: dict[tuple[int, int], DataFrame] = {}
+
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin ``df`` over the cluster's cores when its input has fewer
-    partitions than that (a few large files or row groups).  Large inputs
-    already have more splits than cores and are returned unchanged, so no
-    shuffle is added at scale."""
+    partitions than that (a few large files or row groups).
+
+    A plain ``repartition`` would not do: the optimizer pushes filters --
+    and the tokenizing inside them -- below it, back into the few input
+    tasks.  So the spread rows are checkpointed (reliable checkpoint in the
+    shared checkpoint folder), once per plan and session.  This only ever
+    happens to inputs smaller than one split per core; large inputs already
+    have more splits than cores and are returned unchanged.
+    """
+    from ..session import checkpoint_root
+
     sc = df.sparkSession.sparkContext
     want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    key = (df.semanticHash(), want)
+    hit = _SPREAD.get(key)
+    if hit is None:
+        checkpoint_root(df.sparkSession)
+        hit = df.repartition(want).checkpoint(eager=True)
+        _SPREAD[key] = hit
+    return hit

@@ -56,13 +56,16 @@ def _arr(col: str | Column) -> Column:
 
 
 def _seen(text: str | Column | None, needle: str, pred: Column) -> Column:
-    """Guard ``pred`` with a substring test on the case-folded raw text:
-    a token can only be there if its characters are.  AND evaluates left
-    to right, so rows without the substring are never tokenized."""
+    """Guard ``pred`` with a substring test on the raw text: a token can only
+    be there if its characters are.  AND evaluates left to right, so rows
+    without the substring are never tokenized.  For an ASCII needle the
+    JVM's ``lower`` (fast on ASCII) is a safe test; otherwise the text is
+    case-folded like the analyzer does."""
     if text is None or not needle:
         return pred
     t = F.col(text) if isinstance(text, str) else text
-    return (F.instr(tx.ascii_lower(t), needle) > 0) & pred
+    folded = F.lower(t) if needle.isascii() else tx.ascii_lower(t)
+    return folded.contains(needle) & pred
 
 
 def _raw(word: str) -> str:
@@ -82,7 +85,9 @@ def term(word: str, col: str | Column = TOKENS, text: str | Column | None = None
     skip tokenizing rows that cannot match."""
     q = query_term(word, **kw)
     needle = _raw(q) if not kw.get("stem") else ""
-    return _seen(text, needle, F.array_contains(_arr(col), F.lit(q)))
+    # coalesce: array_contains is null-intolerant, and Catalyst would infer
+    # isnotnull(tokens) and test it before the guard, tokenizing every row.
+    return _seen(text, needle, F.coalesce(F.array_contains(_arr(col), F.lit(q)), F.lit(False)))
 
 
 def prefix(p: str, col: str | Column = TOKENS, text: str | Column | None = None, **kw) -> Column:
