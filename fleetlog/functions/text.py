@@ -128,6 +128,14 @@ def word_tokens(text: Column | str) -> Column:
     return F.filter(stripped, _keep)
 
 
+def is_alnum(tok: Column) -> Column:
+    """Letters and digits only (Unicode).  ASCII tokens -- nearly all --
+    are checked without a regex."""
+    ascii_ = F.octet_length(tok) == F.length(tok)
+    return (F.when(ascii_, (F.length(tok) > 0) & _only_chars(tok, ASCII_LOWER + ASCII_UPPER + "0123456789"))
+            .otherwise(tok.rlike(ALNUM_RE)))
+
+
 def sub_tokens(tok: Column) -> Column:
     """Sub-tokens of one token split at punctuation, size / stop filtered."""
     subs = F.regexp_extract_all(tok, F.lit(SUBTOKEN_RE), 1)
@@ -138,7 +146,7 @@ def expand_tokens(tokens: Column) -> Column:
     """The set a token list indexes: the tokens, the sub-tokens of the
     non-alphanumeric ones and ``0x``-less forms of ``0x`` tokens."""
     extra = F.flatten(F.transform(tokens, lambda t: (
-        F.when(~t.rlike(ALNUM_RE), sub_tokens(t))
+        F.when(~is_alnum(t), sub_tokens(t))
         .when(t.startswith("0x"), F.array(F.substring(t, 3, 1 << 30)))
         .otherwise(F.array().cast("array<string>")))))
     return F.array_distinct(F.concat(tokens, extra))

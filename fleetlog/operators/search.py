@@ -150,7 +150,7 @@ def postings(df: DataFrame, ids: Sequence[str], text: str, analyzer: str = "port
         main = df.select(*ids, F.explode(tx.word_tokens(text)).alias("term"))
         if stem:
             main = stm.stem_tokens(main, "term", stem)
-        alnum = F.col("term").rlike(tx.ALNUM_RE)
+        alnum = tx.is_alnum(F.col("term"))
         subs = main.where(~alnum).select(*ids, F.explode(tx.sub_tokens(F.col("term"))).alias("term"))
         if stem:
             subs = stm.stem_tokens(subs, "term", stem)
