@@ -75,3 +75,54 @@ def test_good_plus_quarantine_is_all_records(spark, sf_small):
     p = logtext.parse_records(recs)
     assert logtext.good_rows(p).count() + logtext.quarantine(p).count() == recs.count()
     assert logtext.good_rows(p).where(F.col("tid").isNull()).count() == 0
+
+
+def _model_records(text):
+    """Plain model of the framing: a line starting with '[' opens a record;
+    lines before the first one form one leading block."""
+    recs, cur = [], None
+    for line in text.split("\n"):
+        if line.startswith("["):
+            if cur is not None:
+                recs.append(cur)
+            cur = [line]
+        elif cur is None:
+            cur = [line]
+        else:
+            cur.append(line)
+    if cur is not None:
+        recs.append(cur)
+    out = ["\n".join(r) for r in recs]
+    # the framed text drops the '[' that separated a record from the one before
+    return [out[0]] + [r[1:] for r in out[1:]]
+
+
+def test_random_text_framing_matches_model(spark):
+    import random
+    rnd = random.Random(5)
+    alphabet = "ab[] :.\t0123456789xyz"
+    lines = ["junk at start"]
+    for i in range(4000):
+        kind = rnd.random()
+        if kind < 0.6:
+            lines.append(f"[INFO][{rnd.randint(0, 99):5d}][24-01-02T03:04:{rnd.randint(0, 59):02d}.{i:06d}]"
+                         f"[f.cpp:{i}][Fn{i % 7}] " + "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))))
+        elif kind < 0.8:
+            lines.append("  " + "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))).lstrip("["))
+        else:
+            lines.append("[" + "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))))
+    text = "\n".join(lines) + "\n"
+    d = tempfile.mkdtemp(prefix="fl-rand-")
+    _write(d, "r.txt", text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        recs = logtext.scan_records(spark, d)
+        got = [r["text"] for r in recs.orderBy("id").collect()]
+        p = logtext.parse_records(recs)
+        n_good, n_bad = logtext.good_rows(p).count(), logtext.quarantine(p).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = _model_records(text.rstrip("\n"))
+    assert got == want
+    assert n_good + n_bad == len(want)
