@@ -102,3 +102,36 @@ def test_render_helpers(spark):
     assert [r[0] for r in t.select(stacks.short_time("t")).collect()] == ["03:04:05.1", "03:04:05."]
     m = spark.createDataFrame([(12345,), (5000,), (4999,), (0,)], "u long")
     assert [r[0] for r in m.select(stacks.seconds_2dp(F.col("u"))).collect()] == ["0.01", "0.01", "0.00", "0.00"]
+
+
+def test_callstack_errors(spark, sf_small):
+    import pytest
+    from fleetlog.sources import fixtures
+    lg = fixtures.logs(spark, sf_small, mismatched=True)
+    with pytest.raises(ValueError, match="Stack entry not found"):
+        stacks.callstack(lg, "node-2", 7, "NoSuchTask")
+    # strict mode fails on the thread's first unlike END after the anchor
+    bad = stacks.call_mismatches(lg).orderBy("puttime").first()
+    if bad is not None:
+        with pytest.raises(ValueError, match="Unmatched function end"):
+            stacks.callstack(lg, bad["node"], bad["tid"], "ProcessOrderBatchFromQueue", "2024-01-01 00:00:00",
+                             strict=True)
+
+
+def test_nearest_entries_ties_against_brute_force(spark):
+    from fleetlog.operators import select
+    base = dt.datetime(2024, 1, 1)
+    t = [base + dt.timedelta(seconds=s) for s in (10, 10, 50, 90, 90, 200)]
+    rows = [("n", 1, "INFO", i + 1, ti, "a.cpp:1", "F", "BEG") for i, ti in enumerate(t)]
+    logs = spark.createDataFrame(
+        [(n, i, lv, tid, ts, fl, fn, m) for n, tid, lv, i, ts, fl, fn, m in rows],
+        "node string, id long, level string, tid long, puttime timestamp_ntz, fileline string, "
+        "function string, message string")
+    probe_s = [0, 10, 30, 70, 90, 145, 500]
+    probes = spark.createDataFrame([(k, "n", 1, "F", base + dt.timedelta(seconds=s)) for k, s in enumerate(probe_s)],
+                                   "probe_id long, node string, tid long, task string, at timestamp_ntz")
+    got = {r["probe_id"]: r["id"] for r in select.nearest_entries(logs, probes, chunk_seconds=40).collect()}
+    for k, s in enumerate(probe_s):
+        at = base + dt.timedelta(seconds=s)
+        want = min(range(len(t)), key=lambda i: (abs((t[i] - at).total_seconds()), i + 1)) + 1
+        assert got[k] == want, (s, got[k], want)
