@@ -40,3 +40,25 @@ def test_lenient_fold_partitions_by_chunk(spark, sf_small):
     spans, _ = lenient.lenient_fold(fixtures.logs(spark, sf_small, mismatched=True))
     plan = _plan(spans)
     assert "MapInPandas" in plan
+
+
+def test_one_hot_thread_is_split_by_chunks(spark):
+    """A single thread holding every row: its row windows are partitioned by
+    (node, tid, chunk) -- here 34 ten-minute chunks, i.e. 34 independent
+    window groups spread over the shuffle partitions -- and the depth still
+    matches a sequential count."""
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from fleetlog.operators.ordered import time_chunk
+    base = dt.datetime(2024, 1, 1)
+    rows = [("n", i, "INFO", 1, base + dt.timedelta(seconds=2 * i), "a.cpp:1", "F", "BEG" if i % 2 == 0 else "END")
+            for i in range(10000)]
+    df = spark.createDataFrame(rows, "node string, id long, level string, tid long, puttime timestamp_ntz, "
+                                     "fileline string, function string, message string")
+    assert df.select(time_chunk("puttime", 600)).distinct().count() >= 30
+    d = stacks.depth_all_rows(df, chunk_seconds=600)
+    specs = re.findall(r"Window \[.*?\], \[([^\]]*)\], \[([^\]]*)\]", _plan(d))
+    assert any("__fl_chunk" in part and "puttime" in order for part, order in specs)
+    got = d.select("id", "depth").collect()
+    assert len(got) == 10000
+    assert all(r["depth"] == (1 if r["id"] % 2 == 0 else 0) for r in got)
