@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from fleetlog.llm.packing import op3_packing
 from fleetlog.llm.rans import op1_token_ids
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op3_packing": op3_packing,
 }
