@@ -164,22 +164,31 @@ def encoder(json_text: str) -> WordEncoder:
 
 
 def token_rows(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
-               doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+               doc_id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """(doc_id, ids): the ids of every whole text and ``end_id`` after them,
-    little-endian unsigned 32-bit integers in one binary value.  A null text
-    is an empty one; every input row gives one row."""
+    little-endian unsigned integers of ``width`` bytes (2 holds the ids of a
+    vocabulary up to 65,536) in one binary value.  A null text is an empty
+    one; every input row gives one row."""
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
     tail = np.asarray([end_id], dtype="<u4").tobytes()
 
+    def narrow(ids: bytes) -> bytes:
+        if width == 4:
+            return ids
+        a = np.frombuffer(ids, dtype="<u4")
+        if int(a.max()) >> (8 * width):
+            raise ValueError(f"an id needs more than {width} bytes")
+        return a.astype(f"<u{width}").tobytes()
+
     def run(batches):
         enc = encoder(spec.value)
         for b in batches:
             n = b.num_rows
             for lo in range(0, n, 1000):
                 part = b.slice(lo, 1000)
-                ids = [x + tail for x in enc(part.column(1).cast(pa.binary()).to_pylist())]
+                ids = [narrow(x + tail) for x in enc(part.column(1).cast(pa.binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, type=pa.binary())], names=["doc_id", "ids"])
 

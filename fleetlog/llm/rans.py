@@ -137,7 +137,7 @@ class Coder:
         return out[lo - start * lanes:hi - start * lanes]
 
 
-def histogram(tokens: DataFrame) -> DataFrame:
+def histogram(tokens: DataFrame, width: int = 4) -> DataFrame:
     """(sym, n): how often each id occurs in all rows.  Every task sends at
     most one row per id of the vocabulary."""
 
@@ -148,7 +148,7 @@ def histogram(tokens: DataFrame) -> DataFrame:
                 buf = v.as_buffer()
                 if buf is None or not buf.size:
                     continue
-                c = np.bincount(np.frombuffer(buf, dtype="<u4"))
+                c = np.bincount(np.frombuffer(buf, dtype=f"<u{width}"))
                 if len(c) > len(total):
                     c[:len(total)] += total
                     total = c
@@ -162,22 +162,22 @@ def histogram(tokens: DataFrame) -> DataFrame:
             .groupBy("sym").agg(F.sum("n").alias("n")))
 
 
-def _block_rows(coder: Coder, part: int, block: int, docs: list[tuple]):
-    ids = np.frombuffer(b"".join(d[1] for d in docs), dtype="<u4")
+def _block_rows(coder: Coder, part: int, block: int, docs: list[tuple], width: int):
+    ids = np.frombuffer(b"".join([d[1] for d in docs]), dtype=f"<u{width}").astype("<u4")
     lanes, check, words = coder.encode(ids)
     return pa.RecordBatch.from_arrays([
         pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)], pa.int64()),
         pa.array([lanes], pa.int32()), pa.array([[d[0] for d in docs]], pa.list_(pa.int64())),
-        pa.array([[len(d[1]) // 4 for d in docs]], pa.list_(pa.int64())), pa.array([check], pa.binary()),
+        pa.array([[len(d[1]) // width for d in docs]], pa.list_(pa.int64())), pa.array([check], pa.binary()),
         pa.array([words], pa.binary()), pa.array([zlib.crc32(ids)], pa.int64())],
         names=["part", "block", "n_tokens", "lanes", "doc_ids", "doc_tokens", "checkpoints", "words", "crc32"])
 
 
-def encode_corpus(tokens: DataFrame, name: str = "rans") -> tuple[DataFrame, DataFrame]:
-    """Writes (doc_id, ids) rows in ascending doc_id order in the format above;
-    returns the frequency table and the blocks, both read back from the files."""
+def encode_corpus(tokens: DataFrame, name: str = "rans", width: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Writes (doc_id, ids) rows (ids of ``width`` bytes) in ascending doc_id
+    order in the format above; returns the frequency table and the blocks, both read back from the files."""
     ship(tokens.sparkSession)
-    counts = histogram(tokens).orderBy("sym").toPandas()  # one row per vocabulary id at most
+    counts = histogram(tokens, width).orderBy("sym").toPandas()  # one row per vocabulary id at most
     syms, n = counts["sym"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     freq = normalized(syms, n)
     spark = tokens.sparkSession
@@ -192,12 +192,12 @@ def encode_corpus(tokens: DataFrame, name: str = "rans") -> tuple[DataFrame, Dat
         for b in batches:
             for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 docs.append((doc_id, ids))
-                held += len(ids) // 4
+                held += len(ids) // width
                 if held >= BLOCK_TOKENS:
-                    yield _block_rows(coder, part, block, docs)
+                    yield _block_rows(coder, part, block, docs, width)
                     docs, held, block = [], 0, block + 1
         if docs:
-            yield _block_rows(coder, part, block, docs)
+            yield _block_rows(coder, part, block, docs, width)
 
     ordered = (tokens.select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first())
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids"))
@@ -237,8 +237,8 @@ def decode_corpus(freq_table: DataFrame, blocks: DataFrame) -> DataFrame:
 def op1_token_ids(spark, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     from fleetlog.llm.common import table
-    tokens = stored(token_rows(table(spark, sf_dir, "documents"), end_id=1), "op1/tokens")
-    freq_table, blocks = encode_corpus(tokens, "op1")
+    tokens = stored(token_rows(table(spark, sf_dir, "documents"), end_id=1, width=2), "op1/tokens")
+    freq_table, blocks = encode_corpus(tokens, "op1", width=2)
     # ids before each block: one narrow row per block
     index = blocks.select("part", "block", "n_tokens")
     per_part = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
