@@ -1,3 +1,11 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from fleetlog.llm.secret_scan import OP6_SQL
+from fleetlog.llm.sharding import OP5_SQL
+
+ORACLE: dict[str, str] = {
+    "op5_sharding": OP5_SQL,
+    "op6_secrets": OP6_SQL,
+}

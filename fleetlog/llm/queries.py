@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from fleetlog.llm.packing import op3_packing
 from fleetlog.llm.rans import op1_token_ids
+from fleetlog.llm.secret_scan import op6_secrets
+from fleetlog.llm.sharding import op5_sharding
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op3_packing": op3_packing,
+    "op5_sharding": op5_sharding,
+    "op6_secrets": op6_secrets,
 }
