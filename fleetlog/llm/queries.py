@@ -6,10 +6,12 @@ from fleetlog.llm.packing import op3_packing
 from fleetlog.llm.rans import op1_token_ids
 from fleetlog.llm.secret_scan import op6_secrets
 from fleetlog.llm.sharding import op5_sharding
+from fleetlog.llm.simhash import op4_simhash
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
     "op3_packing": op3_packing,
+    "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
 }
