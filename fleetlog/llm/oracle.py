@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fleetlog.llm.decontaminate import OP7_SQL
 from fleetlog.llm.secret_scan import OP6_SQL
 from fleetlog.llm.sharding import OP5_SQL
 
 ORACLE: dict[str, str] = {
     "op5_sharding": OP5_SQL,
     "op6_secrets": OP6_SQL,
+    "op7_decontamination": OP7_SQL,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleetlog.llm.decontaminate import op7_decontamination
 from fleetlog.llm.packing import op3_packing
 from fleetlog.llm.rans import op1_token_ids
 from fleetlog.llm.secret_scan import op6_secrets
@@ -14,4 +15,5 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
+    "op7_decontamination": op7_decontamination,
 }
