@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetlog.llm.decontaminate import op7_decontamination
+from fleetlog.llm.merkle import op9_fingerprints
 from fleetlog.llm.packing import op3_packing
 from fleetlog.llm.rans import op1_token_ids
 from fleetlog.llm.secret_scan import op6_secrets
@@ -16,4 +17,5 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
+    "op9_fingerprints": op9_fingerprints,
 }
