@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetlog.llm.decontaminate import op7_decontamination
+from fleetlog.llm.html_text import op8_html
 from fleetlog.llm.merkle import op9_fingerprints
 from fleetlog.llm.packing import op3_packing
 from fleetlog.llm.rans import op1_token_ids
@@ -17,5 +18,6 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
+    "op8_html": op8_html,
     "op9_fingerprints": op9_fingerprints,
 }
