@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fleetlog.llm.decontaminate import op7_decontamination
 from fleetlog.llm.html_text import op8_html
+from fleetlog.llm.language import op2_language
 from fleetlog.llm.merkle import op9_fingerprints
 from fleetlog.llm.packing import op3_packing
 from fleetlog.llm.rans import op1_token_ids
@@ -13,6 +14,7 @@ from fleetlog.llm.simhash import op4_simhash
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_language": op2_language,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
