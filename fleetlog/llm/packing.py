@@ -219,12 +219,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, quantum: int = QUANTUM) ->
             seq[i], slot[i] = start[j] + q, at[j] + s
         return pd.DataFrame({"sequence_id": seq, "slot": slot})
 
-    placed = (pieces.join(before, ["class", "part"])
+    # the checksum is taken here so that ids travel only if they are asked for
+    placed = (pieces.withColumn("ids_crc32", F.crc32("ids")).join(before, ["class", "part"])
               .withColumn("at", assign("class", F.col("earlier") + F.col("local_rank"))))
     # a sequence holds at most ``capacity`` pieces
     w = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return (placed.select(*[c.split()[0] for c in PIECES.split(", ")], "at.sequence_id", "at.slot",
-                          F.crc32("ids").alias("ids_crc32"))
+    return (placed.select(*[c.split()[0] for c in PIECES.split(", ")], "ids_crc32", "at.sequence_id", "at.slot")
             .withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
             .drop("class", "local_rank", "slot"))
 
