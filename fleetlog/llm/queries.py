@@ -11,6 +11,7 @@ from fleetlog.llm.rans import op1_token_ids
 from fleetlog.llm.secret_scan import op6_secrets
 from fleetlog.llm.sharding import op5_sharding
 from fleetlog.llm.simhash import op4_simhash
+from fleetlog.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
@@ -22,4 +23,5 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_html": op8_html,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }

@@ -139,9 +139,10 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: str = "text",
-           mark: str = "[secret]") -> DataFrame:
+           mark: str = "[secret]", length: str | None = None) -> DataFrame:
     """``docs`` with the stretches of owner-specific spans replaced by ``mark``;
-    overlapping spans are one stretch.  All columns of ``docs`` are kept."""
+    overlapping spans are one stretch.  All columns of ``docs`` are kept;
+    ``length`` names one that holds the text's length, renewed where masked."""
     hot = (scanned.where(F.size("live") > 0)
            .select(F.col("doc_id").alias("_secret_id"), F.col("text_hash").alias("_secret_hash"),
                    F.sort_array(F.transform("live", lambda s: F.struct(s["start"], s["end"]))).alias("_secret_spans"))
@@ -160,8 +161,13 @@ def masked(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: st
     spans = F.expr("transform(_secret_spans, s -> named_struct('col1', s.start, 'col2', s.end))")
     clean = F.aggregate(spans, F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out")), step,
                         lambda acc: F.concat(acc["out"], F.substr(t, (acc["pos"] + 1).cast("int"))))
-    return joined.select(*[
-        F.when(F.col("_secret_spans").isNull(), t).otherwise(clean).alias(c) if c == text else docs[f"`{c}`"]
+    hit = F.col("_secret_spans").isNotNull()
+    done = joined.withColumn("_secret_text", F.when(hit, clean))
+    changed = {text: F.col("_secret_text")}
+    if length:
+        changed[length] = F.length("_secret_text").cast(docs.schema[length].dataType)
+    return done.select(*[
+        F.when(hit, changed[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`")
         for c in docs.columns])
 
 

@@ -271,7 +271,8 @@ def _edge_batch(edges):
 
 
 def components(prints: DataFrame, radius: int = RADIUS, name: str = "simhash") -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of stored fingerprint rows."""
+    """(doc_id, text_hash, fp, component_id, root) of stored fingerprint rows;
+    ``root`` is a fingerprint that names the component."""
     codes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{name}/codes")
     forest = star_forest(link_edges(codes.select("fp"), radius, name=name), name)
     # (fp, root) of all fingerprints that link to another
@@ -279,9 +280,12 @@ def components(prints: DataFrame, radius: int = RADIUS, name: str = "simhash") -
         forest.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     linked = member.join(codes, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = linked.join(least, "root").select("fp", "component_id")
-    label = codes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(stored(label, f"{name}/labels"), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    found = linked.join(least, "root").select("fp", "component_id", "root")
+    label = codes.join(found, "fp", "left").select(
+        "fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("root", "fp").alias("root"))
+    return (prints.join(stored(label, f"{name}/labels"), "fp")
+            .select("doc_id", "text_hash", "fp", "component_id", "root"))
 
 
 def near_duplicates(docs: DataFrame, name: str = "simhash", radius: int = RADIUS, shingle: int = SHINGLE,
@@ -289,6 +293,20 @@ def near_duplicates(docs: DataFrame, name: str = "simhash", radius: int = RADIUS
     return components(stored(fingerprints(docs, shingle=shingle, **columns), f"{name}/prints"), radius, name)
 
 
+def one_of_each(docs: DataFrame, name: str = "simhash", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id
+    (a null one only if there is no other; of several rows of one id, the one
+    with the smallest text hash; of equal rows, one).  All columns are kept."""
+    found = near_duplicates(docs, name, doc_id=doc_id, text=text)
+    best = found.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("b"))
+    kept = best.select(F.col("b.doc_id").alias("_kept_id"), F.col("b.text_hash").alias("_kept_hash"))
+    keyed = docs.withColumns({"_row_id": F.col(f"`{doc_id}`").cast("bigint"), "_row_hash": F.xxhash64(f"`{text}`")})
+    return (keyed.join(kept, keyed["_row_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_row_hash"] == kept["_kept_hash"]),
+                       "left_semi")
+            .dropDuplicates(["_row_id", "_row_hash"]).drop("_row_id", "_row_hash"))
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"), "op4")
