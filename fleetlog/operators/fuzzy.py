@@ -12,19 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Identifier-like words (function names): what the matcher is meant for.
-IDENTIFIER_RE = "^[a-z_][a-z0-9_]*$"
-
-
-def is_identifier(w: Column) -> Column:
-    """``IDENTIFIER_RE`` without a regex: only [a-z0-9_], not starting with
-    a digit."""
-    rest = F.translate(w, "abcdefghijklmnopqrstuvwxyz0123456789_", "")
-    return (F.length(w) > 0) & (F.length(rest) == 0) & ~F.substring(w, 1, 1).isin(*"0123456789")
-# Broadcast the variant table of the smaller list only below this size.
-VARIANT_BROADCAST_ROWS = 2_000_000
-
-
 def deletion_variants(w: Column, k: int) -> Column:
     """All distinct strings obtained from w by deleting up to k (<= 2)
     characters."""
@@ -48,8 +35,7 @@ def deletion_variants(w: Column, k: int) -> Column:
 
 
 def fuzzy_match(words: DataFrame, targets: DataFrame, k: int = 2,
-                word_col: str = "word", target_col: str = "target",
-                broadcast_rows: int = VARIANT_BROADCAST_ROWS) -> DataFrame:
+                word_col: str = "word", target_col: str = "target") -> DataFrame:
     """(word, target, distance) for every pair within edit distance k."""
     a = words.select(F.col(word_col).alias("word")).where(F.col("word").isNotNull()).distinct()
     b = targets.select(F.col(target_col).alias("target")).where(F.col("target").isNotNull()).distinct()
@@ -61,10 +47,6 @@ def fuzzy_match(words: DataFrame, targets: DataFrame, k: int = 2,
     b = b.where(F.length("target").between(max(lo - k, 0), hi + k))
     av = a.select("word", F.explode(deletion_variants(F.col("word"), k)).alias("v"))
     bv = b.select("target", F.explode(deletion_variants(F.col("target"), k)).alias("v"))
-    # Size check: broadcast the word side's variants only when small.
-    n_av = av.count()
-    if n_av <= broadcast_rows:
-        av = F.broadcast(av)
     cand = av.join(bv, "v").select("word", "target").distinct()
     d = F.levenshtein(F.col("word"), F.col("target"), k)
     return cand.select("word", "target", d.cast("long").alias("distance")).where(F.col("distance") >= 0)

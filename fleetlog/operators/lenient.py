@@ -1,26 +1,26 @@
 """Lenient call-stack pairing: an END unlike the frame on top of the stack
 is reported as a mismatch and does **not** pop it.
 
-This is order-dependent state (after the first mismatch a stale frame stays
-for good, and running sums no longer tell the depth), so it is a fold --
-but not one task per thread.  Two phases:
-
-1. per (node, tid, time chunk), ``applyInPandas`` runs the stack machine on
-   the chunk's markers with a local stack.  Everything decided by local
-   frames is final.  An END that arrives while the local stack is empty
-   depends on frames of earlier chunks: it is *deferred*.  Frames still open
-   at the chunk end are *residual*.  BEG rows keep their local depth and
-   the number of deferred ENDs before them.
-2. per (node, tid), only the chunk summaries (deferred ENDs, residual
-   frames, one row per chunk) are composed in chunk order, which settles
-   the deferred ENDs and gives every chunk its incoming stack size.
-
-The per-row results are joined back.  Phase 1 is bounded by the chunk size.
-Phase 2 sees, per thread, one row per chunk, the frames a chunk leaves open
-(at most the stack growth inside that chunk: they are its local stack at
-the chunk end) and the ENDs that reach below a chunk's own frames (at most
-the stack depth at the chunk start, plus mismatches) -- bounded by the time
-span and the stack depth, not by the thread's row count.
+Threads whose every END closes an equal BEG pair the same either way: they
+are taken from :func:`fleetlog.operators.stacks.frames`.  Only threads that
+hold an unlike END go through the fold here, which is order-dependent state
+(after the first mismatch a stale frame stays for good, and running sums no
+longer tell the depth) -- but not one task per thread.  Two phases:
+
+1. per (node, tid, chunk of arrival keys) the stack machine runs on the
+   chunk's markers with a local stack.  Everything decided by local frames is
+   final.  An END that arrives while the local stack is empty depends on
+   frames of earlier chunks: it is *deferred*.  Frames still open at the
+   chunk end are *residual*.  BEG rows keep their local depth and the number
+   of deferred ENDs before them.
+2. per (node, tid), the chunk summaries (deferred ENDs, residual frames, one
+   row per chunk) are composed in chunk order, which settles the deferred
+   ENDs and gives every chunk its incoming stack size.
+
+A deferred END that no earlier chunk left a frame of its function open for is
+a mismatch at once and does not reach phase 2, so a thread whose BEGs were
+never logged sends no ENDs there.  What does is bounded by the frames left
+open at chunk ends and the ENDs that name one of them.
 """
 
 from __future__ import annotations
@@ -31,20 +31,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import BEGIN_MARK, DEFAULT_ORDER
-from .ordered import DEFAULT_CHUNK_SECONDS, time_chunk
-from .stacks import path_of
+from ..schema import BEGIN_MARK, END_MARK, ORDER
+from ..session import ship, stored
+from .ordered import CHUNK_BITS, id_chunk
+from .stacks import THREAD, frames, is_marker, path_of, same_call
 
 _P1_SCHEMA = ("kind string, node string, tid long, chunk long, k long, local_depth int, id long, "
               "puttime timestamp_ntz, function string, path string, end_id long, end_time timestamp_ntz, "
-              "end_function string, open_local boolean, stack_pos int")
+              "open_local boolean, stack_pos int")
 _P2_SCHEMA = ("kind string, node string, tid long, chunk long, k long, base int, beg_id long, id long, "
               "puttime timestamp_ntz, function string")
 
 
-_P1_COLS = ["kind", "node", "tid", "chunk", "k", "local_depth", "id", "puttime", "function", "path", "end_id",
-            "end_time", "end_function", "open_local", "stack_pos"]
-_P2_COLS = ["kind", "node", "tid", "chunk", "k", "base", "beg_id", "id", "puttime", "function"]
+_P1_COLS = [c.split()[0] for c in _P1_SCHEMA.split(", ")]
+_P2_COLS = [c.split()[0] for c in _P2_SCHEMA.split(", ")]
 
 
 def _frame(rows: list[dict], cols: list[str], times: Sequence[str], texts: Sequence[str]) -> pd.DataFrame:
@@ -71,7 +71,7 @@ def _group_runs(batches, keys: Sequence[str]):
 
 
 def _local_fold(batches):
-    """Phase 1 over a partition sorted by (node, tid, chunk, puttime, id)."""
+    """Phase 1 over a partition sorted by (node, tid, chunk, id)."""
     out: list[dict] = []
     cur = None
     stack: list[dict] = []
@@ -103,18 +103,18 @@ def _local_fold(batches):
         else:
             top = stack[-1]
             if top["function"] == r["function"] and top["path"] == r["path"]:
-                top.update(end_id=r["id"], end_time=r["puttime"], end_function=r["function"], open_local=False)
+                top.update(end_id=r["id"], end_time=r["puttime"], open_local=False)
                 stack.pop()
             else:
                 out.append(dict(base, kind="mismatch", id=r["id"], puttime=r["puttime"],
                                 function=r["function"], path=r["path"]))
         if batch_end and len(out) > 0:
-            yield _frame(out, _P1_COLS, ("puttime", "end_time"), ("function", "path", "end_function"))
+            yield _frame(out, _P1_COLS, ("puttime", "end_time"), ("function", "path"))
             out = []
     if cur is not None:
         flush()
     if out:
-        yield _frame(out, _P1_COLS, ("puttime", "end_time"), ("function", "path", "end_function"))
+        yield _frame(out, _P1_COLS, ("puttime", "end_time"), ("function", "path"))
 
 
 def _compose(batches):
@@ -132,24 +132,19 @@ def _compose(batches):
     for key, r, batch_end in _group_runs(batches, ("node", "tid", "chunk")):
         node, tid, chunk = key
         if (node, tid) != thread:
-            if chunk_open is not None:
-                close_chunk()
             thread, stack, chunk_open, residual = (node, tid), [], None, []
         if chunk != chunk_open:
             if chunk_open is not None:
                 close_chunk()
             chunk_open, residual = chunk, []
-            out.append({"kind": "offset", "node": node, "tid": tid, "chunk": chunk, "k": 0, "base": len(stack)})
+            out.append({"kind": "chunk", "node": node, "tid": tid, "chunk": chunk, "k": 0, "base": len(stack)})
         if r["kind"] == "deferred":
+            row = {"node": node, "tid": tid, "chunk": chunk, "k": int(r["k"]), "id": r["id"], "puttime": r["puttime"],
+                   "function": r["function"]}
             if stack and stack[-1][1] == r["function"] and stack[-1][2] == r["path"]:
-                beg_id = stack.pop()[0]
-                out.append({"kind": "close", "node": node, "tid": tid, "beg_id": beg_id, "id": r["id"],
-                            "puttime": r["puttime"], "function": r["function"]})
+                out.append(dict(row, kind="close", beg_id=stack.pop()[0]))
             else:
-                out.append({"kind": "mismatch", "node": node, "tid": tid, "id": r["id"],
-                            "puttime": r["puttime"], "function": r["function"]})
-            out.append({"kind": "offset", "node": node, "tid": tid, "chunk": chunk, "k": int(r["k"]) + 1,
-                        "base": len(stack)})
+                out.append(dict(row, kind="mismatch"))
         elif r["kind"] == "beg":
             residual.append(r)
         if batch_end and out:
@@ -159,48 +154,66 @@ def _compose(batches):
         yield _frame(out, _P2_COLS, ("puttime",), ("function",))
 
 
-def lenient_fold(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
-                 chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
-                 function_col: str = "function", path_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(spans, mismatches) under the lenient rule.
-
-    spans: one row per BEG -- node, tid, id, function, depth (stack size
-    after the push), end_id, end_time (NULL while open).
-    mismatches: ENDs that did not match the top -- node, tid, id, puttime,
-    function.  ``path_col`` defaults to the path part of ``fileline``.
-    """
-    path = F.col(path_col) if path_col else path_of("fileline")
-    m = (logs.where(F.col("message").isin("BEG", "END"))
-         .select("node", "tid", "id", F.col(order[0]).alias("puttime"), "message",
-                 F.col(function_col).alias("function"), path.alias("path"),
-                 time_chunk(order[0], chunk_seconds).alias("chunk")))
-    # Phase 1: every (thread, chunk) is a contiguous sorted run of one partition.
-    p1 = (m.repartition("node", "tid", "chunk")
-          .sortWithinPartitions("node", "tid", "chunk", "puttime", "id")
-          .mapInPandas(_local_fold, _P1_SCHEMA))
-    # Phase 1 feeds both the row results and phase 2: cut the lineage once
-    # (reliable checkpoint in the shared checkpoint folder) instead of
-    # running the fold twice.
-    from ..session import checkpoint_root
-    checkpoint_root(logs.sparkSession)
-    p1 = p1.checkpoint(eager=True)
-    summary = p1.where(F.col("kind").isin("deferred", "chunk") | ((F.col("kind") == "beg") & F.col("open_local")))
+def _fold(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans, mismatches) of marker rows (node, tid, chunk, id, ...)."""
+    ship(m.sparkSession)
+    # Phase 1: every (thread, chunk) is a contiguous sorted run of one
+    # partition.  Its result feeds phase 2 and the rows.
+    p1 = stored(m.repartition("node", "tid", "chunk").sortWithinPartitions("node", "tid", "chunk", "id")
+                .mapInPandas(_local_fold, _P1_SCHEMA), "lenient")
+    residual = p1.where((F.col("kind") == "beg") & F.col("open_local"))
+    deferred = p1.where(F.col("kind") == "deferred")
+    first = residual.groupBy("node", "tid", "function", "path").agg(F.min("chunk").alias("__fl_from"))
+    known = deferred.join(first, [deferred[c].eqNullSafe(first[c]) for c in ("node", "tid", "function", "path")], "left")
+    able = F.coalesce(F.col("__fl_from") < deferred["chunk"], F.lit(False))
+    known = known.select(*[deferred[c] for c in _P1_COLS], able.alias("__fl_able"))
+    hopeless = known.where(~F.col("__fl_able"))
+    summary = (p1.where(F.col("kind") == "chunk").unionByName(residual)
+               .unionByName(known.where("__fl_able").drop("__fl_able")))
     # chunk row first, then deferred ENDs in order, then residual frames
     rank = F.when(F.col("kind") == "chunk", 0).when(F.col("kind") == "deferred", 1).otherwise(2)
-    p2 = (summary.repartition("node", "tid")
-          .sortWithinPartitions("node", "tid", "chunk", rank, "k", "stack_pos")
-          .mapInPandas(_compose, _P2_SCHEMA))
-
-    offsets = p2.where(F.col("kind") == "offset").select("node", "tid", "chunk", "k", "base")
+    p2 = stored(summary.repartition("node", "tid")
+                .sortWithinPartitions("node", "tid", "chunk", rank, "k", "stack_pos")
+                .mapInPandas(_compose, _P2_SCHEMA), "lenient")
+
+    # a chunk's incoming stack shrinks by the deferred ENDs that popped
+    pops = p2.where(F.col("kind") == "close").groupBy("node", "tid", "chunk").agg(F.collect_list("k").alias("pops"))
+    base = (p2.where(F.col("kind") == "chunk").select("node", "tid", "chunk", "base")
+            .join(pops, ["node", "tid", "chunk"], "left"))
     closes = p2.where(F.col("kind") == "close").select(
         "node", "tid", F.col("beg_id").alias("id"), F.col("id").alias("c_id"), F.col("puttime").alias("c_time"))
-    begs = p1.where(F.col("kind") == "beg")
-    spans = (begs.join(offsets, ["node", "tid", "chunk", "k"])
+    gone = F.expr("coalesce(size(filter(pops, x -> x < k)), 0)")
+    spans = (p1.where(F.col("kind") == "beg").join(base, ["node", "tid", "chunk"])
              .join(closes, ["node", "tid", "id"], "left")
              .select("node", "tid", "id", "function",
-                     (F.col("base") + F.col("local_depth")).cast("int").alias("depth"),
+                     (F.col("base") - gone + F.col("local_depth")).cast("int").alias("depth"),
                      F.coalesce("end_id", "c_id").alias("end_id"),
                      F.coalesce("end_time", "c_time").alias("end_time")))
-    mism = (p1.where(F.col("kind") == "mismatch").select("node", "tid", "id", "puttime", "function")
-            .unionByName(p2.where(F.col("kind") == "mismatch").select("node", "tid", "id", "puttime", "function")))
+    cols = ["node", "tid", "id", "puttime", "function"]
+    mism = (p1.where(F.col("kind") == "mismatch").select(*cols).unionByName(hopeless.select(*cols))
+            .unionByName(p2.where(F.col("kind") == "mismatch").select(*cols)))
     return spans, mism
+
+
+def lenient_fold(logs: DataFrame, bits: int = CHUNK_BITS, function: str = "function",
+                 path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(spans, mismatches) under the lenient rule.
+
+    spans: one row per BEG -- node, tid, id, function, depth (stack size
+    after the push), end_id, end_time (NULL while open).
+    mismatches: ENDs that did not match the top -- node, tid, id, puttime,
+    function.  ``function`` and ``path`` name the columns calls are compared
+    by; the path defaults to that of ``fileline``.
+    """
+    f = frames(logs, function, path, bits)
+    unlike = (F.col("message") == END_MARK) & ~F.coalesce((F.col("prev.message") == BEGIN_MARK) & same_call("prev"),
+                                                         F.lit(False))
+    odd = stored(f.where(unlike).select(*THREAD).distinct(), "lenient")
+    clean = f.where(F.col("message") == BEGIN_MARK).join(odd, THREAD, "left_anti").select(
+        "node", "tid", "id", F.col("name").alias("function"), F.col("lvl").alias("depth"),
+        F.col("next.id").alias("end_id"), F.col("next.puttime").alias("end_time"))
+    m = logs.where(is_marker()).select(
+        "node", "tid", "id", "puttime", "message", F.col(function).alias("function"),
+        (F.col(path) if path else path_of("fileline")).alias("path"), id_chunk(ORDER, bits).alias("chunk"))
+    spans, mism = _fold(m.join(odd, THREAD, "left_semi"))
+    return clean.unionByName(spans), mism

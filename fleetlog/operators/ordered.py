@@ -3,10 +3,12 @@
 A plain ``Window.partitionBy(keys)`` puts every row of a key group into one
 task.  A log thread is such a group and one thread may hold a large share of
 all rows, so the scans here cut each group into *chunks* (a coarse,
-order-preserving bucket of the order key, e.g. one minute of ``puttime``):
+order-preserving bucket of the order key: a run of arrival keys, or a minute
+of time where the question is about time):
 
 * the per-row work runs in windows partitioned by ``(keys, chunk)``, bounded
-  by the chunk size rather than by the group size;
+  by the chunk size rather than by the group size (arrival-key chunks hold
+  at most 2**CHUNK_BITS rows);
 * what crosses chunk borders (a running total, the first row of the next
   chunk) is computed on the per-chunk summary table, whose size is bounded
   by the time span of a group, not by its row count;
@@ -49,6 +51,15 @@ def time_chunk(c: Column | str, seconds: int = DEFAULT_CHUNK_SECONDS) -> Column:
     return F.floor(epoch_micros(c) / F.lit(int(seconds) * 1_000_000)).cast("long")
 
 
+# Arrival keys of one chunk: the keys of a split are consecutive.
+CHUNK_BITS = 16
+
+
+def id_chunk(c: Column | str = "id", bits: int = CHUNK_BITS) -> Column:
+    """Order-preserving bucket of an arrival key, of at most 2**bits rows."""
+    return F.shiftright(F.col(c) if isinstance(c, str) else c, bits)
+
+
 def _with_chunk(df: DataFrame, chunk: Column | str) -> tuple[DataFrame, str, bool]:
     """Use an existing chunk column (by name) or add one.  Reusing the
     column of an earlier scan keeps Spark aware that the rows are already
@@ -80,7 +91,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
             .rowsBetween(Window.unboundedPreceding, frame_end))
     local = d.withColumn("__fl_local", F.coalesce(F.sum(val).over(w_in), F.lit(0)))
 
-    totals = local.groupBy(*keys, ch).agg(F.sum(val).alias("__fl_tot"))
+    # from the unwindowed rows: a narrow pass with partial sums
+    totals = d.groupBy(*keys, ch).agg(F.sum(val).alias("__fl_tot"))
     w_c = Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, ch,
                             F.coalesce(F.sum("__fl_tot").over(w_c), F.lit(0)).alias("__fl_off"))
@@ -97,81 +109,41 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     return running_sum(df, keys, order, F.lit(1).cast("long"), out, chunk)
 
 
-def next_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                  cols: Sequence[str], names: Sequence[str], chunk: Column | str) -> DataFrame:
-    """Add ``names[i]`` = ``cols[i]`` of the next row of the same key group
-    (``lead(col) over (partition by keys order by order)``)."""
-    keys = list(keys)
-    d, _ch, added = _with_chunk(df, chunk)
-    w_in = Window.partitionBy(*keys, _ch).orderBy(*_cols(order))
-    nxt = "__fl_nxt"
-    local = d.withColumn(nxt, F.lead(F.struct(*[F.col(c) for c in cols])).over(w_in))
-
-    # First row of every chunk (from the windowed rows, already clustered by
-    # (keys, chunk)), then the first row of the following chunk.
-    firsts = local.groupBy(*keys, _ch).agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*_cols(order))).alias("__fl_first"))
-    w_c = Window.partitionBy(*keys).orderBy(_ch)
-    following = firsts.select(*keys, _ch, F.lead("__fl_first").over(w_c).alias("__fl_follow"))
-
-    j = local.join(following, [*keys, _ch], "left")
-    j = j.withColumn(nxt, F.coalesce(F.col(nxt), F.col("__fl_follow")))
-    for c, n in zip(cols, names):
-        j = j.withColumn(n, F.col(f"{nxt}.{c}"))
-    j = j.drop(nxt, "__fl_follow")
-    return j.drop(_ch) if added else j
-
-
-def prev_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                  cols: Sequence[str], names: Sequence[str], chunk: Column | str) -> DataFrame:
-    """Add ``names[i]`` = ``cols[i]`` of the previous row of the same key
-    group (``lag``)."""
-    keys = list(keys)
-    d, _ch, added = _with_chunk(df, chunk)
-    w_in = Window.partitionBy(*keys, _ch).orderBy(*_cols(order))
-    prv = "__fl_prv"
-    local = d.withColumn(prv, F.lag(F.struct(*[F.col(c) for c in cols])).over(w_in))
-
-    lasts = local.groupBy(*keys, _ch).agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*_cols(order))).alias("__fl_last"))
-    w_c = Window.partitionBy(*keys).orderBy(_ch)
-    preceding = lasts.select(*keys, _ch, F.lag("__fl_last").over(w_c).alias("__fl_prec"))
-
-    j = local.join(preceding, [*keys, _ch], "left")
-    j = j.withColumn(prv, F.coalesce(F.col(prv), F.col("__fl_prec")))
-    for c, n in zip(cols, names):
-        j = j.withColumn(n, F.col(f"{prv}.{c}"))
-    j = j.drop(prv, "__fl_prec")
-    return j.drop(_ch) if added else j
-
-
 def nearest_marked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                   is_candidate: Column, payload: Column, out: str, chunk: Column | str,
-                   direction: str = "prev") -> DataFrame:
-    """Add ``out`` = ``payload`` of the nearest candidate row before
-    (``prev``) or after (``next``) each row of the same key group, not
-    counting the row itself.  The as-of building block: candidates and
-    probes are one sorted stream, no pair of rows is ever formed."""
+                   is_candidate: Column, payload: Column, chunk: Column | str,
+                   before: str | None = None, after: str | None = None) -> DataFrame:
+    """Add ``before`` / ``after`` = ``payload`` of the nearest candidate row on
+    that side of each row of the same key group, not counting the row itself.
+    The as-of building block: candidates and probes are one stream, sorted
+    once for both sides; no pair of rows is ever formed."""
     keys = list(keys)
-    cand, pay = "__fl_cand", "__fl_pay"
+    pay = "__fl_pay"
     d, ch, added = _with_chunk(df, chunk)
-    d = d.withColumn(cand, is_candidate).withColumn(pay, F.when(F.col(cand), payload))
+    d = d.withColumn(pay, F.when(is_candidate, payload))
     ordc = _cols(order)
     w_in = Window.partitionBy(*keys, ch).orderBy(*ordc)
-    summary_ord = F.when(F.col(cand), F.struct(*ordc))
-    if direction == "prev":
-        local = d.withColumn("__fl_loc", F.last(pay, ignorenulls=True).over(
-            w_in.rowsBetween(Window.unboundedPreceding, -1)))
-        edge = local.groupBy(*keys, ch).agg(F.max_by(pay, summary_ord).alias("__fl_edge"))
-        w_c = Window.partitionBy(*keys).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
-        carry = edge.select(*keys, ch, F.last("__fl_edge", ignorenulls=True).over(w_c).alias("__fl_carry"))
-    else:
-        local = d.withColumn("__fl_loc", F.first(pay, ignorenulls=True).over(
-            w_in.rowsBetween(1, Window.unboundedFollowing)))
-        edge = local.groupBy(*keys, ch).agg(F.min_by(pay, summary_ord).alias("__fl_edge"))
-        w_c = Window.partitionBy(*keys).orderBy(ch).rowsBetween(1, Window.unboundedFollowing)
-        carry = edge.select(*keys, ch, F.first("__fl_edge", ignorenulls=True).over(w_c).alias("__fl_carry"))
+    w_ch = Window.partitionBy(*keys).orderBy(ch)
+    by = F.when(F.col(pay).isNotNull(), F.struct(*ordc))
+    sides = []
+    if before:
+        sides.append((before, F.last, w_in.rowsBetween(Window.unboundedPreceding, -1), F.max_by(pay, by),
+                      w_ch.rowsBetween(Window.unboundedPreceding, -1)))
+    if after:
+        sides.append((after, F.first, w_in.rowsBetween(1, Window.unboundedFollowing), F.min_by(pay, by),
+                      w_ch.rowsBetween(1, Window.unboundedFollowing)))
+    local = d.withColumns({f"__fl_loc{i}": f(pay, ignorenulls=True).over(w)
+                           for i, (_, f, w, _, _) in enumerate(sides)})
+    # The summary counts the remaining columns, so that it reads what the rows
+    # read and the two share one shuffle of the input.
+    rest = [c for c in df.columns if c not in keys]
+    edges = local.groupBy(*keys, ch).agg(
+        *[e.alias(f"__fl_edge{i}") for i, (_, _, _, e, _) in enumerate(sides)],
+        *[F.count(c).alias(f"__fl_n{i}") for i, c in enumerate(rest)])
+    edges = edges.where(" AND ".join(f"__fl_n{i} >= 0" for i in range(len(rest))))
+    carry = edges.select(*keys, ch, *[f(f"__fl_edge{i}", ignorenulls=True).over(w).alias(f"__fl_carry{i}")
+                                      for i, (_, f, _, _, w) in enumerate(sides)])
     j = local.join(carry, [*keys, ch], "left")
-    j = (j.withColumn(out, F.coalesce(F.col("__fl_loc"), F.col("__fl_carry")))
-         .drop(cand, pay, "__fl_loc", "__fl_carry"))
+    j = j.withColumns({name: F.coalesce(F.col(f"__fl_loc{i}"), F.col(f"__fl_carry{i}"))
+                       for i, (name, *_) in enumerate(sides)})
+    j = j.drop(pay, *[f"__fl_{k}{i}" for i in range(len(sides)) for k in ("loc", "carry")])
     return j.drop(ch) if added else j

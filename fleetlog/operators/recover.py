@@ -22,10 +22,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast the exploded symbol prefixes only below this many rows.
-PREFIX_BROADCAST_ROWS = 2_000_000
-
-
 def symbol_prefixes(symbols: DataFrame) -> DataFrame:
     """(prefix, name, path, line, seq) for every prefix length 0..len(name)."""
     n = F.explode(F.sequence(F.lit(0), F.length("name"))).alias("n")
@@ -33,12 +29,7 @@ def symbol_prefixes(symbols: DataFrame) -> DataFrame:
             .select(F.substring("name", F.lit(1), F.col("n")).alias("prefix"), "name", "path", "line", "seq"))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
-
-
-def resolve_keys(keys: DataFrame, symbols: DataFrame,
-                 broadcast_rows: int = PREFIX_BROADCAST_ROWS) -> DataFrame:
+def resolve_keys(keys: DataFrame, symbols: DataFrame) -> DataFrame:
     """(function, fileline) -> (function, fileline, name, path, line)."""
     colon_count = F.size(F.split(F.col("fileline"), ":")) - 1
     k = keys.select(
@@ -46,12 +37,9 @@ def resolve_keys(keys: DataFrame, symbols: DataFrame,
         F.rtrim(F.col("function"), F.lit("()")).alias("__fl_f"),
         F.when(colon_count == 1, F.split_part(F.col("fileline"), F.lit(":"), F.lit(1)))
          .otherwise(F.col("fileline")).alias("__fl_path"),
-        F.when(colon_count == 1, F.expr("try_cast(split_part(fileline, ':', 2) AS INT)")).alias("__fl_line"),
+        F.when(colon_count == 1, F.expr("try_cast(split_part(fileline, ':', 2) AS BIGINT)")).alias("__fl_line"),
     )
     pre = symbol_prefixes(symbols)
-    # Size check on the small side: one row per prefix of every symbol.
-    n_pre = pre.count()
-    pre = _maybe_broadcast(pre, n_pre, broadcast_rows)
     m = k.join(pre, k["__fl_f"] == pre["prefix"], "left")
     ends = F.col("path").endswith(F.col("__fl_path"))
     dist = F.abs(F.col("__fl_line") - F.col("line"))
@@ -71,16 +59,16 @@ def resolve_keys(keys: DataFrame, symbols: DataFrame,
     )
 
 
-def recover_logs(logs: DataFrame, symbols: DataFrame,
-                 broadcast_rows: int = PREFIX_BROADCAST_ROWS) -> DataFrame:
+def recover_logs(logs: DataFrame, symbols: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Log rows plus ``rec_function``, ``rec_path``, ``rec_line``.
 
-    Only the distinct (function, fileline) pairs are resolved; the answer
+    Only the distinct (function, fileline) pairs are resolved (those of
+    ``keys``, where reading them from ``logs`` would be dear); the answer
     is joined back on them.  That side is an aggregate, so adaptive
     execution sees its real size and broadcasts it when it is small.
     """
-    keys = logs.select("function", "fileline").distinct()
-    res = resolve_keys(keys, symbols, broadcast_rows).select(
+    keys = (logs if keys is None else keys).select("function", "fileline").distinct()
+    res = resolve_keys(keys, symbols).select(
         F.col("function").alias("__fl_fn"), F.col("fileline").alias("__fl_fl"),
         F.col("name").alias("rec_function"), F.col("path").alias("rec_path"), F.col("line").alias("rec_line"))
     cond = (logs["function"].eqNullSafe(res["__fl_fn"])) & (logs["fileline"].eqNullSafe(res["__fl_fl"]))

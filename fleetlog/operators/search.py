@@ -1,30 +1,27 @@
-"""Full-text search: per-row predicates over token arrays, and a postings
-table for index-style lookups.
+"""Full-text search: per-row predicates over token arrays, and a stored index.
 
 Scan mode: add a ``tokens`` array (ordered, see :mod:`fleetlog.functions.text`)
 and filter with Column predicates built here -- :func:`term`,
 :func:`prefix`, :func:`phrase`, :func:`near` -- combined with ``&``, ``|``
 and ``~``.  Each row is tested on its own: no shuffle, the filter runs in
-the scan stage.
+the scan stage.  Token arrays are not stemmed.
 
-Index mode: :func:`postings` explodes (doc, position, term) once; queries
-are then filters, semi / anti joins and self-joins on position.
-
-Stemming (porter / english) runs as a vocabulary job on distinct words
-(:mod:`fleetlog.functions.stem`).
+Index mode: :func:`write_index` explodes (ids, word, pos) once at ingest and
+stores it sorted by word; an :class:`Index` knows whether it is stemmed and
+answers with hit ids, for which only the queried words' row groups are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stem as stm
+from ..functions import porter
 from ..functions import text as tx
 from ..schema import BEGIN_MARK, END_MARK
-from .parallel import spread
 
 TOKENS = "tokens"
 NEAR_DEFAULT = 10
@@ -32,7 +29,6 @@ NEAR_DEFAULT = 10
 
 def with_tokens(df: DataFrame, text: str, analyzer: str = "porter", out: str = TOKENS) -> DataFrame:
     """Add the ordered (unstemmed) token array of ``text``."""
-    df = spread(df)
     if analyzer == "porter":
         return df.withColumn(out, tx.porter_tokens(text))
     if analyzer == "words":
@@ -40,15 +36,9 @@ def with_tokens(df: DataFrame, text: str, analyzer: str = "porter", out: str = T
     raise ValueError(f"unknown analyzer {analyzer}")
 
 
-def query_term(word: str, analyzer: str = "porter", stem: str | None = None) -> str:
-    """A query word analyzed like the indexed text (stemmed on the driver
-    when the index is stemmed)."""
-    t = tx.porter_query_term(word) if analyzer == "porter" else word.lower()
-    if stem == "porter" and t.isascii() and t.isalpha() and 3 <= len(t) <= 20:
-        return stm.porter_stem(t)
-    if stem == "english":
-        return stm.english_stem(t)
-    return t
+def query_term(word: str, analyzer: str = "porter") -> str:
+    """A query word analyzed like the unstemmed tokens."""
+    return tx.porter_query_term(word) if analyzer == "porter" else word.lower()
 
 
 def _arr(col: str | Column) -> Column:
@@ -56,11 +46,10 @@ def _arr(col: str | Column) -> Column:
 
 
 def _seen(text: str | Column | None, needle: str, pred: Column) -> Column:
-    """Guard ``pred`` with a substring test on the raw text: a token can only
-    be there if its characters are.  AND evaluates left to right, so rows
-    without the substring are never tokenized.  For an ASCII needle the
-    JVM's ``lower`` (fast on ASCII) is a safe test; otherwise the text is
-    case-folded like the analyzer does."""
+    """Guard ``pred`` with a substring test on the raw text.  AND evaluates
+    left to right, so rows without the substring are never tokenized.  For
+    an ASCII needle the JVM's ``lower`` (fast on ASCII) is a safe test;
+    otherwise the text is case-folded like the analyzer does."""
     if text is None or not needle:
         return pred
     t = F.col(text) if isinstance(text, str) else text
@@ -68,33 +57,34 @@ def _seen(text: str | Column | None, needle: str, pred: Column) -> Column:
     return folded.contains(needle) & pred
 
 
-def _raw(word: str) -> str:
-    """The part of an analyzed query word that must appear verbatim in the
-    case-folded text: a token may have been cut to its first and last 3
-    (with a digit) or 10 (20 characters long) characters, so only that
-    first part is certain."""
-    if any(c in "0123456789" for c in word):
-        return word[:3]
-    if len(word) >= 20:
-        return word[:10]
-    return word
+def _certain(token: str) -> str:
+    """What the text of a row with this token surely holds.  The copy rule
+    makes tokens of exactly 6 (3 + 3) or 20 (10 + 10) characters out of longer
+    ones, of which only the first part is certain; a token of any other length
+    stands in the text as it is."""
+    return token[:3] if len(token) == 6 else token[:10] if len(token) == 20 else token
+
+
+def _certain_prefix(p: str) -> str:
+    """The same for tokens that begin with ``p``: up to 3 characters they
+    surely do so in the text; with 4 to 6 the token may be a cut one of 6;
+    beyond that only one of 20, whose first 10 are certain."""
+    return p[:3] if len(p) <= 6 else p[:10]
 
 
 def term(word: str, col: str | Column = TOKENS, text: str | Column | None = None, **kw) -> Column:
     """Token equal to the analyzed word.  ``text``: the raw text column, to
     skip tokenizing rows that cannot match."""
     q = query_term(word, **kw)
-    needle = _raw(q) if not kw.get("stem") else ""
     # coalesce: array_contains is null-intolerant, and Catalyst would infer
     # isnotnull(tokens) and test it before the guard, tokenizing every row.
-    return _seen(text, needle, F.coalesce(F.array_contains(_arr(col), F.lit(q)), F.lit(False)))
+    return _seen(text, _certain(q), F.coalesce(F.array_contains(_arr(col), F.lit(q)), F.lit(False)))
 
 
 def prefix(p: str, col: str | Column = TOKENS, text: str | Column | None = None, **kw) -> Column:
     """``p*``: any token starting with the analyzed ``p``."""
     q = query_term(p, **kw)
-    needle = _raw(q) if not kw.get("stem") else ""
-    return _seen(text, needle, F.exists(_arr(col), lambda x: x.startswith(q)))
+    return _seen(text, _certain_prefix(q), F.exists(_arr(col), lambda x: x.startswith(q)))
 
 
 def phrase(words: Sequence[str], col: str | Column = TOKENS, text: str | Column | None = None,
@@ -104,7 +94,7 @@ def phrase(words: Sequence[str], col: str | Column = TOKENS, text: str | Column
     array is built once per row)."""
     qs = [query_term(w, **kw) for w in words]
     joined = F.concat(F.lit(" "), F.array_join(_arr(col), " "), F.lit(" "))
-    needle = max((_raw(q) for q in qs), key=len) if not kw.get("stem") else ""
+    needle = max((_certain(q) for q in qs), key=len)
     return _seen(text, needle, F.instr(joined, " " + " ".join(qs) + " ") > 0)
 
 
@@ -119,8 +109,8 @@ def near(a_word: str, b_word: str, k: int = NEAR_DEFAULT, col: str | Column = TO
          text: str | Column | None = None, **kw) -> Column:
     """``a NEAR/k b``: an ``a`` and a ``b`` with at most k tokens between
     them, in either order."""
-    if text is not None and not kw.get("stem"):
-        guard = _seen(text, _raw(query_term(a_word, **kw)), F.lit(True))
+    if text is not None:
+        guard = _seen(text, _certain(query_term(a_word, **kw)), F.lit(True))
         return guard & near(a_word, b_word, k, col, None, **kw)
     pa = positions(a_word, col, **kw)
     pb = positions(b_word, col, **kw)
@@ -133,72 +123,115 @@ def near(a_word: str, b_word: str, k: int = NEAR_DEFAULT, col: str | Column = TO
 # ---------------------------------------------------------------- postings
 
 def postings(df: DataFrame, ids: Sequence[str], text: str, analyzer: str = "porter",
-             stem: str | None = None) -> DataFrame:
-    """Posting rows of ``df``.
+             stem: bool = False) -> DataFrame:
+    """Posting rows of ``df``, from one scan.
 
-    porter: (ids..., pos, term) with 0-based token positions;
-    words: (ids..., term) -- the distinct analyzed set, no positions.
+    porter: (ids..., pos, term) with 0-based token positions, stemmed on
+    request; words: (ids..., term) -- the distinct analyzed set of each row
+    (sub-tokens included), no positions; ``ids`` must be unique.
     """
     ids = list(ids)
-    df = spread(df)
     if analyzer == "porter":
         p = df.select(*ids, F.posexplode(tx.porter_tokens(text)).alias("pos", "term"))
-        if stem == "porter":
-            p = stm.stem_tokens(p, "term", "porter", only=tx.is_stemmable(F.col("term")))
-        return p
-    if analyzer == "words":
-        main = df.select(*ids, F.explode(tx.word_tokens(text)).alias("term"))
-        if stem:
-            main = stm.stem_tokens(main, "term", stem)
-        alnum = tx.is_alnum(F.col("term"))
-        subs = main.where(~alnum).select(*ids, F.explode(tx.sub_tokens(F.col("term"))).alias("term"))
-        if stem:
-            subs = stm.stem_tokens(subs, "term", stem)
-        hexs = main.where(alnum & F.col("term").startswith("0x")).select(
-            *ids, F.substring("term", 3, 1 << 30).alias("term"))
-        return main.unionByName(subs).unionByName(hexs).distinct()
-    raise ValueError(f"unknown analyzer {analyzer}")
+        return porter.stem_tokens(p, "term", tx.is_stemmable(F.col("term"))) if stem else p
+    if analyzer == "words" and not stem:
+        tokens = df.select(*ids, tx.word_tokens(text).alias("__fl_tokens"))
+        return tokens.select(*ids, F.explode(tx.expand_tokens(F.col("__fl_tokens"))).alias("term"))
+    raise ValueError(f"unknown analyzer {analyzer}" + " with stemming" * stem)
 
 
-def log_postings(logs: DataFrame, stem: str | None = None) -> DataFrame:
+def log_postings(logs: DataFrame) -> DataFrame:
     """The inverted index of log messages: distinct (node, id, word, type=0),
     markers skipped."""
     msgs = logs.where(~F.col("message").isin(BEGIN_MARK, END_MARK))
-    return (postings(msgs, ["node", "id"], "message", "words", stem)
+    return (postings(msgs, ["node", "id"], "message", "words")
             .select("node", "id", F.col("term").alias("word"), F.lit(0).alias("type")))
 
 
-# Broadcast the query word list only below this many distinct words.
-LOOKUP_BROADCAST_WORDS = 1_000_000
+# A hot word's postings are dealt over this many join keys.
+LOOKUP_SALT = 16
 
 
-def lookup(post: DataFrame, words: DataFrame, word_col: str = "word",
-           broadcast_words: int = LOOKUP_BROADCAST_WORDS) -> DataFrame:
-    """Postings of every query word (equi-join on the term).  A hot term
-    holds a large share of the postings, so the word list is broadcast when
-    its counted size allows and the postings are never shuffled by term."""
-    w = words.select(F.col(word_col).alias("term")).distinct()
-    if w.count() <= broadcast_words:
-        w = F.broadcast(w)
-    return post.join(w, "term")
+def lookup(post: DataFrame, words: DataFrame, ids: Sequence[str], word_col: str = "word",
+           salt: int = LOOKUP_SALT) -> DataFrame:
+    """Postings of every query word (equi-join on the term).  A hot term holds
+    a large share of the postings, so its rows are dealt by their ids and each
+    query word meets every share."""
+    w = (words.select(F.col(word_col).alias("term")).distinct()
+         .withColumn("__fl_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))))
+    p = post.withColumn("__fl_salt", F.pmod(F.xxhash64(*ids), F.lit(salt)).cast("int"))
+    return p.join(w, ["term", "__fl_salt"]).drop("__fl_salt")
 
 
-def hits(post: DataFrame, ids: Sequence[str], word: str, **kw) -> DataFrame:
-    """Distinct ids whose postings hold the (analyzed) word."""
-    return post.where(F.col("term") == F.lit(query_term(word, **kw))).select(*ids).distinct()
+def semi(rows: DataFrame, hit_ids: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Rows whose ids are in the hit set (``id IN (SELECT docid ...)``)."""
+    return rows.join(hit_ids, list(ids), "left_semi")
 
 
-def phrase_hits(post: DataFrame, ids: Sequence[str], words: Sequence[str], **kw) -> DataFrame:
-    """Ids holding the words at consecutive positions (self-joins on pos)."""
-    ids = list(ids)
-    qs = [query_term(w, **kw) for w in words]
-    cur = post.where(F.col("term") == qs[0]).select(*ids, "pos")
-    for k, q in enumerate(qs[1:], start=1):
-        nxt = post.where(F.col("term") == q).select(*ids, (F.col("pos") - k).alias("pos"))
-        cur = cur.join(nxt, [*ids, "pos"], "left_semi")
-    return cur.select(*ids).distinct()
+# ------------------------------------------------------------- stored index
 
+def write_index(rows: DataFrame, ids: Sequence[str], text: str, root: str, stem: bool = True) -> None:
+    """Append the positional index of ``rows`` to the table at ``root``:
+    (ids..., word, pos), one folder per node when ``node`` is one of the ids,
+    sorted by word, so that a lookup reads only the row groups of its word."""
+    p = postings(rows, ids, text, "porter", stem).withColumnRenamed("term", "word")
+    if "node" in ids:
+        w = (p.repartitionByRange("node", "word").sortWithinPartitions("node", "word", *[c for c in ids if c != "node"],
+                                                                       "pos").write.partitionBy("node"))
+    else:
+        w = p.repartitionByRange("word").sortWithinPartitions("word", *ids, "pos").write
+    w.mode("append").parquet(root)
 
-def semi(rows: DataFrame, hit_ids: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Rows whose ids are in the hit set (``id IN (SELECT docid ...)``)."""
-    return rows.join(hit_ids, list(ids), "left_semi")
+
+@dataclass(frozen=True)
+class Index:
+    """A stored index; queries return distinct ids."""
+
+    frame: DataFrame
+    ids: tuple[str, ...]
+    stem: bool = True
+
+    @classmethod
+    def read(cls, spark: SparkSession, root: str, ids: Sequence[str], stem: bool = True) -> Index:
+        return cls(spark.read.parquet(root), tuple(ids), stem)
+
+    def within(self, condition: Column) -> Index:
+        """The part of the index that satisfies a condition on the ids, e.g.
+        one node (its folder only)."""
+        return Index(self.frame.where(condition), self.ids, self.stem)
+
+    def _analyzed(self, word: str) -> str:
+        q = query_term(word)
+        if self.stem and q.isascii() and q.isalpha() and 3 <= len(q) <= 20:
+            return porter.stem_query_word(self.frame.sparkSession, q)
+        return q
+
+    def term(self, word: str) -> DataFrame:
+        return self.frame.where(F.col("word") == F.lit(self._analyzed(word))).select(*self.ids).distinct()
+
+    def prefix(self, p: str) -> DataFrame:
+        return self.frame.where(F.col("word").startswith(self._analyzed(p))).select(*self.ids).distinct()
+
+    def phrase(self, words: Sequence[str]) -> DataFrame:
+        """Ids holding the words at consecutive positions."""
+        cur = None
+        for k, w in enumerate(words):
+            at = self.frame.where(F.col("word") == F.lit(self._analyzed(w))).select(
+                *self.ids, (F.col("pos") - k).alias("pos"))
+            cur = at if cur is None else cur.join(at, [*self.ids, "pos"], "left_semi")
+        return cur.select(*self.ids).distinct()
+
+    def both(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, list(self.ids), "left_semi")
+
+    def either(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.unionByName(b).distinct()
+
+    def but_not(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b, list(self.ids), "left_anti")
+
+
+def node_rows(logs: DataFrame, hit_ids: DataFrame, node: str) -> DataFrame:
+    """Log rows of one node whose (node, id) was hit."""
+    on = F.col("node") == node
+    return semi(logs.where(on), hit_ids.where(on), ["node", "id"])

@@ -9,10 +9,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import BEGIN_MARK, DEFAULT_ORDER, LOG_COLUMNS
+from ..schema import BEGIN_MARK, FUNCTION_WIDTH, ORDER
 from .ordered import DEFAULT_CHUNK_SECONDS, epoch_micros, nearest_marked, ntz_literal, time_chunk
 from .stacks import task_key
 
+# The bounds of a range that names none.
 DEFAULT_START = "1970-01-01"
 DEFAULT_END = "now"
 
@@ -97,28 +98,27 @@ def nearest_entries(logs: DataFrame, probes: DataFrame,
     """For many probes ``(probe_id, node, tid, task, at)`` at once: the
     nearest BEG of the task in the thread (as-of join in both directions).
 
-    Probes and BEG rows become one stream per (node, tid, function) sorted
-    by time; each probe takes the last BEG before it and the first at or
-    after it and keeps the nearer one (lowest id on ties).
+    Probes and entry instants (each with its lowest id) become one stream per
+    (node, tid, function) sorted by time, an instant before a probe of the
+    same time; each probe takes the last instant before it and the first
+    after it and keeps the nearer one (lowest id on ties).  A probe without a
+    node, thread, task or time gives no row.
     """
-    cand = logs.where(F.col("message") == BEGIN_MARK).select(
-        "node", "tid", "function", F.col("puttime").alias("t"), "id", F.lit(None).cast("long").alias("probe_id"))
+    cand = (logs.where(F.col("message") == BEGIN_MARK)
+            .groupBy("node", "tid", "function", F.col("puttime").alias("t")).agg(F.min("id").alias("id"))
+            .withColumn("probe_id", F.lit(None).cast("long")))
     pr = probes.select("node", F.col("tid").cast("long").alias("tid"),
-                       F.substring("task", 1, 20).alias("function"), F.col("at").cast("timestamp_ntz").alias("t"),
-                       F.lit(None).cast("long").alias("id"), F.col("probe_id").cast("long").alias("probe_id"))
-    u = cand.unionByName(pr)
+                       F.lit(None).cast("long").alias("id"), F.col("probe_id").cast("long").alias("probe_id"),
+                       F.substring("task", 1, FUNCTION_WIDTH).alias("function"),
+                       F.col("at").cast("timestamp_ntz").alias("t"))
+    u = cand.unionByName(pr).withColumn("__fl_kind", F.col("probe_id").isNotNull())
     keys = ["node", "tid", "function"]
-    is_c = F.col("probe_id").isNull()
-    payload = F.struct(F.col("id"), F.col("t"))
-    chunk = time_chunk("t", chunk_seconds)
-    big = F.lit(2 ** 62).cast("long")
-    # Before: latest time, lowest id among equal times -> order (t, -id), probe last.
-    u = u.withColumn("__fl_kb", F.when(is_c, -F.col("id")).otherwise(big))
-    before = nearest_marked(u, keys, ["t", "__fl_kb"], is_c, payload, "__fl_before", chunk, "prev")
-    # At or after: earliest time, lowest id -> order (t, id), probe first.
-    before = before.withColumn("__fl_ka", F.when(is_c, F.col("id")).otherwise(-big))
-    both = nearest_marked(before, keys, ["t", "__fl_ka"], is_c, payload, "__fl_after", chunk, "next")
-    p = both.where(F.col("probe_id").isNotNull())
+    for c in (*keys, "t"):
+        u = u.where(F.col(c).isNotNull())
+    near = nearest_marked(u, keys, ["t", "__fl_kind"], ~F.col("__fl_kind"),
+                          F.struct("id", "t"), time_chunk("t", chunk_seconds),
+                          before="__fl_before", after="__fl_after")
+    p = near.where(F.col("probe_id").isNotNull())
     db = epoch_micros("t") - epoch_micros(F.col("__fl_before.t"))
     da = epoch_micros(F.col("__fl_after.t")) - epoch_micros("t")
     take_after = (F.col("__fl_before").isNull()
@@ -129,12 +129,14 @@ def nearest_entries(logs: DataFrame, probes: DataFrame,
                     best.getField("id").alias("id"), best.getField("t").alias("puttime"))
 
 
-def rows_from(logs: DataFrame, node: str, tid: int, start_time, start_id,
-              order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    """Rows of one thread from a row on (in row order)."""
-    t = start_time if isinstance(start_time, Column) else ntz_literal(start_time)
-    after = (F.col(order[0]) > t) | ((F.col(order[0]) == t) & (F.col(order[1]) >= F.lit(start_id)))
-    return logs.where((F.col("node") == node) & (F.col("tid") == F.lit(tid)) & after)
+def rows_from(logs: DataFrame, node: str, tid: int, start_id: int) -> DataFrame:
+    """Rows of one thread from a row on, by arrival."""
+    return logs.where((F.col("node") == node) & (F.col("tid") == F.lit(tid)) & (F.col(ORDER) >= F.lit(start_id)))
+
+
+def natural_order(rows: DataFrame) -> DataFrame:
+    """Output order of row selections: by node, in arrival order."""
+    return rows.orderBy("node", ORDER)
 
 
 # ------------------------------------------------------------------ render
@@ -156,7 +158,3 @@ def render_rows(logs: DataFrame, recovered: DataFrame | None = None) -> DataFram
     line = F.concat_ws("  ", F.col("level"), F.format_string("%5d", F.col("tid")),
                        F.date_format("puttime", TEXT_TIME), fl, fn, F.col("message"))
     return src.select("node", "id", line.alias("line"))
-
-
-def select_log_columns(df: DataFrame) -> DataFrame:
-    return df.select(*LOG_COLUMNS)

@@ -1,27 +1,31 @@
 """Call-stack analytics: pair BEG / END markers of a thread into timed spans.
 
-Bulk form (every node and thread at once), written as windows:
+Rows of a thread are taken in arrival order (the key ``id``), whatever their
+clocks say.  Bulk form (every node and thread at once):
 
-* ``depth``: running sum of +1 (BEG) / -1 (END) per (node, tid) in row order;
+* ``depth``: running sum of +1 (BEG) / -1 (END) per (node, tid);
 * ``lvl``: the depth a frame lives at -- ``depth`` for a BEG, ``depth + 1``
   for an END.  Between a BEG and its END every row has a higher ``lvl``, so
   the END of a BEG is simply the next row of the same (node, tid, lvl).
 
-Both windows run through :mod:`fleetlog.operators.ordered`, cut into time
-chunks, so a hot thread is spread over many tasks.
+:func:`frames` finds depth, level and both neighbours at the level in one
+sorted pass over (thread, chunk) groups; a summary of one row per (thread,
+chunk, level) carries what crosses chunk borders.
+
+Functions compare by the columns named ``function`` and ``path``: the logged
+ones, or the recovered ones of :func:`fleetlog.operators.recover.recover_logs`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import BEGIN_MARK, DEFAULT_ORDER, END_MARK, FUNCTION_WIDTH
-from .ordered import DEFAULT_CHUNK_SECONDS, epoch_micros, next_in_group, prev_in_group, running_sum, time_chunk
+from ..schema import BEGIN_MARK, END_MARK, FUNCTION_WIDTH, ORDER
+from .ordered import CHUNK_BITS, epoch_micros, id_chunk, nearest_marked, running_sum
 
 THREAD = ["node", "tid"]
+CHUNK = "__fl_chunk"
 
 
 def is_marker() -> Column:
@@ -38,87 +42,101 @@ def seconds_between(a: Column | str, b: Column | str) -> Column:
     return (epoch_micros(b) - epoch_micros(a)) / F.lit(1e6)
 
 
-TCHUNK = "__fl_tchunk"
-
-
-def with_depth(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
-               chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """Marker rows with ``depth`` (stack size after the row), ``lvl`` and
-    the time-chunk column ``__fl_tchunk`` (kept so that scans chained on
-    the result reuse its clustering instead of shuffling again)."""
-    m = logs.where(is_marker()).withColumn(TCHUNK, time_chunk(order[0], chunk_seconds))
+def frames(logs: DataFrame, function: str = "function", path: str | None = None,
+           bits: int = CHUNK_BITS) -> DataFrame:
+    """Marker rows with ``depth`` (stack size after the row), ``lvl``, and
+    ``prev`` / ``next``: the neighbouring markers at that level.  ``name`` and
+    ``path`` (of the row and in both structs) are what pairs are compared by."""
+    base = ["id", "message", "puttime", "function", "fileline"]
+    # the summary and the rows below come from one shuffle; stating what joins
+    # and windows would infer on one side only keeps the two plans equal
+    stated = [F.col(c).isNotNull() for c in (*THREAD, ORDER)]
+    m = logs.where(is_marker() & stated[0] & stated[1] & stated[2]).select(
+        *THREAD, *base, F.col(function).alias("name"), (F.col(path) if path else path_of("fileline")).alias("path"),
+        id_chunk(ORDER, bits).alias(CHUNK))
     delta = F.when(F.col("message") == BEGIN_MARK, F.lit(1)).otherwise(F.lit(-1))
-    d = running_sum(m, THREAD, order, delta, "depth", TCHUNK)
-    d = d.withColumn("depth", F.col("depth").cast("int"))
-    return d.withColumn("lvl", F.when(F.col("message") == BEGIN_MARK, F.col("depth"))
-                        .otherwise(F.col("depth") + 1))
-
-
-def depth_all_rows(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
-                   chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    here = Window.partitionBy(*THREAD, CHUNK).orderBy(ORDER)
+    m = m.withColumn("__fl_depth", F.sum(delta).over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("__fl_lvl", F.col("__fl_depth") + F.when(F.col("message") == BEGIN_MARK, 0).otherwise(1))
+    # levels relative to the chunk's start are enough to pair inside it
+    at_level = Window.partitionBy(*THREAD, CHUNK, "__fl_lvl").orderBy(ORDER)
+    row = F.struct(*base, "name", "path")
+    local = m.withColumns({"__fl_next": F.lead(row).over(at_level), "__fl_prev": F.lag(row).over(at_level)})
+    levels = local.groupBy(*THREAD, CHUNK, "__fl_lvl").agg(
+        F.min_by(row, ORDER).alias("__fl_first"), F.max_by(row, ORDER).alias("__fl_last"), F.sum(delta).alias("__fl_sum"))
+    before = Window.partitionBy(*THREAD).orderBy(CHUNK).rangeBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("__fl_off", F.coalesce(F.sum("__fl_sum").over(before), F.lit(0)))
+    levels = levels.withColumn("lvl", (F.col("__fl_off") + F.col("__fl_lvl")).cast("int"))
+    along = Window.partitionBy(*THREAD, "lvl").orderBy(CHUNK)
+    levels = levels.select(*THREAD, CHUNK, "__fl_lvl", "__fl_off",
+                           F.lead("__fl_first").over(along).alias("follow"),
+                           F.lag("__fl_last").over(along).alias("lead"))
+    # one row per (thread, chunk), so that the rows stay where they are
+    chunks = levels.groupBy(*THREAD, CHUNK).agg(
+        F.first("__fl_off").alias("__fl_off"),
+        F.map_from_entries(F.collect_list(F.struct("__fl_lvl", F.struct("lead", "follow")))).alias("__fl_edge"))
+    edge = F.col("__fl_edge")[F.col("__fl_lvl")]
+    return local.join(chunks, [*THREAD, CHUNK], "left").select(
+        *THREAD, *base, "name", "path", (F.col("__fl_off") + F.col("__fl_depth")).cast("int").alias("depth"),
+        (F.col("__fl_off") + F.col("__fl_lvl")).cast("int").alias("lvl"),
+        F.coalesce("__fl_prev", edge["lead"]).alias("prev"), F.coalesce("__fl_next", edge["follow"]).alias("next"))
+
+
+def same_call(other: str) -> Column:
+    """Whether the row and its neighbour name one function."""
+    return F.col("name").eqNullSafe(F.col(f"{other}.name")) & F.col("path").eqNullSafe(F.col(f"{other}.path"))
+
+
+def depth_all_rows(logs: DataFrame, bits: int = CHUNK_BITS, keep_chunk: bool = False) -> DataFrame:
     """Every row (markers and messages) with the stack size after it;
     a message row does not change the depth."""
     delta = (F.when(F.col("message") == BEGIN_MARK, F.lit(1))
              .when(F.col("message") == END_MARK, F.lit(-1)).otherwise(F.lit(0)))
-    d = running_sum(logs, THREAD, order, delta, "depth", time_chunk(order[0], chunk_seconds))
-    return d.withColumn("depth", F.col("depth").cast("int"))
-
-
-def paired(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
-           chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """Marker rows with depth / lvl and the next row of the same level
-    (``end_*``) -- for a BEG that is its END (strict pairing)."""
-    d = with_depth(logs, order, chunk_seconds)
-    cols = ["message", "id", "puttime", "function", "fileline"]
-    return next_in_group(d, [*THREAD, "lvl"], order, cols,
-                         ["end_message", "end_id", "end_time", "end_function", "end_fileline"],
-                         TCHUNK).drop(TCHUNK)
+    d = running_sum(logs.withColumn(CHUNK, id_chunk(ORDER, bits)), THREAD, [ORDER], delta, "depth", CHUNK)
+    d = d.withColumn("depth", F.col("depth").cast("int"))
+    return d if keep_chunk else d.drop(CHUNK)
 
 
-def call_spans(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
-               chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
-    """One row per BEG with the time and function of its END (NULL while
-    the call is still open)."""
-    p = paired(logs, order, chunk_seconds).where(F.col("message") == BEGIN_MARK)
-    return p.select("node", "tid", "function", "lvl", "id", "puttime", "end_time", "end_function")
+def call_spans(logs: DataFrame, function: str = "function", path: str | None = None,
+               bits: int = CHUNK_BITS) -> DataFrame:
+    """One row per BEG with the time and function of its END (NULL while the
+    call is still open), its ``duration`` in seconds and whether the END names
+    the same function (``matched``)."""
+    p = frames(logs, function, path, bits).where(F.col("message") == BEGIN_MARK)
+    closed = F.col("next.id").isNotNull()
+    return p.select("node", "tid", "function", "lvl", "id", "puttime", F.col("next.puttime").alias("end_time"),
+                    F.col("next.function").alias("end_function"),
+                    seconds_between("puttime", "next.puttime").alias("duration"),
+                    F.when(closed, same_call("next")).alias("matched"))
 
 
-def call_mismatches(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
-                    chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def call_mismatches(logs: DataFrame, function: str = "function", path: str | None = None,
+                    bits: int = CHUNK_BITS) -> DataFrame:
     """ENDs whose strict partner (the BEG on top of the stack) has another
     function or path.  Strict mode fails when this is not empty."""
-    d = with_depth(logs, order, chunk_seconds)
-    cols = ["message", "id", "puttime", "function", "fileline"]
-    p = prev_in_group(d, [*THREAD, "lvl"], order, cols,
-                      ["beg_message", "beg_id", "beg_time", "beg_function", "beg_fileline"],
-                      TCHUNK).drop(TCHUNK)
-    bad = ((F.col("message") == END_MARK) & (F.col("beg_message") == BEGIN_MARK)
-           & ((F.col("function") != F.col("beg_function"))
-              | (path_of("fileline") != path_of("beg_fileline"))))
-    return p.where(bad).select(
+    p = frames(logs, function, path, bits)
+    return p.where((F.col("message") == END_MARK) & (F.col("prev.message") == BEGIN_MARK) & ~same_call("prev")).select(
         "node", "tid", "id", "puttime", "function", "fileline", "lvl",
-        "beg_id", "beg_function", "beg_fileline",
-        seconds_between("beg_time", "puttime").alias("duration"))
+        F.col("prev.id").alias("beg_id"), F.col("prev.function").alias("beg_function"),
+        F.col("prev.fileline").alias("beg_fileline"), seconds_between("prev.puttime", "puttime").alias("duration"))
 
 
 def assert_no_mismatch(logs: DataFrame, **kw) -> None:
-    """Strict mode: raise on the first mismatched END (in row order)."""
-    first = call_mismatches(logs, **kw).orderBy("node", "tid", "puttime", "id").limit(1).collect()
+    """Strict mode: raise on the first mismatched END (in arrival order)."""
+    first = call_mismatches(logs, **kw).orderBy("node", "tid", ORDER).limit(1).collect()
     if first:
         r = first[0]
-        raise ValueError(f"Unmatched function end: {r['function']}() at {r['puttime']} "
-                         f"in node {r['node']} thread {r['tid']} (top is {r['beg_function']}())")
+        raise ValueError(f"END of {r['function']} at {r['puttime']} (node {r['node']}, thread {r['tid']}) meets "
+                         f"the open call of {r['beg_function']}")
 
 
-def function_time(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
-                  chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def function_time(logs: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Closed calls per (node, function): count, total and longest seconds."""
-    s = call_spans(logs, order, chunk_seconds).where(F.col("end_time").isNotNull())
-    dur = seconds_between("puttime", "end_time")
+    s = call_spans(logs, bits=bits).where(F.col("end_time").isNotNull())
     return (s.groupBy("node", "function")
             .agg(F.count(F.lit(1)).alias("calls"),
-                 F.round(F.sum(dur), 6).alias("total_s"),
-                 F.round(F.max(dur), 6).alias("max_s")))
+                 F.round(F.sum("duration"), 6).alias("total_s"),
+                 F.round(F.max("duration"), 6).alias("max_s")))
 
 
 def task_key(task: str) -> str:
@@ -129,53 +147,49 @@ def task_key(task: str) -> str:
 # ------------------------------------------------------ one task's stack
 
 def callstack(logs: DataFrame, node: str, tid: int, task: str, at: str | None = None,
-              order: Sequence[str] = DEFAULT_ORDER, chunk_seconds: int = DEFAULT_CHUNK_SECONDS,
-              strict: bool = False) -> DataFrame:
+              strict: bool = False, function: str = "function", path: str | None = None,
+              bits: int = CHUNK_BITS) -> DataFrame:
     """Rows of one task's call: from the BEG of ``task`` nearest to ``at``
     up to the END that empties the stack again (or to the end of the thread
     while the call stays open), with ``depth`` counted from the task (1 =
     the task's own frame) and ``unmatched`` for ENDs unlike the frame on
     top.  Lenient by default: an unmatched END does not pop.  ``strict``
-    fails on the first unmatched END instead.
+    fails on the first unmatched END of the call instead.
     """
     from .lenient import lenient_fold
-    from .ordered import ntz_literal
     from .select import nearest_entry
 
     thread = logs.where((F.col("node") == node) & (F.col("tid") == F.lit(tid)))
     anchor = nearest_entry(thread, node, tid, task, at).collect()
     if not anchor:
-        raise ValueError("Stack entry not found")
-    a = anchor[0]
-    t0, i0 = ntz_literal(a["puttime"]), F.lit(a["id"])
-    seg = thread.where((F.col(order[0]) > t0) | ((F.col(order[0]) == t0) & (F.col(order[1]) >= i0)))
+        raise ValueError(f"thread {tid} of node {node} never enters {task}")
+    start = F.lit(anchor[0]["id"])
+    seg = thread.where(F.col(ORDER) >= start)
     if strict:
-        assert_no_mismatch(seg, order=order, chunk_seconds=chunk_seconds)
-    spans, mism = lenient_fold(seg, order, chunk_seconds)
-    end = spans.where(F.col("id") == a["id"]).select("end_id", "end_time").collect()[0]
-    rows = seg.join(mism.select("id", F.lit(True).alias("unmatched")), "id", "left").withColumn(
-        "unmatched", F.coalesce(F.col("unmatched"), F.lit(False)))
+        own = frames(seg, function, path, bits).where(F.col("id") == start).select(F.col("next.id").alias("end"))
+        end = own.collect()[0]["end"]
+        call = seg if end is None else seg.where(F.col(ORDER) <= F.lit(end))
+        assert_no_mismatch(call, function=function, path=path, bits=bits)
+        rows = call.withColumn("unmatched", F.lit(False))
+    else:
+        spans, mism = lenient_fold(seg, bits, function, path)
+        end = spans.where(F.col("id") == start).select("end_id").collect()[0]["end_id"]
+        call = seg if end is None else seg.where(F.col(ORDER) <= F.lit(end))
+        rows = call.join(mism.select("id", F.lit(True).alias("unmatched")), "id", "left").withColumn(
+            "unmatched", F.coalesce(F.col("unmatched"), F.lit(False)))
     delta = (F.when(F.col("message") == BEGIN_MARK, F.lit(1))
              .when((F.col("message") == END_MARK) & ~F.col("unmatched"), F.lit(-1)).otherwise(F.lit(0)))
-    rows = running_sum(rows, THREAD, order, delta, "depth", time_chunk(order[0], chunk_seconds))
-    rows = rows.withColumn("depth", F.col("depth").cast("int"))
-    if end["end_time"] is not None:
-        t1, i1 = ntz_literal(end["end_time"]), F.lit(end["end_id"])
-        rows = rows.where((F.col(order[0]) < t1) | ((F.col(order[0]) == t1) & (F.col(order[1]) <= i1)))
-    return rows
+    rows = running_sum(rows, THREAD, [ORDER], delta, "depth", id_chunk(ORDER, bits))
+    return rows.withColumn("depth", F.col("depth").cast("int"))
 
 
-def call_messages(logs: DataFrame, order: Sequence[str] = DEFAULT_ORDER,
-                  chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def call_messages(logs: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
     """Every message row with the stack depth it is logged at and the
     innermost open call (the last BEG at that level before it)."""
-    from .ordered import nearest_marked
-
-    d = depth_all_rows(logs, order, chunk_seconds).where(
-        (F.col("message") == BEGIN_MARK) | ~is_marker())
+    d = depth_all_rows(logs, bits, keep_chunk=True).where((F.col("message") == BEGIN_MARK) | ~is_marker())
     payload = F.struct(F.col("function"), F.col("id"))
-    r = nearest_marked(d, [*THREAD, "depth"], order, F.col("message") == BEGIN_MARK, payload, "__fl_frame",
-                       time_chunk(order[0], chunk_seconds), "prev")
+    r = nearest_marked(d, [*THREAD, "depth"], [ORDER], F.col("message") == BEGIN_MARK, payload, CHUNK,
+                       before="__fl_frame")
     return r.where(~is_marker()).select(
         "node", "tid", "id", "depth", F.col("__fl_frame.function").alias("frame_function"),
         F.col("__fl_frame.id").alias("frame_id"))
@@ -204,18 +218,21 @@ def seconds_2dp(micros: Column) -> Column:
                     F.lpad((c % 100).cast("string"), 2, "0"))
 
 
-def render_tree(logs: DataFrame, recovered: DataFrame | None = None, order: Sequence[str] = DEFAULT_ORDER,
-                chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def render_tree(logs: DataFrame, symbols: DataFrame | None = None, bits: int = CHUNK_BITS) -> DataFrame:
     """Call-tree text of every thread: a ``BEGIN f()`` line per BEG and an
     ``END f() [duration: ...]`` line per END that closes one, indented by
-    level.  ``recovered`` (from :func:`fleetlog.operators.recover.recover_logs`)
-    supplies full names and locations."""
-    src = recovered if recovered is not None else logs.select(
-        "*", F.col("function").alias("rec_function"), path_of("fileline").alias("rec_path"),
-        F.split_part(F.col("fileline"), F.lit(":"), F.lit(2)).alias("rec_line"))
-    d = with_depth(src, order, chunk_seconds)
-    cols = ["message", "puttime"]
-    p = prev_in_group(d, [*THREAD, "lvl"], order, cols, ["beg_message", "beg_time"], TCHUNK).drop(TCHUNK)
+    level.  ``symbols`` supplies full names and locations; the calls are
+    paired on the logged columns and the names joined last."""
+    from .recover import recover_logs
+
+    p = frames(logs, bits=bits).select("node", "tid", "id", "message", "puttime", "function", "fileline", "lvl",
+                                       F.col("prev.message").alias("beg_message"),
+                                       F.col("prev.puttime").alias("beg_time"))
+    if symbols is not None:
+        p = recover_logs(p, symbols, keys=logs.where(is_marker()))
+    else:
+        p = p.select("*", F.col("function").alias("rec_function"), path_of("fileline").alias("rec_path"),
+                     F.split_part(F.col("fileline"), F.lit(":"), F.lit(2)).alias("rec_line"))
     loc = F.concat(F.lit("["), F.col("rec_path"), F.lit(":"), F.col("rec_line").cast("string"), F.lit("]"))
     fn = F.concat(F.col("rec_function"), F.lit("()"))
     begin = F.concat(F.lit("BEGIN  "), fn, F.lit("        ["), short_time("puttime"), F.lit("]  "), loc)
@@ -229,9 +246,8 @@ def render_tree(logs: DataFrame, recovered: DataFrame | None = None, order: Sequ
                     indent(F.when(is_beg, begin).otherwise(end), F.col("lvl") - 1).alias("text")))
 
 
-def callstack_text(logs: DataFrame, recovered: DataFrame, node: str, tid: int, task: str,
-                   at: str | None = None, show_msg: bool = True, order: Sequence[str] = DEFAULT_ORDER,
-                   chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def callstack_text(recovered: DataFrame, node: str, tid: int, task: str, at: str | None = None,
+                   show_msg: bool = True, bits: int = CHUNK_BITS) -> DataFrame:
     """One task's call stack as text, one row per log row of the call:
 
     * BEG: ``BEGIN  f()        [time]  [path:line]`` at the frame's level
@@ -241,30 +257,27 @@ def callstack_text(logs: DataFrame, recovered: DataFrame, node: str, tid: int, t
       followed by the message, both at the current depth.
 
     ``recovered`` is the log table with ``rec_function`` / ``rec_path`` /
-    ``rec_line`` (see :func:`fleetlog.operators.recover.recover_logs`).
+    ``rec_line`` (see :func:`fleetlog.operators.recover.recover_logs`); calls
+    are compared by these names.
     """
-    from .ordered import nearest_marked
-
-    rows = callstack(recovered, node, tid, task, at, order, chunk_seconds)
+    rows = callstack(recovered, node, tid, task, at, function="rec_function", path="rec_path", bits=bits)
     if not show_msg:
         rows = rows.where(is_marker())
     is_beg = F.col("message") == BEGIN_MARK
     is_end = (F.col("message") == END_MARK) & ~F.col("unmatched")
     is_bad = (F.col("message") == END_MARK) & F.col("unmatched")
-    # frame level: a BEG lives at its depth, a matched END at depth + 1
-    lvl_m = F.when(is_beg, F.col("depth")).when(is_end, F.col("depth") + 1)
-    rows = rows.withColumn("lvl", lvl_m).withColumn(TCHUNK, time_chunk(order[0], chunk_seconds))
-    paired_ends = prev_in_group(rows.where(is_beg | is_end), [*THREAD, "lvl"], order, ["puttime"],
-                                ["beg_time"], TCHUNK).select("id", "beg_time")
-    # an unmatched END is timed against the frame on top: the last BEG at its depth
-    tops = nearest_marked(rows.where(is_beg | is_bad), [*THREAD, "depth"], order, is_beg, F.col("puttime"),
-                          "top_time", TCHUNK, "prev").where(is_bad).select("id", "top_time")
-    r = rows.join(paired_ends, "id", "left").join(tops, "id", "left")
+    # A frame lives at its BEG's depth; a matched END closes the last BEG at
+    # depth + 1, an unmatched one is timed against the frame on top.
+    level = F.when(is_beg, F.col("depth")).when(is_end, F.col("depth") + 1).when(is_bad, F.col("depth"))
+    rows = rows.withColumn("lvl", level).withColumn(CHUNK, id_chunk(ORDER, bits))
+    times = nearest_marked(rows.where(is_beg | is_end | is_bad), [*THREAD, "lvl"], [ORDER], is_beg, F.col("puttime"),
+                           CHUNK, before="beg_time").select("id", "beg_time")
+    r = rows.join(times, "id", "left")
     loc = F.concat(F.lit("["), F.col("rec_path"), F.lit(":"), F.col("rec_line").cast("string"), F.lit("]"))
     fn = F.concat(F.col("rec_function"), F.lit("()"))
     t = short_time("puttime")
     begin = F.concat(F.lit("BEGIN  "), fn, F.lit("        ["), t, F.lit("]  "), loc)
-    dur = epoch_micros("puttime") - epoch_micros(F.coalesce("beg_time", "top_time"))
+    dur = epoch_micros("puttime") - epoch_micros(F.col("beg_time"))
     end = F.concat(F.lit("END  "), fn, F.lit("        [duration:"), seconds_2dp(dur), F.lit("s  "), t,
                    F.lit("]  "), loc)
     msg_head = F.concat(F.lit("["), F.col("level"), F.lit("]  "), fn, F.lit("        ["), t, F.lit("]  "), loc)

@@ -43,6 +43,23 @@ def q_call_mismatches(spark, sf_dir):
     return stacks.call_mismatches(fixtures.logs(spark, sf_dir, mismatched=True))
 
 
+def _hard(spark, sf_dir):
+    """Logs whose clock steps back and whose ENDs log shorter names, with the
+    recovered names."""
+    from ..operators import recover
+    return recover.recover_logs(fixtures.logs(spark, sf_dir, hard=True), fixtures.symbols(spark))
+
+
+@query("call_spans_hard")
+def q_call_spans_hard(spark, sf_dir):
+    return stacks.call_spans(_hard(spark, sf_dir), "rec_function", "rec_path")
+
+
+@query("call_mismatches_hard")
+def q_call_mismatches_hard(spark, sf_dir):
+    return stacks.call_mismatches(_hard(spark, sf_dir), "rec_function", "rec_path")
+
+
 @query("function_time")
 def q_function_time(spark, sf_dir):
     return stacks.function_time(fixtures.logs(spark, sf_dir))
@@ -52,7 +69,8 @@ def q_function_time(spark, sf_dir):
 
 def _parsed(spark, sf_dir):
     from ..sources import logtext
-    return logtext.parse_records(logtext.scan_records(spark, fixtures.rendered_dir(spark, sf_dir)))
+    return logtext.check_files(logtext.parse_records(logtext.scan_records(
+        spark, fixtures.rendered_dir(spark, sf_dir))))
 
 
 @query("scan_records")
@@ -75,12 +93,10 @@ def q_quarantine(spark, sf_dir):
 
 @query("arrival_order")
 def q_arrival_order(spark, sf_dir):
-    from ..operators.ordered import running_count
+    from ..operators.ordered import id_chunk, running_count
     from ..sources import logtext
     good = logtext.good_rows(_parsed(spark, sf_dir))
-    # Arrival keys of one file grow with the split offset: chunk by 256 MiB of file.
-    chunk = F.shiftright(F.col("id"), 40)
-    return running_count(good, ["node"], ["id"], "seq", chunk).select("node", "seq", "level", "tid", "puttime")
+    return running_count(good, ["node"], ["id"], "seq", id_chunk()).select("node", "seq", "level", "tid", "puttime")
 
 
 @query("scan_nodes")
@@ -118,14 +134,13 @@ def q_layout_roundtrip(spark, sf_dir):
 
 @query("items_catalog")
 def q_items_catalog(spark, sf_dir):
-    from ..sources import store
-    return store.items_catalog(fixtures.logs(spark, sf_dir))
+    return fixtures.items(spark, sf_dir)
 
 
 @query("list_items")
 def q_list_items(spark, sf_dir):
     from ..sources import store
-    return store.list_items(store.items_catalog(fixtures.logs(spark, sf_dir)), "node-1", "tid")
+    return store.list_items(fixtures.items(spark, sf_dir), "node-1", "tid")
 
 
 @query("list_nodes")
@@ -159,7 +174,7 @@ ANCHOR = ("node-2", 7, "ProcessOrderBatchFromDisk", "2024-01-15 12:00:00")
 def q_time_range(spark, sf_dir):
     from ..operators import select
     lg = fixtures.logs(spark, sf_dir).where(F.col("node") == RANGE_NODE)
-    return select.time_range(lg, RANGE_START, RANGE_END)
+    return select.natural_order(select.time_range(lg, RANGE_START, RANGE_END))
 
 
 @query("time_range_default")
@@ -218,7 +233,7 @@ def q_rows_from(spark, sf_dir):
     lg = fixtures.logs(spark, sf_dir)
     node, tid, task, at = ANCHOR
     a = select.nearest_entry(lg, node, tid, task, at).collect()[0]
-    return select.rows_from(lg, node, tid, a["puttime"], a["id"])
+    return select.natural_order(select.rows_from(lg, node, tid, a["id"]))
 
 
 @query("fleet_range")
@@ -252,6 +267,19 @@ def q_recover_ties(spark, sf_dir):
     return recover.resolve_keys(cut_keys(fixtures.logs(spark, sf_dir)), fixtures.symbols(spark))
 
 
+@query("recover_parts")
+def q_recover_parts(spark, sf_dir):
+    """Cut names and paths of the part symbols, looked up in the symbol table
+    loaded from their ctags listing."""
+    from ..operators import recover
+    from ..sources import symbols
+    table = symbols.load_ctags(spark, symbols.render_ctags_from_parts(spark, sf_dir))
+    keys = table.select(F.substring("name", 1, 7).alias("function"),
+                        F.concat(F.substring("path", -14, 14), F.lit(":"), (F.col("line") + 3).cast("string"))
+                        .alias("fileline")).distinct()
+    return recover.resolve_keys(keys, table)
+
+
 @query("recover_logs")
 def q_recover_logs(spark, sf_dir):
     from ..operators import recover
@@ -275,9 +303,8 @@ def q_list_functions(spark, sf_dir):
 # -------------------------------------------------------------------- text
 
 def _docs(spark, sf_dir):
-    from ..operators.parallel import spread
     from ..session import read_table
-    return spread(read_table(spark, sf_dir, "documents"))
+    return read_table(spark, sf_dir, "documents")
 
 
 def _doc_search(spark, sf_dir, pred_fn):
@@ -327,7 +354,7 @@ def q_posting_lookup(spark, sf_dir):
     from ..session import read_table
     post = search.postings(_docs(spark, sf_dir), ["doc_id"], "text", "porter")
     words = read_table(spark, sf_dir, "benchmark").select(F.explode(tx.porter_tokens("text")).alias("word"))
-    return (search.lookup(post, words)
+    return (search.lookup(post, words, ["doc_id"])
             .groupBy("term").agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("occurrences")))
 
 
@@ -368,47 +395,73 @@ def q_search_near(spark, sf_dir):
 
 @query("search_semi")
 def q_search_semi(spark, sf_dir):
-    """Labels of the documents holding a word, via postings + semi-join."""
+    """Labels of the documents holding a word, via the stored index."""
     from ..operators import search
     from ..session import read_table
-    post = search.postings(_docs(spark, sf_dir), ["doc_id"], "text", "porter")
-    return search.semi(read_table(spark, sf_dir, "labels"), search.hits(post, ["doc_id"], "stupid"), ["doc_id"])
+    hits = fixtures.document_index(spark, sf_dir, stem=False).term("stupid")
+    return search.semi(read_table(spark, sf_dir, "labels"), hits, ["doc_id"])
 
 
 @query("search_porter")
 def q_search_porter(spark, sf_dir):
     """Stemmed search: documents with a word stemming like 'licensing'."""
-    from ..operators import search
-    post = search.postings(_docs(spark, sf_dir), ["doc_id"], "text", "porter", stem="porter")
-    return search.hits(post, ["doc_id"], "licensing", stem="porter")
+    return fixtures.document_index(spark, sf_dir, stem=True).term("licensing")
 
 
-@query("stem_vocabulary")
-def q_stem_vocabulary(spark, sf_dir):
-    from ..functions import stem as stm
-    from ..functions import text as tx
-    words = _docs(spark, sf_dir).select(F.explode(tx.word_tokens("text")).alias("word"))
-    return stm.stem_vocabulary(words, "word", "english")
+def _log_search(spark, sf_dir, ask):
+    """Rows of one node whose message is hit, through the stored index."""
+    from ..operators import search, select
+    index = fixtures.log_index(spark, sf_dir).within(F.col("node") == RANGE_NODE)
+    return select.natural_order(search.node_rows(fixtures.logs(spark, sf_dir), ask(index), RANGE_NODE))
+
+
+@query("search_logs_term")
+def q_search_logs_term(spark, sf_dir):
+    return _log_search(spark, sf_dir, lambda i: i.term("purchases"))
+
+
+@query("search_logs_prefix")
+def q_search_logs_prefix(spark, sf_dir):
+    return _log_search(spark, sf_dir, lambda i: i.prefix("sign"))
+
+
+@query("search_logs_and")
+def q_search_logs_and(spark, sf_dir):
+    return _log_search(spark, sf_dir, lambda i: i.both(i.term("error"), i.term("users")))
+
+
+@query("search_logs_or")
+def q_search_logs_or(spark, sf_dir):
+    return _log_search(spark, sf_dir, lambda i: i.either(i.term("signup"), i.term("purchase")))
+
+
+@query("search_logs_not")
+def q_search_logs_not(spark, sf_dir):
+    return _log_search(spark, sf_dir, lambda i: i.but_not(i.term("user"), i.term("error")))
+
+
+@query("search_logs_phrase")
+def q_search_logs_phrase(spark, sf_dir):
+    return _log_search(spark, sf_dir, lambda i: i.phrase(["error", "user"]))
 
 
 @query("stem_vocabulary_porter")
 def q_stem_vocabulary_porter(spark, sf_dir):
-    from ..functions import stem as stm
+    from ..functions import porter
     from ..functions import text as tx
     words = _docs(spark, sf_dir).select(F.explode(tx.porter_tokens("text")).alias("word"))
-    return stm.stem_vocabulary(words.where(tx.is_stemmable(F.col("word"))), "word", "porter")
+    return porter.stem_vocabulary(words.where(tx.is_stemmable(F.col("word"))), "word")
 
 
 @query("fuzzy_functions")
 def q_fuzzy_functions(spark, sf_dir):
-    """Part-name words against the identifier-like words of the documents
-    (what log function names look like), edit distance <= 2."""
+    """Part-name words against all words of the documents, edit distance <= 2."""
     from ..functions import text as tx
     from ..operators import fuzzy
     from ..session import read_table
     a = read_table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
     b = _docs(spark, sf_dir).select(F.explode(tx.porter_tokens("text")).alias("target"))
-    return fuzzy.fuzzy_match(a, b.where(fuzzy.is_identifier(F.col("target"))), 2)
+    return fuzzy.fuzzy_match(a, b, 2)
 
 
 # ------------------------------------------------------- more call stacks
@@ -441,9 +494,8 @@ def q_call_messages(spark, sf_dir):
 
 @query("render_callstack")
 def q_render_callstack(spark, sf_dir):
-    from ..operators import recover
     lg = fixtures.logs(spark, sf_dir)
-    return stacks.render_tree(lg, recover.recover_logs(lg, fixtures.symbols(spark)))
+    return stacks.render_tree(lg, fixtures.symbols(spark))
 
 
 @query("render_callstack_one")
@@ -451,7 +503,7 @@ def q_render_callstack_one(spark, sf_dir):
     from ..operators import recover
     lg = fixtures.logs(spark, sf_dir)
     node, tid, task, at = ANCHOR
-    return stacks.callstack_text(lg, recover.recover_logs(lg, fixtures.symbols(spark)), node, tid, task, at)
+    return stacks.callstack_text(recover.recover_logs(lg, fixtures.symbols(spark)), node, tid, task, at)
 
 
 @query("list_functions_raw")
@@ -477,4 +529,4 @@ def q_render_callstack_lenient(spark, sf_dir):
     from ..operators import recover
     lg = fixtures.logs(spark, sf_dir, mismatched=True)
     node, tid, task, at = BAD_ANCHOR
-    return stacks.callstack_text(lg, recover.recover_logs(lg, fixtures.symbols(spark)), node, tid, task, at)
+    return stacks.callstack_text(recover.recover_logs(lg, fixtures.symbols(spark)), node, tid, task, at)

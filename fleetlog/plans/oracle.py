@@ -6,6 +6,9 @@ is derived inline with the same rules as :mod:`fleetlog.sources.fixtures`.
 
 from __future__ import annotations
 
+from ..functions import porter
+from ..functions.text import STOP_WORDS
+
 _E_P = """e AS (
   SELECT event_id, ts, user_id, event_type, props,
          concat('node-', user_id % 5) AS node, user_id % 12 AS tid,
@@ -14,11 +17,15 @@ _E_P = """e AS (
 p AS (SELECT *, k % 8 AS pos, CAST(floor(k / 8.0) AS BIGINT) AS cyc FROM e)"""
 
 
-def _logs_body(mismatched: bool) -> str:
-    lost = "WHEN pos = 3 AND cyc % 11 = 5 THEN 'LostTask' " if mismatched else ""
+def _logs_body(mismatched: bool, hard: bool = False) -> str:
+    lost = "WHEN pos = 3 AND cyc % 11 = 5 THEN 'LostTask' " if mismatched or hard else ""
+    time = "ts"
+    if hard:
+        lost = "WHEN pos = 7 AND cyc % 3 = 1 THEN 'ProcessOrderBatchFr' " + lost
+        time = "CASE WHEN pos IN (4, 5) AND cyc % 7 = 3 THEN ts - INTERVAL 1 DAY ELSE ts END"
     return f"""SELECT event_id AS id, node,
        CASE WHEN event_type = 'error' THEN 'WARNING' WHEN pos IN (2, 6) THEN 'DEBUG' ELSE 'INFO' END AS level,
-       tid, ts AS puttime,
+       tid, {time} AS puttime,
        CASE WHEN pos IN (0, 7) THEN 'rder/Processing.cpp' WHEN pos IN (4, 5) THEN 'tils/Totals.h'
             ELSE 'atch/Commit.cpp' END || ':' || CAST(100 + pos AS VARCHAR) AS fileline,
        CASE {lost}WHEN pos IN (0, 6, 7) THEN 'ProcessOrderBatchFro' WHEN pos IN (1, 2, 3) THEN 'CommitBatch'
@@ -28,10 +35,10 @@ def _logs_body(mismatched: bool) -> str:
 FROM p"""
 
 
-def with_logs(body: str, mismatched: bool = False) -> str:
+def with_logs(body: str, mismatched: bool = False, hard: bool = False) -> str:
     """``WITH e, p, logs AS (...)`` followed by ``body``; body may add CTEs
     by starting with ``, name AS (...)``."""
-    return f"WITH {_E_P},\nlogs AS ({_logs_body(mismatched)})\n{body}"
+    return f"WITH {_E_P},\nlogs AS ({_logs_body(mismatched, hard)})\n{body}"
 
 
 SYMBOLS_SQL = """symbols AS (SELECT * FROM (VALUES
@@ -44,7 +51,7 @@ SYMBOLS_SQL = """symbols AS (SELECT * FROM (VALUES
 ) AS t(name, path, line, seq))"""
 
 DEPTH_CTE = """, d AS (SELECT *, CAST(sum(CASE message WHEN 'BEG' THEN 1 ELSE -1 END) OVER (PARTITION BY node, tid
-             ORDER BY puttime, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth
+             ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth
            FROM logs WHERE message IN ('BEG', 'END')),
 l AS (SELECT *, CASE message WHEN 'BEG' THEN depth ELSE depth + 1 END AS lvl FROM d)"""
 
@@ -55,30 +62,38 @@ def sql(key: str, text: str) -> None:
     ORACLE[key] = text
 
 
-sql("call_spans", with_logs(DEPTH_CTE + """,
-w AS (SELECT *, lead(puttime) OVER q AS end_time, lead(function) OVER q AS end_function FROM l
-      WINDOW q AS (PARTITION BY node, tid, lvl ORDER BY puttime, id))
-SELECT node, tid, function, lvl, id, puttime, end_time, end_function FROM w WHERE message = 'BEG'"""))
+SPAN_SQL = """,
+w AS (SELECT *, lead(puttime) OVER q AS end_time, lead(function) OVER q AS end_function,
+             lead({name}) OVER q AS end_name, lead({path}) OVER q AS end_path FROM l
+      WINDOW q AS (PARTITION BY node, tid, lvl ORDER BY id))
+SELECT node, tid, function, lvl, id, puttime, end_time, end_function,
+       (epoch_us(end_time) - epoch_us(puttime)) / 1e6 AS duration,
+       CASE WHEN end_time IS NOT NULL THEN {name} = end_name AND {path} = end_path END AS matched
+FROM w WHERE message = 'BEG'"""
+LOGGED_PATH = "split_part(fileline, ':', 1)"
+
+sql("call_spans", with_logs(DEPTH_CTE + SPAN_SQL.format(name="function", path=LOGGED_PATH)))
 
 sql("call_depth", with_logs("""
 SELECT node, tid, id, message,
        CAST(sum(CASE message WHEN 'BEG' THEN 1 WHEN 'END' THEN -1 ELSE 0 END) OVER (PARTITION BY node, tid
-            ORDER BY puttime, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth
+            ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth
 FROM logs"""))
 
-sql("call_mismatches", with_logs(DEPTH_CTE + """,
+MISMATCH_SQL = """,
 w AS (SELECT *, lag(message) OVER q AS beg_message, lag(id) OVER q AS beg_id, lag(puttime) OVER q AS beg_time,
-             lag(function) OVER q AS beg_function, lag(fileline) OVER q AS beg_fileline FROM l
-      WINDOW q AS (PARTITION BY node, tid, lvl ORDER BY puttime, id))
+             lag(function) OVER q AS beg_function, lag(fileline) OVER q AS beg_fileline,
+             lag({name}) OVER q AS beg_name, lag({path}) OVER q AS beg_path FROM l
+      WINDOW q AS (PARTITION BY node, tid, lvl ORDER BY id))
 SELECT node, tid, id, puttime, function, fileline, lvl, beg_id, beg_function, beg_fileline,
        (epoch_us(puttime) - epoch_us(beg_time)) / 1e6 AS duration
-FROM w WHERE message = 'END' AND beg_message = 'BEG'
-  AND (function <> beg_function OR split_part(fileline, ':', 1) <> split_part(beg_fileline, ':', 1))""",
-                                mismatched=True))
+FROM w WHERE message = 'END' AND beg_message = 'BEG' AND ({name} <> beg_name OR {path} <> beg_path)"""
+
+sql("call_mismatches", with_logs(DEPTH_CTE + MISMATCH_SQL.format(name="function", path=LOGGED_PATH), mismatched=True))
 
 sql("function_time", with_logs(DEPTH_CTE + """,
 w AS (SELECT *, lead(puttime) OVER q AS end_time FROM l
-      WINDOW q AS (PARTITION BY node, tid, lvl ORDER BY puttime, id))
+      WINDOW q AS (PARTITION BY node, tid, lvl ORDER BY id))
 SELECT node, function, count(*) AS calls,
        round(sum((epoch_us(end_time) - epoch_us(puttime)) / 1e6), 6) AS total_s,
        round(max((epoch_us(end_time) - epoch_us(puttime)) / 1e6), 6) AS max_s
@@ -100,6 +115,8 @@ BAD_TEXT = """CASE tid % 3
   ELSE level || '][t' || CAST(tid AS VARCHAR) || '][' || t || '][' || fileline || '][' || function || '] tid is not a number'
 END || chr(10) || '  orphan line after a bad record'"""
 
+ORPHAN = "'INFO][    1][24-01-01T00:00:00.000000][a.cpp:1][Lost                ] tail of a record of '"
+
 BAD_REASON = "CASE tid % 3 WHEN 0 THEN 'too_few_fields' WHEN 1 THEN 'five_fields' ELSE 'bad_tid' END"
 
 sql("scan_records", with_logs(TEXT_LOGS + f"""
@@ -108,7 +125,7 @@ SELECT node, level || '][' || printf('%5d', tid) || '][' || t || '][' || filelin
 UNION ALL
 SELECT node, {BAD_TEXT} AS text FROM tl WHERE level = 'WARNING' AND message = 'END'
 UNION ALL
-SELECT DISTINCT node, 'orphan line before the first record of ' || node AS text FROM logs"""))
+SELECT DISTINCT node, {ORPHAN} || node AS text FROM logs"""))
 
 sql("parse_header", with_logs(TEXT_LOGS + """
 SELECT node, level, tid, puttime, fileline, function, message FROM tl"""))
@@ -116,7 +133,7 @@ SELECT node, level, tid, puttime, fileline, function, message FROM tl"""))
 sql("quarantine", with_logs(TEXT_LOGS + f"""
 SELECT node, {BAD_REASON} AS reason, {BAD_TEXT} AS text FROM tl WHERE level = 'WARNING' AND message = 'END'
 UNION ALL
-SELECT DISTINCT node, 'too_few_fields' AS reason, 'orphan line before the first record of ' || node AS text FROM logs"""))
+SELECT DISTINCT node, 'orphan' AS reason, {ORPHAN} || node AS text FROM logs"""))
 
 sql("arrival_order", with_logs("""
 SELECT node, row_number() OVER (PARTITION BY node ORDER BY puttime, id) AS seq, level, tid, puttime FROM logs"""))
@@ -147,7 +164,7 @@ sql("node_select", with_logs("SELECT * FROM logs WHERE node = 'node-2'"))
 sql("load_symbols", """
 SELECT CASE WHEN p_type = 'PROMO' THEN split_part(p_name, ' ', 1) ELSE p_name END AS name,
        'src/' || lower(replace(p_brand, '#', '')) || '/' || lower(p_type) || '.cpp' AS path,
-       CAST(p_size AS INTEGER) AS line
+       CAST(p_size AS BIGINT) + CASE WHEN p_size % 10 = 7 THEN 10000000000 ELSE 0 END AS line
 FROM part WHERE p_type NOT IN ('SMALL', 'LARGE')""")
 
 # ------------------------------------------------------------------ select
@@ -189,7 +206,7 @@ SELECT probe_id, node, tid, task, id, puttime FROM c WHERE rk = 1"""))
 sql("rows_from", with_logs(f"""
 , a AS ({ANCHOR_SQL})
 SELECT l.* FROM logs l, a WHERE l.node = 'node-2' AND l.tid = 7
-  AND (l.puttime > a.puttime OR (l.puttime = a.puttime AND l.id >= a.id))"""))
+  AND l.id >= a.id"""))
 
 sql("fleet_range", with_logs("""
 SELECT * FROM logs WHERE puttime >= TIMESTAMP '2024-01-05 00:00:00' AND puttime < TIMESTAMP '2024-01-05 06:00:00'"""))
@@ -197,14 +214,14 @@ SELECT * FROM logs WHERE puttime >= TIMESTAMP '2024-01-05 00:00:00' AND puttime
 # ---------------------------------------------------------------- recovery
 
 
-def resolve_sql(keys_cte: str) -> str:
+def resolve_sql(keys_cte: str, symbols: str = SYMBOLS_SQL) -> str:
     """CTEs ending in ``res(function, fileline, name, path, line)`` for the
     keys of ``keys_cte`` (a CTE named ``keys``)."""
-    return f""", {SYMBOLS_SQL},
+    return f""", {symbols},
 keys AS ({keys_cte}),
 k AS (SELECT function, fileline, rtrim(function, '()') AS f,
              CASE WHEN len(string_split(fileline, ':')) = 2 THEN split_part(fileline, ':', 1) ELSE fileline END AS lpath,
-             CASE WHEN len(string_split(fileline, ':')) = 2 THEN TRY_CAST(split_part(fileline, ':', 2) AS INTEGER) END AS lline
+             CASE WHEN len(string_split(fileline, ':')) = 2 THEN TRY_CAST(split_part(fileline, ':', 2) AS BIGINT) END AS lline
       FROM keys),
 m AS (SELECT k.*, s.name, s.path, s.line AS sline, s.seq FROM k LEFT JOIN symbols s ON starts_with(s.name, k.f)),
 n AS (SELECT function, fileline, count(name) AS n FROM m GROUP BY function, fileline),
@@ -235,6 +252,24 @@ sql("recover_symbols", with_logs(resolve_sql(LOG_KEYS) + "\nSELECT * FROM res"))
 
 sql("recover_ties", with_logs(resolve_sql(CUT_KEYS) + "\nSELECT * FROM res"))
 
+RECOVERED = """, rl AS (SELECT l.*, r.name AS rec_function, r.path AS rec_path, r.line AS rec_line
+             FROM logs l LEFT JOIN res r ON l.function = r.function AND l.fileline = r.fileline)"""
+HARD_DEPTH = resolve_sql(LOG_KEYS) + RECOVERED + DEPTH_CTE.replace("FROM logs WHERE", "FROM rl WHERE")
+
+sql("call_spans_hard", with_logs(HARD_DEPTH + SPAN_SQL.format(name="rec_function", path="rec_path"), hard=True))
+
+sql("call_mismatches_hard", with_logs(HARD_DEPTH + MISMATCH_SQL.format(name="rec_function", path="rec_path"), hard=True))
+
+PART_SYMBOLS = """symbols AS (
+  SELECT CASE WHEN p_type = 'PROMO' THEN split_part(p_name, ' ', 1) ELSE p_name END AS name,
+         'src/' || lower(replace(p_brand, '#', '')) || '/' || lower(p_type) || '.cpp' AS path,
+         CAST(p_size AS BIGINT) + CASE WHEN p_size % 10 = 7 THEN 10000000000 ELSE 0 END AS line, p_partkey AS seq
+  FROM part WHERE p_type NOT IN ('SMALL', 'LARGE'))"""
+
+sql("recover_parts", "WITH one AS (SELECT 1)" + resolve_sql("""SELECT DISTINCT left(name, 7) AS function,
+       right(path, 14) || ':' || CAST(line + 3 AS VARCHAR) AS fileline FROM symbols""", PART_SYMBOLS) + """
+SELECT * FROM res""")
+
 sql("recover_logs", with_logs(resolve_sql(LOG_KEYS) + """
 SELECT l.node, l.id, r.name AS rec_function, r.path AS rec_path, r.line AS rec_line
 FROM logs l LEFT JOIN res r ON l.function = r.function AND l.fileline = r.fileline"""))
@@ -265,9 +300,7 @@ PORTER_TOKS = (r"list_transform(regexp_extract_all(translate({t}, 'ABCDEFGHIJKLM
                r"ELSE x END)")
 WS_RE = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+")
-STOPS = ("'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'can', 'for', 'from', 'have', 'if', 'in', 'is', "
-         "'it', 'may', 'not', 'of', 'on', 'or', 'tbd', 'that', 'the', 'this', 'to', 'us', 'we', 'when', "
-         "'will', 'with', 'yet', 'you', 'your', 'beg', 'end'")
+STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 PUNCT = r"[!-/:-@\[-`{-~]"
 ALNUM = r"[\p{L}\p{N}]+"
 
@@ -336,12 +369,89 @@ SELECT d.doc_id, d.source FROM d JOIN h ON d.doc_id = h.doc_id""")
 sql("search_semi", DOC_TOKS + """
 SELECT * FROM labels WHERE doc_id IN (SELECT doc_id FROM d WHERE list_contains(toks, 'stupid'))""")
 
+# levenshtein counts bytes here: every character outside ASCII is written as
+# one of the ASCII ones that no token holds.
 sql("fuzzy_functions", DOC_TOKS + """,
 a AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part),
-b AS (SELECT DISTINCT target FROM (SELECT unnest(toks) AS target FROM d)
-       WHERE regexp_full_match(target, '[a-z_][a-z0-9_]*'))
-SELECT word, target, CAST(levenshtein(word, target) AS BIGINT) AS distance FROM a, b
-WHERE levenshtein(word, target) <= 2""")
+b AS MATERIALIZED (SELECT DISTINCT unnest(toks) AS target FROM d),
+c AS (SELECT coalesce(string_agg(ch, '' ORDER BY ch), '') AS chars, count(ch) AS n FROM (
+        SELECT DISTINCT unnest(regexp_extract_all(target, '[^\\x00-\\x7F]')) AS ch FROM b)),
+t AS (SELECT chars, left('ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^`{|}~', CAST(n AS INT)) AS ascii FROM c),
+bb AS (SELECT target, translate(target, chars, ascii) AS one FROM b, t),
+aa AS (SELECT word, translate(word, chars, ascii) AS one FROM a, t)
+SELECT word, target, CAST(levenshtein(aa.one, bb.one) AS BIGINT) AS distance FROM aa, bb
+WHERE abs(length(aa.one) - length(bb.one)) <= 2 AND levenshtein(aa.one, bb.one) <= 2""")
+
+
+def _stem_sql(src: str) -> str:
+    """CTE ``st(word, stem)`` of the distinct stemmable words of ``src(word)``:
+    the steps of :mod:`fleetlog.functions.porter`."""
+    steps: list[str] = []
+
+    def step(expr: str, extra: str = "") -> None:
+        k = len(steps)
+        steps.append(f"p{k} AS (SELECT word, {expr} AS w{extra} FROM p{k - 1})")
+
+    def test(text: str, pattern: str) -> str:
+        return f"regexp_matches({text}, '{pattern}')"
+
+    def cut(n: int, text: str = "w") -> str:
+        return f"left({text}, length({text}) - {n})"
+
+    def replaced(table: dict[str, str]) -> None:
+        pat = porter.ending(table)
+        step("w", f", regexp_extract(w, '{pat}', 1) AS s, regexp_extract(w, '{pat}', 2) AS x")
+        new = "CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+        step(f"CASE WHEN x <> '' AND {test('s', porter.MEASURE_OVER_0)} THEN s || {new} ELSE w END")
+
+    steps.append(f"p0 AS (SELECT DISTINCT word, regexp_replace(word, '^y', 'Y') AS w FROM {src} "
+                 "WHERE regexp_full_match(word, '[a-z]{3,20}'))")
+    step(f"CASE WHEN {test('w', '^.*(ss|i)es$')} THEN {cut(2)} WHEN {test('w', '^.+[^s]s$')} THEN {cut(1)} ELSE w END")
+    step("w", f", CASE WHEN {test('w', '^.*eed$')} THEN '' ELSE regexp_extract(w, '{porter.ending(['ed', 'ing'])}', 1) END AS s")
+    step(f"""CASE WHEN {test('w', '^.*eed$')} THEN CASE WHEN {test(cut(3), porter.MEASURE_OVER_0)} THEN {cut(1)} ELSE w END
+      WHEN s <> '' AND {test('s', porter.HAS_VOWEL)} THEN
+        CASE WHEN {test('s', '(at|bl|iz)$')} THEN s || 'e'
+             WHEN right(s, 1) = left(right(s, 2), 1) AND {test('s', '[^aeiouylsz]$')} THEN {cut(1, 's')}
+             WHEN {test('s', porter.SHORT_END)} THEN s || 'e' ELSE s END
+      ELSE w END""")
+    step(f"CASE WHEN {test('w', '^.+y$')} AND {test(cut(1), porter.HAS_VOWEL)} THEN {cut(1)} || 'i' ELSE w END")
+    replaced(porter.STEP_2)
+    replaced(porter.STEP_3)
+    step("w", f", regexp_extract(w, '{porter.ending(porter.STEP_4)}', 1) AS s, regexp_extract(w, '^(.+?[st])ion$', 1) AS i")
+    step(f"""CASE WHEN s <> '' THEN CASE WHEN {test('s', porter.MEASURE_OVER_1)} THEN s ELSE w END
+      WHEN i <> '' AND {test('i', porter.MEASURE_OVER_1)} THEN i ELSE w END""")
+    step(f"""CASE WHEN {test('w', '^.+e$')} AND ({test(cut(1), porter.MEASURE_OVER_1)} OR (
+      {test(cut(1), porter.MEASURE_IS_1)} AND NOT {test(cut(1), porter.SHORT_END)})) THEN {cut(1)} ELSE w END""")
+    step(f"CASE WHEN {test('w', 'll$')} AND {test('w', porter.MEASURE_OVER_1)} THEN {cut(1)} ELSE w END")
+    return ",\n".join(steps) + f",\nst AS (SELECT word, regexp_replace(w, '^Y', 'y') AS stem FROM p{len(steps) - 1})"
+
+
+DOC_WORDS = DOC_TOKS + ",\ndw AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(toks) AS word FROM d),\n" + _stem_sql("dw")
+
+sql("search_porter", DOC_WORDS + """
+SELECT DISTINCT dw.doc_id FROM dw JOIN st ON dw.word = st.word WHERE st.stem = 'licens'""")
+
+sql("stem_vocabulary_porter", DOC_WORDS + "\nSELECT word, stem FROM st")
+
+LOG_WORDS = with_logs(", lt AS (SELECT *, " + PORTER_TOKS.format(t="message") + """ AS toks FROM logs
+  WHERE node = 'node-1'),
+lw AS (SELECT id, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos FROM lt),
+""" + _stem_sql("lw") + """,
+li AS MATERIALIZED (SELECT id, pos, coalesce(stem, lw.word) AS word FROM lw LEFT JOIN st ON lw.word = st.word)
+SELECT id, node, level, tid, puttime, fileline, function, message FROM lt WHERE """)
+
+
+def _has(word: str) -> str:
+    return f"id IN (SELECT id FROM li WHERE word = '{word}')"
+
+
+sql("search_logs_term", LOG_WORDS + _has("purchas"))
+sql("search_logs_prefix", LOG_WORDS + "id IN (SELECT id FROM li WHERE starts_with(word, 'sign'))")
+sql("search_logs_and", LOG_WORDS + _has("error") + " AND " + _has("user"))
+sql("search_logs_or", LOG_WORDS + "(" + _has("signup") + " OR " + _has("purchas") + ")")
+sql("search_logs_not", LOG_WORDS + _has("user") + " AND NOT " + _has("error"))
+sql("search_logs_phrase", LOG_WORDS + """id IN (
+  SELECT a.id FROM li a JOIN li b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.word = 'error' AND b.word = 'user')""")
 
 
 # ------------------------------------------------------- more call stacks
@@ -366,21 +476,21 @@ SELECT node, tid, id, puttime, function FROM lp WHERE message = 'END' AND cyc %
 sql("callstack_one", with_logs(f"""
 , a AS ({ANCHOR_SQL}),
 t AS (SELECT l.*, CAST(sum(CASE l.message WHEN 'BEG' THEN 1 WHEN 'END' THEN -1 ELSE 0 END)
-               OVER (ORDER BY l.puttime, l.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth
+               OVER (ORDER BY l.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth
       FROM logs l, a WHERE l.node = 'node-2' AND l.tid = 7
-        AND (l.puttime > a.puttime OR (l.puttime = a.puttime AND l.id >= a.id)))
+        AND l.id >= a.id)
 SELECT node, tid, id, message, depth FROM t
 WHERE NOT EXISTS (SELECT 1 FROM t z WHERE z.depth = 0
-                  AND (z.puttime < t.puttime OR (z.puttime = t.puttime AND z.id < t.id)))"""))
+                  AND z.id < t.id)"""))
 
 sql("call_messages", with_logs("""
 , d AS (SELECT *, CAST(sum(CASE message WHEN 'BEG' THEN 1 WHEN 'END' THEN -1 ELSE 0 END) OVER (PARTITION BY node, tid
-             ORDER BY puttime, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth FROM logs),
+             ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth FROM logs),
 m AS (SELECT *,
         last_value(CASE WHEN message = 'BEG' THEN function END IGNORE NULLS) OVER q AS frame_function,
         last_value(CASE WHEN message = 'BEG' THEN id END IGNORE NULLS) OVER q AS frame_id
       FROM d WHERE message <> 'END'
-      WINDOW q AS (PARTITION BY node, tid, depth ORDER BY puttime, id
+      WINDOW q AS (PARTITION BY node, tid, depth ORDER BY id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT node, tid, id, depth, frame_function, frame_id FROM m WHERE message <> 'BEG'"""))
 
@@ -389,7 +499,7 @@ sql("render_callstack", with_logs(resolve_sql(LOG_KEYS) + DEPTH_CTE.replace("FRO
              FROM logs l LEFT JOIN res r ON l.function = r.function AND l.fileline = r.fileline),
 d AS (""") + """,
 w AS (SELECT *, lag(message) OVER q AS beg_message, lag(puttime) OVER q AS beg_time FROM l
-      WINDOW q AS (PARTITION BY node, tid, lvl ORDER BY puttime, id)),
+      WINDOW q AS (PARTITION BY node, tid, lvl ORDER BY id)),
 x AS (SELECT *, (epoch_us(puttime) - epoch_us(beg_time) + 5000) // 10000 AS c,
              repeat('    ', lvl - 1) || CASE WHEN lvl - 1 > 0 THEN '| ' ELSE '' END AS pad,
              '[' || rec_path || ':' || CAST(rec_line AS VARCHAR) || ']' AS loc,
@@ -417,14 +527,14 @@ sql("render_callstack_one", with_logs(resolve_sql(LOG_KEYS) + f"""
 rl AS (SELECT l.*, r.name AS rec_function, r.path AS rec_path, r.line AS rec_line
        FROM logs l LEFT JOIN res r ON l.function = r.function AND l.fileline = r.fileline),
 t AS (SELECT rl.*, CAST(sum(CASE rl.message WHEN 'BEG' THEN 1 WHEN 'END' THEN -1 ELSE 0 END)
-               OVER (ORDER BY rl.puttime, rl.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth
+               OVER (ORDER BY rl.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INT) AS depth
       FROM rl, a WHERE rl.node = 'node-2' AND rl.tid = 7
-        AND (rl.puttime > a.puttime OR (rl.puttime = a.puttime AND rl.id >= a.id))),
+        AND rl.id >= a.id),
 c AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM t z WHERE z.depth = 0
-                  AND (z.puttime < t.puttime OR (z.puttime = t.puttime AND z.id < t.id)))),
+                  AND z.id < t.id)),
 cm AS (SELECT *, CASE message WHEN 'BEG' THEN depth WHEN 'END' THEN depth + 1 END AS lvl FROM c),
 cp AS (SELECT *, lag(message) OVER q AS beg_message, lag(puttime) OVER q AS beg_time FROM cm
-      WHERE message IN ('BEG', 'END') WINDOW q AS (PARTITION BY lvl ORDER BY puttime, id)),
+      WHERE message IN ('BEG', 'END') WINDOW q AS (PARTITION BY lvl ORDER BY id)),
 x AS (SELECT cm.*, cp.beg_time,
              '[' || cm.rec_path || ':' || CAST(cm.rec_line AS VARCHAR) || ']' AS loc,
              cm.rec_function || '()' AS fn,
@@ -453,11 +563,11 @@ s AS (SELECT lp.*, (lp.message = 'END' AND lp.cyc % 11 = 5 AND lp.pos IN (3, 7))
              CASE WHEN lp.message = 'BEG' THEN 1
                   WHEN lp.message = 'END' AND NOT (lp.cyc % 11 = 5 AND lp.pos IN (3, 7)) THEN -1 ELSE 0 END AS delta
       FROM lp, a WHERE lp.node = 'node-2' AND lp.tid = 7
-        AND (lp.puttime > a.puttime OR (lp.puttime = a.puttime AND lp.id >= a.id))),
-t AS (SELECT *, CAST(sum(delta) OVER (ORDER BY puttime, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+        AND lp.id >= a.id),
+t AS (SELECT *, CAST(sum(delta) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
                      AS INT) AS depth FROM s),
 c AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM t z WHERE z.depth = 0
-                  AND (z.puttime < t.puttime OR (z.puttime = t.puttime AND z.id < t.id))))"""
+                  AND z.id < t.id))"""
 
 sql("callstack_lenient", with_logs(LENIENT_SEG + """
 SELECT node, tid, id, message, depth, unmatched FROM c""", mismatched=True))
@@ -470,11 +580,11 @@ cr AS (SELECT c.*, r.name AS rec_function, r.path AS rec_path, r.line AS rec_lin
        FROM c LEFT JOIN res r ON c.function = r.function AND c.fileline = r.fileline),
 mk AS (SELECT *, CASE WHEN message = 'BEG' THEN depth WHEN message = 'END' AND NOT unmatched THEN depth + 1 END AS lvl
        FROM cr),
-pe AS (SELECT id, lag(puttime) OVER (PARTITION BY lvl ORDER BY puttime, id) AS beg_time
+pe AS (SELECT id, lag(puttime) OVER (PARTITION BY lvl ORDER BY id) AS beg_time
        FROM mk WHERE lvl IS NOT NULL),
 tp AS (SELECT id, message,
               last_value(CASE WHEN message = 'BEG' THEN puttime END IGNORE NULLS) OVER (
-                PARTITION BY depth ORDER BY puttime, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top_time
+                PARTITION BY depth ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top_time
        FROM mk WHERE message = 'BEG' OR (message = 'END' AND unmatched)),
 x AS (SELECT mk.*,
              '[' || mk.rec_path || ':' || CAST(mk.rec_line AS VARCHAR) || ']' AS loc,

@@ -2,19 +2,15 @@
 
 from pyspark.sql import types as T
 
-# Column comments carry the field help of the original `ls field` listing.
 LOG_SCHEMA = T.StructType([
-    T.StructField("node", T.StringType(), False, {"comment": "node name (log file base name)"}),
-    T.StructField("id", T.LongType(), False, {"comment": "record key, increasing in arrival order within a file"}),
-    T.StructField("level", T.StringType(), True, {"comment": "log level"}),
-    T.StructField("tid", T.LongType(), True, {"comment": "thread ID"}),
-    T.StructField("puttime", T.TimestampNTZType(), True,
-                  {"comment": "datetime of the log (YYYY-MM-DD HH:MM:SS.ffffff)"}),
-    T.StructField("fileline", T.StringType(), True,
-                  {"comment": "filepath:lineno (filepath is left truncated)"}),
-    T.StructField("function", T.StringType(), True,
-                  {"comment": "right truncated function name of the log"}),
-    T.StructField("message", T.StringType(), True, {"comment": "log message"}),
+    T.StructField("node", T.StringType(), False, {"comment": "which machine wrote the record"}),
+    T.StructField("id", T.LongType(), False, {"comment": "arrival key: grows along the node's file"}),
+    T.StructField("level", T.StringType(), True, {"comment": "severity"}),
+    T.StructField("tid", T.LongType(), True, {"comment": "writing thread"}),
+    T.StructField("puttime", T.TimestampNTZType(), True, {"comment": "clock of the node, no zone"}),
+    T.StructField("fileline", T.StringType(), True, {"comment": "tail of the source path, colon, line"}),
+    T.StructField("function", T.StringType(), True, {"comment": "head of the function name"}),
+    T.StructField("message", T.StringType(), True, {"comment": "text, BEG and END mark calls"}),
 ])
 
 LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields]
@@ -26,5 +22,5 @@ END_MARK = "END"
 # Logged function names are cut to this many characters by the logger.
 FUNCTION_WIDTH = 20
 
-# Row order inside a thread: time first, record key to break ties.
-DEFAULT_ORDER = ("puttime", "id")
+# Row order inside a thread: arrival.  Clocks step, the file order does not.
+ORDER = "id"

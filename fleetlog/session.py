@@ -1,12 +1,15 @@
-"""Session helpers: recommended configuration and the shared scratch folder."""
+"""Session helpers: recommended configuration, the shared scratch folder, and
+shipping of the package to Python workers."""
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every fleetlog job relies on.  Time zone is pinned to UTC: log
 # times carry no zone and are read as TIMESTAMP_NTZ, but `now` defaults and
@@ -23,11 +26,17 @@ RECOMMENDED_CONF = {
 
 
 def build_session(master: str = "local[*]", app: str = "fleetlog",
-                  shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
-    b = SparkSession.builder.master(master).appName(app)
+                  shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+    """A session with the recommended settings.  The number of shuffle
+    partitions is left to the deployment unless one is given (tests, bench).
+    A master other than local needs a shared checkpoint folder."""
     conf = dict(RECOMMENDED_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
+    if not is_local(master) and not conf.get("spark.checkpoint.dir"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    b = SparkSession.builder.master(master).appName(app)
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -35,15 +44,21 @@ def build_session(master: str = "local[*]", app: str = "fleetlog",
     return spark
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and points at shared storage;
-    it is only filled in here when it is unset (local runs and tests).
+    On a cluster the deployment sets it; only on a local master is a temporary
+    folder filled in where it is unset (tests).
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not is_local(sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="fleetlog-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
@@ -56,6 +71,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/fleetlog/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: cuts
+    the lineage where a result feeds several passes, and a lost executor costs
+    a re-read only."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that
+    they need no installed copy."""
+    sc = spark.sparkContext
+    if getattr(sc, "_fleetlog_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "fleetlog")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    p = os.path.join(folder, n)
+                    z.write(p, os.path.relpath(p, root))
+    path = os.path.join(tempfile.mkdtemp(prefix="fleetlog-pkg-"), "fleetlog_pkg.zip")
+    with open(path, "wb") as f:
+        f.write(buf.getvalue())
+    sc.addPyFile(path)
+    sc._fleetlog_shipped = True
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

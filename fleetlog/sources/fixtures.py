@@ -50,10 +50,15 @@ FIXTURE_DEFAULT_FUNCTION = "ComputeTotals"
 FIXTURE_BEG_POS = (0, 1, 4)
 FIXTURE_END_POS = (3, 5, 7)
 MISMATCH_FUNCTION = "LostTask"
+SHORT_FUNCTION = "ProcessOrderBatchFr"
 
 
-def logs_from_positions(p: DataFrame, mismatched: bool = False) -> DataFrame:
+def logs_from_positions(p: DataFrame, mismatched: bool = False, hard: bool = False) -> DataFrame:
+    """``mismatched``: some ENDs name a function that was never entered.
+    ``hard``: besides, the clock of some cycles steps back by a day, and some
+    ENDs log a shorter form of the name, which recovers to the same function."""
     pos = F.col("pos")
+    mismatched = mismatched or hard
     level = (F.when(F.col("event_type") == "error", F.lit("WARNING"))
              .when(pos.isin(2, 6), F.lit("DEBUG")).otherwise(F.lit("INFO")))
     fileline = F.concat(_pos_case(pos, FIXTURE_PATHS, FIXTURE_DEFAULT_PATH), F.lit(":"),
@@ -61,22 +66,27 @@ def logs_from_positions(p: DataFrame, mismatched: bool = False) -> DataFrame:
     function = _pos_case(pos, FIXTURE_FUNCTIONS, FIXTURE_DEFAULT_FUNCTION)
     if mismatched:
         function = F.when((pos == 3) & (F.col("cyc") % 11 == 5), F.lit(MISMATCH_FUNCTION)).otherwise(function)
+    time = F.col("ts")
+    if hard:
+        function = F.when((pos == 7) & (F.col("cyc") % 3 == 1), F.lit(SHORT_FUNCTION)).otherwise(function)
+        time = F.when(pos.isin(4, 5) & (F.col("cyc") % 7 == 3), time - F.expr("INTERVAL 1 DAY")).otherwise(time)
     message = (F.when(pos.isin(*FIXTURE_BEG_POS), F.lit("BEG"))
                .when(pos.isin(*FIXTURE_END_POS), F.lit("END"))
                .otherwise(F.concat(F.col("event_type"), F.lit(" user "), F.col("user_id").cast("string"),
                                    F.lit(" props "), F.col("props"))))
     return p.select(
         F.col("event_id").alias("id"), "node", level.alias("level"), F.col("tid").cast("long").alias("tid"),
-        F.col("ts").alias("puttime"), fileline.alias("fileline"), function.alias("function"),
+        time.alias("puttime"), fileline.alias("fileline"), function.alias("function"),
         message.alias("message"))
 
 
-def derive_logs(spark: SparkSession, sf_dir: str, mismatched: bool = False) -> DataFrame:
+def derive_logs(spark: SparkSession, sf_dir: str, mismatched: bool = False, hard: bool = False) -> DataFrame:
     """The log table derived from ``events`` (see module doc), as a plan."""
-    return logs_from_positions(events_positions(read_table(spark, sf_dir, "events")), mismatched)
+    return logs_from_positions(events_positions(read_table(spark, sf_dir, "events")), mismatched, hard)
 
 
-_STORED: dict[tuple[str, bool], str] = {}
+# Folders of this session's derived test tables, by application.
+_STORED: dict[tuple, str] = {}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -85,22 +95,57 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def logs(spark: SparkSession, sf_dir: str, mismatched: bool = False) -> DataFrame:
+def _made(spark: SparkSession, key: tuple, write) -> str:
+    """The folder of a derived test table, written once per application."""
+    from ..session import scratch_path
+
+    full = (spark.sparkContext.applicationId, *key)
+    path = _STORED.get(full)
+    if path is None or not _exists(spark, path):
+        path = scratch_path(spark, key[0])
+        write(path)
+        _STORED[full] = path
+    return path
+
+
+def logs(spark: SparkSession, sf_dir: str, mismatched: bool = False, hard: bool = False) -> DataFrame:
     """The log table derived from ``events``, stored once per session the
     way ingested logs are (node-partitioned parquet below the shared
     checkpoint folder) and read back from there."""
-    from ..session import scratch_path
     from . import store
 
-    key = (sf_dir, mismatched)
-    path = _STORED.get(key)
-    if path is None or not _exists(spark, path):
-        path = scratch_path(spark, "logs-table")
-        store.write_logs(derive_logs(spark, sf_dir, mismatched), path, range_partition=True)
-        _STORED[key] = path
+    path = _made(spark, ("logs-table", sf_dir, mismatched, hard), lambda p: store.write_logs(
+        derive_logs(spark, sf_dir, mismatched, hard), p, range_partition=True))
     return store.read_stored(spark, path)
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored items catalog of :func:`logs`, as ingest writes it."""
+    from . import store
+
+    return store.read_items(spark, _made(spark, ("log-items", sf_dir),
+                                         lambda p: store.write_items(logs(spark, sf_dir), p)))
+
+
+def log_index(spark: SparkSession, sf_dir: str):
+    """The stored message index of :func:`logs`, as ingest writes it."""
+    from ..operators import search
+    from .ingest import INDEX_IDS
+
+    path = _made(spark, ("log-index", sf_dir),
+                 lambda p: search.write_index(logs(spark, sf_dir), INDEX_IDS, "message", p))
+    return search.Index.read(spark, path, INDEX_IDS)
+
+
+def document_index(spark: SparkSession, sf_dir: str, stem: bool):
+    """A stored index of the texts of ``documents``."""
+    from ..operators import search
+
+    path = _made(spark, ("document-index", sf_dir, stem), lambda p: search.write_index(
+        read_table(spark, sf_dir, "documents"), ["doc_id"], "text", p, stem))
+    return search.Index.read(spark, path, ["doc_id"], stem)
+
+
 # The symbol table used by the recovery tests, (name, path, line),
 # in table order.
 SYMBOLS = [
@@ -123,7 +168,8 @@ def symbols(spark: SparkSession) -> DataFrame:
 # Fixed values of the rendered text fixture.
 TEXT_TIME_FORMAT = "yy-MM-dd'T'HH:mm:ss.SSSSSS"
 ORPHAN_AFTER_BAD = "  orphan line after a bad record"
-ORPHAN_AT_START = "orphan line before the first record of "
+# looks like a header that lost its first character
+ORPHAN_AT_START = "INFO][    1][24-01-01T00:00:00.000000][a.cpp:1][Lost                ] tail of a record of "
 
 
 def _multiline(logs: DataFrame) -> Column:
@@ -205,17 +251,7 @@ def render_log_files(spark: SparkSession, sf_dir: str, out_dir: str) -> list[str
     return sorted(files)
 
 
-_RENDERED: dict[str, str] = {}
-
-
 def rendered_dir(spark: SparkSession, sf_dir: str) -> str:
     """Directory of rendered ``<node>.txt`` files for ``sf_dir`` (made once
     per session, below the shared checkpoint folder)."""
-    from ..session import scratch_path
-
-    d = _RENDERED.get(sf_dir)
-    if d is None:
-        d = scratch_path(spark, "rendered-logs")
-        render_log_files(spark, sf_dir, d)
-        _RENDERED[sf_dir] = d
-    return d
+    return _made(spark, ("rendered-logs", sf_dir), lambda p: render_log_files(spark, sf_dir, p))

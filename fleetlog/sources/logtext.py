@@ -30,7 +30,8 @@ _ROW_BITS = (1 << 33) - 1
 # 2^33 rows of one split before the next split's keys start.
 _OFFSET_SCALE = 4096
 
-QUARANTINE_REASONS = ("too_few_fields", "five_fields", "bad_tid", "bad_time")
+QUARANTINE_REASONS = ("node_already_stored", "node_in_two_files", "orphan", "too_few_fields", "five_fields",
+                      "bad_tid", "bad_time")
 
 
 def node_of(file_name: Column) -> Column:
@@ -89,6 +90,30 @@ def parse_records(records: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason).drop("__fl_n", "__fl_tid", "__fl_time")
 
 
+def check_files(parsed: DataFrame, stored_nodes: DataFrame | None = None) -> DataFrame:
+    """``parsed`` with the reasons that need more than the record itself:
+
+    * ``node_already_stored``: the node is in ``stored_nodes`` (node);
+    * ``node_in_two_files``: another file, first by path, has the same node;
+    * ``orphan``: text before the first header of its file.
+
+    One small row per file is aggregated and joined back.
+    """
+    files = parsed.groupBy("node", "file").agg(F.min("id").alias("__fl_first_id"))
+    per_node = files.groupBy("node").agg(F.min("file").alias("__fl_first_file"))
+    if stored_nodes is not None:
+        known = stored_nodes.select("node", F.lit(True).alias("__fl_known")).distinct()
+        per_node = per_node.join(known, "node", "left")
+    else:
+        per_node = per_node.withColumn("__fl_known", F.lit(None).cast("boolean"))
+    reason = (F.when(F.col("__fl_known"), F.lit("node_already_stored"))
+              .when(F.col("file") != F.col("__fl_first_file"), F.lit("node_in_two_files"))
+              .when((F.col("id") == F.col("__fl_first_id")) & ~F.col("text").startswith("["), F.lit("orphan"))
+              .otherwise(F.col("reason")))
+    return (parsed.join(files.join(per_node, "node"), ["node", "file"])
+            .withColumn("reason", reason).select(*parsed.columns))
+
+
 def good_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNull()).select(*LOG_COLUMNS)
 
@@ -101,7 +126,7 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 def read_logs(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(good log rows, quarantine) of the given files.  Both come from one
     parse; persist or write them together to read the text only once."""
-    parsed = parse_records(scan_records(spark, paths))
+    parsed = check_files(parse_records(scan_records(spark, paths)))
     return good_rows(parsed), quarantine(parsed)
 
 

@@ -30,15 +30,20 @@ def stored_nodes(spark: SparkSession, root: str) -> list[str]:
     return sorted(out)
 
 
+def nodes_frame(spark: SparkSession, root: str) -> DataFrame:
+    """(node) of the nodes stored under ``root``."""
+    return spark.createDataFrame([(n,) for n in stored_nodes(spark, root)], "node string")
+
+
 def write_logs(logs: DataFrame, root: str, range_partition: bool = False,
                num_partitions: int | None = None, bloom: bool = True) -> list[str]:
     """Append ``logs`` to the table at ``root``, partitioned by node.
 
-    Nodes already stored are refused (their rows are skipped and the node
-    names returned), so a node is never indexed twice.  Every output file is
-    sorted by puttime, so row-group statistics let time-range filters skip
-    data; bloom filters serve equality lookups.  The job commits
-    all-or-nothing.
+    Nodes already stored are refused: their rows are left out and the node
+    names returned.  (:func:`fleetlog.sources.ingest.ingest_files` also keeps
+    their records, in the quarantine.)  Every output file is sorted by
+    puttime, so row-group statistics let time-range filters skip data; bloom
+    filters serve equality lookups.  The job commits all-or-nothing.
 
     Rows from the text scan are already time-local (one split = a stretch
     of one node's log), so the default sorts inside each task and writes
@@ -49,11 +54,11 @@ def write_logs(logs: DataFrame, root: str, range_partition: bool = False,
     spark = logs.sparkSession
     skipped = stored_nodes(spark, root)
     if skipped:
-        logs = logs.where(~F.col("node").isin(skipped))
+        logs = logs.join(nodes_frame(spark, root), "node", "left_anti")
     out = logs.select(*LOG_COLUMNS)
     if range_partition:
-        n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        out = out.repartitionByRange(n, "node", "puttime")
+        keys = ("node", "puttime")
+        out = out.repartitionByRange(num_partitions, *keys) if num_partitions else out.repartitionByRange(*keys)
     w = out.sortWithinPartitions("node", "puttime", "id").write.mode("append").partitionBy("node")
     w = w.option("parquet.bloom.filter.enabled", "false")
     for c in BLOOM_COLUMNS if bloom else ():
@@ -66,6 +71,16 @@ def read_stored(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root).select(*LOG_COLUMNS)
 
 
+def write_items(logs: DataFrame, root: str) -> None:
+    """Append the items catalog of newly ingested logs, by node."""
+    (items_catalog(logs).repartition("node").sortWithinPartitions("node", "field", "value")
+     .write.mode("append").partitionBy("node").parquet(root))
+
+
+def read_items(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(root).select("node", "field", "value")
+
+
 def items_catalog(logs: DataFrame) -> DataFrame:
     """Distinct values of ``level`` and ``tid`` per node: (node, field, value)."""
     return (logs.select("node", F.expr("stack(2, 'level', level, 'tid', CAST(tid AS STRING)) AS (field, value)"))
@@ -88,5 +103,5 @@ def node_select(logs: DataFrame, node: str) -> DataFrame:
     node's files are read.  Unknown nodes are an error."""
     sel = logs.where(F.col("node") == node)
     if not sel.limit(1).collect():
-        raise ValueError(f"node index not exists: {node}")
+        raise ValueError(f"no logs of node {node!r} are stored")
     return sel

@@ -2,7 +2,7 @@
 
 A line is cut at the first ``function``; the part before is the name (at
 most two words, else the line is skipped), the part after holds the line
-number (digits only, else skipped), the path and the code.  ``seq`` keeps
+number (digits that fit 64 bits, else skipped), the path and the code.  ``seq`` keeps
 the table order, which breaks ties in recovery.
 """
 
@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Some rendered lines have a line number beyond 32 bits.
+LONG_LINE = 10_000_000_000
 _WS = " \t\n\r\x0b\x0c"
 
 
@@ -26,9 +28,10 @@ def parse_ctags(lines: DataFrame, seq: str | None = None) -> DataFrame:
     lineno = F.try_element_at(pcs, F.lit(1))
     keep = (i > 0) & (words <= 2) & (F.size(pcs) >= 3) & lineno.rlike("^[0-9]+$")
     order = F.col(seq) if seq else F.monotonically_increasing_id()
-    return (lines.where(keep)
+    return (lines.where(keep).withColumn("__fl_line", lineno)
             .select(tag.alias("name"), F.try_element_at(pcs, F.lit(2)).alias("path"),
-                    lineno.cast("int").alias("line"), order.alias("seq")))
+                    F.expr("try_cast(__fl_line AS BIGINT)").alias("line"), order.alias("seq"))
+            .where(F.col("line").isNotNull()))
 
 
 def load_ctags(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -53,10 +56,11 @@ def render_ctags_from_parts(spark: SparkSession, sf_dir: str) -> str:
             .when(F.col("p_type") == "PROMO", F.split_part("p_name", F.lit(" "), F.lit(1)))
             .otherwise(F.col("p_name")))
     lineno = F.concat(F.when(F.col("p_type") == "LARGE", F.lit("L")).otherwise(F.lit("")),
-                      F.col("p_size").cast("string"))
+                      (F.col("p_size") + F.when(F.col("p_size") % 10 == 7, F.lit(LONG_LINE)).otherwise(F.lit(0)))
+                      .cast("string"))
     path = F.concat(F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/"),
                     F.lower("p_type"), F.lit(".cpp"))
     code = F.concat(F.lit("void "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("()"))
     out = scratch_path(spark, "ctags")
-    p.select(F.concat_ws(" ", name, F.lit("function"), lineno, path, code).alias("value")).write.text(out)
+    p.orderBy("p_partkey").select(F.concat_ws(" ", name, F.lit("function"), lineno, path, code).alias("value")).write.text(out)
     return out

@@ -2,9 +2,10 @@
 
 New log files dropped into a directory are framed and parsed exactly like
 the batch scan (:mod:`fleetlog.sources.logtext`) and appended to the node-
-partitioned table; malformed records go to a quarantine table.  Each file
+partitioned table, its items and its index.  Each file
 is taken once (the file source tracks what it has read in the checkpoint),
-and a node already stored is refused, as the batch writer does.
+and the records of a node that is stored already, or of a second file of one
+node, go to the quarantine, as in the batch ingest.
 
 The stream carries only the raw record and its file metadata; the arrival
 key uses ``monotonically_increasing_id``, which streaming plans do not
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources import logtext, store
+from ..sources import ingest, logtext
 
 
 def record_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -40,19 +41,14 @@ def _batch_records(batch: DataFrame) -> DataFrame:
         F.regexp_replace("value", r"\r?\n$", "").alias("text"))
 
 
-def start_ingest(spark: SparkSession, src_dir: str, table_root: str, quarantine_root: str,
-                 checkpoint: str, available_now: bool = True,
+def start_ingest(spark: SparkSession, src_dir: str, root: str, checkpoint: str, available_now: bool = True,
                  max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the ingest stream; with ``available_now`` it processes what is
-    there and stops (batch-like, restartable from the checkpoint)."""
+    """Start the ingest stream into the tables of ``root``
+    (:mod:`fleetlog.sources.ingest`); with ``available_now`` it processes what
+    is there and stops (batch-like, restartable from the checkpoint)."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        parsed = logtext.parse_records(_batch_records(batch)).persist()
-        try:
-            store.write_logs(logtext.good_rows(parsed), table_root)
-            logtext.quarantine(parsed).write.mode("append").partitionBy("node").parquet(quarantine_root)
-        finally:
-            parsed.unpersist()
+        ingest.write_batch(_batch_records(batch), root)
 
     w = record_stream(spark, src_dir, max_files_per_trigger).writeStream.foreachBatch(write).option(
         "checkpointLocation", checkpoint)

@@ -39,6 +39,8 @@ def test_ctags_lines(spark):
         ("one two three function 4 src/c.cpp void x()",),
         ("Bar function x12 src/d.cpp void Bar()",),
         ("no marker here at all",),
+        ("Far function 12345678901 src/e.cpp void Far()",),
+        ("Beyond function 123456789012345678901234567890 src/f.cpp void Beyond()",),
     ], "value string")
     got = [(r["name"], r["path"], r["line"]) for r in symbols.parse_ctags(lines).orderBy("seq").collect()]
-    assert got == [("Foo", "src/a.cpp", 12), ("operator =", "src/b.h", 3)]
+    assert got == [("Foo", "src/a.cpp", 12), ("operator =", "src/b.h", 3), ("Far", "src/e.cpp", 12345678901)]

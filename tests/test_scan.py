@@ -30,7 +30,7 @@ def test_grammar_edge_cases(spark):
     ]) + "\n"
     _write(d, "node-a.log", text)
     _write(d, "nodot", GOOD + "\n")
-    p = logtext.parse_records(logtext.scan_records(spark, d))
+    p = logtext.check_files(logtext.parse_records(logtext.scan_records(spark, d)))
     good = logtext.good_rows(p).orderBy("node", "id").collect()
     assert [(r["node"], r["tid"]) for r in good] == [("node-a", 12), ("node-a", 7), ("nodot", 12)]
     assert good[0]["message"] == "first line\n  continuation one\n  continuation two"
@@ -39,7 +39,7 @@ def test_grammar_edge_cases(spark):
     assert good[1]["message"] == "[bracketed] message ] tail"
     assert good[1]["function"] == "Fn" and good[1]["fileline"] == "x.cpp:3"
     reasons = sorted(r["reason"] for r in logtext.quarantine(p).collect())
-    assert reasons == ["bad_tid", "bad_time", "five_fields", "too_few_fields", "too_few_fields"]
+    assert reasons == ["bad_tid", "bad_time", "five_fields", "orphan", "too_few_fields"]
 
 
 def test_records_survive_split_boundaries(spark):
@@ -126,3 +126,55 @@ def test_random_text_framing_matches_model(spark):
     want = _model_records(text.rstrip("\n"))
     assert got == want
     assert n_good + n_bad == len(want)
+
+
+def test_text_before_the_first_header_is_never_a_row(spark):
+    """A file that starts in mid-record, even if the rest looks like a header."""
+    d = tempfile.mkdtemp(prefix="fl-orphan-")
+    _write(d, "n1.txt", GOOD[1:] + "\n" + GOOD + "\n")
+    _write(d, "n2.txt", GOOD + "\n")
+    good, bad = logtext.read_logs(spark, d)
+    assert sorted(r["node"] for r in good.collect()) == ["n1", "n2"]
+    assert [(r["node"], r["reason"]) for r in bad.collect()] == [("n1", "orphan")]
+
+
+def test_second_file_of_a_node_is_set_aside(spark):
+    d = tempfile.mkdtemp(prefix="fl-two-")
+    _write(d, "n1.log", GOOD + "\n")
+    _write(d, "n1.txt", GOOD + "\n" + GOOD + "\n")
+    good, bad = logtext.read_logs(spark, d)
+    assert good.count() == 1
+    assert [r["reason"] for r in bad.collect()] == ["node_in_two_files"] * 2
+
+
+def test_ingest_keeps_every_record(spark):
+    from fleetlog.session import scratch_path
+    from fleetlog.sources import ingest, store
+    d, root = tempfile.mkdtemp(prefix="fl-in-"), scratch_path(spark, "ingest")
+    first = _write(d, "n1.txt", "\n".join([GOOD, "[bad line", GOOD.replace("first line", "second epoch")]) + "\n")
+    ingest.ingest_files(spark, first, root)
+    again = _write(d, "n1.log", GOOD + "\n")
+    other = _write(d, "n2.txt", GOOD + "\n")
+    ingest.ingest_files(spark, [again, other], root)
+    at = ingest.paths(root)
+    rows = store.read_stored(spark, at["logs"])
+    assert sorted((r["node"], r["message"]) for r in rows.collect()) == [
+        ("n1", "first line"), ("n1", "second epoch"), ("n2", "first line")]
+    bad = spark.read.parquet(at["quarantine"]).collect()
+    assert sorted((r["node"], r["reason"]) for r in bad) == [("n1", "node_already_stored"), ("n1", "too_few_fields")]
+    values = store.list_items(store.read_items(spark, at["items"]), "n1", "tid").collect()
+    assert [r["value"] for r in values] == ["12"]
+    hits = ingest.read_index(spark, root).prefix("epo")
+    from fleetlog.operators import search
+    assert [r["message"] for r in search.node_rows(rows, hits, "n1").collect()] == ["second epoch"]
+
+
+def test_overwritten_input_is_read_anew(spark):
+    from fleetlog.operators import search
+    from fleetlog.session import scratch_path
+    path = scratch_path(spark, "again")
+    for n in (5, 7):
+        spark.range(n).selectExpr("id AS doc_id", "'some license' AS text").write.mode("overwrite").parquet(path)
+        spark.catalog.refreshByPath(path)
+        docs = search.with_tokens(spark.read.parquet(path), "text")
+        assert docs.where(search.term("license", text="text")).count() == n

@@ -13,15 +13,15 @@ def _docs(spark):
     return search.with_tokens(spark.createDataFrame(ROWS, "doc_id long, text string"), "text")
 
 
-def _stemmed(spark):
-    """Porter-stemmed token arrays, built through the vocabulary job."""
-    from pyspark.sql import functions as F
-    from fleetlog.functions import stem as stm
-    df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    p = df.select("doc_id", F.posexplode(tx.porter_tokens("text")).alias("pos", "token"))
-    p = stm.stem_tokens(p, "token", "porter", only=F.col("token").rlike(tx.STEMMABLE_RE))
-    return p.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t")) \
-        .select("doc_id", F.transform("t", lambda x: x["token"]).alias("tokens"))
+def _index(spark, stem):
+    from fleetlog.session import scratch_path
+    root = scratch_path(spark, "index")
+    search.write_index(spark.createDataFrame(ROWS, "doc_id long, text string"), ["doc_id"], "text", root, stem)
+    return search.Index.read(spark, root, ["doc_id"], stem)
+
+
+def _hit(df):
+    return sorted(r["doc_id"] for r in df.collect())
 
 
 def _ids(df, pred):
@@ -29,25 +29,43 @@ def _ids(df, pred):
 
 
 def test_fixture_queries_stemmed(spark):
-    d = _stemmed(spark)
-    kw = {"stem": "porter"}
-    assert _ids(d, search.term("epoch", **kw)) == [1, 2]
-    assert _ids(d, search.prefix("epo", **kw)) == [1, 2]
-    assert _ids(d, search.term("epo", **kw)) == []
-    assert _ids(d, search.term("stored", **kw) & search.term("epoch", **kw)) == [2]
-    assert _ids(d, search.term("stored", **kw) | search.term("processing", **kw)) == [1, 2, 3]
-    assert _ids(d, search.term("stored", **kw) & ~search.term("epoch", **kw)) == [3]
-    assert _ids(d, search.phrase(["block", "epoch"], **kw)) == [2]
-    assert _ids(d, search.near("stored", "epoch", 1, **kw)) == [2]
-    assert _ids(d, search.prefix("processing", **kw)) == [1]
-    assert _ids(d, search.term("beg", **kw)) == [4]
-
-
-def test_unstemmed_scan_and_postings_agree(spark):
-    d = _docs(spark)
-    post = search.postings(spark.createDataFrame(ROWS, "doc_id long, text string"), ["doc_id"], "text")
-    assert _ids(d, search.term("epoch")) == sorted(r["doc_id"] for r in search.hits(post, ["doc_id"], "epoch").collect())
-    assert sorted(r["doc_id"] for r in search.phrase_hits(post, ["doc_id"], ["block", "epoch"]).collect()) == [2]
+    i = _index(spark, True)
+    assert _hit(i.term("epoch")) == [1, 2]
+    assert _hit(i.prefix("epo")) == [1, 2]
+    assert _hit(i.term("epo")) == []
+    assert _hit(i.both(i.term("stored"), i.term("epoch"))) == [2]
+    assert _hit(i.either(i.term("stored"), i.term("processing"))) == [1, 2, 3]
+    assert _hit(i.but_not(i.term("stored"), i.term("epoch"))) == [3]
+    assert _hit(i.phrase(["block", "epoch"])) == [2]
+    assert _hit(i.prefix("processing")) == [1]
+    assert _hit(i.term("beg")) == [4]
+
+
+def test_unstemmed_scan_and_index_agree(spark):
+    d, i = _docs(spark), _index(spark, False)
+    assert _ids(d, search.term("epoch")) == _hit(i.term("epoch"))
+    assert _hit(i.phrase(["block", "epoch"])) == [2]
+    assert _ids(d, search.near("stored", "epoch", 1)) == [2]
+    assert _hit(i.term("process")) == [] and _hit(i.prefix("process")) == [1]
+
+
+def test_scan_predicates_know_no_stemming(spark):
+    import pytest
+    with pytest.raises(TypeError):
+        search.term("license", stem="porter")
+
+
+def test_index_lookup_pushes_the_word(spark):
+    plan = _index(spark, True).term("epoch")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(word,epoch)" in plan and "split(" not in plan
+
+
+def test_log_index_reads_one_node(spark, sf_small):
+    from pyspark.sql import functions as F
+    from fleetlog.sources import fixtures
+    hits = fixtures.log_index(spark, sf_small).within(F.col("node") == "node-1").term("error")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(word,error)" in plan and "PartitionFilters: [isnotnull(node" in plan
 
 
 def test_porter_token_literals(spark):
@@ -66,19 +84,22 @@ def test_porter_token_literals(spark):
 def test_porter_analyzer_matches_sqlite(spark, sf_small):
     """Token sequence (copy rule included, before stemming) equals SQLite's
     porter tokenizer on every stemmer-free token of the documents."""
-    from fleetlog.functions.stem import porter_stem
+    from fleetlog.functions import porter
     from fleetlog.session import read_table
     docs = read_table(spark, sf_small, "documents").select("doc_id", "text").orderBy("doc_id").limit(60).collect()
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE tok USING fts3tokenize(porter)")
     df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in docs], "doc_id long, text string")
     ours = {r["doc_id"]: r["t"] for r in df.select("doc_id", tx.porter_tokens("text").alias("t")).collect()}
+    words = sorted({t for v in ours.values() for t in v if re.fullmatch("[a-z]{3,20}", t)})
+    stems = {r["word"]: r["stem"] for r in porter.stem_vocabulary(
+        spark.createDataFrame([(w,) for w in words], "word string")).collect()}
     checked = 0
     for r in docs:
         if not r["text"].isascii():
             continue  # the copy rule cuts bytes in SQLite and characters here
         theirs = [t for (t,) in db.execute("SELECT token FROM tok WHERE input = ?", (r["text"],))]
-        mine = [porter_stem(t) if re.fullmatch("[a-z]{3,20}", t) else t for t in ours[r["doc_id"]]]
+        mine = [stems.get(t, t) for t in ours[r["doc_id"]]]
         assert mine == theirs
         checked += 1
     assert checked > 10
@@ -104,3 +125,43 @@ def test_prefilter_keeps_cut_tokens(spark):
     assert _ids(df, search.term("internationalizationprocessing", text="text")) == [2]
     assert _ids(df, search.phrase(["is", "long"], text="text")) == [2]
     assert _ids(df, ~search.term("here", text="text")) == [2]
+
+
+def test_guard_never_loses_a_match(spark):
+    """Tokens that the copy rule cut need not stand in the text."""
+    df = search.with_tokens(spark.createDataFrame(
+        [(1, "see abc9xyzdef here"), (2, "abcdefghijklmnopqrstuvwxyz"), (3, "see abcdef")],
+        "doc_id long, text string"), "text")
+    for kw in ({}, {"text": "text"}):
+        assert _ids(df, search.term("abcdef", **kw)) == [1, 3]
+        assert _ids(df, search.phrase(["see", "abcdef"], **kw)) == [1, 3]
+        assert _ids(df, search.prefix("abcdefghijqrs", **kw)) == [2]
+        assert _ids(df, search.prefix("abcde", **kw)) == [1, 2, 3]
+        assert _ids(df, ~search.term("abcdef", **kw)) == [2]
+
+
+PORTER_WORDS = ("caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled "
+                "sized hopping tanned falling hissing fizzed failing filing happy sky relational conditional "
+                "rational valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli "
+                "vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti "
+                "sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness "
+                "revival allowance inference airliner gyroscopic adjustable defensible irritant replacement "
+                "adjustment dependent adoption homologou communism activate angulariti homologous effective "
+                "bowdlerize probate rate cease controll roll generalization oscillators archaeology "
+                "eed ies sses bed yes yelling toyed").split()
+
+
+def test_porter_matches_sqlite(spark):
+    from fleetlog.functions import porter
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE tok USING fts3tokenize(porter)")
+    want = {w: db.execute("SELECT token FROM tok WHERE input = ?", (w,)).fetchone()[0] for w in PORTER_WORDS}
+    got = porter.stem_vocabulary(spark.createDataFrame([(w,) for w in PORTER_WORDS], "word string")).collect()
+    assert {r["word"]: r["stem"] for r in got} == want
+
+
+def test_lookup_of_a_hot_word(spark):
+    from pyspark.sql import functions as F
+    post = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("the").alias("term"))
+    words = spark.createDataFrame([("the",), ("the",), ("none",)], "word string")
+    assert search.lookup(post, words, ["doc_id"]).count() == 1000

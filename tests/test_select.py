@@ -49,3 +49,17 @@ def test_unknown_node_is_an_error(spark, sf_small):
     from fleetlog.sources import fixtures
     with pytest.raises(ValueError):
         store.node_select(fixtures.logs(spark, sf_small), "node-99")
+
+
+def test_rows_from_goes_by_arrival(spark):
+    df = _rows(spark, ["2024-01-01 10:00:05", "2024-01-01 10:00:00", "2024-01-01 10:00:09"])
+    got = select.natural_order(select.rows_from(df, "n", 1, 1)).collect()
+    assert [r["id"] for r in got] == [1, 2]
+
+
+def test_cluster_needs_a_shared_folder():
+    import pytest
+    from fleetlog.session import build_session, is_local
+    with pytest.raises(ValueError, match="checkpoint"):
+        build_session(master="spark://nowhere:7077")
+    assert is_local("local[4]") and not is_local("local-cluster[2,1,1024]")

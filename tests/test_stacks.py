@@ -52,7 +52,7 @@ def _df(spark, rows):
 def test_lenient_fold_matches_model(spark):
     rows = _random_threads(7)
     df = _df(spark, rows)
-    spans, mism = lenient.lenient_fold(df, chunk_seconds=120)
+    spans, mism = lenient.lenient_fold(df, bits=4)
     got = {r["id"]: [r["depth"], r["end_id"]] for r in spans.collect()}
     got_m = sorted(r["id"] for r in mism.collect())
     want, want_m = {}, []
@@ -81,8 +81,8 @@ def test_strict_pairing_matches_model_on_clean_stacks(spark):
             st.append(fn)
         clean.append((n, tid, i, t, msg, fn, fl))
     df = _df(spark, clean)
-    got = {r["id"]: (r["lvl"], r["end_time"]) for r in stacks.call_spans(df, chunk_seconds=60).collect()}
-    spans, mism = lenient.lenient_fold(df, chunk_seconds=600)
+    got = {r["id"]: (r["lvl"], r["end_time"]) for r in stacks.call_spans(df, bits=4).collect()}
+    spans, mism = lenient.lenient_fold(df, bits=6)
     assert mism.count() == 0
     ends = {i: t for n, tid, i, t, msg, fn, fl in clean}
     for r in spans.collect():
@@ -108,14 +108,14 @@ def test_callstack_errors(spark, sf_small):
     import pytest
     from fleetlog.sources import fixtures
     lg = fixtures.logs(spark, sf_small, mismatched=True)
-    with pytest.raises(ValueError, match="Stack entry not found"):
+    with pytest.raises(ValueError, match="never enters"):
         stacks.callstack(lg, "node-2", 7, "NoSuchTask")
     # strict mode fails on the thread's first unlike END after the anchor
-    bad = stacks.call_mismatches(lg).orderBy("puttime").first()
+    bad = stacks.call_mismatches(lg).orderBy("id").first()
     if bad is not None:
-        with pytest.raises(ValueError, match="Unmatched function end"):
-            stacks.callstack(lg, bad["node"], bad["tid"], "ProcessOrderBatchFromQueue", "2024-01-01 00:00:00",
-                             strict=True)
+        with pytest.raises(ValueError, match="meets the open call"):
+            stacks.callstack(lg, bad["node"], bad["tid"], "CommitBatch",
+                             str(lg.where(f"id = {bad['beg_id']}").first()["puttime"]), strict=True)
 
 
 def test_nearest_entries_ties_against_brute_force(spark):
@@ -135,3 +135,86 @@ def test_nearest_entries_ties_against_brute_force(spark):
         at = base + dt.timedelta(seconds=s)
         want = min(range(len(t)), key=lambda i: (abs((t[i] - at).total_seconds()), i + 1)) + 1
         assert got[k] == want, (s, got[k], want)
+
+
+def _calls(spark, marks, start=dt.datetime(2024, 1, 1), steps=()):
+    """One thread: marks like 'B f' and 'E f'; steps: seconds of each row."""
+    rows = []
+    for i, m in enumerate(marks):
+        t = start + dt.timedelta(seconds=steps[i] if steps else i)
+        kind, fn = m.split()
+        rows.append(("n", 1, i + 1, t, {"B": "BEG", "E": "END"}[kind], fn, f"{fn}.cpp:1"))
+    return _df(spark, rows)
+
+
+def test_pairing_follows_the_file_not_the_clock(spark):
+    df = _calls(spark, ["B a", "B b", "E b", "E a"], steps=(10, 11, 9, 12))
+    got = {r["function"]: (r["end_function"], r["duration"], r["matched"]) for r in stacks.call_spans(df).collect()}
+    assert got == {"a": ("a", 2.0, True), "b": ("b", -2.0, True)}
+
+
+def test_names_that_recover_to_one_function_match(spark):
+    from pyspark.sql import functions as F
+    df = _calls(spark, ["B RunBatch", "E RunBatchA"]).withColumn("rec_function", F.lit("RunBatchAll")).withColumn(
+        "rec_path", F.lit("src/run.cpp")).withColumn("rec_line", F.lit(1))
+    assert stacks.call_mismatches(df).count() == 1
+    assert stacks.call_mismatches(df, "rec_function", "rec_path").count() == 0
+    assert stacks.call_spans(df, "rec_function", "rec_path").first()["matched"]
+    text = [r["text"] for r in stacks.callstack_text(df, "n", 1, "RunBatch").orderBy("id").collect()]
+    assert not any("Unmatched" in t for t in text) and text[1].startswith("END  RunBatchAll()")
+
+
+def test_strict_stack_ends_with_its_task(spark):
+    import pytest
+    df = _calls(spark, ["B a", "E a", "B b", "E x"])
+    rows = stacks.callstack(df, "n", 1, "a", "2024-01-01 00:00:00", strict=True)
+    assert [(r["id"], r["depth"]) for r in rows.orderBy("id").collect()] == [(1, 1), (2, 0)]
+    with pytest.raises(ValueError, match="meets the open call"):
+        stacks.callstack(df, "n", 1, "b", "2024-01-01 00:00:02", strict=True)
+
+
+def test_orphan_ends_do_not_meet_in_one_task(spark):
+    """A thread whose BEGs were never logged: its ENDs are settled where they
+    are, only chunk rows reach the composition."""
+    from pyspark.sql import functions as F
+    n = 100_000
+    df = spark.range(n).select(
+        F.lit("n").alias("node"), "id", F.lit("INFO").alias("level"), F.lit(1).cast("long").alias("tid"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias("puttime"),
+        F.lit("a.cpp:1").alias("fileline"), F.lit("f").alias("function"), F.lit("END").alias("message"))
+    seen = []
+    real = lenient._compose
+
+    def counted(batches):
+        def each():
+            for b in batches:
+                if (b["kind"] == "deferred").any():
+                    raise AssertionError("a hopeless END reached the composition")
+                yield b
+        yield from real(each())
+
+    lenient._compose = counted
+    try:
+        spans, mism = lenient.lenient_fold(df, bits=10)
+        assert mism.count() == n and spans.count() == 0
+    finally:
+        lenient._compose = real
+    assert not seen
+
+
+def test_frames_against_brute_force_across_chunks(spark):
+    rows = [r for r in _random_threads(23, n_threads=3, n_rows=300) if r[4] in ("BEG", "END")]
+    got = {r["id"]: (r["depth"], r["lvl"], r["prev"] and r["prev"]["id"], r["next"] and r["next"]["id"])
+           for r in stacks.frames(_df(spark, rows), bits=3).collect()}
+    for th in {(r[0], r[1]) for r in rows}:
+        depth, at = 0, {}
+        for n, tid, i, t, msg, fn, fl in [r for r in rows if (r[0], r[1]) == th]:
+            depth += 1 if msg == "BEG" else -1
+            lvl = depth if msg == "BEG" else depth + 1
+            before = at.get(lvl)
+            assert got[i][:3] == (depth, lvl, before)
+            if before is not None:
+                assert got[before][3] == i
+            at[lvl] = i
+        for i in at.values():
+            assert got[i][3] is None

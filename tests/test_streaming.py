@@ -1,18 +1,35 @@
-"""The streaming ingest gives the same table as the batch scan."""
+"""The streaming ingest gives the same tables as the batch scan."""
+
+import os
+import tempfile
 
 from fleetlog.session import scratch_path
-from fleetlog.sources import fixtures, logtext, store
+from fleetlog.sources import fixtures, ingest as tables, logtext, store
 from fleetlog.streaming import ingest
 
 
 def test_stream_ingest_equals_batch(spark, sf_small):
     src = fixtures.rendered_dir(spark, sf_small)
-    table, quar, ck = (scratch_path(spark, n) for n in ("s-table", "s-quar", "s-ck"))
-    q = ingest.start_ingest(spark, src, table, quar, ck, available_now=True, max_files_per_trigger=2)
+    root, ck = scratch_path(spark, "s-root"), scratch_path(spark, "s-ck")
+    q = ingest.start_ingest(spark, src, root, ck, available_now=True, max_files_per_trigger=2)
     q.awaitTermination(300)
-    got = store.read_stored(spark, table).drop("id")
-    parsed = logtext.parse_records(logtext.scan_records(spark, src))
-    want = logtext.good_rows(parsed).drop("id")
+    at = tables.paths(root)
+    got = store.read_stored(spark, at["logs"]).drop("id")
+    good, bad = logtext.read_logs(spark, src)
+    want = good.drop("id")
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
-    assert spark.read.parquet(quar).count() == logtext.quarantine(parsed).count()
+    assert spark.read.parquet(at["quarantine"]).count() == bad.count()
+
+
+def test_second_file_of_a_node_goes_to_the_quarantine(spark):
+    line = "[INFO][   12][24-01-02T03:04:05.123456][a.cpp:10][F] hello\n"
+    src = tempfile.mkdtemp(prefix="fl-stream-")
+    root, ck = scratch_path(spark, "s-root"), scratch_path(spark, "s-ck")
+    for name in ("n1.txt", "n1.log"):
+        with open(os.path.join(src, name), "w") as f:
+            f.write(line)
+        ingest.start_ingest(spark, src, root, ck).awaitTermination(300)
+    at = tables.paths(root)
+    assert store.read_stored(spark, at["logs"]).count() == 1
+    assert [r["reason"] for r in spark.read.parquet(at["quarantine"]).collect()] == ["node_already_stored"]
