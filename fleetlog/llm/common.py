@@ -1,18 +1,16 @@
-"""Helpers shared by the operators: shared-folder tables and word-level
-tokenizing with a bounded cache."""
+"""Helpers shared by the operators: tables, and word-level tokenizing with a
+bounded cache."""
 
 from __future__ import annotations
 
-import io
 import os
 import re
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlog.session import scratch_path
+from fleetlog.session import ship, stored  # noqa: F401  (the operators take both from here)
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 CACHE_WORDS = 1_000_000
@@ -23,38 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so that
-    they need no installed copy."""
-    sc = spark.sparkContext
-    if getattr(sc, "_fleetlog_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(os.path.join(root, "fleetlog")):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    p = os.path.join(folder, n)
-                    z.write(p, os.path.relpath(p, root))
-    import tempfile
-    path = os.path.join(tempfile.mkdtemp(prefix="fleetlog-pkg-"), "fleetlog_pkg.zip")
-    with open(path, "wb") as f:
-        f.write(buf.getvalue())
-    sc.addPyFile(path)
-    sc._fleetlog_shipped = True
-
-
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it
-    back: the cut in the lineage every multi-pass operator here uses.  A lost
-    executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tokenizer_json(path: str | None = None) -> str:
     """Text of the tokenizer file.  It is read on the driver and travels with
     the task (a vocabulary file has a fixed size), so workers need no path."""
