@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def deletion_variants(w: Column, k: int) -> Column:
     """All distinct strings obtained from w by deleting up to k (<= 2)
     characters."""

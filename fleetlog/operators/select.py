@@ -4,7 +4,6 @@ nearest entry of a task, and row rendering."""
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

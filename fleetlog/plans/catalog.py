@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stacks
-from ..schema import BEGIN_MARK, END_MARK
 from ..sources import fixtures
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
