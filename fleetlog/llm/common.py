@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlog.session import ship, stored  # noqa: F401  (the operators take both from here)
 
@@ -21,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BROADCAST_ROWS = 500_000
+
+
+def for_join(keys: DataFrame, rows: str = "1") -> DataFrame:
+    """A stored table of narrow rows as one side of a join with texts: broadcast
+    when it counts at most BROADCAST_ROWS (``rows``: what to sum), so that the
+    texts stay where they are; otherwise left to a shuffle join."""
+    n = keys.agg(F.expr(f"sum({rows})")).first()[0] or 0
+    return F.broadcast(keys) if n <= BROADCAST_ROWS else keys
+
+
 def tokenizer_json(path: str | None = None) -> str:
     """Text of the tokenizer file.  It is read on the driver and travels with
     the task (a vocabulary file has a fixed size), so workers need no path."""

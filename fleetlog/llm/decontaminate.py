@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlog.llm.common import ship, stored, table
+from fleetlog.llm.common import for_join, ship, stored, table
 
 WINDOW = 13
 SHARE = 20  # contaminated: hit words are at least 1/SHARE of the document's
@@ -261,9 +261,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, name: str = "decontamin
 def decontaminated(docs: DataFrame, benchmark: DataFrame, name: str = "decontaminate", doc_id: str = "doc_id",
                    text: str = "text") -> DataFrame:
     """``docs`` without its contaminated rows, all columns kept."""
-    bad = (stored(contamination(docs, benchmark, name, doc_id=doc_id, text=text), f"{name}/found")
-           .where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"))
-           .distinct())
+    found = contamination(docs, benchmark, name, doc_id=doc_id, text=text)
+    bad = for_join(stored(found.where("contaminated").select(
+        F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct(), f"{name}/bad"))
     return docs.join(bad, docs[f"`{doc_id}`"].cast("bigint").eqNullSafe(bad["_bad_id"])
                      & (F.xxhash64(f"`{text}`") == bad["_bad_hash"]), "left_anti")
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlog.llm.common import stored, table
+from fleetlog.llm.common import for_join, stored, table
 
 # The base patterns of the contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -139,14 +139,16 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: str = "text",
-           mark: str = "[secret]", length: str | None = None) -> DataFrame:
+           mark: str = "[secret]", length: str | None = None,
+           name: str = "secrets/live") -> DataFrame:
     """``docs`` with the stretches of owner-specific spans replaced by ``mark``;
     overlapping spans are one stretch.  All columns of ``docs`` are kept;
     ``length`` names one that holds the text's length, renewed where masked."""
-    hot = (scanned.where(F.size("live") > 0)
+    hot = stored(scanned.where(F.size("live") > 0)
            .select(F.col("doc_id").alias("_secret_id"), F.col("text_hash").alias("_secret_hash"),
                    F.sort_array(F.transform("live", lambda s: F.struct(s["start"], s["end"]))).alias("_secret_spans"))
-           .dropDuplicates(["_secret_id", "_secret_hash"]))
+           .dropDuplicates(["_secret_id", "_secret_hash"]), name)
+    hot = for_join(hot, "1 + size(_secret_spans)")
     t = F.col(f"`{text}`")
     joined = docs.join(hot, docs[f"`{doc_id}`"].eqNullSafe(hot["_secret_id"])
                        & (F.xxhash64(F.coalesce(t.cast("string"), F.lit(""))) == hot["_secret_hash"]), "left")

@@ -300,11 +300,14 @@ def one_of_each(docs: DataFrame, name: str = "simhash", doc_id: str = "doc_id",
     found = near_duplicates(docs, name, doc_id=doc_id, text=text)
     best = found.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("b"))
-    kept = best.select(F.col("b.doc_id").alias("_kept_id"), F.col("b.text_hash").alias("_kept_hash"))
-    keyed = docs.withColumns({"_row_id": F.col(f"`{doc_id}`").cast("bigint"), "_row_hash": F.xxhash64(f"`{text}`")})
-    return (keyed.join(kept, keyed["_row_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_row_hash"] == kept["_kept_hash"]),
-                       "left_semi")
-            .dropDuplicates(["_row_id", "_row_hash"]).drop("_row_id", "_row_hash"))
+    # keys without nulls, so that join and duplicates share one shuffle
+    def keys(i, h):
+        return {"_row_id": F.coalesce(i, F.lit(0).cast("bigint")), "_row_hash": F.when(i.isNull(), F.bitwise_not(h)).otherwise(h)}
+
+    kept = best.select(*[c.alias(k) for k, c in keys(F.col("b.doc_id"), F.col("b.text_hash")).items()])
+    keyed = docs.withColumns(keys(F.col(f"`{doc_id}`").cast("bigint"), F.xxhash64(f"`{text}`")))
+    return (keyed.join(kept, ["_row_id", "_row_hash"], "left_semi")
+            .dropDuplicates(["_row_id", "_row_hash"]).drop("_row_id", "_row_hash").select(*docs.columns))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
