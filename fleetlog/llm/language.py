@@ -239,12 +239,15 @@ def train_identifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def predicted(docs: DataFrame, identifier: Identifier, text: str = "text", keep_from: float | None = None) -> DataFrame:
-    """``docs`` with lang_pred and score for every whole text.
+    """``docs`` with lang_pred and score for every whole text (columns of these
+    names are replaced).
 
     With ``keep_from``, instead, the rows of ``docs`` whose language is known
     with at least that score, unchanged.
     """
     ship(docs.sparkSession)
+    if keep_from is None:
+        docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(
         (identifier.languages, identifier.model.p if identifier.model else None))
     wanted = docs.withColumn("__letters", F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False)))
