@@ -6,7 +6,6 @@ from __future__ import annotations
 import os
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """Partitions for a shuffle that carries texts or ids: as many as the input
+    has splits, so that none grows with the input, and at least the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
 BROADCAST_ROWS = 500_000
 
 
@@ -56,49 +61,46 @@ class WordEncoder:
     tokenizer unchanged.
     """
 
-    def __init__(self, json_text: str):
+    def __init__(self, json_text: str, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_str(json_text)
+        self._bpe = self._tok.model
         self._cache: dict[bytes, bytes] = {}
-        vocab = self._tok.get_vocab()
-        self._ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self._ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.width = width
+        n = max(self._tok.get_vocab().values()) + 1
+        if n > 1 << 8 * width:
+            raise ValueError(f"ids up to {n - 1} need more than {width} bytes")
+        self._id = [i.to_bytes(width, "little") for i in range(n)]
 
     def _raw(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of any chunks, by the whole tokenizer."""
         enc = self._tok.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in enc]
-
-    def _letters(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks of letters only.  Each is one pre-token, whose last
-        id is of a word-end entry, so they can be encoded as one text."""
-        ids = np.asarray(self._tok.encode(" ".join(chunks), add_special_tokens=False).ids, dtype="<u4")
-        cut = np.flatnonzero(self._ends[ids]) + 1
-        if len(cut) != len(chunks):
-            return self._raw([c.encode() for c in chunks])
-        data, at = ids.tobytes(), [0, *(cut * 4).tolist()]
-        return [data[lo:hi] for lo, hi in zip(at, at[1:])]
+        return [b"".join([self._id[i] for i in e.ids]) for e in enc]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of Latin letters.  It is one pre-token and normalized
+        once in lower case, so only its bytes go to the merges."""
+        as_bytes = word if word.isascii() else word.lower().encode().decode("latin-1").translate(_BYTE_CHARS)
+        return b"".join([self._id[t.id] for t in self._bpe.tokenize(as_bytes)])
 
     def _learn(self, words) -> dict[bytes, bytes]:
         """Adds the words to the cache; returns those too long for it."""
         cache = self._cache
-        letters: dict[bytes, str] = {}
         other: list[bytes] = []
         parts: dict[bytes, tuple[bytes, ...]] = {}
         for w in words:
             m = _WORD_AND_MARKS.fullmatch(w)
             p = (w,)
-            if m and m[1].decode().isalpha():
+            if m and _LATIN.fullmatch(m[1].decode(errors="replace")):
                 p = parts[w] = m.groups()
             for x in p:
                 if x not in cache:
                     t = x.decode()
-                    if t.isalpha():
-                        letters[x] = t
+                    if _LATIN.fullmatch(t):
+                        cache[x] = self._word(t)
                     else:
                         other.append(x)
-        if letters:
-            cache.update(zip(letters, self._letters(list(letters.values()))))
         if other:
             cache.update(zip(other, self._raw(other)))
         for w, p in parts.items():
@@ -107,7 +109,7 @@ class WordEncoder:
 
     def __call__(self, texts) -> list[bytes]:
         """Ids of each text (UTF-8 bytes or None) as little-endian unsigned
-        32-bit integers; a null text has none."""
+        integers of ``width`` bytes; a null text has none."""
         out = []
         cache = self._cache
         for text in texts:
@@ -116,28 +118,41 @@ class WordEncoder:
                 continue
             words = (text if b"<|" in text else text.lower()).split()  # ASCII white space only
             found = list(map(cache.get, words))
-            if None in found:
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # some are not known yet
                 new = {w for w, x in zip(words, found) if x is None}
                 if len(cache) + 2 * len(new) > CACHE_WORDS:
                     cache.clear()
                     new = set(words)
                 long = self._learn(new)
-                found = [cache[w] if w in cache else long[w] for w in words]
-            out.append(b"".join(found))
+                out.append(b"".join([cache[w] if w in cache else long[w] for w in words]))
         return out
 
 
 _WORD_AND_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:;=?@\[-`{}~]+)")
+_LATIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]{1,%d}" % LONG_WORD)
+
 
-_ENCODERS: dict[int, WordEncoder] = {}
+def _byte_chars() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable Latin-1 characters as
+    themselves, the others in order from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 0x100 + k for k, b in enumerate(rest)}
 
 
-def encoder(json_text: str) -> WordEncoder:
+_BYTE_CHARS = _byte_chars()
+
+_ENCODERS: dict[tuple[int, int], WordEncoder] = {}
+
+
+def encoder(json_text: str, width: int = 4) -> WordEncoder:
     """One encoder per worker process, kept between its tasks."""
-    key = hash(json_text)
+    key = (hash(json_text), width)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(json_text)
+        _ENCODERS[key] = WordEncoder(json_text, width)
     return _ENCODERS[key]
 
 
@@ -150,23 +165,15 @@ def token_rows(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
-    tail = np.asarray([end_id], dtype="<u4").tobytes()
-
-    def narrow(ids: bytes) -> bytes:
-        if width == 4:
-            return ids
-        a = np.frombuffer(ids, dtype="<u4")
-        if int(a.max()) >> (8 * width):
-            raise ValueError(f"an id needs more than {width} bytes")
-        return a.astype(f"<u{width}").tobytes()
+    tail = end_id.to_bytes(width, "little")
 
     def run(batches):
-        enc = encoder(spec.value)
+        enc = encoder(spec.value, width)
         for b in batches:
             n = b.num_rows
             for lo in range(0, n, 1000):
                 part = b.slice(lo, 1000)
-                ids = [narrow(x + tail) for x in enc(part.column(1).cast(pa.binary()).to_pylist())]
+                ids = [x + tail for x in enc(part.column(1).cast(pa.binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(ids, type=pa.binary())], names=["doc_id", "ids"])
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlog.llm.common import ship, stored, token_rows
+from fleetlog.llm.common import ship, shuffle_width, stored, token_rows
 
 SCALE = 20
 BLOCK_TOKENS = 1 << 18
@@ -199,7 +199,8 @@ def encode_corpus(tokens: DataFrame, name: str = "rans", width: int = 4) -> tupl
         if docs:
             yield _block_rows(coder, part, block, docs, width)
 
-    ordered = (tokens.select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first())
+    ordered = (tokens.select("doc_id", "ids")
+               .repartitionByRange(shuffle_width(tokens), F.col("doc_id").asc_nulls_first())
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids"))
     blocks = stored(ordered.mapInArrow(run, BLOCK_SCHEMA), f"{name}/blocks", "uncompressed")
     return freq_table, blocks
