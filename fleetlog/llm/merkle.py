@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlog.llm.common import ship, table
+from fleetlog.llm.common import ship, shuffle_width, table
 
 LEAF_MIN, LEAF_MAX = 24, 96
 _LEAF = re.compile(rb"(?s).{%d,%d}?[aeint.]\s|.{1,%d}" % (LEAF_MIN, LEAF_MAX, LEAF_MAX))
@@ -114,7 +114,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     ship(spark)
     src = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),
                       F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_width(docs)
     cuts = src.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n + 1000)).first()[0]
     bounds = np.unique(np.array(cuts or [], dtype=np.int64))  # at most one per partition
 
