@@ -65,6 +65,22 @@ def best_pattern(prices: np.ndarray, slots: int) -> tuple[float, dict[int, int]]
     return float(value[slots]), pattern
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination.  (A threaded library routine would fight the
+    executors for the cores of a shared machine.)"""
+    m = len(a)
+    w = np.hstack((a, np.eye(m)))
+    for k in range(m):
+        p = k + int(np.abs(w[k:, k]).argmax())
+        if p != k:
+            w[[k, p]] = w[[p, k]]
+        w[k] /= w[k, k]
+        rows = np.flatnonzero(w[:, k])
+        rows = rows[rows != k]
+        w[rows] -= w[rows, k][:, None] * w[k]
+    return w[:, m:]
+
+
 def column_generation(demand: dict[int, int], slots: int, max_columns: int = 4000) -> list[tuple[dict[int, int], float]]:
     """Optimal (pattern, times) pairs of min sum(times) with every class's
     demand met: revised simplex, columns priced by ``best_pattern``."""
@@ -76,7 +92,7 @@ def column_generation(demand: dict[int, int], slots: int, max_columns: int = 400
     d = np.array([demand[k] for k in classes], dtype=float)
     basis = [{k: slots // k} for k in classes]
     inverse = np.diag([1.0 / (slots // k) for k in classes])
-    x = inverse @ d
+    x = (inverse * d).sum(axis=1)
     for step in range(max_columns):
         dual = inverse.sum(axis=0)  # every column costs one sequence
         prices = np.zeros(slots)
@@ -84,10 +100,9 @@ def column_generation(demand: dict[int, int], slots: int, max_columns: int = 400
         value, pattern = best_pattern(prices, slots)
         if value <= 1 + GAP:  # no plan needs fewer than this one's sequences / value
             break
-        a = np.zeros(m)
+        u = np.zeros(m)
         for k, n in pattern.items():
-            a[row[k]] = n
-        u = inverse @ a
+            u += inverse[:, row[k]] * n
         positive = np.flatnonzero(u > 1e-9)
         out = int(positive[np.argmin(x[positive] / u[positive])])
         t = x[out] / u[out]
@@ -97,13 +112,13 @@ def column_generation(demand: dict[int, int], slots: int, max_columns: int = 400
         inverse -= np.outer(u, pivot)
         inverse[out] = pivot
         basis[out] = pattern
-        if step % 100 == 99:  # rounding errors of the updates
+        if step % 400 == 399:  # rounding errors of the updates
             b = np.zeros((m, m))
             for j, p in enumerate(basis):
                 for k, n in p.items():
                     b[row[k], j] = n
-            inverse = np.linalg.inv(b)
-            x = np.maximum(inverse @ d, 0)
+            inverse = _inverse(b)
+            x = np.maximum((inverse * d).sum(axis=1), 0)
     return [(p, float(t)) for p, t in zip(basis, x) if t > 1e-9]
 
 
