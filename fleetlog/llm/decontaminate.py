@@ -18,7 +18,10 @@ a task holds of it is bounded however large it is; hits of all slices are
 merged by document.
 
 Null text has no words; neither has a blank one, and it is never contaminated.
-Items without words have no window; null item texts neither.  Rows of equal
+Items without words have no window; null item texts neither.  Items with a
+null item_id have windows like any other, their words are hit and can make a
+document contaminated; only the lists of ids (items, near) and their counts
+leave the null id out.  Rows of equal
 doc_id (or null) are separate documents.  Repeated items are reported by each
 of their ids, an id once.  An empty table on either side gives, respectively, no
 rows or rows without hits.  Only the named columns are read.
@@ -113,7 +116,7 @@ def frequencies(index: DataFrame) -> DataFrame:
 class Windows:
     """The windows of a slice of the test set, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int, list[int]]], df: np.ndarray, window: int = WINDOW):
+    def __init__(self, items: list[tuple[int | None, list[int]]], df: np.ndarray, window: int = WINDOW):
         self.by_rarest: dict[int, list[tuple]] = {}
         self.near: list[tuple] = []
         owners: dict[tuple, list[int]] = {}
@@ -122,10 +125,10 @@ class Windows:
                 continue
             for i in range(max(1, len(terms) - window + 1)):
                 own = owners.setdefault(tuple(terms[i:i + window]), [])
-                if item not in own[-1:]:
+                if item is not None and item not in own[-1:]:
                     own.append(item)
             rare = sorted(set(terms), key=lambda t: (df[t], t))[:PROXIMITY_TERMS]
-            if len(rare) == PROXIMITY_TERMS:
+            if item is not None and len(rare) == PROXIMITY_TERMS:
                 self.near.append((item, rare))
         for w, own in owners.items():
             order = sorted(range(len(w)), key=lambda k: (df[w[k]], w[k], k))
@@ -177,7 +180,8 @@ HITS = ("part int, block int, ordinal int, doc_id long, text_hash long, n_words
         "hits array<struct<start:int,end:int>>, items array<bigint>, near array<bigint>")
 
 
-def search_index(index: DataFrame, items: list[tuple[int, list[int]]], df: np.ndarray, window: int = WINDOW) -> DataFrame:
+def search_index(index: DataFrame, items: list[tuple[int | None, list[int]]], df: np.ndarray,
+                 window: int = WINDOW) -> DataFrame:
     """A row per document: merged hit ranges (word positions), items with exact
     and with proximity matches."""
     spark = index.sparkSession
@@ -237,8 +241,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, name: str = "decontamin
         items = []
         for r in part.orderBy("item_id", "text").toLocalIterator():  # at most about slice_words words
             ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(r["text"].encode())]
-            if r["item_id"] is not None:
-                items.append((r["item_id"], ids))
+            items.append((r["item_id"], ids))
         index = stored(build_index(docs, vocabulary, doc_id, text), f"{name}/index{k}")
         df = np.zeros(len(vocabulary), dtype=np.int64)
         for r in frequencies(index).toLocalIterator():  # a row per term of the slice

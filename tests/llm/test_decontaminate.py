@@ -91,3 +91,16 @@ def test_empty_tables(spark):
     assert decontaminate.contamination(docs(spark, []), _bench(spark, items), "t-e").count() == 0
     got = decontaminate.contamination(docs(spark, rows), _bench(spark, []), "t-e").collect()
     assert len(got) == len(rows) and not any(r["contaminated"] or r["n_hit"] for r in got)
+
+
+def test_words_of_items_without_an_id_are_hit(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, passage, "en", "s", 0), (2, "x " * 30 + passage, "en", "s", 0), (3, "x " * 30, "en", "s", 0)]
+    items = [(None, passage), (5, " ".join(passage.split()[:13])), (None, None), (None, "!!")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    _bench(spark, items).write.parquet(str(tmp_path / "benchmark.parquet"))
+    of = lambda *ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
+    assert _found(decontaminate.op7_decontamination(spark, str(tmp_path))) == [
+        (1, 20, 20, 1, of("5"), True), (2, 50, 20, 1, of("5"), True), (3, 30, 0, 0, of(), False)]
+    kept = decontaminate.decontaminated(docs(spark, rows), _bench(spark, [(None, passage)]), "t-null")
+    assert [r["doc_id"] for r in kept.collect()] == [3]
