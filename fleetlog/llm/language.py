@@ -7,10 +7,11 @@ backpropagation through time (Adam), with the document's language as the label
 of every position.  A document's probabilities are the mean over all positions
 of all its windows, which tile the whole text.
 
-Training uses a bounded sample: up to about DOCS_PER_LANGUAGE documents of each
-of the MAX_LANGUAGES most frequent languages among the training rows, chosen by
-hash, and WINDOWS_PER_DOC windows of each at hashed places.  Prediction covers
-every byte of every text; language, source and id are never inputs.
+Every language of the training rows is a class.  Training uses a bounded sample:
+up to DOCS_PER_LANGUAGE documents of each, or, with many languages, so many that
+they are about SAMPLE_DOCS in all (but at least one each), chosen by hash, and
+WINDOWS_PER_DOC windows of each at hashed places.  Prediction covers every byte
+of every text; language, source and id are never inputs.
 
 ``und`` (score 0) is returned for a null text and one without a letter, or when
 nothing could be learned.  Rows are predicted one by one, so repeated rows give
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlog.llm.common import ship, table
@@ -31,12 +32,19 @@ STEPS = 64
 BATCH = 2048  # windows predicted at once
 DOCS_PER_LANGUAGE = 400
 WINDOWS_PER_DOC = 4
-MAX_LANGUAGES = 64
+SAMPLE_DOCS = 25_600  # of all languages
+WIDE = 64  # classes up to which batches have their whole size
 EPOCHS = 8
 TRAIN_BATCH = 128
 UNKNOWN = "und"
 
 
+def batch_of(rows: int, classes: int) -> int:
+    """Rows to work on at once: fewer where there are many classes, so that
+    memory does not grow with them."""
+    return max(1, rows * WIDE // max(WIDE, classes))
+
+
 class BiGRU:
     """Parameters, forward pass and gradients.  Both directions are held in
     one array (axis 0: forward, backward) and run in the same steps.
@@ -170,19 +178,20 @@ class Identifier:
     def document_probabilities(self, texts: list[bytes]) -> np.ndarray:
         """(texts, languages): position probabilities pooled over whole texts."""
         w, first = windows_of(texts)
+        batch = batch_of(BATCH, len(self.languages))
         sums = np.empty((len(w), len(self.languages)), dtype=np.float32)
-        for lo in range(0, len(w), BATCH):
-            p = self.model.probabilities(self.model.states(w[lo:lo + BATCH]))
-            sums[lo:lo + BATCH] = p.sum(axis=0).T
+        for lo in range(0, len(w), batch):
+            p = self.model.probabilities(self.model.states(w[lo:lo + batch]))
+            sums[lo:lo + batch] = p.sum(axis=0).T
         # the last window of a text: only its own bytes count
         sizes = np.array([len(t) for t in texts])
         for_last = np.flatnonzero(sizes % STEPS)
         if len(for_last):
             last = np.append(first, len(w))[for_last + 1] - 1
-            for lo in range(0, len(last), BATCH):
-                own = last[lo:lo + BATCH]
+            for lo in range(0, len(last), batch):
+                own = last[lo:lo + batch]
                 p = self.model.probabilities(self.model.states(w[own]))
-                inside = np.arange(STEPS)[:, None] < (sizes[for_last[lo:lo + BATCH]] % STEPS)[None, :]
+                inside = np.arange(STEPS)[:, None] < (sizes[for_last[lo:lo + batch]] % STEPS)[None, :]
                 sums[own] = (p * inside[:, None, :]).sum(axis=0).T
         return np.add.reduceat(sums.astype(np.float64), first, axis=0) / sizes[:, None]
 
@@ -211,28 +220,33 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train_identifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-                     per_language: int = DOCS_PER_LANGUAGE, seed: int = 1) -> Identifier:
+                     per_language: int = DOCS_PER_LANGUAGE, seed: int = 1, in_all: int = SAMPLE_DOCS) -> Identifier:
     rows = (docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"),
                         F.col(f"`{lang}`").cast("string").alias("l"))
             .where(F.col("i").isNotNull() & ~held_out(F.col("i")) & F.col("l").isNotNull()
                    & F.col("t").rlike(r"\p{L}")))
-    # a bounded number of rows: the most frequent languages
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # the classes
     languages = sorted(counts)
     if not languages:
         return Identifier(None, [])
-    share = F.coalesce(*[F.when(F.col("l") == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()])
+    each = max(1, min(per_language, in_all // len(languages)))
+    # more than are kept, so that chance leaves no language without
+    share = docs.sparkSession.createDataFrame(
+        [(k, min(1.0, (2 * each + 20) / n)) for k, n in counts.items()], "l string, share double")
     places = [F.substring(F.col("t"), (F.pmod(F.xxhash64("i", F.lit(k)), F.greatest(
         F.length("t") - STEPS, F.lit(1)).cast("bigint")) + 1).cast("int"), F.lit(STEPS)) for k in range(WINDOWS_PER_DOC)]
-    picked = (rows.where((F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)) < share)
-              .select("l", F.xxhash64("i").alias("h"), F.explode(F.array(*places)).alias("w"))
-              .orderBy("h", "w").limit(2 * per_language * WINDOWS_PER_DOC * len(languages)).collect())
+    picked = (rows.join(F.broadcast(share), "l")
+              .where((F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)) < F.col("share"))
+              .select("l", F.xxhash64("i").alias("h"), F.array(*places).alias("w"))
+              .withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", "w")))
+              .where(F.col("rank") <= each)
+              .select("l", "h", F.explode("w").alias("w")).orderBy("h", "l", "w").collect())
     w = np.zeros((len(picked), STEPS), dtype=np.uint8)
     for i, r in enumerate(picked):
         b = np.frombuffer(r["w"].encode()[:STEPS], dtype=np.uint8)
         w[i, :len(b)] = b
-    y = np.array([languages.index(r["l"]) for r in picked])
+    at = {k: i for i, k in enumerate(languages)}
+    y = np.array([at[r["l"]] for r in picked])
     model = BiGRU(len(languages), seed=seed)
     model.train(w, y)
     return Identifier(model, languages)
@@ -261,9 +275,10 @@ def predicted(docs: DataFrame, identifier: Identifier, text: str = "text", keep_
             model = BiGRU(len(languages))
             model.p = p
         who = Identifier(model, languages)
+        rows = batch_of(250, len(languages))
         for b in batches:
-            for lo in range(0, b.num_rows, 250):
-                s = b.slice(lo, 250)
+            for lo in range(0, b.num_rows, rows):
+                s = b.slice(lo, rows)
                 texts = s.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()
                 letters = s.column(s.num_columns - 1).to_pylist()
                 said = who.predict([t if ok else b"" for t, ok in zip(texts, letters)])

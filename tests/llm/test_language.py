@@ -91,3 +91,22 @@ def test_training_never_sees_held_out_rows(spark):
     df = docs(spark, rows)
     marked = df.withColumn("lang", F.when(language.held_out(F.col("doc_id")), "leak").otherwise(F.col("lang")))
     assert language.train_identifier(marked, per_language=40).languages == ["xx", "yy"]
+
+
+def _sampled(monkeypatch):
+    """What the network is given to learn: windows and classes."""
+    got = {}
+    monkeypatch.setattr(language.BiGRU, "train", lambda self, w, y, **_: got.update(w=w, y=y.tolist()))
+    return got
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    got = _sampled(monkeypatch)
+    rows = [(i, f"some letters {i}", f"l{i % 90:02}", "s", 7) for i in range(1800)]
+    who = language.train_identifier(docs(spark, rows))
+    assert who.languages == [f"l{k:02}" for k in range(90)] and set(got["y"]) == set(range(90))
+    who = language.train_identifier(docs(spark, rows), in_all=180)
+    assert len(who.languages) == 90
+    assert [got["y"].count(k) for k in range(90)] == [2 * language.WINDOWS_PER_DOC] * 90
+    p = who.document_probabilities([b"some letters", b"x" * 500])
+    assert p.shape == (2, 90) and np.allclose(p.sum(axis=1), 1, atol=1e-4)
