@@ -9,8 +9,9 @@ of all its windows, which tile the whole text.
 
 Every language of the training rows is a class.  Training uses a bounded sample:
 up to DOCS_PER_LANGUAGE documents of each, or, with many languages, so many that
-they are about SAMPLE_DOCS in all (but at least one each), chosen by hash, and
-WINDOWS_PER_DOC windows of each at hashed places.  Prediction covers every byte
+they are about SAMPLE_DOCS in all (but at least one each), chosen by hash of id
+and text after equal documents are removed, and WINDOWS_PER_DOC windows of each
+at hashed places.  Prediction covers every byte
 of every text; language, source and id are never inputs.
 
 ``und`` (score 0) is returned for a null text and one without a letter, or when
@@ -224,8 +225,9 @@ def train_identifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = (docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"),
                         F.col(f"`{lang}`").cast("string").alias("l"))
             .where(F.col("i").isNotNull() & ~held_out(F.col("i")) & F.col("l").isNotNull()
-                   & F.col("t").rlike(r"\p{L}")))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}  # the classes
+                   & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("i", "t")))
+    # the classes and about how many different documents each has
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return Identifier(None, [])
@@ -236,9 +238,9 @@ def train_identifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     places = [F.substring(F.col("t"), (F.pmod(F.xxhash64("i", F.lit(k)), F.greatest(
         F.length("t") - STEPS, F.lit(1)).cast("bigint")) + 1).cast("int"), F.lit(STEPS)) for k in range(WINDOWS_PER_DOC)]
     picked = (rows.join(F.broadcast(share), "l")
-              .where((F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)) < F.col("share"))
-              .select("l", F.xxhash64("i").alias("h"), F.array(*places).alias("w"))
-              .withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", "w")))
+              .where((F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) < F.col("share"))
+              .groupBy("l", "h").agg(F.first(F.array(*places)).alias("w"))
+              .withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h")))
               .where(F.col("rank") <= each)
               .select("l", "h", F.explode("w").alias("w")).orderBy("h", "l", "w").collect())
     w = np.zeros((len(picked), STEPS), dtype=np.uint8)

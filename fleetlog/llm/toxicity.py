@@ -11,9 +11,11 @@ style measures.  The words and beginnings that tell most about any category
 (chi-square of document frequencies) are chosen from the sample; their values
 are square roots of their shares of the text.
 
-The sample is bounded: about ROWS_PER_CLASS labelled documents of each value
-of the label that is being learned most of all (``toxic``), chosen by hash.
-Prediction covers all words of all texts.
+The sample is bounded in documents: up to ROWS_PER_CLASS labelled documents of
+each value of the label that is being learned most of all (``toxic``), chosen by
+hash of id and text among the different ones, so neither a copied document nor
+an id of many documents counts for more than it has.  Prediction covers all
+words of all texts.
 
 Categories of the query, in chain order: ``junk`` (labelled quality 0),
 ``toxic`` (labelled toxic), ``severe`` (labelled toxic, with at least the
@@ -21,8 +23,8 @@ median number of toxic feature occurrences among toxic rows).
 
 Null or blank text: no features; its probabilities are 0 and it is not toxic.
 Documents without a label are only predicted.  Labels without a document, with
-a null id or null values are left out of the sample; repeated ones count once
-each.  With no toxic or no clean labelled row nothing can be learned: all
+a null id or null values are left out of the sample; equal ones, and equal
+documents of one id, count once.  With no toxic or no clean labelled row nothing can be learned: all
 probabilities are 0.  An empty table gives no rows.  Only the named columns are
 read.
 """
@@ -33,7 +35,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlog.llm.common import ship, stored, table
@@ -172,20 +174,27 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, doc_id: str = "doc_id",
-           text: str = "text") -> DataFrame:
-    """(doc_id, junk, toxic, text) of the sampled labelled documents."""
+           text: str = "text", name: str = "toxicity") -> DataFrame:
+    """(doc_id, text_hash, junk, toxic, text) of the sampled labelled documents."""
     flags = labels.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),
                           (F.col("quality") == 0).cast("int").alias("junk"),
-                          (F.col("toxic") == 1).cast("int").alias("toxic")).dropna()
-    n = {r["toxic"]: r["n"] for r in flags.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, rows_per_class / max(1, n.get(1, 0))))).otherwise(
-        F.lit(min(1.0, rows_per_class / max(1, n.get(0, 0)))))
-    picked = (flags.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share)
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(3 * rows_per_class))
-    # at most 3 * rows_per_class narrow rows
-    return (docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),
-                        F.col(f"`{text}`").cast("string").alias("text"))
-            .where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id"))
+                          (F.col("toxic") == 1).cast("int").alias("toxic")).dropna().distinct()
+    texts = (docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"),
+                         F.col(f"`{text}`").cast("string").alias("text"))
+             .where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+             .withColumn("text_hash", F.xxhash64("doc_id", "text")))
+    # narrow rows: no text is shuffled here
+    pairs = stored(texts.select("doc_id", "text_hash").distinct().join(flags, "doc_id"), f"{name}/pairs")
+    n = {r["toxic"]: r["n"] for r in pairs.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # more than are kept, so that chance leaves no class short
+    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, 1.5 * rows_per_class / max(1, n.get(1, 0))))).otherwise(
+        F.lit(min(1.0, 1.5 * rows_per_class / max(1, n.get(0, 0)))))
+    first = Window.partitionBy("toxic").orderBy("text_hash", "doc_id", "junk")
+    picked = (pairs.where(F.pmod("text_hash", F.lit(1 << 30)) / float(1 << 30) < share)
+              .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_class).drop("rank"))
+    # at most 2 * rows_per_class narrow rows
+    return texts.join(F.broadcast(picked), ["doc_id", "text_hash"]).dropDuplicates(
+        ["doc_id", "text_hash", "junk", "toxic"])
 
 
 def choose_features(rows: DataFrame, features: int = FEATURES) -> list[bytes]:
@@ -228,7 +237,7 @@ def choose_features(rows: DataFrame, features: int = FEATURES) -> list[bytes]:
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, name: str = "toxicity", **columns) -> Chain:
-    rows = stored(sample(docs, labels, **columns), f"{name}/sample")
+    rows = stored(sample(docs, labels, name=name, **columns), f"{name}/sample")
     vocabulary = {f: i for i, f in enumerate(choose_features(rows))}
     shape = Chain(vocabulary, [], 1.0)
 
@@ -240,12 +249,14 @@ def train_chain(docs: DataFrame, labels: DataFrame, name: str = "toxicity", **co
                 b.column(0), b.column(2), b.column(3), pa.array([list(f) for f, _, _ in found], pa.list_(pa.int32())),
                 pa.array([list(f.values()) for f, _, _ in found], pa.list_(pa.int64())),
                 pa.array([n for _, n, _ in found], pa.int64()),
-                pa.array([style(t, n, d) for t, (_, n, d) in zip(texts, found)], pa.list_(pa.float64()))],
-                names=["doc_id", "junk", "toxic", "at", "counts", "words", "style"])
+                pa.array([style(t, n, d) for t, (_, n, d) in zip(texts, found)], pa.list_(pa.float64())),
+                b.column(4)],
+                names=["doc_id", "junk", "toxic", "at", "counts", "words", "style", "text_hash"])
 
-    got = (rows.select("doc_id", "text", "junk", "toxic")
+    got = (rows.select("doc_id", "text", "junk", "toxic", "text_hash")
            .mapInArrow(run, "doc_id long, junk int, toxic int, at array<int>, counts array<long>, words long, "
-                            "style array<double>").orderBy("doc_id", "words").collect())  # the bounded sample
+                            "style array<double>, text_hash long")
+           .orderBy("doc_id", "text_hash", "junk", "toxic").collect())  # the bounded sample
     toxic = np.array([r["toxic"] for r in got], dtype=np.int64)
     if not len(got) or toxic.all() or not toxic.any():
         return Chain({}, [], 1.0)

@@ -110,3 +110,13 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert [got["y"].count(k) for k in range(90)] == [2 * language.WINDOWS_PER_DOC] * 90
     p = who.document_probabilities([b"some letters", b"x" * 500])
     assert p.shape == (2, 90) and np.allclose(p.sum(axis=1), 1, atol=1e-4)
+
+
+def test_repeated_ids_and_documents_leave_room_for_others(spark, monkeypatch):
+    got = _sampled(monkeypatch)
+    rows = [(1, "copied letters", "xx", "s", 7)] * 3000 + [(2, f"one id, text {i}", "xx", "s", 7) for i in range(50)]
+    rows += [(i, f"some letters {i}", "yy" if i % 2 else "zz", "s", 7) for i in range(100, 300)]
+    assert language.train_identifier(docs(spark, rows), per_language=20).languages == ["xx", "yy", "zz"]
+    assert [got["y"].count(k) for k in range(3)] == [20 * language.WINDOWS_PER_DOC] * 3
+    copied = sum(bytes(w).startswith(b"copied") for w in got["w"])
+    assert copied <= language.WINDOWS_PER_DOC

@@ -72,3 +72,16 @@ def test_edge_documents(spark):
     none = toxicity.train_chain(docs(spark, rows), labels.where("toxic = 0"), "t-tox")
     assert not any(r["toxic"] for r in toxicity.toxicity(df, none).collect())
     assert toxicity.toxicity(docs(spark, []), chain).count() == 0
+
+
+def test_sample_is_bounded_in_documents(spark):
+    rows = [(1, "copied text", "en", "s", 0)] * 500 + [(2, f"one id, text {i}", "en", "s", 0) for i in range(500)]
+    rows += [(i, f"nasty wretch {i}", "en", "s", 0) for i in range(100, 160)]
+    rows += [(i, f"calm day {i}", "en", "s", 0) for i in range(200, 260)]
+    labels = spark.createDataFrame([(r[0], 1, int("nasty" in r[1])) for r in rows if r[0] > 2] + [(1, 1, 0)] * 3 + [(2, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    got = toxicity.sample(docs(spark, rows), labels, rows_per_class=40).collect()
+    assert [sum(r["toxic"] == k for r in got) for k in (0, 1)] == [40, 40]
+    assert len({(r["doc_id"], r["text"]) for r in got}) == 80
+    whole = toxicity.sample(docs(spark, rows), labels).collect()
+    assert len(whole) == len({(r["doc_id"], r["text"]) for r in whole}) == 621
