@@ -37,6 +37,7 @@ SAMPLE_DOCS = 25_600  # of all languages
 WIDE = 64  # classes up to which batches have their whole size
 EPOCHS = 8
 TRAIN_BATCH = 128
+LOW = 0.01
 UNKNOWN = "und"
 
 
@@ -220,28 +221,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train_identifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-                     per_language: int = DOCS_PER_LANGUAGE, seed: int = 1, in_all: int = SAMPLE_DOCS) -> Identifier:
-    rows = (docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"),
+def _labelled(docs: DataFrame, doc_id: str, text: str, lang: str, held: bool) -> DataFrame:
+    """(i, t, l, h): rows with a language and a letter, h a hash of id and text."""
+    inside = held_out(F.col("i"))
+    return (docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"),
                         F.col(f"`{lang}`").cast("string").alias("l"))
-            .where(F.col("i").isNotNull() & ~held_out(F.col("i")) & F.col("l").isNotNull()
+            .where(F.col("i").isNotNull() & (inside if held else ~inside) & F.col("l").isNotNull()
                    & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("i", "t")))
+
+
+def _sampled(rows: DataFrame, per_language: int, in_all: int) -> tuple[list[str], int, DataFrame | None]:
+    """The languages of labelled rows, how many documents of each to keep, and
+    rows of somewhat more, equal ones included."""
     # the classes and about how many different documents each has
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    languages = sorted(counts)
-    if not languages:
-        return Identifier(None, [])
-    each = max(1, min(per_language, in_all // len(languages)))
+    if not counts:
+        return [], 0, None
+    each = max(1, min(per_language, in_all // len(counts)))
     # more than are kept, so that chance leaves no language without
-    share = docs.sparkSession.createDataFrame(
+    share = rows.sparkSession.createDataFrame(
         [(k, min(1.0, (2 * each + 20) / n)) for k, n in counts.items()], "l string, share double")
+    return sorted(counts), each, rows.join(F.broadcast(share), "l").where(
+        (F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) < F.col("share"))
+
+
+def _first(picked: DataFrame, each: int) -> DataFrame:
+    """``each`` rows of every language."""
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    return picked.withColumn("rank", rank).where(F.col("rank") <= each)
+
+
+def train_identifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+                     per_language: int = DOCS_PER_LANGUAGE, seed: int = 1, in_all: int = SAMPLE_DOCS) -> Identifier:
+    languages, each, rows = _sampled(_labelled(docs, doc_id, text, lang, False), per_language, in_all)
+    if not languages:
+        return Identifier(None, [])
     places = [F.substring(F.col("t"), (F.pmod(F.xxhash64("i", F.lit(k)), F.greatest(
         F.length("t") - STEPS, F.lit(1)).cast("bigint")) + 1).cast("int"), F.lit(STEPS)) for k in range(WINDOWS_PER_DOC)]
-    picked = (rows.join(F.broadcast(share), "l")
-              .where((F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) < F.col("share"))
-              .groupBy("l", "h").agg(F.first(F.array(*places)).alias("w"))
-              .withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h")))
-              .where(F.col("rank") <= each)
+    picked = (_first(rows.groupBy("l", "h").agg(F.first(F.array(*places)).alias("w")), each)
               .select("l", "h", F.explode("w").alias("w")).orderBy("h", "l", "w").collect())
     w = np.zeros((len(picked), STEPS), dtype=np.uint8)
     for i, r in enumerate(picked):
@@ -254,18 +271,41 @@ def train_identifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return Identifier(model, languages)
 
 
-def predicted(docs: DataFrame, identifier: Identifier, text: str = "text", keep_from: float | None = None) -> DataFrame:
+def least_scores(docs: DataFrame, identifier: Identifier, doc_id: str = "doc_id", text: str = "text",
+                 lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE, in_all: int = SAMPLE_DOCS) -> dict[str, float]:
+    """Per language a score that its documents hardly stay under: midway between
+    chance (one over the number of languages) and the LOW quantile of the scores
+    of held-out documents rightly predicted as it, a bounded sample of them.  A
+    language without such documents takes the quantile of all, and chance is the
+    least score where nothing is held out."""
+    names, each, rows = _sampled(_labelled(docs, doc_id, text, lang, True), per_language, in_all)
+    chance = 1 / max(1, len(identifier.languages))
+    if not names or not identifier.languages:
+        return dict.fromkeys(identifier.languages, chance)
+    one = rows.select("l", "h", "t").dropDuplicates(["l", "h"])
+    got = _first(predicted(one, identifier, "t").select("l", "h", "lang_pred", "score"), each).collect()
+    right: dict[str, list[float]] = {}
+    for r in got:
+        if r["l"] == r["lang_pred"]:
+            right.setdefault(r["l"], []).append(r["score"])
+    every = [x for own in right.values() for x in own] or [chance]
+    return {k: (chance + float(np.quantile(right.get(k, every), LOW))) / 2 for k in identifier.languages}
+
+
+def predicted(docs: DataFrame, identifier: Identifier, text: str = "text",
+              keep_from: float | dict[str, float] | None = None) -> DataFrame:
     """``docs`` with lang_pred and score for every whole text (columns of these
     names are replaced).
 
     With ``keep_from``, instead, the rows of ``docs`` whose language is known
-    with at least that score, unchanged.
+    with at least that score (or that of the language), unchanged.
     """
     ship(docs.sparkSession)
     if keep_from is None:
         docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(
         (identifier.languages, identifier.model.p if identifier.model else None))
+    least = keep_from if isinstance(keep_from, dict) else dict.fromkeys(identifier.languages, keep_from)
     wanted = docs.withColumn("__letters", F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False)))
     at = docs.columns.index(text)
     names = [*docs.columns, *([] if keep_from is not None else ["lang_pred", "score"])]
@@ -286,7 +326,7 @@ def predicted(docs: DataFrame, identifier: Identifier, text: str = "text", keep_
                 said = who.predict([t if ok else b"" for t, ok in zip(texts, letters)])
                 columns = [s.column(i) for i in range(s.num_columns - 1)]
                 if keep_from is not None:
-                    kept = pa.array([x != UNKNOWN and y >= keep_from for x, y in said])
+                    kept = pa.array([x != UNKNOWN and y >= least[x] for x, y in said], pa.bool_())
                     yield pa.RecordBatch.from_arrays(columns, names=names).filter(kept)
                 else:
                     yield pa.RecordBatch.from_arrays(

@@ -75,3 +75,13 @@ def test_empty_documents(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_least_score_follows_the_number_of_languages(spark):
+    r = random.Random(3)
+    own = {"aa": "abab baba abba baab", "nn": "nono onno noon onon", "zz": "zyzy yzzy zzyy yzyz"}
+    text = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, text(own[k].split(), 40), k, "s", 0) for i, k in enumerate([*own] * 60)]
+    mixed = [(1000 + i, text(" ".join(own.values()).split(), 90), None, "s", 0) for i in range(10)]
+    kept = {x["doc_id"] for x in corpus_pipeline.known_language(spark, docs(spark, rows + mixed), "").collect()}
+    assert kept == {x[0] for x in rows}
