@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.session import ship, stored  # noqa: F401  (the operators take both from here)
+from fleetlog.session import scratch_path, ship, stored  # noqa: F401  (the operators take both from here)
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 CACHE_WORDS = 1_000_000
@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored`` with the table's path, for ``discard``."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that no later step reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Partitions for a shuffle that carries texts or ids: as many as the input
     has splits, so that none grows with the input, and at least the session's."""
@@ -134,7 +147,7 @@ _WORD_AND_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:;=?@\[-`{}~]+)")
 _LATIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]{1,%d}" % LONG_WORD)
 
 
-def _byte_chars() -> dict[int, int]:
+def byte_chars() -> dict[int, int]:
     """How byte-level vocabularies write bytes: printable Latin-1 characters as
     themselves, the others in order from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -142,7 +155,7 @@ def _byte_chars() -> dict[int, int]:
     return {b: b for b in plain} | {b: 0x100 + k for k, b in enumerate(rest)}
 
 
-_BYTE_CHARS = _byte_chars()
+_BYTE_CHARS = byte_chars()
 
 _ENCODERS: dict[tuple[int, int], WordEncoder] = {}
 
