@@ -265,15 +265,15 @@ def op11_clusters(spark, sf_dir: str) -> DataFrame:
 
 def _sql(k: int = 8, rounds: int = 10, dims: int = 64, seed: str = "3") -> str:
     """Plain rounds over all pairs of vector and centroid."""
-    out = [f"""WITH x AS (SELECT vec_id, list_transform(embedding, e -> CAST(e AS DOUBLE)) AS x FROM embeddings),
-kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(x, e -> CAST(floor({SCALE} * e) AS BIGINT)) AS v
-  FROM x WHERE len(x) = {dims} AND len(list_filter(x, e -> e IS NOT NULL AND isfinite(e))) = {dims}),
+    out = [f"""WITH x AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings),
+kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(x, lambda e: CAST(floor({SCALE} * e) AS BIGINT)) AS v
+  FROM x WHERE len(x) = {dims} AND len(list_filter(x, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
 parts AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM kept),
 c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v FROM (
   SELECT sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {k}))"""]
     for n in range(rounds + 1):
         out.append(f"""a{n} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
-  SELECT r, c, CAST(list_sum(list_transform(list_zip(kept.v, c{n}.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  SELECT r, c, CAST(list_sum(list_transform(list_zip(kept.v, c{n}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
   FROM kept, c{n}) GROUP BY r)""")
         if n < rounds:
             out.append(f"""c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(f.v, o.v) AS v FROM c{n} o LEFT JOIN (
