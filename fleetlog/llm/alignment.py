@@ -30,6 +30,7 @@ the two named columns are read, so further columns cannot clash.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ BROADCAST_PAIRS = 1_000_000
 FLUSH_PAIRS = 500_000
 SHIFT = 32  # a pair's key: A's id above, B's id below
 
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
 PAIR_ROWS = ("kind int, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
              "groups string, pairs binary, times binary, pair long, n long")
 DOC_COLUMNS = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
@@ -88,7 +91,7 @@ class Aligner:
         self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
         self.b_size = np.array([len(x) for x in self.b_bytes])
         self.by_word = not inner
-        self.cache: dict[str, tuple | None] = {}
+        self.cache: dict[str, tuple | bool] = {}
 
     def words(self, text: str) -> list[str]:
         """The text with a space before it, cut before every single space
@@ -96,17 +99,7 @@ class Aligner:
         space."""
         if not self.by_word:
             return [text]
-        parts = text.split(" ")
-        if all(parts) and text.isascii() and not any(c in text for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"):
-            return parts
-        out = [parts[0]]
-        for p in parts[1:]:
-            last = out[-1]
-            if p and last and not last[-1].isspace() and not p[0].isspace():
-                out.append(p)
-            else:
-                out[-1] = f"{last} {p}"
-        return out
+        return _CUT.split(text)
 
     def ends_a(self, text: str, coded) -> tuple[np.ndarray, np.ndarray]:
         """Ids and byte ends of A's tokens: span ends, refined by their bytes."""
@@ -123,8 +116,8 @@ class Aligner:
         spans = np.array([(p.id, p.end) for p in proto.pieces], dtype=np.int64).reshape(-1, 2)
         return spans[:, 0], refined(spans[:, 1] + 1, self.b_size[spans[:, 0]])
 
-    def align(self, words: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, groups, pairs) of each word, None where either
+    def align(self, words: list[str]) -> list:
+        """(n_a, n_b, n_groups, groups, pairs) of each word, False where either
         side does not give the bytes back.  The words must be cuts of ``words``;
         both tokenizers see them joined by spaces."""
         joined = " ".join(words)
@@ -134,7 +127,7 @@ class Aligner:
         b, b_end = self.ends_b(self.b.encode(joined, return_type="proto"))
         la, lb = a.tolist(), b.tolist()
         if b"".join([self.a_bytes[i] for i in la]) != raw or b"".join([self.b_bytes[i] for i in lb]) != raw:
-            return [None] if len(words) == 1 else [self.align([w])[0] for w in words]
+            return [False] if len(words) == 1 else [self.align([w])[0] for w in words]
         common = np.intersect1d(a_end, b_end)
         ia, ib = np.searchsorted(a_end, common, "right").tolist(), np.searchsorted(b_end, common, "right").tolist()
         sa, sb = list(map(str, la)), list(map(str, lb))
@@ -165,31 +158,33 @@ class Aligner:
             if w not in self.cache:
                 self.cache[w] = self.align([w])[0]
 
-    def prepare(self, texts: list[str | None]) -> None:
-        """Learns the new words of several texts at once."""
-        new = {w for t in texts if t for w in self.words(t) if w not in self.cache and len(w) <= LONG_WORD}
+    def prepare(self, texts: list[list[str] | None]) -> None:
+        """Learns the new words of several cut texts at once."""
+        new = set().union(*filter(None, texts)) - self.cache.keys()
+        new = [w for w in new if len(w) <= LONG_WORD]
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
         if len(new) <= CACHE_WORDS:
-            self.learn(list(new))
+            self.learn(new)
 
     def __call__(self, text: str | None) -> tuple | None:
         """(n_a, n_b, n_groups, groups, pairs as int64) of a text."""
-        if not text:
-            return None
-        words = self.words(text)
+        return self.of_words(self.words(text)) if text else None
+
+    def of_words(self, words: list[str]) -> tuple | None:
         cache = self.cache
-        new = {w for w in words if w not in cache}
-        if new:
+        found = list(map(cache.get, words))
+        if None in found:
+            new = {w for w, f in zip(words, found) if f is None}
             if len(cache) + len(new) > CACHE_WORDS:
                 cache.clear()
                 new = set(words)
             self.learn(list(new))
-        found = [cache[w] for w in words]
-        for w in new:
-            if len(w) > LONG_WORD:
-                del cache[w]
-        if None in found:
+            found = [cache[w] for w in words]
+            for w in new:
+                if len(w) > LONG_WORD:
+                    del cache[w]
+        if False in found:
             return None
         n_a, n_b, n_groups, groups, pairs = zip(*found)
         return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(pairs), dtype=np.int64)
@@ -237,10 +232,10 @@ def aligned(docs: DataFrame, name: str = "alignment", byte_path: str | None = No
             for lo in range(0, b.num_rows, 1000):
                 s = b.slice(lo, 1000)
                 out: list[list] = [[] for _ in range(7)]
-                texts = s.column(1).to_pylist()
+                texts = [one.words(t) if t else None for t in s.column(1).to_pylist()]
                 one.prepare(texts)
                 for t in texts:
-                    got = one(t)
+                    got = one.of_words(t) if t else None
                     if got is None:
                         values = (0, 0, 0, 0, None, b"", b"")
                     else:
