@@ -81,6 +81,17 @@ def term(word: str, col: str | Column = TOKENS, text: str | Column | None = None
     return _seen(text, _certain(q), F.coalesce(F.array_contains(_arr(col), F.lit(q)), F.lit(False)))
 
 
+def all_terms(words: Sequence[str], col: str | Column = TOKENS, text: str | Column | None = None, **kw) -> Column:
+    """Every one of the words (AND).  With ``text`` all substrings are asked
+    for first, the longest one first, so few rows are tokenized, and those
+    once for all words."""
+    qs = list(dict.fromkeys(query_term(w, **kw) for w in words))
+    found = F.coalesce(F.size(F.array_intersect(_arr(col), F.array(*[F.lit(q) for q in qs]))) == len(qs), F.lit(False))
+    for needle in sorted(map(_certain, qs), key=len):
+        found = _seen(text, needle, found)
+    return found
+
+
 def prefix(p: str, col: str | Column = TOKENS, text: str | Column | None = None, **kw) -> Column:
     """``p*``: any token starting with the analyzed ``p``."""
     q = query_term(p, **kw)

@@ -302,8 +302,8 @@ def q_list_functions(spark, sf_dir):
 # -------------------------------------------------------------------- text
 
 def _docs(spark, sf_dir):
-    from ..session import read_table
-    return read_table(spark, sf_dir, "documents")
+    from ..session import read_table, spread
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
 
 
 def _doc_search(spark, sf_dir, pred_fn):
@@ -369,7 +369,7 @@ def q_search_prefix(spark, sf_dir):
 
 @query("search_and")
 def q_search_and(spark, sf_dir):
-    return _doc_search(spark, sf_dir, lambda s: s.term("mit", text="text") & s.term("license", text="text"))
+    return _doc_search(spark, sf_dir, lambda s: s.all_terms(["mit", "license"], text="text"))
 
 
 @query("search_or")

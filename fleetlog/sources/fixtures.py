@@ -95,11 +95,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _state(spark: SparkSession, folder: str) -> int:
+    """A hash of the names, lengths and modification times of all files."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(seen)))
+
+
 def _made(spark: SparkSession, key: tuple, write) -> str:
-    """The folder of a derived test table, written once per application."""
+    """The folder of a derived test table (``key``: its name, its input folder,
+    options), written once per application and state of the input files."""
     from ..session import scratch_path
 
-    full = (spark.sparkContext.applicationId, *key)
+    full = (spark.sparkContext.applicationId, *key, _state(spark, key[1]))
     path = _STORED.get(full)
     if path is None or not _exists(spark, path):
         path = scratch_path(spark, key[0])

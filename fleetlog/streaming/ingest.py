@@ -3,8 +3,9 @@
 New log files dropped into a directory are framed and parsed exactly like
 the batch scan (:mod:`fleetlog.sources.logtext`) and appended to the node-
 partitioned table, its items and its index.  Each file
-is taken once (the file source tracks what it has read in the checkpoint),
-and the records of a node that is stored already, or of a second file of one
+is taken once (the file source tracks what it has read in the checkpoint; a
+micro-batch is a committed batch of the ingest, named by the checkpoint and the
+epoch, so one that is played again is passed over), and the records of a node that is stored already, or of a second file of one
 node, go to the quarantine, as in the batch ingest.
 
 The stream carries only the raw record and its file metadata; the arrival
@@ -14,6 +15,8 @@ allow, so the parse runs per micro-batch in ``foreachBatch``.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -47,8 +50,10 @@ def start_ingest(spark: SparkSession, src_dir: str, root: str, checkpoint: str,
     (:mod:`fleetlog.sources.ingest`); with ``available_now`` it processes what
     is there and stops (batch-like, restartable from the checkpoint)."""
 
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, epoch: int) -> None:
-        ingest.write_batch(_batch_records(batch), root)
+        ingest.write_batch(_batch_records(batch), root, f"stream-{name}-{epoch}")
 
     w = record_stream(spark, src_dir, max_files_per_trigger).writeStream.foreachBatch(write).option(
         "checkpointLocation", checkpoint)

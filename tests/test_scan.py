@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from fleetlog.sources import logtext
@@ -156,13 +158,12 @@ def test_ingest_keeps_every_record(spark):
     again = _write(d, "n1.log", GOOD + "\n")
     other = _write(d, "n2.txt", GOOD + "\n")
     ingest.ingest_files(spark, [again, other], root)
-    at = ingest.paths(root)
-    rows = store.read_stored(spark, at["logs"])
+    rows = ingest.read_table(spark, root, "logs")
     assert sorted((r["node"], r["message"]) for r in rows.collect()) == [
         ("n1", "first line"), ("n1", "second epoch"), ("n2", "first line")]
-    bad = spark.read.parquet(at["quarantine"]).collect()
+    bad = ingest.read_table(spark, root, "quarantine").collect()
     assert sorted((r["node"], r["reason"]) for r in bad) == [("n1", "node_already_stored"), ("n1", "too_few_fields")]
-    values = store.list_items(store.read_items(spark, at["items"]), "n1", "tid").collect()
+    values = store.list_items(ingest.read_table(spark, root, "items"), "n1", "tid").collect()
     assert [r["value"] for r in values] == ["12"]
     hits = ingest.read_index(spark, root).prefix("epo")
     from fleetlog.operators import search
@@ -178,3 +179,59 @@ def test_overwritten_input_is_read_anew(spark):
         spark.catalog.refreshByPath(path)
         docs = search.with_tokens(spark.read.parquet(path), "text")
         assert docs.where(search.term("license", text="text")).count() == n
+
+
+@pytest.mark.parametrize("at", ["quarantine", "write_index", "write_items", "write_logs", "_commit"])
+def test_a_batch_tried_again_is_stored_once(spark, monkeypatch, at):
+    """A failure after each of the writes, and one before the commit."""
+    from fleetlog.operators import search
+    from fleetlog.session import scratch_path
+    from fleetlog.sources import ingest, store
+    d, root = tempfile.mkdtemp(prefix="fl-retry-"), scratch_path(spark, "retry")
+    f = _write(d, "n1.txt", "\n".join([GOOD, "[bad line", GOOD.replace("first line", "second epoch")]) + "\n")
+    module = {"quarantine": logtext, "write_index": search, "_commit": ingest}.get(at, store)
+    real = getattr(module, at)
+
+    def fails(*args, **kw):
+        if at not in ("quarantine", "_commit"):
+            real(*args, **kw)
+        raise OSError("lost")
+
+    monkeypatch.setattr(module, at, fails)
+    with pytest.raises(OSError):
+        ingest.ingest_files(spark, f, root, "b1")
+    assert all(ingest.read_table(spark, root, t).count() == 0 for t in ingest.TABLES)
+    monkeypatch.undo()
+    assert ingest.ingest_files(spark, f, root, "b1")
+    assert not ingest.ingest_files(spark, f, root, "b1")  # committed already
+    counts = [ingest.read_table(spark, root, t).count() for t in ingest.TABLES]
+    assert counts == [2, 2, 4, 1]
+    gone = ingest.vacuum(spark, root)
+    assert (at == "quarantine") == (not gone)
+    assert counts == [ingest.read_table(spark, root, t).count() for t in ingest.TABLES]
+    assert ingest.stored_nodes(spark, root) == ["n1"]
+
+
+def test_a_node_of_an_earlier_batch_is_refused(spark):
+    from fleetlog.session import scratch_path
+    from fleetlog.sources import ingest
+    d, root = tempfile.mkdtemp(prefix="fl-refuse-"), scratch_path(spark, "refuse")
+    f = _write(d, "n1.txt", GOOD + "\n")
+    ingest.ingest_files(spark, f, root)
+    ingest.ingest_files(spark, f, root)
+    assert ingest.read_table(spark, root, "logs").count() == 1
+    assert [r["reason"] for r in ingest.read_table(spark, root, "quarantine").collect()] == ["node_already_stored"]
+
+
+def test_derived_tables_follow_their_input(spark):
+    """A table rewritten in place gives new rows in the same session."""
+    from fleetlog.session import scratch_path
+    from fleetlog.sources import fixtures
+    folder = scratch_path(spark, "input")
+    found = []
+    for ids in ([1], [2, 3]):
+        spark.createDataFrame([(i, "some license") for i in ids], "doc_id long, text string").write.mode(
+            "overwrite").parquet(f"{folder}/documents.parquet")
+        spark.catalog.refreshByPath(f"{folder}/documents.parquet")
+        found.append(sorted(r["doc_id"] for r in fixtures.document_index(spark, folder, True).term("licensing").collect()))
+    assert found == [[1], [2, 3]]

@@ -4,7 +4,7 @@ import os
 import tempfile
 
 from fleetlog.session import scratch_path
-from fleetlog.sources import fixtures, ingest as tables, logtext, store
+from fleetlog.sources import fixtures, ingest as tables, logtext
 from fleetlog.streaming import ingest
 
 
@@ -13,13 +13,12 @@ def test_stream_ingest_equals_batch(spark, sf_small):
     root, ck = scratch_path(spark, "s-root"), scratch_path(spark, "s-ck")
     q = ingest.start_ingest(spark, src, root, ck, available_now=True, max_files_per_trigger=2)
     q.awaitTermination(300)
-    at = tables.paths(root)
-    got = store.read_stored(spark, at["logs"]).drop("id")
+    got = tables.read_table(spark, root, "logs").drop("id")
     good, bad = logtext.read_logs(spark, src)
     want = good.drop("id")
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
-    assert spark.read.parquet(at["quarantine"]).count() == bad.count()
+    assert tables.read_table(spark, root, "quarantine").count() == bad.count()
 
 
 def test_second_file_of_a_node_goes_to_the_quarantine(spark):
@@ -30,6 +29,19 @@ def test_second_file_of_a_node_goes_to_the_quarantine(spark):
         with open(os.path.join(src, name), "w") as f:
             f.write(line)
         ingest.start_ingest(spark, src, root, ck).awaitTermination(300)
-    at = tables.paths(root)
-    assert store.read_stored(spark, at["logs"]).count() == 1
-    assert [r["reason"] for r in spark.read.parquet(at["quarantine"]).collect()] == ["node_already_stored"]
+    assert tables.read_table(spark, root, "logs").count() == 1
+    assert [r["reason"] for r in tables.read_table(spark, root, "quarantine").collect()] == ["node_already_stored"]
+
+
+def test_an_epoch_played_again_is_stored_once(spark):
+    line = "[INFO][   12][24-01-02T03:04:05.123456][a.cpp:10][F] hello\n"
+    src = tempfile.mkdtemp(prefix="fl-stream-")
+    root, ck = scratch_path(spark, "s-root"), scratch_path(spark, "s-ck")
+    with open(os.path.join(src, "n1.txt"), "w") as f:
+        f.write(line)
+    ingest.start_ingest(spark, src, root, ck).awaitTermination(300)
+    assert list(tables.committed(spark, root)) and tables.read_table(spark, root, "logs").count() == 1
+    batch = next(iter(tables.committed(spark, root)))
+    assert not tables.write_batch(logtext.scan_records(spark, src), root, batch)
+    assert tables.read_table(spark, root, "logs").count() == 1
+    assert tables.read_table(spark, root, "quarantine").count() == 0
