@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlog.session import scratch_path, ship, stored  # noqa: F401  (the operators take both from here)
+from fleetlog.session import discard, scratch_path, ship, stored  # noqa: F401  (the operators take both from here)
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 CACHE_WORDS = 1_000_000
@@ -28,12 +28,6 @@ def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table that no later step reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shuffle_width(df: DataFrame) -> int:
     """Partitions for a shuffle that carries texts or ids: as many as the input
     has splits, so that none grows with the input, and at least the session's."""
