@@ -53,9 +53,20 @@ def test_nearest_entries_scans_the_logs_once(spark, sf_small):
 
 
 def test_token_sets_take_one_scan_and_no_distinct(spark, sf_small):
-    for key in ("tokens_sub", "postings"):
-        shuffles, scans = _shape(spark, lambda: catalog.QUERIES[key](spark, sf_small))
-        assert (shuffles, scans) == (0, 1), key
+    """No shuffle where the scan has a split for every core; one that deals the
+    rows over the cores where it has fewer."""
+    assert _shape(spark, lambda: catalog.QUERIES["tokens_sub"](spark, sf_small)) == (1, 1)
+    assert "RoundRobinPartitioning" in _plan(catalog.QUERIES["tokens_sub"](spark, sf_small))
+    small = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        for key in ("tokens_sub", "postings"):
+            assert _shape(spark, lambda: catalog.QUERIES[key](spark, sf_small)) == (0, 1), key
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_clean_threads_stay_out_of_python(spark, sf_small):
