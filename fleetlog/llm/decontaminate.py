@@ -283,7 +283,7 @@ _SPLIT = r"list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUV
          r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 OP7_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT.format(t="coalesce(text, '')")} AS w FROM documents),
-b AS (SELECT DISTINCT item_id, {_SPLIT.format(t="coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, {_SPLIT.format(t="coalesce(text, '')")} AS w FROM benchmark),
 v AS (SELECT DISTINCT item_id, least({WINDOW}, len(w)) AS n, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g
       FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
 g AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
@@ -292,7 +292,7 @@ g AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
 h AS (SELECT DISTINCT g.r, g.i, g.n, v.item_id FROM g JOIN v ON g.n = v.n AND g.g = v.g),
 p AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS x FROM h) GROUP BY r),
 q AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s
-      FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM h) GROUP BY r)
+      FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM h WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated

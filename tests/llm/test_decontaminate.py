@@ -12,14 +12,15 @@ def model(text, items):
     hit, found = set(), set()
     for item, t in items:
         own = words13(t)
-        if item is None or not own:
+        if not own:
             continue
         for i in range(max(1, len(own) - 12)):
             w = own[i:i + 13]
             for at in range(len(words) - len(w) + 1):
                 if words[at:at + len(w)] == w:
                     hit.update(range(at, at + len(w)))
-                    found.add(str(item))
+                    if item is not None:  # its words are hit, there is no id to list
+                        found.add(str(item))
     return (len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(),
             bool(hit) and 20 * len(hit) >= len(words))
 
@@ -34,7 +35,7 @@ def _case(seed=1):
     for _, t in items[4:9]:
         texts += [sentence(20) + " " + t + " " + sentence(10), sentence(3) + "\n" + " ".join(t.split()[3:20]), t * 2,
                   t.split()[0], sentence(600) + " " + t]
-    texts += [None, "", "---"]
+    texts += [None, "", "---", sentence(5) + " " + items[-2][1]]
     return [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(0, texts[3], None, None, None), (None, texts[6], "en", "s", 1)], items
 
 
