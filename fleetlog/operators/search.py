@@ -184,13 +184,14 @@ def semi(rows: DataFrame, hit_ids: DataFrame, ids: Sequence[str]) -> DataFrame:
 def write_index(rows: DataFrame, ids: Sequence[str], text: str, root: str, stem: bool = True) -> None:
     """Append the positional index of ``rows`` to the table at ``root``:
     (ids..., word, pos), one folder per node when ``node`` is one of the ids,
-    sorted by word, so that a lookup reads only the row groups of its word."""
+    sorted by word, so that a lookup reads only the row groups of its word.  The
+    ids belong to the range, so a frequent word is spread over several files."""
     p = postings(rows, ids, text, "porter", stem).withColumnRenamed("term", "word")
     if "node" in ids:
-        w = (p.repartitionByRange("node", "word").sortWithinPartitions("node", "word", *[c for c in ids if c != "node"],
-                                                                       "pos").write.partitionBy("node"))
+        key = ["node", "word", *[c for c in ids if c != "node"]]
+        w = p.repartitionByRange(*key).sortWithinPartitions(*key, "pos").write.partitionBy("node")
     else:
-        w = p.repartitionByRange("word").sortWithinPartitions("word", *ids, "pos").write
+        w = p.repartitionByRange("word", *ids).sortWithinPartitions("word", *ids, "pos").write
     w.mode("append").parquet(root)
 
 

@@ -165,3 +165,18 @@ def test_lookup_of_a_hot_word(spark):
     post = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("the").alias("term"))
     words = spark.createDataFrame([("the",), ("the",), ("none",)], "word string")
     assert search.lookup(post, words, ["doc_id"]).count() == 1000
+
+
+def test_a_frequent_word_is_spread_over_files(spark):
+    from pyspark.sql import functions as F
+    from fleetlog.session import scratch_path
+    root = scratch_path(spark, "hot-word")
+    rows = spark.range(40000).selectExpr("id AS doc_id", "concat('common word', id) AS text")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        search.write_index(rows, ["doc_id"], "text", root, False)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    hot = spark.read.parquet(root).where("word = 'common'")
+    assert hot.count() == 40000 and hot.select(F.input_file_name()).distinct().count() >= 4
