@@ -104,6 +104,9 @@ def stem_tokens(tokens: DataFrame, column: str = "token", only: Column | None =
     return j.withColumn(column, F.coalesce(F.col("stem"), F.col(column))).drop("__fl_w", "stem")
 
 
-def stem_query_word(spark, word: str) -> str:
-    """The stem of one query word, by the same expressions."""
-    return stem_words(spark.createDataFrame([(word,)], "word string")).first()["stem"]
+def stem_query_words(spark, words) -> dict[str, str]:
+    """The stems of query words, by the same expressions, in one job."""
+    rows = [(w,) for w in dict.fromkeys(words)]
+    if not rows:
+        return {}
+    return {r["word"]: r["stem"] for r in stem_words(spark.createDataFrame(rows, "word string")).collect()}

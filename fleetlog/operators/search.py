@@ -212,11 +212,15 @@ class Index:
         one node (its folder only)."""
         return Index(self.frame.where(condition), self.ids, self.stem)
 
+    def analyzed(self, words: Sequence[str]) -> dict[str, str]:
+        """Every query word as the index holds it."""
+        out = {w: query_term(w) for w in words}
+        plain = [q for q in out.values() if q.isascii() and q.isalpha() and 3 <= len(q) <= 20] if self.stem else []
+        stems = porter.stem_query_words(self.frame.sparkSession, plain)
+        return {w: stems.get(q, q) for w, q in out.items()}
+
     def _analyzed(self, word: str) -> str:
-        q = query_term(word)
-        if self.stem and q.isascii() and q.isalpha() and 3 <= len(q) <= 20:
-            return porter.stem_query_word(self.frame.sparkSession, q)
-        return q
+        return self.analyzed([word])[word]
 
     def term(self, word: str) -> DataFrame:
         return self.frame.where(F.col("word") == F.lit(self._analyzed(word))).select(*self.ids).distinct()

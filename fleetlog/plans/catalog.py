@@ -444,6 +444,23 @@ def q_search_logs_phrase(spark, sf_dir):
     return _log_search(spark, sf_dir, lambda i: i.phrase(["error", "user"]))
 
 
+@query("search_logs_match")
+def q_search_logs_match(spark, sf_dir):
+    """Eight queries over the index of the whole fleet, in one pass."""
+    from ..operators.match import match, near, phrase
+    error, user, view = phrase("errors"), phrase("user"), phrase("view")
+    return match(fixtures.log_index(spark, sf_dir), {
+        "term": phrase("purchases"),
+        "prefix": phrase("sign*"),
+        "phrase": phrase("error", "user"),
+        "prefix phrase": phrase("user", "1*", "props"),
+        "near": near("click", "props", k=1),
+        "near chain": near(phrase("view", "user"), "props", "k", k=1),
+        "brackets": (error | view) & (user - phrase("1*")),
+        "not": user - (near("user", "k", k=2) | error | phrase("sign*")),
+    })
+
+
 @query("stem_vocabulary_porter")
 def q_stem_vocabulary_porter(spark, sf_dir):
     from ..functions import porter

@@ -453,6 +453,39 @@ sql("search_logs_not", LOG_WORDS + _has("user") + " AND NOT " + _has("error"))
 sql("search_logs_phrase", LOG_WORDS + """id IN (
   SELECT a.id FROM li a JOIN li b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.word = 'error' AND b.word = 'user')""")
 
+# words of one message side by side: of every occurrence, what stands at pos + n
+ALL_WORDS = LOG_WORDS.replace("\n  WHERE node = 'node-1'", "").rsplit("\nSELECT", 1)[0]
+
+
+def _side(*words: str, gap: str = "b{i}.pos = b{j}.pos + 1") -> str:
+    frm = "li b0" + "".join(f" JOIN li b{i} ON b{i}.id = b0.id AND " + gap.format(i=i, j=i - 1)
+                            for i in range(1, len(words)))
+    where = " AND ".join(f"b{i}.word = '{w}'" if w[-1] != "*" else f"starts_with(b{i}.word, '{w[:-1]}')"
+                         for i, w in enumerate(words))
+    return f"id IN (SELECT b0.id FROM {frm} WHERE {where})"
+
+
+def _near(a: str, b: str, k: int) -> str:
+    return _side(a, b, gap=f"b{{i}}.pos <> b{{j}}.pos AND abs(b{{i}}.pos - b{{j}}.pos) <= {k + 1}")
+
+
+MATCHES = {
+    "term": _side("purchas"),
+    "prefix": _side("sign*"),
+    "phrase": _side("error", "user"),
+    "prefix phrase": _side("user", "1*", "prop"),
+    "near": _near("click", "prop", 1),
+    "near chain": """id IN (SELECT a.id FROM li a JOIN li u ON u.id = a.id AND u.pos = a.pos + 1
+      JOIN li p ON p.id = a.id AND (p.pos - u.pos BETWEEN 1 AND 2 OR u.pos - p.pos BETWEEN 1 AND 3)
+      JOIN li k ON k.id = a.id AND abs(k.pos - p.pos) BETWEEN 1 AND 2
+      WHERE a.word = 'view' AND u.word = 'user' AND p.word = 'prop' AND k.word = 'k')""",
+    "brackets": f"({_side('error')} OR {_side('view')}) AND {_side('user')} AND NOT {_side('1*')}",
+    "not": f"{_side('user')} AND NOT ({_near('user', 'k', 2)} OR {_side('error')} OR {_side('sign*')})",
+}
+
+sql("search_logs_match", ALL_WORDS + "\n" + " UNION ALL ".join(
+    f"SELECT '{name}' AS query, node, id FROM lt WHERE {test}" for name, test in MATCHES.items()))
+
 
 # ------------------------------------------------------- more call stacks
 
