@@ -148,34 +148,54 @@ def task_key(task: str) -> str:
 
 def callstack(logs: DataFrame, node: str, tid: int, task: str, at: str | None = None,
               strict: bool = False, function: str = "function", path: str | None = None,
-              bits: int = CHUNK_BITS) -> DataFrame:
+              bits: int = CHUNK_BITS, depths: DataFrame | None = None) -> DataFrame:
     """Rows of one task's call: from the BEG of ``task`` nearest to ``at``
     up to the END that empties the stack again (or to the end of the thread
     while the call stays open), with ``depth`` counted from the task (1 =
     the task's own frame) and ``unmatched`` for ENDs unlike the frame on
     top.  Lenient by default: an unmatched END does not pop.  ``strict``
     fails on the first unmatched END of the call instead.
+
+    ``depths``: the stored chunk summary (:mod:`fleetlog.operators.depths`), by
+    which only the call is read.  If every END pops, the call ends where its
+    depth is first 0.  An unmatched END does not pop, so with n of them the
+    stack empties where that depth is first -n: the stretch up to a depth is
+    folded, and a lower depth taken until the call ends in its stretch.
     """
+    from .depths import first_at
     from .lenient import lenient_fold
     from .select import nearest_entry
 
-    thread = logs.where((F.col("node") == node) & (F.col("tid") == F.lit(tid)))
+    of_thread = (F.col("node") == node) & (F.col("tid") == F.lit(tid))
+    thread = logs.where(of_thread)
     anchor = nearest_entry(thread, node, tid, task, at).collect()
     if not anchor:
         raise ValueError(f"thread {tid} of node {node} never enters {task}")
-    start = F.lit(anchor[0]["id"])
-    seg = thread.where(F.col(ORDER) >= start)
+    start = anchor[0]["id"]
+    known = None if depths is None else depths.where(of_thread)
+
+    def up_to(end: int | None) -> DataFrame:
+        rows = thread.where(F.col(ORDER) >= F.lit(start))
+        return rows if end is None else rows.where(F.col(ORDER) <= F.lit(end))
+
+    end = first_at(thread, start, 0, known, bits)
+    call = up_to(end)
     if strict:
-        own = frames(seg, function, path, bits).where(F.col("id") == start).select(F.col("next.id").alias("end"))
-        end = own.collect()[0]["end"]
-        call = seg if end is None else seg.where(F.col(ORDER) <= F.lit(end))
         assert_no_mismatch(call, function=function, path=path, bits=bits)
         rows = call.withColumn("unmatched", F.lit(False))
+    elif call_mismatches(call, function, path, bits).isEmpty():
+        rows = call.withColumn("unmatched", F.lit(False))
     else:
-        spans, mism = lenient_fold(seg, bits, function, path)
-        end = spans.where(F.col("id") == start).select("end_id").collect()[0]["end_id"]
-        call = seg if end is None else seg.where(F.col(ORDER) <= F.lit(end))
-        rows = call.join(mism.select("id", F.lit(True).alias("unmatched")), "id", "left").withColumn(
+        level = 0
+        while True:
+            spans, mism = lenient_fold(call, bits, function, path)
+            closed = spans.where(F.col("id") == F.lit(start)).select("end_id").collect()[0]["end_id"]
+            if closed is not None or end is None:
+                break
+            level = 16 * level - 16
+            end = first_at(thread, start, level, known, bits)
+            call = up_to(end)
+        rows = up_to(closed).join(mism.select("id", F.lit(True).alias("unmatched")), "id", "left").withColumn(
             "unmatched", F.coalesce(F.col("unmatched"), F.lit(False)))
     delta = (F.when(F.col("message") == BEGIN_MARK, F.lit(1))
              .when((F.col("message") == END_MARK) & ~F.col("unmatched"), F.lit(-1)).otherwise(F.lit(0)))

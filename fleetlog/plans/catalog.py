@@ -499,7 +499,8 @@ def q_call_mismatches_lenient(spark, sf_dir):
 @query("callstack_one")
 def q_callstack_one(spark, sf_dir):
     node, tid, task, at = ANCHOR
-    return stacks.callstack(fixtures.logs(spark, sf_dir), node, tid, task, at).select(
+    return stacks.callstack(fixtures.logs(spark, sf_dir), node, tid, task, at,
+                            depths=fixtures.depths(spark, sf_dir)).select(
         "node", "tid", "id", "message", "depth")
 
 
@@ -536,7 +537,8 @@ def q_callstack_lenient(spark, sf_dir):
     """One task's stack on logs with unlike ENDs: they are kept as
     ``unmatched`` and do not pop, so the task may stay open to the end."""
     node, tid, task, at = BAD_ANCHOR
-    return stacks.callstack(fixtures.logs(spark, sf_dir, mismatched=True), node, tid, task, at).select(
+    return stacks.callstack(fixtures.logs(spark, sf_dir, mismatched=True), node, tid, task, at,
+                            depths=fixtures.depths(spark, sf_dir, mismatched=True)).select(
         "node", "tid", "id", "message", "depth", "unmatched")
 
 

@@ -139,6 +139,14 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          lambda p: store.write_items(logs(spark, sf_dir), p)))
 
 
+def depths(spark: SparkSession, sf_dir: str, mismatched: bool = False) -> DataFrame:
+    """The stored chunk depths of :func:`logs`, as ingest writes them."""
+    from ..operators.depths import write_depths
+
+    return spark.read.parquet(_made(spark, ("log-depths", sf_dir, mismatched),
+                                    lambda p: write_depths(logs(spark, sf_dir, mismatched), p)))
+
+
 def log_index(spark: SparkSession, sf_dir: str):
     """The stored message index of :func:`logs`, as ingest writes it."""
     from ..operators import search

@@ -3,6 +3,7 @@
 ``logs/``        log rows, partitioned by node
 ``items/``       distinct levels and threads per node
 ``index/``       positional full-text index of the messages, by node and word
+``depths/``      call depth of every chunk of a thread, by node
 ``quarantine/``  every record that is not a log row, with its reason: malformed
                  ones, and those of files whose node is stored already or has
                  another file in the same batch
@@ -25,19 +26,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import search
+from ..operators import depths, search
 from ..schema import LOG_COLUMNS, LOG_SCHEMA
 from ..session import discard, scratch_path
 from . import logtext, store
 
 INDEX_IDS = ("node", "id")
-TABLES = ("logs", "items", "index", "quarantine")
+TABLES = ("logs", "items", "index", "depths", "quarantine")
 
 # Read with their schemas: a batch may have no row of a table.
 SCHEMAS = {
     "logs": ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LOG_SCHEMA.fields),
     "items": "node string, field string, value string",
     "index": "node string, id long, word string, pos int",
+    "depths": "node string, tid long, chunk long, total long, least long",
     "quarantine": "node string, file string, id long, reason string, text string",
 }
 
@@ -116,7 +118,7 @@ def write_batch(records: DataFrame, root: str, batch: str | None = None) -> bool
     folder = f"{batch}-{uuid.uuid4().hex[:12]}"
     to = {k: f"{p}/batch={folder}" for k, p in paths(root).items()}
     known = spark.createDataFrame([(n,) for n in stored_nodes(spark, root)], "node string")
-    # parsed once, into the shared folder: three tables are made of it
+    # parsed once, into the shared folder: the tables are made of it
     scratch = scratch_path(spark, "parsed")
     logtext.check_files(logtext.parse_records(records), known).write.parquet(scratch)
     parsed = spark.read.parquet(scratch)
@@ -124,6 +126,7 @@ def write_batch(records: DataFrame, root: str, batch: str | None = None) -> bool
         logtext.quarantine(parsed).write.partitionBy("node").parquet(to["quarantine"])
         good = logtext.good_rows(parsed)
         search.write_index(good, INDEX_IDS, "message", to["index"])
+        depths.write_depths(good, to["depths"])
         store.write_items(good, to["items"])
         store.write_logs(good, to["logs"])
         _commit(spark, root, batch, folder)

@@ -181,15 +181,16 @@ def test_overwritten_input_is_read_anew(spark):
         assert docs.where(search.term("license", text="text")).count() == n
 
 
-@pytest.mark.parametrize("at", ["quarantine", "write_index", "write_items", "write_logs", "_commit"])
+@pytest.mark.parametrize("at", ["quarantine", "write_index", "write_depths", "write_items", "write_logs", "_commit"])
 def test_a_batch_tried_again_is_stored_once(spark, monkeypatch, at):
     """A failure after each of the writes, and one before the commit."""
-    from fleetlog.operators import search
+    from fleetlog.operators import depths, search
     from fleetlog.session import scratch_path
     from fleetlog.sources import ingest, store
     d, root = tempfile.mkdtemp(prefix="fl-retry-"), scratch_path(spark, "retry")
-    f = _write(d, "n1.txt", "\n".join([GOOD, "[bad line", GOOD.replace("first line", "second epoch")]) + "\n")
-    module = {"quarantine": logtext, "write_index": search, "_commit": ingest}.get(at, store)
+    f = _write(d, "n1.txt", "\n".join([GOOD, "[bad line", GOOD.replace("first line", "second epoch"),
+                                        GOOD.replace("first line", "BEG")]) + "\n")
+    module = {"quarantine": logtext, "write_index": search, "write_depths": depths, "_commit": ingest}.get(at, store)
     real = getattr(module, at)
 
     def fails(*args, **kw):
@@ -205,7 +206,7 @@ def test_a_batch_tried_again_is_stored_once(spark, monkeypatch, at):
     assert ingest.ingest_files(spark, f, root, "b1")
     assert not ingest.ingest_files(spark, f, root, "b1")  # committed already
     counts = [ingest.read_table(spark, root, t).count() for t in ingest.TABLES]
-    assert counts == [2, 2, 4, 1]
+    assert counts == [3, 2, 5, 1, 1]
     gone = ingest.vacuum(spark, root)
     assert (at == "quarantine") == (not gone)
     assert counts == [ingest.read_table(spark, root, t).count() for t in ingest.TABLES]
