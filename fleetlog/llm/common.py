@@ -6,7 +6,9 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,31 +90,37 @@ class WordEncoder:
     def _word(self, word: str) -> bytes:
         """Ids of one word of Latin letters.  It is one pre-token and normalized
         once in lower case, so only its bytes go to the merges."""
-        as_bytes = word if word.isascii() else word.lower().encode().decode("latin-1").translate(_BYTE_CHARS)
-        return b"".join([self._id[t.id] for t in self._bpe.tokenize(as_bytes)])
+        if not word.isascii():
+            word = word.lower().encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = self._id
+        return b"".join([ids[t.id] for t in self._bpe.tokenize(word)])
 
     def _learn(self, words) -> dict[bytes, bytes]:
         """Adds the words to the cache; returns those too long for it."""
         cache = self._cache
         other: list[bytes] = []
-        parts: dict[bytes, tuple[bytes, ...]] = {}
+        parts: list[tuple[bytes, bytes, bytes]] = []
         for w in words:
+            if w.isalpha() and w.islower() and len(w) <= LONG_WORD:
+                cache[w] = self._word(w.decode())
+                continue
             m = _WORD_AND_MARKS.fullmatch(w)
-            p = (w,)
-            if m and _LATIN.fullmatch(m[1].decode(errors="replace")):
-                p = parts[w] = m.groups()
-            for x in p:
-                if x not in cache:
-                    t = x.decode()
-                    if _LATIN.fullmatch(t):
-                        cache[x] = self._word(t)
-                    else:
-                        other.append(x)
+            t = m[1].decode(errors="replace") if m else ""
+            if _LATIN.fullmatch(t) is None:
+                other.append(w)
+                continue
+            word, marks = m.groups()
+            if word not in cache:
+                cache[word] = self._word(t)
+            if marks:
+                if marks not in cache:
+                    cache[marks] = self._raw([marks])[0]
+                parts.append((w, word, marks))
         if other:
             cache.update(zip(other, self._raw(other)))
-        for w, p in parts.items():
-            cache[w] = b"".join([cache[x] for x in p])
-        return {w: cache.pop(w) for w in words if len(w) > LONG_WORD and w in cache}
+        for w, word, marks in parts:
+            cache[w] = cache[word] + cache[marks]
+        return {w: cache.pop(w) for w in words if len(w) > LONG_WORD}
 
     def __call__(self, texts) -> list[bytes]:
         """Ids of each text (UTF-8 bytes or None) as little-endian unsigned
@@ -124,20 +132,21 @@ class WordEncoder:
                 out.append(b"")
                 continue
             words = (text if b"<|" in text else text.lower()).split()  # ASCII white space only
-            found = list(map(cache.get, words))
-            try:
-                out.append(b"".join(found))
-            except TypeError:  # some are not known yet
-                new = {w for w, x in zip(words, found) if x is None}
+            new = set(words).difference(cache)
+            long = {}
+            if new:
                 if len(cache) + 2 * len(new) > CACHE_WORDS:
                     cache.clear()
                     new = set(words)
                 long = self._learn(new)
+            if long:
                 out.append(b"".join([cache[w] if w in cache else long[w] for w in words]))
+            else:
+                out.append(b"".join(map(cache.__getitem__, words)))
         return out
 
 
-_WORD_AND_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:;=?@\[-`{}~]+)")
+_WORD_AND_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:;=?@\[-`{}~]{0,64})")
 _LATIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]{1,%d}" % LONG_WORD)
 
 
@@ -165,10 +174,12 @@ def encoder(json_text: str, width: int = 4) -> WordEncoder:
 
 def token_rows(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
                doc_id: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, ids): the ids of every whole text and ``end_id`` after them,
-    little-endian unsigned integers of ``width`` bytes (2 holds the ids of a
-    vocabulary up to 65,536) in one binary value.  A null text is an empty
-    one; every input row gives one row."""
+    """(doc_id, row, ids, counts): the ids of every whole text and ``end_id``
+    after them, little-endian unsigned integers of ``width`` bytes (2 holds the
+    ids of a vocabulary up to 65,536) in one binary value.  A null text is an
+    empty one; every input row gives one row, numbered by ``row`` (task, then
+    order in it).  One further row of each task, of null ``ids``, holds in ``counts``
+    how often each id occurs in the task's rows (64-bit integers)."""
     spark = docs.sparkSession
     ship(spark)
     spec = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
@@ -176,13 +187,25 @@ def token_rows(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
 
     def run(batches):
         enc = encoder(spec.value, width)
+        row = TaskContext.get().partitionId() << 40
+        total = np.zeros(1 << 8 * min(width, 2), dtype=np.int64)
+        some = False
         for b in batches:
             n = b.num_rows
             for lo in range(0, n, 1000):
                 part = b.slice(lo, 1000)
                 ids = [x + tail for x in enc(part.column(1).cast(pa.binary()).to_pylist())]
+                own = np.bincount(np.frombuffer(b"".join(ids), dtype=f"<u{width}"), minlength=len(total))
+                own[:len(total)] += total
+                total, some = own, True
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, type=pa.binary())], names=["doc_id", "ids"])
+                    [part.column(0), pa.array(np.arange(row, row + len(ids))), pa.array(ids, type=pa.binary()),
+                     pa.nulls(len(ids), pa.binary())], names=["doc_id", "row", "ids", "counts"])
+                row += len(ids)
+        if some:
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                 pa.array([total.astype("<i8").tobytes()])], names=["doc_id", "row", "ids", "counts"])
 
     src = docs.selectExpr(f"CAST(`{doc_id}` AS BIGINT) AS doc_id", f"CAST(`{text}` AS STRING) AS text")
-    return src.mapInArrow(run, "doc_id bigint, ids binary")
+    return src.mapInArrow(run, "doc_id bigint, row bigint, ids binary, counts binary")

@@ -22,7 +22,7 @@ of its part, and can be decoded without any other.  Lane states are 64 bits
 in [2**31, 2**63), renormalized by 32-bit words.
 
 Null text: an empty document (only its end id).  Null ``doc_id`` sorts first.
-Repeated rows are separate documents.  An empty table gives an empty file and
+A very long text is one large block.  Repeated rows are separate documents.  An empty table gives an empty file and
 no rows.  Only the two named columns are read, so extra columns cannot clash.
 """
 
@@ -137,28 +137,25 @@ class Coder:
         return out[lo - start * lanes:hi - start * lanes]
 
 
-def histogram(tokens: DataFrame, width: int = 4) -> DataFrame:
-    """(sym, n): how often each id occurs in all rows.  Every task sends at
-    most one row per id of the vocabulary."""
+def histogram(tokens: DataFrame) -> DataFrame:
+    """(sym, n): how often each id occurs in all rows of a ``token_rows`` table,
+    from the tasks' counts.  Every task sends at most one row per id of the
+    vocabulary."""
 
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for v in b.column(0):
-                buf = v.as_buffer()
-                if buf is None or not buf.size:
-                    continue
-                c = np.bincount(np.frombuffer(buf, dtype=f"<u{width}"))
-                if len(c) > len(total):
-                    c[:len(total)] += total
-                    total = c
-                else:
-                    total[:len(c)] += c
+            for v in b.column(0).to_pylist():
+                c = np.frombuffer(v, dtype="<i8").copy()
+                if len(c) < len(total):
+                    c, total = total, c
+                c[:len(total)] += total
+                total = c
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())],
                                          names=["sym", "n"])
 
-    return (tokens.select("ids").mapInArrow(run, "sym long, n long")
+    return (tokens.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "sym long, n long")
             .groupBy("sym").agg(F.sum("n").alias("n")))
 
 
@@ -174,10 +171,12 @@ def _block_rows(coder: Coder, part: int, block: int, docs: list[tuple], width: i
 
 
 def encode_corpus(tokens: DataFrame, name: str = "rans", width: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Writes (doc_id, ids) rows (ids of ``width`` bytes) in ascending doc_id
-    order in the format above; returns the frequency table and the blocks, both read back from the files."""
+    """Writes a stored ``token_rows`` table (ids of ``width`` bytes) in ascending
+    doc_id order, rows of one doc_id by ``row``, in the format above; returns the
+    frequency table and the blocks, both read back from the files.  The ranges
+    are cut by both, so rows that share an id (or have none) are several tasks'."""
     ship(tokens.sparkSession)
-    counts = histogram(tokens, width).orderBy("sym").toPandas()  # one row per vocabulary id at most
+    counts = histogram(tokens).orderBy("sym").toPandas()  # one row per vocabulary id at most
     syms, n = counts["sym"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     freq = normalized(syms, n)
     spark = tokens.sparkSession
@@ -199,17 +198,18 @@ def encode_corpus(tokens: DataFrame, name: str = "rans", width: int = 4) -> tupl
         if docs:
             yield _block_rows(coder, part, block, docs, width)
 
-    ordered = (tokens.select("doc_id", "ids")
-               .repartitionByRange(shuffle_width(tokens), F.col("doc_id").asc_nulls_first())
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids"))
+    ordered = (tokens.where(F.col("counts").isNull()).select("doc_id", "ids", "row")
+               .repartitionByRange(shuffle_width(tokens), F.col("doc_id").asc_nulls_first(), "row")
+               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row").select("doc_id", "ids"))
     blocks = stored(ordered.mapInArrow(run, BLOCK_SCHEMA), f"{name}/blocks", "uncompressed")
     return freq_table, blocks
 
 
-def decode_corpus(freq_table: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(part, block, ordinal, doc_id, ids) of every document, decoded from the
-    files; raises if a block's checksum does not hold.  Blocks are decoded
-    independently, wherever they were read."""
+def decode_corpus(freq_table: DataFrame, blocks: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(part, block, ordinal, doc_id, before, n_tokens, ids_crc32, ids) of every
+    document, decoded from the files (``before``: the block's ids before it;
+    ``ids`` only if asked for); raises if a block's checksum does not hold.
+    Blocks are decoded independently, wherever they were read."""
     ship(blocks.sparkSession)
     table = freq_table.orderBy("sym").toPandas()  # one row per vocabulary id at most
     shared = blocks.sparkSession.sparkContext.broadcast(
@@ -225,14 +225,19 @@ def decode_corpus(freq_table: DataFrame, blocks: DataFrame) -> DataFrame:
                 if zlib.crc32(ids) != crc:
                     raise ValueError(f"checksum of block {part}/{block} does not hold")
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([part] * len(sizes), pa.int32()), pa.array([block] * len(sizes), pa.int32()),
-                    pa.array(range(len(sizes)), pa.int32()), pa.array(doc_ids, pa.int64()),
-                    pa.array([ids[e - k:e].tobytes() for e, k in zip(ends.tolist(), sizes)], pa.binary())],
-                    names=["part", "block", "ordinal", "doc_id", "ids"])
+                own = [ids[e - k:e] for e, k in zip(ends.tolist(), sizes)]
+                made = [pa.array([part] * len(sizes), pa.int32()), pa.array([block] * len(sizes), pa.int32()),
+                        pa.array(range(len(sizes)), pa.int32()), pa.array(doc_ids, pa.int64()),
+                        pa.array(ends - sizes, pa.int64()), pa.array(sizes, pa.int64()),
+                        pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                if with_ids:
+                    made.append(pa.array([x.tobytes() for x in own], pa.binary()))
+                yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return blocks.select(*[c.split()[0] for c in BLOCK_SCHEMA.split(", ")]).mapInArrow(
-        run, "part int, block int, ordinal int, doc_id long, ids binary")
+    schema = "part int, block int, ordinal int, doc_id long, before long, n_tokens long, ids_crc32 long"
+    schema += ", ids binary" if with_ids else ""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return blocks.select(*[c.split()[0] for c in BLOCK_SCHEMA.split(", ")]).mapInArrow(run, schema)
 
 
 def op1_token_ids(spark, sf_dir: str) -> DataFrame:
@@ -253,10 +258,6 @@ def op1_token_ids(spark, sf_dir: str) -> DataFrame:
     block_start = (index.join(starts, "part")
                    .select("part", "block", (F.col("part_start") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
                            .alias("block_start")))
-    docs = decode_corpus(freq_table, blocks).select(
-        "part", "block", "ordinal", "doc_id", F.crc32("ids").alias("ids_crc32"),
-        (F.length("ids") / 4).cast("long").alias("n_tokens"))
-    in_block = Window.partitionBy("part", "block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    docs = decode_corpus(freq_table, blocks, with_ids=False)
     return (docs.join(block_start, ["part", "block"])
-            .select("doc_id", (F.col("block_start") + F.coalesce(F.sum("n_tokens").over(in_block), F.lit(0)))
-                    .alias("start"), "n_tokens", "ids_crc32"))
+            .select("doc_id", (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"))
