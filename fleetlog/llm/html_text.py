@@ -1,31 +1,40 @@
 """Main text of web pages by line-block distribution.
 
 A page is stripped to lines: markup, scripts, styles and comments go, and so
-do elements that are boilerplate by their kind or by the names in their class,
-id or role (menus, page headers, footers, sidebars, notices, adverts, forms,
-reader comments); each of those leaves an empty line.  Every block element is a
-line of its own, with character references decoded and white space collapsed.
-
-Line lengths are then summed over sliding windows of WINDOW lines; the empty
-lines of stripped elements are not counted.  A surge is the first line of which
-some window reaches the threshold, a dive the last one before no window does;
-every run from a surge to its dive is kept, and the lines between two runs that
-are not further apart than a window.  Where the page marks its article
-(``article``, ``main``), the distribution runs over the lines of all these
-elements in page order with a threshold of one character: there the marks
-decide, and every line inside them is kept.  Elsewhere it runs over the whole
-body, with a threshold of at most BLOCK characters.
-
-Null or empty html gives an empty text.  Unclosed and stray tags are tolerated,
-a tag, comment or script cut off by the end of the page is dropped.  Repeated
-rows stay rows.  An empty table gives no rows.  Only the named columns are
-read.
+do elements that are boilerplate by their kind (menus, page headers, footers,
+sidebars, forms, hidden parts).  Every block element is a line of its own, with
+character references decoded and white space collapsed; the part of a line that
+is link text is counted.
+
+Class and id names only nominate a block.  What is decided is the distribution of
+text outside links, summed over sliding windows of WINDOW lines:
+
+* A block named as a menu, advert, notice, reader comment or the like goes, unless
+  no window of the other lines reaches BLOCK characters (in a marked article: there
+  are no others) and one of its own does.  Then it wraps the article.
+* A block whose name only holds such a word (``related-work``) goes where link text
+  is half of it or more; on a page without marks also where none of its windows
+  reaches BLOCK.
+
+Where the page marks its article (``article``, ``main``), all other lines inside
+these elements are kept, in page order.  Elsewhere a surge is the first line of
+which some window reaches the threshold (at most BLOCK), a dive the last one
+before no window does; every run from a surge to its dive is kept, and the lines
+between two runs that are not further apart than a window.  The first run begins
+at the first heading from which only text, no link lines, leads to it.
+
+One pass over the page, in time linear in its length.  Null or empty html gives
+an empty text.  Unclosed and stray tags are tolerated, a quote that is never closed
+is a plain character of its tag; a tag, comment or script cut off by the end of
+the page is dropped.  Repeated rows stay rows.  An empty table gives no rows.
+Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +44,7 @@ from fleetlog.llm.common import ship, table
 WINDOW = 3
 BLOCK = 86
 
-_TOKEN = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""")
+_TOKEN = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""")
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:@][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # Element kinds of HTML.
@@ -45,14 +54,15 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
            "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
            "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _DROP = {"head", "nav", "footer", "aside", "form", "dialog", "menu", "button", "select", "option", "datalist", "svg",
-         "math", "canvas", "object", "audio", "video", "template", "applet", "map"}
+         "canvas", "object", "audio", "video", "template", "applet"}
 _DROP_OUTSIDE = {"header"}
 # Start tags that end an open element of these kinds.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
          "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "blockquote", "aside", "nav",
            "footer", "header", "form", "td", "th"}
-_KEEP = {"html", "body", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_KEEP = {"html", "body", "main"} | _HEADINGS
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu",
           "menubar", "toolbar", "form"}
 _NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored",
@@ -62,8 +72,15 @@ _NAMES = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising
           "respond", "disqus", "discussion", "share", "sharing", "social", "related", "recommended",
           "recommendations", "newsletter", "subscribe", "subscription", "signup", "login", "search", "pagination",
           "pager", "widget", "widgets", "banner", "copyright"}
-_NAMES_OUTSIDE = {"header"}
+# Names that a part of an article may well have, too.
+_UNSURE = {"adv", "sponsor", "promotion", "consent", "discussion", "related", "search", "subscription", "recommended"}
+_COMMENTS = {"comment", "comments", "respond", "disqus"}
+# Words that say nothing beside one of the names.
+_GENERIC = {"box", "block", "section", "list", "area", "wrapper", "wrap", "container", "content", "bar", "top", "bottom",
+            "left", "right", "main", "item", "items", "links", "link", "buttons", "form", "unit", "slot", "panel",
+            "header", "title", "body", "text", "inner", "outer", "site", "page", "thread", "primary", "secondary"}
 _NEGATED = {"with", "has", "no", "without"}
+PLAIN, MAYBE, NAMED = 0, 1, 2
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -73,61 +90,103 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _named(text: str, inside: bool) -> bool:
-    for token in text.split():
+def _nominated(names: str, anchor: bool, inside: bool) -> int:
+    """MAYBE or NAMED if a class or id names boilerplate; anchor: it is the id
+    of a section."""
+    most = PLAIN
+    for token in names.split():
         words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", token).lower()) if w]
-        if words and words[0] not in _NEGATED:
-            for w in (words[0], words[-1]):
-                if w in _NAMES or (w in _NAMES_OUTSIDE and not inside):
-                    return True
-    return False
+        if not words or words[0] in _NEGATED:
+            continue
+        sure = _COMMENTS if anchor else _NAMES - _UNSURE
+        if words == ["header"] and not inside:
+            return NAMED
+        if (any(w in sure for w in words)
+                and all(w in _NAMES or w in _GENERIC or w.isdigit() for w in words)):
+            return NAMED
+        if words[0] in _NAMES or words[-1] in _NAMES:
+            most = MAYBE
+    return most
 
 
-def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    """inside: within the article."""
+def _judged(name: str, attributes: str, inside: bool) -> tuple[bool, int]:
+    """(boilerplate by kind, nomination by name); inside: within the article."""
     if name in _DROP or (name in _DROP_OUTSIDE and not inside):
-        return True
+        return True, PLAIN
     if name in _KEEP or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return False, PLAIN
     a = _attributes(attributes)
     if a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
-        return True
+        return True, PLAIN
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "")):
-        return True
-    return _named(a.get("class", "") + " " + a.get("id", ""), inside)
+        return True, PLAIN
+    return False, max(_nominated(a.get("class", ""), False, inside),
+                      _nominated(a.get("id", ""), name == "section", inside))
+
 
+class Line(NamedTuple):
+    text: str
+    link: int  # characters of it that are link text
+    article: bool  # inside ``article`` or ``main``
+    block: int  # number of the nominated block that it is in, 0 for none
+    sure: int  # that block's nomination
+    heading: bool
 
-def lines_of(page: str) -> list[tuple[bool, str]]:
-    """(article, line): whether it is inside ``article`` or ``main``; empty
-    lines stand for what was stripped."""
-    lines: list[tuple[bool, str]] = []
+
+def lines_of(page: str) -> list[Line]:
+    lines: list[Line] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, article before it
-    dropped, article, at = 0, False, 0
+    # name, dropped, (article, block, sure) before it
+    stack: list[tuple[str, bool, tuple[bool, int, int]]] = []
+    where: dict[str, list[int]] = {}  # open elements by name, as places in the stack
+    blocks: list[int] = []  # open elements that are no inline ones
+    scopes: list[int] = []
+    dropped, link, at, numbered = 0, 0, 0, 0
+    state = (False, PLAIN, PLAIN)
+
+    def text(piece: str) -> None:
+        nonlocal link
+        buffer.append(piece)
+        if where.get("a"):
+            link += len("".join(piece.split()))
 
     def flush() -> None:
+        nonlocal link
         if buffer:
-            text = " ".join("".join(buffer).split())
+            line = " ".join("".join(buffer).split())
             buffer.clear()
-            if text:
-                lines.append((article, text))
+            if line:
+                lines.append(Line(line, link, *state, any(where.get(h) for h in _HEADINGS)))
+        link = 0
+
+    def push(name: str, drop: bool) -> None:
+        k = len(stack)
+        where.setdefault(name, []).append(k)
+        if name not in _INLINE:
+            blocks.append(k)
+        if name in _SCOPES:
+            scopes.append(k)
+        stack.append((name, drop, state))
 
     def pop() -> None:
-        nonlocal dropped, article
+        nonlocal dropped, state
         name, was, before = stack[-1]
-        if name not in _INLINE or was:
+        if name not in _INLINE or was or before != state:
             flush()
         stack.pop()
-        if was:
-            dropped -= 1
-            lines.append((article, ""))
-        article = before
+        where[name].pop()
+        if name not in _INLINE:
+            blocks.pop()
+        if name in _SCOPES:
+            scopes.pop()
+        dropped -= was
+        state = before
 
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at and not dropped:
-            buffer.append(_html.unescape(page[at:m.start()]))
+            text(_html.unescape(page[at:m.start()]))
         at = m.end()
         name = m[2]
         if name is None:
@@ -136,12 +195,14 @@ def lines_of(page: str) -> list[tuple[bool, str]]:
         if m[1]:
             if name == "br":
                 buffer.append(" ")
-            if name in ("p",) and not any(n == "p" for n, _, _ in stack):
-                flush()
+            own = where.get(name)
+            if not own:
+                if name == "p":
+                    flush()
                 continue
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             # an inline end tag does not reach out of its block
-            if k >= 0 and not (name in _INLINE and any(n not in _INLINE for n, _, _ in stack[k + 1:])):
+            if not (name in _INLINE and blocks and blocks[-1] > own[-1]):
+                k = own[-1]
                 while len(stack) > k:
                     pop()
             continue
@@ -157,34 +218,40 @@ def lines_of(page: str) -> list[tuple[bool, str]]:
             continue
         if name in _INLINE and not m[3]:
             if name not in _VOID:
-                stack.append((name, False, article))
+                push(name, False)
             continue
         if name not in _INLINE:
             flush()
             # block starts end an open paragraph, and items their predecessor
-            ends = _ENDS.get(name, set()) | {"p"}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i][0] in _SCOPES:
-                    break
+            k = max([where[e][-1] for e in _ENDS.get(name, set()) | {"p"} if where.get(e)], default=-1)
+            if k >= 0 and not (scopes and scopes[-1] > k):
+                while len(stack) > k:
+                    pop()
         if name in _VOID:
             continue
-        drop = _boilerplate(name, m[3], article)
-        if drop and not dropped:
+        article, block, sure = state
+        drop, named = _judged(name, m[3], article)
+        if (drop or named > sure) and not dropped:
             flush()
-        stack.append((name, drop, article))
+        push(name, drop)
         dropped += drop
-        if name in ("article", "main") and not dropped:
-            article = True
+        if not dropped:
+            if named > sure:
+                numbered += 1
+                block, sure = numbered, named
+            state = (article or name in ("article", "main") and sure < NAMED, block, sure)
     if not dropped and at < len(page):
-        buffer.append(_html.unescape(page[at:]))
+        text(_html.unescape(page[at:]))
     flush()
     return lines
 
 
+def _reach(lines: list[Line], window: int) -> int:
+    """The greatest window sum of text outside links."""
+    sizes = [len(x.text) - x.link for x in lines]
+    return max((sum(sizes[i:i + window]) for i in range(len(sizes))), default=0)
+
+
 def _runs(lengths: list[int], threshold: int, window: int) -> list[list[int]]:
     """[surge, dive) of every run; runs that are not further apart than a
     window are one."""
@@ -203,13 +270,42 @@ def _runs(lengths: list[int], threshold: int, window: int) -> list[list[int]]:
 def main_text(page: str | None, window: int = WINDOW, block: int = BLOCK) -> str:
     if not page:
         return ""
-    lines = [(a, t) for a, t in lines_of(page) if t]
-    marked = [t for a, t in lines if a]
-    own = marked or [t for _, t in lines]
-    lengths = [len(t) for t in own]
+    every = lines_of(page)
+    marked = any(x.article for x in every)
+    own = [x for x in every if x.article] if marked else every
+    nominees: dict[int, list[Line]] = {}
+    for x in own:
+        if x.block:
+            nominees.setdefault(x.block, []).append(x)
+    if nominees:
+        plain = [x for x in own if not x.block]
+        elsewhere = bool(plain) if marked else _reach(plain, window) >= block
+        stays = {0}
+        for k, part in nominees.items():
+            reaches = _reach(part, window) >= block
+            if part[0].sure == NAMED:
+                stay = reaches and not elsewhere
+            else:
+                stay = 2 * sum(x.link for x in part) < sum(len(x.text) for x in part) and (marked or reaches)
+            if stay:
+                stays.add(k)
+        own = [x for x in own if x.block in stays]
+    if marked:
+        return " ".join(x.text for x in own)
+    lengths = [len(x.text) - x.link for x in own]
+    if not any(lengths):
+        lengths = [len(x.text) for x in own]
     most = max((sum(lengths[i:i + window]) for i in range(len(lengths))), default=0)
-    threshold = 1 if marked else max(1, min(block, most // 2))
-    return " ".join(t for surge, dive in _runs(lengths, threshold, window) for t in own[surge:dive])
+    runs = _runs(lengths, max(1, min(block, most // 2)), window)
+    if runs:
+        first = runs[0][0]
+        for i in range(first - 1, -1, -1):
+            if 2 * own[i].link >= len(own[i].text):
+                break
+            if own[i].heading:
+                first = i
+        runs[0][0] = first
+    return " ".join(x.text for surge, dive in runs for x in own[surge:dive])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -76,3 +76,36 @@ def test_edge_rows(spark, tmp_path):
 ])
 def test_every_part_of_a_page_is_kept(page, text):
     assert main_text(page) == text
+
+
+SECTIONS = ("<article><h1>T</h1><p>plain</p><section id='discussion'><p>one of us</p></section><h2 id='related-work'>Two</h2>"
+            "<p class='notice-of-intent'>three</p><div class='search-results-table'><p>four</p></div>"
+            "<p>x <math><mi>y</mi></math></p>{}</article>")
+
+
+@pytest.mark.parametrize("extra,text", [
+    ("", ""), ("<div class='ad'>buy</div><div class='comments-list'><p>" + ARTICLE + "</div><section id=comments>c</section>", ""),
+    ("<div class='related-links'><a href=a>all of it</a> <a href=b>is links</a></div>", ""),
+    ("<div class='related-links'>much more text than <a href=a>links</a></div>", " much more text than links"),
+])
+def test_names_only_nominate(extra, text):
+    assert main_text(SECTIONS.format(extra)) == "T plain one of us Two three four x y" + text
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div class='modal'><p>{ARTICLE}</p><p>end</p></div>", f"{ARTICLE}end"),
+    (f"<article><div class='modal'><p>{ARTICLE}</p></div></article><p>s</p>", ARTICLE.strip()),
+    (f"<div><a href=x>home</a></div><h1>Title</h1><p>a</p><p>b</p><p>c</p><p>d</p><p>{ARTICLE}</p>", f"Title a b c d {ARTICLE}".strip()),
+    ("<article><p title=\"never closed>one</p><p>two</p></article>", "one two"),
+    ("<article><p title='a>b' class=\"x>y\">one</p></article>", "one"),
+])
+def test_wrappers_titles_and_quotes(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<b>", "<b><i class=x>", "<div>", "<p>", "</b>", "<li>", "<a href=\"", "<", "<!--", "<div class=ad>"])
+def test_time_is_linear_in_the_page(unit):
+    import time
+    start = time.process_time()
+    main_text("<article>" + unit * (500_000 // len(unit)) + "x")
+    assert time.process_time() - start < 4
