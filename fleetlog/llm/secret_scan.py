@@ -34,29 +34,57 @@ MIN_VALUE = 6
 # The method's own candidates: a run this long with letters and digits.
 OWNED = r"[A-Za-z0-9_-]{20,}"
 EXAMPLE_OWNERS = 3
+# Matches of a text that are folded at a time.
+CHUNK = 128
 
 SPAN = "array<struct<kind:int,start:bigint,end:bigint,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once: an expression that lambdas
+    refer to is otherwise computed for each of their elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _in_chunks(parts: Column, reach, fold) -> Column:
+    """Array of fold(chunk, value) over chunks of at most CHUNK parts, where
+    value is reach(chunk, value) of the chunk before, 0 for the first.  An
+    accumulator is copied at every step, so one that grows with all parts would
+    cost their square."""
+    def chunks(x):
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / CHUNK) - 1, F.lit(0)).cast("int")),
+                           lambda i: F.slice(x, i * CHUNK + 1, CHUNK))
+
+    def values(cs):
+        return F.aggregate(
+            cs, F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("CAST(array() AS array<bigint>)").alias("out")),
+            lambda acc, c: F.struct(reach(c, acc["at"]).cast("bigint").alias("at"),
+                                    F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    return _let(_let(parts, chunks), lambda cs: F.zip_with(cs, values(cs), fold))
+
+
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping
     matches, in code points; ``value`` is the group, which ends the match.
     Positions are sums of the lengths of the matches and of what lies between."""
     hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     val = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    parts = F.arrays_zip(F.split(text, pattern).alias("gap"), hit.alias("hit"), val.alias("val"))
+    parts = F.filter(F.arrays_zip(F.split(text, pattern).alias("gap"), hit.alias("hit"), val.alias("val")),
+                     lambda p: p["hit"].isNotNull())
     none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint,value:string>>)")
 
     def step(acc, p):
         start = acc["pos"] + F.length(p["gap"])
         end = start + F.length(p["hit"])
-        return F.when(p["hit"].isNull(), acc).otherwise(F.struct(
+        return F.struct(
             end.cast("bigint").alias("pos"),
             F.concat(acc["out"], F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"),
-                                                  p["val"].alias("value")))).alias("out")))
+                                                  p["val"].alias("value")))).alias("out"))
 
-    folded = F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("pos"), none.alias("out")), step,
-                         lambda acc: acc["out"])
+    folded = F.flatten(_in_chunks(
+        parts, lambda c, at: F.aggregate(c, at, lambda n, p: n + F.length(p["gap"]) + F.length(p["hit"])),
+        lambda c, at: F.aggregate(c, F.struct(at.alias("pos"), none.alias("out")), step, lambda acc: acc["out"])))
     # most texts hold nothing: one scan decides
     return F.when(F.size(hit) > 0, folded).otherwise(none)
 
@@ -161,8 +189,11 @@ def masked(docs: DataFrame, scanned: DataFrame, doc_id: str = "doc_id", text: st
                         F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     spans = F.expr("transform(_secret_spans, s -> named_struct('col1', s.start, 'col2', s.end))")
-    clean = F.aggregate(spans, F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out")), step,
-                        lambda acc: F.concat(acc["out"], F.substr(t, (acc["pos"] + 1).cast("int"))))
+    pieces = _in_chunks(spans, lambda c, at: F.greatest(at, F.array_max(F.transform(c, lambda x: x["col2"]))),
+                        lambda c, at: F.aggregate(c, F.struct(at.alias("pos"), F.lit("").alias("out")), step,
+                                                  lambda acc: acc["out"]))
+    rest = F.array_max(F.transform(spans, lambda x: x["col2"]))
+    clean = F.concat(F.array_join(pieces, ""), F.substr(t, (rest + 1).cast("int")))
     hit = F.col("_secret_spans").isNotNull()
     done = joined.withColumn("_secret_text", F.when(hit, clean))
     changed = {text: F.col("_secret_text")}

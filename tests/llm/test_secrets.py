@@ -93,3 +93,19 @@ def test_no_python_on_the_executors(spark, sf_small):
 
 def test_empty_table(spark, tmp_path):
     assert secret_scan.op6_secrets(spark, _write(spark, tmp_path, [])).count() == 0
+
+
+def test_a_text_of_very_many_matches(spark):
+    """Also over the borders of chunks, and masked."""
+    import time
+    n = 20_000
+    text = "".join(f"token={i:08d}x é{'q' * (i % 3)} " for i in range(n))
+    d = docs(spark, [(1, text, "en", "a", len(text))])
+    start = time.time()
+    scanned = secret_scan.scan(d, "t-many")
+    row = secret_scan.digest(scanned).collect()[0]
+    masked = secret_scan.masked(d, scanned).collect()[0]["text"]
+    assert time.time() - start < 40
+    want = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=\w+", text)]
+    assert row["n_assign"] == n and row["spans"] == ",".join(want)
+    assert masked == re.sub(r"token=\w+", "[secret]", text)
