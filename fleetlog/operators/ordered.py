@@ -121,27 +121,29 @@ def nearest_marked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     d, ch, added = _with_chunk(df, chunk)
     d = d.withColumn(pay, F.when(is_candidate, payload))
     ordc = _cols(order)
-    w_in = Window.partitionBy(*keys, ch).orderBy(*ordc)
-    w_ch = Window.partitionBy(*keys).orderBy(ch)
     by = F.when(F.col(pay).isNotNull(), F.struct(*ordc))
+    # The side after a row is scanned backwards: a frame up to the end of the
+    # group is computed anew for every row.
+    rows_before = (Window.unboundedPreceding, -1)
+    w_in, w_ch = Window.partitionBy(*keys, ch), Window.partitionBy(*keys)
     sides = []
     if before:
-        sides.append((before, F.last, w_in.rowsBetween(Window.unboundedPreceding, -1), F.max_by(pay, by),
-                      w_ch.rowsBetween(Window.unboundedPreceding, -1)))
+        sides.append((before, w_in.orderBy(*ordc).rowsBetween(*rows_before), F.max_by(pay, by),
+                      w_ch.orderBy(ch).rowsBetween(*rows_before)))
     if after:
-        sides.append((after, F.first, w_in.rowsBetween(1, Window.unboundedFollowing), F.min_by(pay, by),
-                      w_ch.rowsBetween(1, Window.unboundedFollowing)))
-    local = d.withColumns({f"__fl_loc{i}": f(pay, ignorenulls=True).over(w)
-                           for i, (_, f, w, _, _) in enumerate(sides)})
+        sides.append((after, w_in.orderBy(*[c.desc() for c in ordc]).rowsBetween(*rows_before), F.min_by(pay, by),
+                      w_ch.orderBy(F.col(ch).desc()).rowsBetween(*rows_before)))
+    local = d.withColumns({f"__fl_loc{i}": F.last(pay, ignorenulls=True).over(w)
+                           for i, (_, w, _, _) in enumerate(sides)})
     # The summary counts the remaining columns, so that it reads what the rows
     # read and the two share one shuffle of the input.
     rest = [c for c in df.columns if c not in keys]
     edges = local.groupBy(*keys, ch).agg(
-        *[e.alias(f"__fl_edge{i}") for i, (_, _, _, e, _) in enumerate(sides)],
+        *[e.alias(f"__fl_edge{i}") for i, (_, _, e, _) in enumerate(sides)],
         *[F.count(c).alias(f"__fl_n{i}") for i, c in enumerate(rest)])
     edges = edges.where(" AND ".join(f"__fl_n{i} >= 0" for i in range(len(rest))))
-    carry = edges.select(*keys, ch, *[f(f"__fl_edge{i}", ignorenulls=True).over(w).alias(f"__fl_carry{i}")
-                                      for i, (_, f, _, _, w) in enumerate(sides)])
+    carry = edges.select(*keys, ch, *[F.last(f"__fl_edge{i}", ignorenulls=True).over(w).alias(f"__fl_carry{i}")
+                                      for i, (_, _, _, w) in enumerate(sides)])
     j = local.join(carry, [*keys, ch], "left")
     j = j.withColumns({name: F.coalesce(F.col(f"__fl_loc{i}"), F.col(f"__fl_carry{i}"))
                        for i, (name, *_) in enumerate(sides)})

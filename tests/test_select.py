@@ -63,3 +63,18 @@ def test_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="checkpoint"):
         build_session(master="spark://nowhere:7077")
     assert is_local("local[4]") and not is_local("local-cluster[2,1,1024]")
+
+
+def test_nearest_scans_keep_no_frame_to_the_end(spark):
+    """A frame that reaches to the end of its group is computed anew for every
+    row, in time quadratic in the group."""
+    from pyspark.sql import functions as F
+    from fleetlog.operators.ordered import id_chunk, nearest_marked
+    rows = [(i, i % 7 == 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, mark boolean").withColumn("k", F.lit(1))
+    near = nearest_marked(df, ["k"], ["id"], F.col("mark"), F.col("id"), id_chunk("id", 4), before="b", after="a")
+    assert "unboundedfollowing" not in near._jdf.queryExecution().executedPlan().toString().lower()
+    marks = [i for i, m in rows if m]
+    for r in near.collect():
+        assert r["b"] == max((m for m in marks if m < r["id"]), default=None)
+        assert r["a"] == min((m for m in marks if m > r["id"]), default=None)
