@@ -26,7 +26,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language the network knows: those without a letter, and
     those whose best pooled probability is below its language's least score, go."""
     who = language.train_identifier(docs)
-    return language.predicted(docs, who, keep_from=language.least_scores(docs, who))
+    out = {"lang_pred": "__lang_pred", "score": "__score"}  # columns of ``docs`` stay
+    scored = stored(language.predicted(docs, who, **out), "pipeline/scored")
+    return language.known(scored, language.least_scores(scored, who, name="pipeline", **out), **out)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

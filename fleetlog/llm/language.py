@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlog.llm.common import ship, table
+from fleetlog.llm.common import ship, stored, table
 
 HIDDEN = 8
 STEPS = 64
@@ -221,11 +221,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _labelled(docs: DataFrame, doc_id: str, text: str, lang: str, held: bool) -> DataFrame:
+def _labelled(docs: DataFrame, doc_id: str, text: str, lang: str, held: bool, *more: Column) -> DataFrame:
     """(i, t, l, h): rows with a language and a letter, h a hash of id and text."""
     inside = held_out(F.col("i"))
     return (docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"),
-                        F.col(f"`{lang}`").cast("string").alias("l"))
+                        F.col(f"`{lang}`").cast("string").alias("l"), *more)
             .where(F.col("i").isNotNull() & (inside if held else ~inside) & F.col("l").isNotNull()
                    & F.col("t").rlike(r"\p{L}")).withColumn("h", F.xxhash64("i", "t")))
 
@@ -271,29 +271,76 @@ def train_identifier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return Identifier(model, languages)
 
 
-def least_scores(docs: DataFrame, identifier: Identifier, doc_id: str = "doc_id", text: str = "text",
-                 lang: str = "lang", per_language: int = DOCS_PER_LANGUAGE, in_all: int = SAMPLE_DOCS) -> dict[str, float]:
+def low_quantiles(scores: DataFrame, low: float = LOW) -> dict[str, float]:
+    """Per ``l`` the exact ``low`` quantile of ``score`` (0 to 1), interpolated
+    between the two scores next to it, over all rows of a stored table (l, score).
+
+    Their ranks are looked up in counts of ever finer bins, of which only those
+    two are looked into, so that no task or group holds the scores of a language."""
+    at = F.col("lo") + F.col("t")  # the quantile's place among the sorted scores, from 0
+    bins = (scores.groupBy("l").agg(((F.count(F.lit(1)) - 1) * F.lit(low)).alias("place"))
+            .select("l", F.lit(0).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("base"),
+                    F.floor("place").alias("lo"), (F.col("place") - F.floor("place")).alias("t")))
+    before = 0
+    for bits in (16, 32, 53):
+        finer = F.floor(F.col("score") * float(1 << bits)).cast("bigint")
+        inside = (scores.withColumn("bin", F.when(F.lit(before > 0), F.floor(F.col("score") * float(1 << before)))
+                                    .otherwise(F.lit(0)).cast("bigint"))
+                  .join(F.broadcast(bins), ["l", "bin"])
+                  .groupBy("l", "bin", "base", "lo", "t", finer.alias("finer"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")))
+        below = F.col("base") + F.coalesce(F.sum("n").over(
+            Window.partitionBy("l", "bin").orderBy("finer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = (inside.withColumn("below", below).where((F.col("below") <= F.ceil(at)) & (F.col("below") + F.col("n") > F.col("lo")))
+                .select("l", F.col("finer").alias("bin"), F.col("below").alias("base"), "lo", "t", "n", "score").collect())
+        bins = scores.sparkSession.createDataFrame([r[:5] for r in rows], "l string, bin long, base long, lo long, t double")
+        before = bits
+    found: dict[str, dict[int, tuple[float, float]]] = {}
+    for r in rows:
+        own = found.setdefault(r["l"], {})
+        for k in (r["lo"], r["lo"] + 1):
+            if r["base"] <= k < r["base"] + r["n"]:
+                own[k] = (r["score"], r["t"])
+    out = {}
+    for k, own in found.items():
+        (x, t), (y, _) = own[min(own)], own[max(own)]
+        out[k] = x + (y - x) * t
+    return out
+
+
+def least_scores(scored: DataFrame, identifier: Identifier, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+                 lang_pred: str = "lang_pred", score: str = "score", name: str = "language") -> dict[str, float]:
     """Per language a score that its documents hardly stay under: midway between
     chance (one over the number of languages) and the LOW quantile of the scores
-    of held-out documents rightly predicted as it, a bounded sample of them.  A
-    language without such documents takes the quantile of all, and chance is the
-    least score where nothing is held out."""
-    names, each, rows = _sampled(_labelled(docs, doc_id, text, lang, True), per_language, in_all)
+    of all held-out documents rightly predicted as it, equal rows counted once
+    (``scored``: rows of ``predicted``).  A language without such documents takes
+    the quantile of all, and chance is the least score where nothing is held out."""
     chance = 1 / max(1, len(identifier.languages))
-    if not names or not identifier.languages:
-        return dict.fromkeys(identifier.languages, chance)
-    one = rows.select("l", "h", "t").dropDuplicates(["l", "h"])
-    got = _first(predicted(one, identifier, "t").select("l", "h", "lang_pred", "score"), each).collect()
-    right: dict[str, list[float]] = {}
-    for r in got:
-        if r["l"] == r["lang_pred"]:
-            right.setdefault(r["l"], []).append(r["score"])
-    every = [x for own in right.values() for x in own] or [chance]
-    return {k: (chance + float(np.quantile(right.get(k, every), LOW))) / 2 for k in identifier.languages}
+    if not identifier.languages:
+        return {}
+    right = stored(_labelled(scored, doc_id, text, lang, True, F.col(lang_pred).alias("said"), F.col(score).alias("score"))
+                   .where("l = said").groupBy("l", "h").agg(F.min("score").alias("score")).select("l", "score"),
+                   f"{name}/right")
+    own = low_quantiles(right)
+    if own.keys() >= set(identifier.languages):
+        every = chance
+    else:
+        every = low_quantiles(right.withColumn("l", F.lit(""))).get("", chance)
+    return {k: (chance + own.get(k, every)) / 2 for k in identifier.languages}
+
+
+def known(scored: DataFrame, least: dict[str, float], lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Rows of ``predicted`` whose language is known with at least its score of
+    ``least``, without these two columns."""
+    from_ = scored.sparkSession.createDataFrame(list(least.items()), "__language string, __least double")
+    return (scored.join(F.broadcast(from_), F.col(lang_pred) == F.col("__language"))
+            .where((F.col(lang_pred) != UNKNOWN) & (F.col(score) >= F.col("__least")))
+            .drop(lang_pred, score, "__language", "__least"))
 
 
 def predicted(docs: DataFrame, identifier: Identifier, text: str = "text",
-              keep_from: float | dict[str, float] | None = None) -> DataFrame:
+              keep_from: float | dict[str, float] | None = None,
+              lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with lang_pred and score for every whole text (columns of these
     names are replaced).
 
@@ -302,13 +349,13 @@ def predicted(docs: DataFrame, identifier: Identifier, text: str = "text",
     """
     ship(docs.sparkSession)
     if keep_from is None:
-        docs = docs.drop("lang_pred", "score")
+        docs = docs.drop(lang_pred, score)
     shared = docs.sparkSession.sparkContext.broadcast(
         (identifier.languages, identifier.model.p if identifier.model else None))
     least = keep_from if isinstance(keep_from, dict) else dict.fromkeys(identifier.languages, keep_from)
     wanted = docs.withColumn("__letters", F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False)))
     at = docs.columns.index(text)
-    names = [*docs.columns, *([] if keep_from is not None else ["lang_pred", "score"])]
+    names = [*docs.columns, *([] if keep_from is not None else [lang_pred, score])]
 
     def run(batches):
         languages, p = shared.value
@@ -334,7 +381,7 @@ def predicted(docs: DataFrame, identifier: Identifier, text: str = "text",
                          pa.array([y for _, y in said], pa.float64())], names=names)
 
     schema = docs.schema if keep_from is not None else docs.limit(0).withColumns(
-        {"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+        {lang_pred: F.lit(""), score: F.lit(0.0)}).schema
     return wanted.mapInArrow(run, schema)
 
 

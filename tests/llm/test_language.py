@@ -120,3 +120,36 @@ def test_repeated_ids_and_documents_leave_room_for_others(spark, monkeypatch):
     assert [got["y"].count(k) for k in range(3)] == [20 * language.WINDOWS_PER_DOC] * 3
     copied = sum(bytes(w).startswith(b"copied") for w in got["w"])
     assert copied <= language.WINDOWS_PER_DOC
+
+
+def test_quantiles_of_all_scores(spark):
+    r = np.random.default_rng(3)
+    scores = {"a": r.random(5000), "b": np.round(r.random(300), 2), "c": np.array([0.25]), "d": np.array([1.0, 0.5]),
+              "e": 1 - r.random(3000) * 1e-9, "f": np.full(700, 0.75), "g": np.array([0.0, 0.0, 1.0])}
+    rows = [(k, float(x)) for k, v in scores.items() for x in v]
+    df = spark.createDataFrame(rows, "l string, score double")
+    for low in (0.01, 0.5, 0.0, 1.0):
+        got = language.low_quantiles(df, low)
+        assert got.keys() == scores.keys()
+        for k, v in scores.items():
+            assert abs(got[k] - np.quantile(v, low)) < 1e-12, (k, low)
+    assert language.low_quantiles(df.where("l = ''")) == {}
+
+
+def test_least_scores_take_all_held_out_documents(spark):
+    """More held-out documents than a sample of DOCS_PER_LANGUAGE had."""
+    from pyspark.sql import functions as F
+    who = language.Identifier(None, ["xx", "yy", "zz"])
+    df = (spark.range(8000).withColumns({
+        "doc_id": F.col("id"), "text": F.concat(F.lit("letters "), "id"), "lang": F.expr("if(id % 2 = 0, 'xx', 'yy')"),
+        "lang_pred": F.expr("if(id % 10 = 3, 'xx', lang)"), "score": F.expr("0.5 + pmod(xxhash64(id), 4999) / 10000D")}))
+    rows = df.where(language.held_out(F.col("doc_id"))).where("lang = lang_pred").collect()
+    own = {k: [r["score"] for r in rows if r["lang"] == k] for k in ("xx", "yy")}
+    assert min(map(len, own.values())) > language.DOCS_PER_LANGUAGE
+    own["zz"] = own["xx"] + own["yy"]  # no document of its own
+    got = language.least_scores(df.union(df), who, name="test")
+    for k, v in own.items():
+        assert abs(got[k] - (1 / 3 + np.quantile(v, language.LOW)) / 2) < 1e-12
+    kept = language.known(df, got).collect()
+    assert {r["id"] for r in kept} == {r["id"] for r in df.collect() if r["score"] >= got[r["lang_pred"]]}
+    assert language.known(df, {}).count() == 0
