@@ -97,7 +97,7 @@ def check_files(parsed: DataFrame, stored_nodes: DataFrame | None = None) -> Dat
     * ``node_in_two_files``: another file, first by path, has the same node;
     * ``orphan``: text before the first header of its file.
 
-    One small row per file is aggregated and joined back.
+    One small row per file is aggregated and broadcast.
     """
     files = parsed.groupBy("node", "file").agg(F.min("id").alias("__fl_first_id"))
     per_node = files.groupBy("node").agg(F.min("file").alias("__fl_first_file"))
@@ -110,7 +110,8 @@ def check_files(parsed: DataFrame, stored_nodes: DataFrame | None = None) -> Dat
               .when(F.col("file") != F.col("__fl_first_file"), F.lit("node_in_two_files"))
               .when((F.col("id") == F.col("__fl_first_id")) & ~F.col("text").startswith("["), F.lit("orphan"))
               .otherwise(F.col("reason")))
-    return (parsed.join(files.join(per_node, "node"), ["node", "file"])
+    # broadcast, as a shuffle of the records by file would put each into one task
+    return (parsed.join(F.broadcast(files.join(per_node, "node")), ["node", "file"])
             .withColumn("reason", reason).select(*parsed.columns))
 
 
