@@ -244,29 +244,56 @@ def render_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad).unionByName(starts)
 
 
+WRITERS = 8  # node files written at a time
+
+
+def ordered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, range, line): :func:`render_records` in file order, a partition a
+    range; more of them the more input there is (stored logs are a tenth of
+    their text or less), so that the sort of one stays small."""
+    order = ["node", "grp", "puttime", "id", "sub"]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * logs(spark, sf_dir).rdd.getNumPartitions())
+    return (render_records(spark, sf_dir).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+            .select("node", F.spark_partition_id().alias("range"), "line"))
+
+
 def render_log_files(spark: SparkSession, sf_dir: str, out_dir: str) -> list[str]:
     """Write one ``<node>.txt`` per node under ``out_dir``; returns the files.
 
     A node's file is one ordered stream, so each node is written by one task;
-    this only builds test input and is not used by the operators.
+    this only builds test input and is not used by the operators.  The records
+    are sorted before that, by ranges of (node, time) in many tasks, and the
+    writing tasks only pass on what they read, range after range.
     """
-    from urllib.parse import unquote
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce
+
+    from ..session import discard, scratch_path
 
-    recs = render_records(spark, sf_dir)
+    ranges = scratch_path(spark, "rendered-ranges")
     staging = out_dir.rstrip("/") + "/_staging"
-    (recs.repartition("node").sortWithinPartitions("node", "grp", "puttime", "id", "sub")
-     .select("node", "line").write.partitionBy("node").mode("overwrite").text(staging))
+    ordered_records(spark, sf_dir).write.partitionBy("node", "range").parquet(ranges)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     Path = jvm.org.apache.hadoop.fs.Path
     fs = Path(out_dir).getFileSystem(conf)
-    files = []
-    for st in fs.globStatus(Path(staging + "/node=*/part-*")):
-        p = st.getPath()
-        node = unquote(p.getParent().getName().split("=", 1)[1])
-        dst = Path(f"{out_dir.rstrip('/')}/{node}.txt")
-        fs.rename(p, dst)
-        files.append(dst.toString())
+    stored = spark.read.parquet(ranges)
+    runs: dict[str | None, list[int]] = {}
+    for r in stored.select("node", "range").distinct().orderBy("range").collect():  # one row per folder
+        runs.setdefault(r["node"], []).append(r["range"])
+
+    def write(node: str | None) -> str:
+        name = "__HIVE_DEFAULT_PARTITION__" if node is None else node
+        parts = [stored.where(F.col("node").eqNullSafe(F.lit(node)) & (F.col("range") == k)).select("line").coalesce(1)
+                 for k in runs[node]]
+        reduce(DataFrame.union, parts).coalesce(1).write.text(f"{staging}/{name}")
+        dst = Path(f"{out_dir.rstrip('/')}/{name}.txt")
+        fs.rename(fs.globStatus(Path(f"{staging}/{name}/part-*"))[0].getPath(), dst)
+        return dst.toString()
+
+    with ThreadPoolExecutor(WRITERS) as pool:
+        files = list(pool.map(write, runs))
+    discard(spark, ranges)
     fs.delete(Path(staging), True)
     return sorted(files)
 

@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from fleetlog.sources import logtext
+from fleetlog.sources import fixtures, logtext
 
 GOOD = "[INFO][   12][24-01-02T03:04:05.123456][atch/Commit.cpp:10][CommitBatch         ] first line"
 
@@ -236,3 +236,31 @@ def test_derived_tables_follow_their_input(spark):
         spark.catalog.refreshByPath(f"{folder}/documents.parquet")
         found.append(sorted(r["doc_id"] for r in fixtures.document_index(spark, folder, True).term("licensing").collect()))
     assert found == [[1], [2, 3]]
+
+
+def test_records_are_rendered_in_ranges(spark, sf_small):
+    """No task sorts all records of a node; the files hold them in order."""
+    order = ["grp", "puttime", "id", "sub"]
+    recs = fixtures.render_records(spark, sf_small).collect()
+    nodes = {r["node"] for r in recs}
+    assert fixtures.ordered_records(spark, sf_small).select("node", "range").distinct().count() > 2 * len(nodes)
+    for node in nodes:
+        path = f"{fixtures.rendered_dir(spark, sf_small)}/{node}.txt"
+        with open(path.removeprefix("file:"), encoding="utf-8") as f:
+            text = f.read()
+        own = sorted((r for r in recs if r["node"] == node), key=lambda r: [(r[c] is not None, r[c]) for c in order if c == "grp" or r["grp"]])
+        assert text == "".join(r["line"] + "\n" for r in own)
+
+
+def test_records_are_not_shuffled_by_file(spark, sf_small):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(old, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        parsed = logtext.parse_records(logtext.scan_records(spark, fixtures.rendered_dir(spark, sf_small)))
+        plan = logtext.check_files(parsed)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    top = plan[:plan.index("HashAggregate")]
+    assert "BroadcastHashJoin" in top and "Exchange hashpartitioning" not in top.split("BroadcastExchange")[0]
