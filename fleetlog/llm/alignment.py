@@ -12,8 +12,8 @@ Work is done word by word: neither tokenizer joins a character that is not
 white space with a space after it (checked against B's vocabulary; A splits
 there by its pattern), so tokens of both sides end before every single space
 between two such characters, and the alignment of a text is that of its words,
-one after the other.  Words are kept in a dictionary that is emptied when it is
-full.
+one after the other.  Words are kept in two dictionaries: when the younger one
+is full it takes the place of the older, and words that are met again move back.
 
 Corpus counts (how many documents hold an id pair linked) are added up per
 task, then by Spark.  The most frequent pairs, at most ``BROADCAST_PAIRS``, go
@@ -91,7 +91,11 @@ class Aligner:
         self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
         self.b_size = np.array([len(x) for x in self.b_bytes])
         self.by_word = not inner
+        # every id as text, by what follows it
+        self.a_text = [np.array([f"{i}{end}" for i in range(len(self.a_size))], dtype=object) for end in ",|"]
+        self.b_text = [np.array([f"{i}{end}" for i in range(len(self.b_size))], dtype=object) for end in ",;\n"]
         self.cache: dict[str, tuple | bool] = {}
+        self.old: dict[str, tuple | bool] = {}
 
     def words(self, text: str) -> list[str]:
         """The text with a space before it, cut before every single space
@@ -129,43 +133,53 @@ class Aligner:
         if b"".join([self.a_bytes[i] for i in la]) != raw or b"".join([self.b_bytes[i] for i in lb]) != raw:
             return [False] if len(words) == 1 else [self.align([w])[0] for w in words]
         common = np.intersect1d(a_end, b_end)
-        ia, ib = np.searchsorted(a_end, common, "right").tolist(), np.searchsorted(b_end, common, "right").tolist()
-        sa, sb = list(map(str, la)), list(map(str, lb))
-        groups, x0, y0 = [], 0, 0
-        for x, y in zip(ia, ib):
-            groups.append((sa[x0] if x == x0 + 1 else ",".join(sa[x0:x])) + "|"
-                          + (sb[y0] if y == y0 + 1 else ",".join(sb[y0:y])))
-            x0, y0 = x, y
+        stops = np.cumsum([len(w.encode()) + 1 for w in words])
+        of_word = np.searchsorted(common, stops, "right")
+        # A's ids of a group, then B's; a line for every word
+        ia, ib = np.searchsorted(a_end, common, "right"), np.searchsorted(b_end, common, "right")
+        text_a, text_b = self.a_text[0][a], self.b_text[0][b]
+        text_a[ia - 1] = self.a_text[1][a[ia - 1]]
+        text_b[ib - 1] = self.b_text[1][b[ib - 1]]
+        last = ib[of_word - 1] - 1
+        text_b[last] = self.b_text[2][b[last]]
+        group_a, group_b = np.searchsorted(common, a_end), np.searchsorted(common, b_end)
+        both = np.empty(len(a) + len(b), dtype=object)
+        both[np.arange(len(a)) + np.concatenate(([0], ib))[group_a]] = text_a
+        both[np.arange(len(b)) + ia[group_b]] = text_b
+        groups = "".join(both.tolist()).split("\n")
         # every piece between neighbouring ends lies in one token of each side
         ends = np.union1d(a_end, b_end)
         pairs = (a[np.searchsorted(a_end, ends)] << SHIFT) | b[np.searchsorted(b_end, ends)]
-        stops = np.cumsum([len(w.encode()) + 1 for w in words])
-        cuts = [np.searchsorted(e, stops, "right").tolist() for e in (a_end, b_end, common, ends)]
-        out, last = [], (0, 0, 0, 0)
-        for now in zip(*cuts):
-            out.append((now[0] - last[0], now[1] - last[1], now[2] - last[2],
-                        ";".join(groups[last[2]:now[2]]), pairs[last[3]:now[3]].tobytes()))
-            last = now
-        return out
+        counts = [np.diff(x, prepend=0).tolist() for x in (ia[of_word - 1], ib[of_word - 1], of_word)]
+        raw_pairs = pairs.astype(np.int64).tobytes()
+        to = (8 * np.searchsorted(ends, stops, "right")).tolist()
+        return list(zip(*counts, groups, [raw_pairs[x:y] for x, y in zip([0, *to], to)]))
 
     def learn(self, words: list[str]) -> None:
         """Adds words to the cache; those without white space at an end together."""
         plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()] if self.by_word else []
-        for lo in range(0, len(plain), 256):
-            part = plain[lo:lo + 256]
+        for lo in range(0, len(plain), 128):
+            part = plain[lo:lo + 128]
             self.cache.update(zip(part, self.align(part)))
         for w in words:
             if w not in self.cache:
                 self.cache[w] = self.align([w])[0]
 
+    def unknown(self, words: set[str]) -> list[str]:
+        """The words that are in neither dictionary; the others are in the
+        younger one afterwards."""
+        new = words - self.cache.keys()
+        if len(self.cache) + len(new) > CACHE_WORDS // 2:
+            self.old, self.cache, new = self.cache, {}, words
+        found = {w: self.old[w] for w in new if w in self.old}
+        self.cache.update(found)
+        return [w for w in new if w not in found]
+
     def prepare(self, texts: list[list[str] | None]) -> None:
         """Learns the new words of several cut texts at once."""
-        new = set().union(*filter(None, texts)) - self.cache.keys()
-        new = [w for w in new if len(w) <= LONG_WORD]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-        if len(new) <= CACHE_WORDS:
-            self.learn(new)
+        words = {w for w in set().union(*filter(None, texts)) if len(w) <= LONG_WORD}
+        if len(words) <= CACHE_WORDS // 2:
+            self.learn(self.unknown(words))
 
     def __call__(self, text: str | None) -> tuple | None:
         """(n_a, n_b, n_groups, groups, pairs as int64) of a text."""
@@ -175,11 +189,9 @@ class Aligner:
         cache = self.cache
         found = list(map(cache.get, words))
         if None in found:
-            new = {w for w, f in zip(words, found) if f is None}
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = set(words)
-            self.learn(list(new))
+            new = set(words)
+            self.learn(self.unknown(new))
+            cache = self.cache
             found = [cache[w] for w in words]
             for w in new:
                 if len(w) > LONG_WORD:
@@ -315,8 +327,9 @@ def with_counts(rows: DataFrame, counts: DataFrame, most: int = BROADCAST_PAIRS,
     shared = spark.sparkContext.broadcast(tuple(top[c].to_numpy() for c in ("pair", "n", "best")))
 
     def run(batches):
+        _ALIGNERS.clear()  # the first pass is over: its words go from this process
         keys, n, best = shared.value
-        for b in batches:
+        for b in (whole.slice(lo, 500) for whole in batches for lo in range(0, whole.num_rows, 500)):
             sums, bests, rest = [], [], []
             for pair, times in zip(b.column(len(DOC_COLUMNS)), b.column(len(DOC_COLUMNS) + 1)):
                 p, t = unpacked(pair.as_py()), np.frombuffer(times.as_py(), dtype="<u4").astype(np.int64)

@@ -112,6 +112,20 @@ def test_a_full_cache_is_emptied(monkeypatch):
     assert len(one.cache) <= 5
 
 
+def test_words_met_again_outlive_a_full_cache(monkeypatch):
+    one = alignment.Aligner(*alignment.read_files())
+    monkeypatch.setattr(alignment, "CACHE_WORDS", 8)
+    learned = []
+    align = one.align
+    monkeypatch.setattr(one, "align", lambda words: learned.extend(words) or align(words))
+    for k in range(6):
+        texts = [f"the and new{k} word{k}"]
+        one.prepare([one.words(t) for t in texts])
+        assert one(texts[0])[:4] == plain(texts[0])[:4]
+    assert learned.count("the") == learned.count("and") == 1
+    assert len(one.cache) + len(one.old) <= 8
+
+
 @pytest.mark.parametrize("most", [1_000_000, 20, 0])
 def test_counts_match_the_model(spark, most):
     rows = [r[:2] for r in helpers.ROWS if r[0] != 7] + [(100 + i, t) for i, t in enumerate(AWKWARD)]
