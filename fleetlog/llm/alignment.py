@@ -14,6 +14,10 @@ there by its pattern), so tokens of both sides end before every single space
 between two such characters, and the alignment of a text is that of its words,
 one after the other.  Words are kept in two dictionaries: when the younger one
 is full it takes the place of the older, and words that are met again move back.
+Both tokens also end between a run of Latin letters and ASCII punctuation up to the
+word's end, and before a line break after a character that is not white space
+(both are checked against the two vocabularies), so only the letters, the marks
+and the parts of lines are aligned, and their words are put together from them.
 
 Corpus counts (how many documents hold an id pair linked) are added up per
 task, then by Spark.  The most frequent pairs, at most ``BROADCAST_PAIRS``, go
@@ -43,12 +47,19 @@ from fleetlog.llm.common import byte_chars, ship, stored, table
 BYTE_FILE = "byte_bpe_50k.json"
 PIECE_FILE = "piece_bpe_32k.model"
 CACHE_WORDS = 300_000
+SLICE = 500  # documents whose new words are learned together
+BATCH_WORDS = 512  # new words aligned in one go
 LONG_WORD = 256
 BROADCAST_PAIRS = 1_000_000
 FLUSH_PAIRS = 500_000
 SHIFT = 32  # a pair's key: A's id above, B's id below
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r" (?<=\S )(?=\S)")  # begins with a plain character, which is searched fast
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_ENDS_IN_LETTER = re.compile(f"(?s).*{_LETTER}")
+_MIXED = re.compile(f"{_LETTER}[{re.escape(_MARKS)}]")
+_LINES = re.compile(r"(.*\S)(\n.*\S)", re.S)
 
 PAIR_ROWS = ("kind int, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
              "groups string, pairs binary, times binary, pair long, n long")
@@ -80,17 +91,22 @@ class Aligner:
             self.a_bytes[i] = (bytes([to_byte[c] for c in entry]) if all(c in to_byte for c in entry)
                                else entry.encode())
         self.b_bytes = []
-        inner = False  # does a piece hold a space after another character?
+        inner = marked = False  # does a piece hold a space after another character, or a mark after a letter?
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
                 self.b_bytes.append(bytes([int(piece[3:5], 16)]))
             else:
                 inner |= "▁" in piece.lstrip("▁")
+                if not (self.b.is_control(i) or self.b.is_unknown(i)):
+                    marked |= "\n" in piece or _MIXED.search(piece) is not None
                 self.b_bytes.append(piece.replace("▁", " ").encode())
         self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
         self.b_size = np.array([len(x) for x in self.b_bytes])
         self.by_word = not inner
+        split = [t for t, _ in self.a.pre_tokenizer.pre_tokenize_str("abé.,'\nc")] if self.a.pre_tokenizer else []
+        self.by_part = (self.by_word and not marked and split == ["abÃ©", ".,'", "Ċ", "c"] and self.a.normalizer is None
+                        and all(t.special for t in self.a.get_added_tokens_decoder().values()))
         # every id as text, by what follows it
         self.a_text = [np.array([f"{i}{end}" for i in range(len(self.a_size))], dtype=object) for end in ",|"]
         self.b_text = [np.array([f"{i}{end}" for i in range(len(self.b_size))], dtype=object) for end in ",;\n"]
@@ -115,10 +131,11 @@ class Aligner:
             ends = at[ends]
         return ids, refined(ends, self.a_size[ids])
 
-    def ends_b(self, proto) -> tuple[np.ndarray, np.ndarray]:
+    def ends_b(self, coded) -> tuple[np.ndarray, np.ndarray]:
         """Ids and byte ends of B's pieces; spans do not count the added space."""
-        spans = np.array([(p.id, p.end) for p in proto.pieces], dtype=np.int64).reshape(-1, 2)
-        return spans[:, 0], refined(spans[:, 1] + 1, self.b_size[spans[:, 0]])
+        ids = np.array(coded["ids"], dtype=np.int64)
+        ends = np.array([e for _, e in coded["offsets"]], dtype=np.int64)
+        return ids, refined(ends + 1, self.b_size[ids])
 
     def align(self, words: list[str]) -> list:
         """(n_a, n_b, n_groups, groups, pairs) of each word, False where either
@@ -128,11 +145,11 @@ class Aligner:
         text = " " + joined
         raw = text.encode()
         a, a_end = self.ends_a(text, self.a.encode(text, add_special_tokens=False))
-        b, b_end = self.ends_b(self.b.encode(joined, return_type="proto"))
+        b, b_end = self.ends_b(self.b.encode(joined, return_type="offset_mapping", return_bytes=True))
         la, lb = a.tolist(), b.tolist()
         if b"".join([self.a_bytes[i] for i in la]) != raw or b"".join([self.b_bytes[i] for i in lb]) != raw:
             return [False] if len(words) == 1 else [self.align([w])[0] for w in words]
-        common = np.intersect1d(a_end, b_end)
+        common = a_end[b_end[np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)] == a_end]
         stops = np.cumsum([len(w.encode()) + 1 for w in words])
         of_word = np.searchsorted(common, stops, "right")
         # A's ids of a group, then B's; a line for every word
@@ -148,60 +165,98 @@ class Aligner:
         both[np.arange(len(b)) + ia[group_b]] = text_b
         groups = "".join(both.tolist()).split("\n")
         # every piece between neighbouring ends lies in one token of each side
-        ends = np.union1d(a_end, b_end)
+        ends = np.sort(np.concatenate((a_end, b_end)), kind="stable")
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         pairs = (a[np.searchsorted(a_end, ends)] << SHIFT) | b[np.searchsorted(b_end, ends)]
         counts = [np.diff(x, prepend=0).tolist() for x in (ia[of_word - 1], ib[of_word - 1], of_word)]
         raw_pairs = pairs.astype(np.int64).tobytes()
         to = (8 * np.searchsorted(ends, stops, "right")).tolist()
         return list(zip(*counts, groups, [raw_pairs[x:y] for x, y in zip([0, *to], to)]))
 
-    def learn(self, words: list[str]) -> None:
-        """Adds words to the cache; those without white space at an end together."""
+    def parts(self, words: set[str]) -> dict[str, tuple[str, str]]:
+        """(head, ``a`` + tail) of each word that is cut at its last marks or line,
+        and of such heads themselves: a tail is aligned after a letter, not after
+        a space."""
+        cuts: dict[str, tuple[str, str]] = {}
+        heads = words if self.by_part else set()
+        while heads:
+            found = {}
+            for w in heads:
+                if len(w) > LONG_WORD or not w or w[0].isspace():
+                    continue
+                if w[-1] in _MARKS:
+                    head = w.rstrip(_MARKS)
+                    if head != "a" and _ENDS_IN_LETTER.fullmatch(head):
+                        found[w] = head, "a" + w[len(head):]
+                elif "\n" in w:
+                    m = _LINES.fullmatch(w)
+                    if m and m[1] != "a":
+                        found[w] = m[1], "a" + m[2]
+            cuts |= found
+            heads = {head for head, _ in found.values() if head not in cuts}
+        return cuts
+
+    def learn(self, words: list[str], to: dict) -> None:
+        """Aligns words; those without white space at an end together."""
         plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()] if self.by_word else []
-        for lo in range(0, len(plain), 128):
-            part = plain[lo:lo + 128]
-            self.cache.update(zip(part, self.align(part)))
+        for lo in range(0, len(plain), BATCH_WORDS):
+            part = plain[lo:lo + BATCH_WORDS]
+            to.update(zip(part, self.align(part)))
         for w in words:
-            if w not in self.cache:
-                self.cache[w] = self.align([w])[0]
+            if w not in to:
+                to[w] = self.align([w])[0]
 
-    def unknown(self, words: set[str]) -> list[str]:
-        """The words that are in neither dictionary; the others are in the
-        younger one afterwards."""
+    def recall(self, words: set[str]) -> None:
+        """Afterwards all the words are in the younger dictionary."""
         new = words - self.cache.keys()
         if len(self.cache) + len(new) > CACHE_WORDS // 2:
             self.old, self.cache, new = self.cache, {}, words
         found = {w: self.old[w] for w in new if w in self.old}
         self.cache.update(found)
-        return [w for w in new if w not in found]
-
-    def prepare(self, texts: list[list[str] | None]) -> None:
-        """Learns the new words of several cut texts at once."""
-        words = {w for w in set().union(*filter(None, texts)) if len(w) <= LONG_WORD}
-        if len(words) <= CACHE_WORDS // 2:
-            self.learn(self.unknown(words))
+        self.learn([w for w in new if w not in found], self.cache)
+
+    def aligned_words(self, words: set[str]) -> dict[str, tuple | bool]:
+        """The alignment of every word.  Only parts are kept in the dictionaries."""
+        cuts = self.parts(words - self.cache.keys())
+        whole = words.union(*cuts.values(), "a" if cuts else "").difference(cuts)
+        long = [w for w in whole if len(w) > LONG_WORD]
+        whole.difference_update(long)
+        self.recall(whole)
+        now = dict(zip(whole, map(self.cache.__getitem__, whole)))
+        self.learn(long, now)
+        for w in sorted(cuts, key=len):  # a head is shorter than its word, a tail is not cut again
+            head, tail = cuts[w]
+            now[w] = joined(now[head], now[tail], now["a"])
+        return now
+
+    def prepare(self, texts: list[list[str] | None]) -> dict[str, tuple | bool] | None:
+        """The alignments of the words of several cut texts, learned at once; none
+        where they have too many words."""
+        words = set().union(*filter(None, texts))
+        return self.aligned_words(words) if len(words) <= CACHE_WORDS // 2 else None
 
     def __call__(self, text: str | None) -> tuple | None:
         """(n_a, n_b, n_groups, groups, pairs as int64) of a text."""
         return self.of_words(self.words(text)) if text else None
 
-    def of_words(self, words: list[str]) -> tuple | None:
-        cache = self.cache
-        found = list(map(cache.get, words))
-        if None in found:
-            new = set(words)
-            self.learn(self.unknown(new))
-            cache = self.cache
-            found = [cache[w] for w in words]
-            for w in new:
-                if len(w) > LONG_WORD:
-                    del cache[w]
-        if False in found:
+    def of_words(self, words: list[str], known: dict[str, tuple | bool] | None = None) -> tuple | None:
+        if known is None:
+            known = self.aligned_words(set(words))
+        found = list(map(known.__getitem__, words))
+        if not all(found):
             return None
         n_a, n_b, n_groups, groups, pairs = zip(*found)
         return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(pairs), dtype=np.int64)
 
 
+def joined(head, tail, before):
+    """Alignment of a word from its head's and that of its tail after ``before``."""
+    if head is False or tail is False:
+        return False
+    return (head[0] + tail[0] - before[0], head[1] + tail[1] - before[1], head[2] + tail[2] - before[2],
+            head[3] + tail[3][len(before[3]):], head[4] + tail[4][len(before[4]):])
+
+
 def refined(ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Span ends, replaced by the ends of the decoded bytes where a span does
     not hold exactly its token's bytes."""
@@ -241,13 +296,13 @@ def aligned(docs: DataFrame, name: str = "alignment", byte_path: str | None = No
         total = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
         size = 0
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                s = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, SLICE):
+                s = b.slice(lo, SLICE)
                 out: list[list] = [[] for _ in range(7)]
                 texts = [one.words(t) if t else None for t in s.column(1).to_pylist()]
-                one.prepare(texts)
+                known = one.prepare(texts)
                 for t in texts:
-                    got = one.of_words(t) if t else None
+                    got = one.of_words(t, known) if t else None
                     if got is None:
                         values = (0, 0, 0, 0, None, b"", b"")
                     else:

@@ -126,6 +126,20 @@ def test_words_met_again_outlive_a_full_cache(monkeypatch):
     assert len(one.cache) + len(one.old) <= 8
 
 
+def test_words_with_marks_and_lines_are_put_together(monkeypatch):
+    one = alignment.Aligner(*alignment.read_files())
+    assert one.by_part
+    learned = []
+    align = one.align
+    monkeypatch.setattr(one, "align", lambda words: learned.extend(words) or align(words))
+    texts = ["word word, word. other, Été!! word.\nother,", "a, a a.\nb. b,\n\nword's. don't... '',", "word\n other\n", "▁x, y.\n▁"]
+    for t in texts + ["\n".join(texts), "x" * 300 + ", " + "y" * 300 + ".\nz."]:
+        p, got = plain(t), one(t)
+        assert (got and got[:4]) == (p and p[:4]), t
+    assert learned.count("word") == learned.count("other") == learned.count("a,") == 1
+    assert not {"word,", "word.", "other,", "word.\nother,"} & set(learned)
+
+
 @pytest.mark.parametrize("most", [1_000_000, 20, 0])
 def test_counts_match_the_model(spark, most):
     rows = [r[:2] for r in helpers.ROWS if r[0] != 7] + [(100 + i, t) for i, t in enumerate(AWKWARD)]
