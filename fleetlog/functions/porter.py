@@ -3,15 +3,24 @@
 The published algorithm, each step one projection over a word column: letter
 classes are regular expressions (``y`` is a vowel except at the start, where
 it is written ``Y`` until the end), a measure test is a pattern on what is left
-of the suffix.  :func:`stem_tokens` stems every distinct word once and joins
-the stems back to the tokens.
+of the suffix.  :func:`stem_lists` stems token arrays where they are: the same
+steps on one word (:func:`stem_word`), taken once per word and task.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 # Letter runs and measure tests of the algorithm.
 _C = "[^aeiou][^aeiouy]*"
 _V = "[aeiouy][aeiou]*"
@@ -94,14 +103,81 @@ def stem_vocabulary(words: DataFrame, column: str = "word") -> DataFrame:
     return stem_words(vocab)
 
 
-def stem_tokens(tokens: DataFrame, column: str = "token", only: Column | None = None) -> DataFrame:
-    """Replace ``column`` by its stem; rows failing ``only`` keep their token.
-    The vocabulary side is an aggregate, so adaptive execution broadcasts it
-    when it is small and splits frequent words when it is not."""
-    eligible = tokens if only is None else tokens.where(only)
-    voc = stem_vocabulary(eligible, column).withColumnRenamed("word", "__fl_w")
-    j = tokens.join(voc, tokens[column] == voc["__fl_w"], "left")
-    return j.withColumn(column, F.coalesce(F.col("stem"), F.col(column))).drop("__fl_w", "stem")
+_matches = lru_cache(64)(lambda pattern: re.compile(pattern).match)
+
+
+def _replaced_in(w: str, table: dict[str, str]) -> str:
+    m = _matches(ending(table))(w)
+    return m[1] + table[m[2]] if m and _matches(MEASURE_OVER_0)(m[1]) else w
+
+
+def stem_word(word: str) -> str:
+    """The steps of :func:`stem_words` on one word."""
+    is_ = _matches
+    w = "Y" + word[1:] if word[0] == "y" else word
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif len(w) > 2 and w[-1] == "s" != w[-2]:
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if is_(MEASURE_OVER_0)(w[:-3]) else w
+    elif (m := is_(ending(["ed", "ing"]))(w)) and is_(HAS_VOWEL)(m[1]):
+        w = m[1]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif w[-1:] == w[-2:-1] and w[-1] not in "aeiouylsz":
+            w = w[:-1]
+        elif is_(SHORT_END)(w):
+            w += "e"
+    if len(w) > 1 and w[-1] == "y" and is_(HAS_VOWEL)(w[:-1]):
+        w = w[:-1] + "i"
+    w = _replaced_in(_replaced_in(w, STEP_2), STEP_3)
+    m = is_(ending(STEP_4))(w)
+    if m:
+        w = m[1] if is_(MEASURE_OVER_1)(m[1]) else w
+    elif w.endswith(("sion", "tion")) and len(w) > 4 and is_(MEASURE_OVER_1)(w[:-3]):
+        w = w[:-3]
+    base = w[:-1]
+    if base and w[-1] == "e" and (is_(MEASURE_OVER_1)(base) or is_(MEASURE_IS_1)(base) and not is_(SHORT_END)(base)):
+        w = base
+    if w.endswith("ll") and is_(MEASURE_OVER_1)(w):
+        w = w[:-1]
+    return "y" + w[1:] if w[0] == "Y" else w
+
+
+# Stems that a task keeps; when it has more, it starts anew.
+KEPT_STEMS = 300_000
+_STEMMABLE = re.compile("[a-z]{3,20}").fullmatch
+
+
+def stem_lists(df: DataFrame, column: str) -> DataFrame:
+    """Replace every token of the array ``column`` that is 3 to 20 lower-case
+    ASCII letters by its stem.  No row leaves its task; the tokens of a batch are
+    numbered, so only its different ones are looked up."""
+    ship(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, str] = {}
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                part = b.slice(lo, 2000)
+                lists = part.column(at)
+                tokens = lists.flatten().dictionary_encode()
+                words = tokens.dictionary.to_pylist()
+                if len(kept) > KEPT_STEMS:
+                    kept.clear()
+                for w in words:
+                    if w not in kept:
+                        kept[w] = stem_word(w) if w and _STEMMABLE(w) else w
+                stems = pa.array([kept[w] for w in words], pa.string()).take(tokens.indices)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+                done = pa.ListArray.from_arrays(ends, stems, mask=lists.is_null())
+                columns = [*part.columns[:at], done, *part.columns[at + 1:]]
+                yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def stem_query_words(spark, words) -> dict[str, str]:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import porter
 from ..functions import text as tx
 from ..schema import BEGIN_MARK, END_MARK
+from ..session import discard, scratch_path
 
 TOKENS = "tokens"
 NEAR_DEFAULT = 10
@@ -143,14 +144,22 @@ def postings(df: DataFrame, ids: Sequence[str], text: str, analyzer: str = "port
     """
     ids = list(ids)
     if analyzer == "porter":
-        p = df.select(*ids, F.posexplode(tx.porter_tokens(text)).alias("pos", "term"))
-        return porter.stem_tokens(p, "term", tx.is_stemmable(F.col("term"))) if stem else p
+        return _exploded(_token_lists(df, ids, text, stem), ids)
     if analyzer == "words" and not stem:
         tokens = df.select(*ids, tx.word_tokens(text).alias("__fl_tokens"))
         return tokens.select(*ids, F.explode(tx.expand_tokens(F.col("__fl_tokens"))).alias("term"))
     raise ValueError(f"unknown analyzer {analyzer}" + " with stemming" * stem)
 
 
+def _token_lists(df: DataFrame, ids: list[str], text: str, stem: bool) -> DataFrame:
+    lists = df.select(*ids, tx.porter_tokens(text).alias("__fl_tokens"))
+    return porter.stem_lists(lists, "__fl_tokens") if stem else lists
+
+
+def _exploded(lists: DataFrame, ids: list[str]) -> DataFrame:
+    return lists.select(*ids, F.posexplode("__fl_tokens").alias("pos", "term"))
+
+
 def log_postings(logs: DataFrame) -> DataFrame:
     """The inverted index of log messages: distinct (node, id, word, type=0),
     markers skipped."""
@@ -185,14 +194,21 @@ def write_index(rows: DataFrame, ids: Sequence[str], text: str, root: str, stem:
     """Append the positional index of ``rows`` to the table at ``root``:
     (ids..., word, pos), one folder per node when ``node`` is one of the ids,
     sorted by word, so that a lookup reads only the row groups of its word.  The
-    ids belong to the range, so a frequent word is spread over several files."""
-    p = postings(rows, ids, text, "porter", stem).withColumnRenamed("term", "word")
+    ids belong to the range, so a frequent word is spread over several files.
+    The rows are read for the bounds of the ranges and again for the ranges, so
+    the analyzed tokens, a list per row, are stored for the time between."""
+    spark, ids = rows.sparkSession, list(ids)
+    passing = scratch_path(spark, "index-tokens")
+    lists = _token_lists(rows, ids, text, stem)
+    lists.write.option("compression", "zstd").parquet(passing)
+    p = _exploded(spark.read.schema(lists.schema).parquet(passing), ids).withColumnRenamed("term", "word")
     if "node" in ids:
         key = ["node", "word", *[c for c in ids if c != "node"]]
         w = p.repartitionByRange(*key).sortWithinPartitions(*key, "pos").write.partitionBy("node")
     else:
         w = p.repartitionByRange("word", *ids).sortWithinPartitions("word", *ids, "pos").write
     w.mode("append").parquet(root)
+    discard(spark, passing)
 
 
 @dataclass(frozen=True)

@@ -160,6 +160,25 @@ def test_porter_matches_sqlite(spark):
     assert {r["word"]: r["stem"] for r in got} == want
 
 
+def test_token_lists_are_stemmed_where_they_are(spark, monkeypatch):
+    """The same stems as the column expressions, lists as they were, no shuffle."""
+    from fleetlog.functions import porter
+    from pyspark.sql import functions as F
+    words = [w + s for w in PORTER_WORDS for s in ("", "s", "ing", "ed", "y", "ion", "ll", "e")]
+    words = sorted({w for w in words if len(w) >= 3})
+    want = {r["word"]: r["stem"] for r in porter.stem_words(
+        spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert {w: porter.stem_word(w) for w in words} == want
+    lists = [words[:50] + ["Sky", "running1", "été", "is"], [], None, ["running", None, "running"], words[50:]]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, t array<string>").coalesce(1)
+    monkeypatch.setattr(porter, "KEPT_STEMS", 10)
+    got = {r["doc_id"]: r["t"] for r in porter.stem_lists(df, "t").collect()}
+    assert got == {i: t and [want.get(w, "run" if w == "running" else w) for w in t] for i, t in enumerate(lists)}
+    p = search.postings(spark.createDataFrame(ROWS, "doc_id long, text string"), ["doc_id"], "text", "porter", True)
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    assert [r["term"] for r in p.where(F.col("doc_id") == 1).orderBy("pos").collect()] == ["process", "epoch", "12"]
+
+
 def test_lookup_of_a_hot_word(spark):
     from pyspark.sql import functions as F
     post = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("the").alias("term"))
