@@ -33,6 +33,7 @@ the two named columns are read, so further columns cannot clash.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -290,6 +291,13 @@ def aligned(docs: DataFrame, name: str = "alignment", byte_path: str | None = No
     files = spark.sparkContext.broadcast(read_files(byte_path, piece_path))
 
     def run(batches):
+        gc.disable()  # nothing here makes cycles, and every collection walks the dictionaries
+        try:
+            yield from align(batches)
+        finally:
+            gc.enable()
+
+    def align(batches):
         one = _aligner(files.value)
         row = TaskContext.get().partitionId() << 33
         held: list[np.ndarray] = []
